@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tsumugi.llm import chat, fingerprints, tokens, urls
+from tsumugi.llm import chat, fingerprints, neardup, tokens, urls
 from tsumugi.llm.common import table
 
 MAX_TOKENS = 4096
@@ -21,6 +22,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), ["page_id"])
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_groups(table(spark, sf_dir, "documents"), neardup.Blocked(shingle=3, radius=2))
+    return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +40,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.unionByName(extra), ["conv_id", "turn"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op3_url_filters, op8_token_counts, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op3_url_filters, op4_simhash_near_dedup, op8_token_counts, op10_chat_formatting)}
 
 ORACLES: dict[str, str] = {}
 
