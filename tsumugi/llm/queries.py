@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.llm import chat, fingerprints, neardup, quality, substrings, tokens, urls
+from tsumugi.llm import chat, decontam, fingerprints, licenses, mixing, neardup, quality, substrings, tokens, urls
 from tsumugi.llm.common import table
 
 MAX_TOKENS = 4096
@@ -34,6 +34,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "place", "mix_order", "weight")
+
+
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +64,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.unionByName(extra), ["conv_id", "turn"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op8_token_counts, op9_substring_dedup, op10_chat_formatting)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting)}
 
 ORACLES: dict[str, str] = {}
 
@@ -70,3 +82,35 @@ SELECT p.page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v
     OR regexp_matches(lower(host || path), '(^|[./-])(porn|xxx|casino|viagra|warez|malware|phishing|doubleclick)([./-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN m USING (page_id)
 """
+
+ORACLES["op7_decontamination"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b WHERE len(ws) >= 5)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment FROM c JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
+"""
+
+
+def _license_sql() -> str:
+    quoted = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    pairs = lambda ws: f"list_distinct(list_transform(range(1, len({ws})), lambda i: {ws}[i] || ' ' || {ws}[i + 1]))"
+    words = lambda text: f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+    t = licenses.THRESHOLD
+    return f"""
+WITH t AS (SELECT template, license, {pairs('ws')} AS own FROM (SELECT template, license, {words('text')} AS ws FROM (VALUES {quoted}) v(template, license, text))),
+ti AS (SELECT template, license, len(own) AS size, unnest(own) AS bigram FROM t),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
+p AS (SELECT doc_id, i - 1 AS line, ls[i] AS passage FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)
+      UNION ALL SELECT doc_id, -1, text FROM l WHERE len(ls) > 1),
+o AS (SELECT doc_id, line, {pairs('ws')} AS own FROM (SELECT doc_id, line, {words('passage')} AS ws FROM p)),
+x AS (SELECT doc_id, line, len(own) AS n, unnest(own) AS bigram FROM o),
+s AS (SELECT doc_id, line, template, license, 2 * count(*) / (n + size) AS dice FROM x JOIN ti USING (bigram) GROUP BY doc_id, line, template, license, n, size),
+b AS (SELECT * FROM s WHERE dice >= {t} - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, template) = 1)
+SELECT doc_id, license, CAST(count(*) FILTER (line >= 0) AS BIGINT) AS n_passages, CAST(coalesce(min(line) FILTER (line >= 0), -1) AS INTEGER) AS first_line, max(dice) AS dice FROM b GROUP BY doc_id, license
+"""
+
+
+ORACLES["op6_license_scans"] = _license_sql()
