@@ -25,7 +25,7 @@ SEED = 42
 #: Rows of a bucket that are compared in one piece, and comparisons (a fingerprint with a word of 64) at a time.
 MOST, STEP = 2048, 1 << 14
 #: Shingles whose bits are counted at a time.
-COUNTED = 1 << 15
+COUNTED = 255 << 7
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -46,8 +46,9 @@ def majority(hashes: np.ndarray) -> int:
     """The 64-bit number whose bits are 1 where over half of the hashes have a 1."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), COUNTED):
-        bits = np.unpackbits(hashes[start : start + COUNTED].astype(">u8").view(np.uint8)).reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int32)
+        part = hashes[start : start + COUNTED].astype(">u8").view(np.uint8)
+        bits = np.unpackbits(np.concatenate([part, np.zeros(-len(part) % (8 * 255), np.uint8)])).reshape(-1, 255, 64)
+        ones += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)  # 255 bits at most fit a byte
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
@@ -88,11 +89,11 @@ class Banded:
     1-(1-s^2)^bands: over 0.999 for s=0.8 and 8 bands.
     """
 
-    def __init__(self, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, bands: int = 8):
+    def __init__(self, shingle: int = 5, similarity: float = 0.8, lanes: int = 16, bands: int = 8):
         self.shingle, self.lanes, self.bands = shingle, lanes, bands
         share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
         bits = 64 * lanes
-        self.radius = int(bits * share + np.sqrt(bits * share * (1 - share)))  # one standard deviation more
+        self.radius = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))  # half as much again as a standard deviation more
 
     def describe(self, text: str | None) -> tuple[bytes, list[int]]:
         hashes = np.unique(shingle_hashes(text, self.shingle))
