@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Odd 64-bit multipliers of the splitmix finaliser (fixed values).
 MIX_1, MIX_2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +49,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """many joined with one, which has a row for each value of keys at most: a hot value is dealt out over so many tasks.
+
+    many's rows are salted by a hash of all their columns, one's rows are repeated for each salt.
+    """
+    salt = F.pmod(F.hash(*many.columns), F.lit(salts))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return many.withColumn("_salt", salt).join(one.withColumn("_salt", every), [*keys, "_salt"]).drop("_salt")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, ascii_words, mix, rolling, rows_of, shuffle_partitions, stored, word_hashes
+from tsumugi.llm.common import GOLDEN, ascii_words, mix, rolling, rows_of, salted_join, shuffle_partitions, stored, word_hashes
 
 WINDOW, PREFIX = 50, 10
+#: The end of a span that takes all words of a text, if it has a window's length.
+WHOLE = -1
 #: Documents that share an anchor, at most, for a tree of its own.
 MOST = 2000
 PIECE = 1 << 14
@@ -90,7 +92,11 @@ SPAN = T.StructType([*IDS, T.StructField("start", T.LongType()), T.StructField("
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """docs: doc_id, text_hash, text, dealt by the first two -> spans of words (start, end) to remove, by doc_id and text_hash."""
+    """docs: doc_id, text_hash, text -> spans of words (start, end) to remove, by doc_id and text_hash.
+
+    All windows of a text that a smaller doc_id has too are repeats: such copies go whole (end is WHOLE) and their anchors
+    aren't followed up; the text's first document stands for them.
+    """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
 
@@ -109,7 +115,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["key", "doc_id", "text_hash"])
 
     known = docs.where("doc_id is not null")
-    marks = stored(known.mapInArrow(anchors, T.StructType([T.StructField("key", T.LongType()), *IDS])))
+    texts = known.select("doc_id", "text_hash", F.hash("text").alias("other"))
+    first = texts.groupBy("text_hash", "other").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = stored(salted_join(texts, first, ["text_hash", "other"]).where("doc_id > least").select("doc_id", "text_hash").distinct())
+    marks = stored(known.mapInArrow(anchors, T.StructType([T.StructField("key", T.LongType()), *IDS])).join(copies, ["doc_id", "text_hash"], "left_anti"))
     shared = marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") > MOST).alias("large"))
     lists = stored(marks.join(shared, "key").groupBy("doc_id", "text_hash").agg(F.collect_set(F.when(~F.col("large"), F.col("key"))).alias("small"), F.collect_set(F.when(F.col("large"), F.col("key"))).alias("large")))
 
@@ -161,12 +170,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     small = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trees, SPAN)
     each = with_keys("large").mapInArrow(windows, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *IDS, T.StructField("start", T.LongType())]))
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    large = each.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_hash", "start", (F.col("start") + window).alias("end"))
-    return small.unionByName(large)
+    large = salted_join(each, least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_hash", "start", (F.col("start") + window).alias("end"))
+    return small.unionByName(large).unionByName(copies.select("doc_id", "text_hash", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("end")))
 
 
-def covered(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
+def covered(n: int, starts: list[int], ends: list[int], window: int) -> np.ndarray:
     """Which of n words lie in a span."""
+    if WHOLE in ends:
+        return np.full(n, n >= window)
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, np.array(starts, np.int64), 1)
     np.add.at(change, np.array(ends, np.int64), -1)
@@ -206,10 +217,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
             for texts, spans in rows_of(iter([batch]), ["text", "spans"]):
                 for text, own in zip(texts, spans, strict=True):
                     words = ascii_words(text)
-                    out = covered(len(words), [s["start"] for s in own], [s["end"] for s in own]) if own else np.zeros(len(words), bool)
+                    out = covered(len(words), [s["start"] for s in own], [s["end"] for s in own], window) if own else np.zeros(len(words), bool)
                     n_words.append(len(words))
                     n_removed.append(int(out.sum()))
-                    new.append(text if text is None or layout and not own else kept(text, words, out))
+                    new.append(text if text is None or layout and not out.any() else kept(text, words, out))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
