@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi import vocab
 from tsumugi.kernels.crf import Chain
 
@@ -82,7 +83,7 @@ def crf_decode(tags: tuple[str, ...], start: Sequence[float] | None = None, step
     """A pandas function (emissions, mask) -> tag ids, by Viterbi under the BIO constraints."""
     chain = Chain(tags, start, step, end)
 
-    @F.pandas_udf("array<int>")
+    @arrow("array<int>")
     def decode(emissions: pd.Series, mask: pd.Series) -> pd.Series:
         return pd.Series([chain.decode(np.array([list(x) for x in e], float), np.array(list(m), bool)) for e, m in zip(emissions, mask, strict=True)])
 
@@ -92,7 +93,7 @@ def crf_decode(tags: tuple[str, ...], start: Sequence[float] | None = None, step
 def crf_log_likelihood(tags: tuple[str, ...], start: Sequence[float] | None = None, step: Sequence[Sequence[float]] | None = None, end: Sequence[float] | None = None):
     chain = Chain(tags, start, step, end)
 
-    @F.pandas_udf("double")
+    @arrow("double")
     def likelihood(emissions: pd.Series, gold: pd.Series, mask: pd.Series) -> pd.Series:
         return pd.Series([chain.log_likelihood(np.array([list(x) for x in e], float), list(g), np.array(list(m), bool)) for e, g, m in zip(emissions, gold, mask, strict=True)])
 

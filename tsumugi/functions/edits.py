@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi import vocab
 from tsumugi.kernels import edits, norm
 
@@ -86,7 +87,7 @@ def apply_norm_ops(surf: Column | str, ops: Column | str, strict: bool = False)
     return F.aggregate(rows, F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step)["out"]
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def infer_norm_ops(surf: pd.Series, normal: pd.Series) -> pd.Series:
     """Operations from a written to a normal form; all "_" where there are none (an empty or longer normal form too)."""
 
@@ -117,7 +118,7 @@ def denormalize(surf: Column | str, mark: str = "ー") -> Column:
     return F.when(surf == "", surf).when(small.isNotNull(), F.concat(F.substring(surf, F.lit(1), F.length(surf) - 1), small)).when(at >= 0, swapped).otherwise(prolonged)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def denormalize_randomly(surf: pd.Series, seed: pd.Series) -> pd.Series:
     """A random spelling variant, the same for the same written form and seed (say, a hash of the row's key)."""
     import random
@@ -125,18 +126,18 @@ def denormalize_randomly(surf: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series([norm.denormalize_randomly(s, random.Random(f"{k}:{s}")) if s else s for s, k in zip(surf, seed, strict=True)])
 
 
-@F.pandas_udf("array<struct<pre:string,post:string>>")
+@arrow("array<struct<pre:string,post:string>>")
 def char_diffs(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([[{"pre": a, "post": b} for a, b in edits.char_diffs(x, y)] if x is not None and y is not None else None for x, y in zip(before, after, strict=True)])
 
 
-@F.pandas_udf("struct<tp:long,fp:long,fn:long>")
+@arrow("struct<tp:long,fp:long,fn:long>")
 def diff_counts(before: pd.Series, predicted: pd.Series, gold: pd.Series) -> pd.DataFrame:
     rows = [edits.diff_counts(*(x or "" for x in r)) for r in zip(before, predicted, gold, strict=True)]
     return pd.DataFrame(rows, columns=["tp", "fp", "fn"], dtype="int64")
 
 
-@F.pandas_udf("struct<kdr_tags:array<string>,ins_tags:array<string>>")
+@arrow("struct<kdr_tags:array<string>,ins_tags:array<string>>")
 def typo_gold_tags(before: pd.Series, after: pd.Series, diffs: pd.Series) -> pd.DataFrame:
     """Tags that turn before into after by the listed diffs (structs of pre_str, post_str); null if they differ elsewhere."""
     keep, insert = [], []

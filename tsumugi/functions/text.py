@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi import vocab
 from tsumugi.kernels.align import expand_readings
 
@@ -17,7 +18,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
@@ -152,7 +153,7 @@ def canon_alternatives(canon: Column | str, features: Column | str) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(_col(canon)), inside), lambda c: c.isNotNull() & (c != "")))
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def kanji_readings(readings: pd.Series) -> pd.Series:
     return readings.map(lambda r: expand_readings(list(r)), na_action="ignore")
 

@@ -27,7 +27,7 @@ def parse_semantics(text: str) -> dict:
 
 
 def emit_semantics(semantics: dict) -> str:
-    if semantics["items"]:
+    if len(semantics["items"]):
         return '"' + " ".join(x["key"] + (f":{x['value']}" if x["value"] is not None else "") for x in semantics["items"]) + '"'
     return "NIL" if semantics["nil"] else ""
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi.functions.edits import typo_gold_tags
 from tsumugi.functions.text import normalize_text
 
@@ -65,20 +68,22 @@ def capped_sample(sentences: DataFrame, per_key: int, total: int) -> DataFrame:
     small row a sentence; it ends at total sentences.
     """
 
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taken: dict[str, int] = {}
-        out = []
-        for row in frame.sort_values("ord").itertuples():
-            own = sorted({k for k in row.keys if taken.get(k, 0) < per_key})
-            if own:
-                out.append((row.ord, own))
-                for k in own:
-                    taken[k] = taken.get(k, 0) + 1
-                if len(out) >= total:
-                    break
-        return pd.DataFrame(out, columns=["ord", "keys"])
-
-    return sentences.select(F.col("ord").cast("long").alias("ord"), "keys").groupBy(F.lit(1)).applyInPandas(scan, "ord long, keys array<string>")
+        n = 0
+        for frame in frames:
+            out = []
+            for ord_, keys in zip(frame["ord"], frame["keys"], strict=True):
+                own = sorted({k for k in keys if taken.get(k, 0) < per_key})
+                if own and n < total:
+                    out.append((ord_, own))
+                    n += 1
+                    for k in own:
+                        taken[k] = taken.get(k, 0) + 1
+            yield pd.DataFrame(out, columns=["ord", "keys"])
+
+    rows = sentences.select(F.col("ord").cast("long").alias("ord"), "keys").repartition(1).sortWithinPartitions("ord")
+    return rows.mapInPandas(scan, "ord long, keys array<string>")
 
 
 def length_buckets(examples: DataFrame, size: Column | str, n: int) -> DataFrame:
@@ -113,7 +118,7 @@ def typo_examples(raw: DataFrame, train: bool) -> DataFrame:
     return tagged.select("pre_text", "post_text", "t.kdr_tags", "t.ins_tags", category.alias("category"))
 
 
-@F.pandas_udf("array<struct<pre_str:string,post_str:string,category:string>>")
+@arrow("array<struct<pre_str:string,post_str:string,category:string>>")
 def normalize_diffs(diffs: pd.Series) -> pd.Series:
     import unicodedata
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi.kernels.align import align_reading, align_segmentations
 
 
@@ -67,7 +68,7 @@ def keep_or_predict(keep: bool, given: Column | str, predicted: Column | str) ->
     return F.col(given) if keep else F.col(predicted)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def piece_readings(pieces: pd.Series, reading: pd.Series, kanji: pd.Series) -> pd.Series:
     """The reading of each piece of a word; kanji is an array of structs (character, readings) of the word's characters.
 
@@ -102,7 +103,7 @@ def pool(pieces: DataFrame, how: str, value: str = "value") -> DataFrame:
     return pieces.groupBy("example_id", "word_idx").agg(ways[how].alias(value))
 
 
-@F.pandas_udf("array<struct<a1:int,a2:int,b1:int,b2:int>>")
+@arrow("array<struct<a1:int,a2:int,b1:int,b2:int>>")
 def aligned(a: pd.Series, b: pd.Series) -> pd.Series:
     """Stretches in which two segmentations of a text agree; null if they don't."""
     names = ("a1", "a2", "b1", "b2")

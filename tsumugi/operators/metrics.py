@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi import vocab
 from tsumugi.functions.edits import diff_counts
 from tsumugi.kernels import conll
@@ -142,7 +143,7 @@ def conll_scores(gold: str, system: str) -> dict[str, float]:
     return conll.score(conll.read(gold.splitlines()), conll.read(system.splitlines()))
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def conll_errors(sentence: pd.Series) -> pd.Series:
     """What is wrong with a sentence of CoNLL-U lines."""
     return sentence.map(lambda s: conll.sentence_errors([x.split("\t") for x in s.split("\n") if x and not x.startswith("#")]), na_action="ignore")
@@ -155,7 +156,7 @@ def conll_line(unit: str = "u") -> Column:
     return F.concat_ws("\t", (u["idx"] + 1).cast("string"), u["form"], u["lemma"], *[F.lit("_")] * 3, head.cast("string"), F.coalesce(u["dep_type"], F.lit("D")), F.lit("_"), F.lit("_"))
 
 
-@F.pandas_udf("struct<" + ",".join(f"{k}:struct<tp:long,fp:long,fn:long>" for k in KEYS) + ">")
+@arrow("struct<" + ",".join(f"{k}:struct<tp:long,fp:long,fn:long>" for k in KEYS) + ">")
 def morphology(system: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Counts of written forms, readings, lemmas and canonical forms of a sentence: arrays of structs of the four."""
     rows = []

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi.kernels import norm
 
 
@@ -19,7 +20,7 @@ def split_sentences(text: Column | str, ends: str = ".!?。！？") -> Column:
     return F.regexp_extract_all(_col(text), F.lit(f"[^{own}]*[{own}]+|[^{own}]+$"), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def sentences_by_tags(text: pd.Series, tags: pd.Series) -> pd.Series:
     """Sentences of a text by one tag a character: B begins one. Characters without a tag, and tags without one, are left out."""
 
@@ -36,7 +37,7 @@ def sentences_by_tags(text: pd.Series, tags: pd.Series) -> pd.Series:
 WORDS = "array<struct<sent_idx:int,surf:string,norm:string>>"
 
 
-@F.pandas_udf(WORDS)
+@arrow(WORDS)
 def words_by_tags(sentences: pd.Series, tags: pd.Series, ops: pd.Series) -> pd.Series:
     """Words of a document's sentences by tags that run through all of them. A space is always a word of its own.
 
@@ -132,13 +133,13 @@ def without_bracket_sentences(sentences: DataFrame) -> DataFrame:
     return sentences.where(~F.coalesce(F.contains("comment", F.lit("括弧位置")), F.lit(False)))
 
 
-def gold_char_tags(morphemes: DataFrame, targets: Column | str = F.lit(True)) -> DataFrame:
+def gold_char_tags(morphemes: DataFrame, targets: Column | str | None = None) -> DataFrame:
     """doc_id, global places and gold tags of each character of the morphemes (doc_id, sent_idx, morph_idx, surf, ops).
 
     Characters of sentences that aren't targets have null tags, but count.
     """
     order = Window.partitionBy("doc_id").orderBy("sent_idx", "morph_idx")
-    chars = morphemes.withColumn("target", _col(targets)).withColumn("base", F.sum(F.length("surf")).over(order) - F.length("surf"))
+    chars = morphemes.withColumn("target", F.lit(True) if targets is None else _col(targets)).withColumn("base", F.sum(F.length("surf")).over(order) - F.length("surf"))
     each = chars.select("doc_id", "sent_idx", "morph_idx", "target", "base", "ops", F.posexplode(F.split("surf", "")).alias("k", "char"))
     tag = lambda c: F.when(F.col("target"), c)
     return each.select(

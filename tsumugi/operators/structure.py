@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi import vocab
 from tsumugi.functions.decode import argmax
 from tsumugi.kernels.trees import build_tree, has_cycle, phrase_heads
@@ -88,7 +89,7 @@ def base_phrase_features(phrases: DataFrame, scores: str = "bp_features") -> Dat
 TREE = "array<struct<bp_idx:int,parent_idx:int,dep_type:string,phrase_idx:int,phrase_parent_idx:int,phrase_dep_type:string>>"
 
 
-@F.pandas_udf(TREE)
+@arrow(TREE)
 def _trees(sentences: pd.Series) -> pd.Series:
     def build(units) -> list[dict]:
         tree = build_tree([[(int(h["head"]), h["dep_type"]) for h in u["heads"]] for u in units])
@@ -114,7 +115,7 @@ def dependency_trees(candidates: DataFrame) -> DataFrame:
     return sentences.select(*WORD, F.inline(_trees("units")))
 
 
-@F.pandas_udf("boolean")
+@arrow("boolean")
 def cyclic(heads: pd.Series) -> pd.Series:
     """Whether an array of heads (-1 is the root) has a cycle."""
     return heads.map(lambda h: has_cycle({k: int(x) for k, x in enumerate(h)}), na_action="ignore")

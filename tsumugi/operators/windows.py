@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi.functions.text import make_window_id
 from tsumugi.kernels.spans import split_spans
 
@@ -13,7 +14,7 @@ from tsumugi.kernels.spans import split_spans
 def window_spans(max_length: int, stride: int):
     """A pandas function: lengths of a document's items -> spans of its windows."""
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
+    @arrow("array<struct<start:int,end:int>>")
     def spans(lengths: pd.Series) -> pd.Series:
         return lengths.map(lambda x: [{"start": a, "end": b} for a, b in split_spans([int(n) for n in x], max_length, stride)], na_action="ignore")
 

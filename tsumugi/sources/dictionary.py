@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi.kernels.align import TO_HIRAGANA
 from tsumugi.vocab import ID, UNK
 
@@ -65,7 +66,7 @@ def parse_kanji_line(line: str) -> tuple[str, list[str], list[str]] | None:
 def read_kanji(spark: SparkSession, path: str) -> DataFrame:
     """character, readings and meanings of a kanji dictionary's lines, the built-in signs included."""
 
-    @F.pandas_udf("struct<character:string,readings:array<string>,meanings:array<string>>")
+    @arrow("struct<character:string,readings:array<string>,meanings:array<string>>")
     def parsed(line: pd.Series) -> pd.DataFrame:
         rows = [parse_kanji_line(x) or (None, None, None) for x in line]
         return pd.DataFrame(rows, columns=["character", "readings", "meanings"])

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.arrow import arrow
 from tsumugi.functions.text import doc_id_of, without_doc_id
 from tsumugi.kernels import formats
 from tsumugi.schema import SENTENCE
@@ -17,10 +18,10 @@ from tsumugi.schema import SENTENCE
 
 def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
     """path and text of each file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return reader.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def raw_chunks(text: Column | str) -> Column:
@@ -74,13 +75,13 @@ def line_documents(sentences: DataFrame) -> DataFrame:
     return runs.groupBy("path", "doc_ord").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
-@F.pandas_udf(f"array<{SENTENCE}>")
+@arrow(f"array<{SENTENCE}>")
 def parse_annotated(text: pd.Series) -> pd.Series:
     """The sentences of a text of morpheme lines, with or without phrases."""
     return text.map(formats.parse_document, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def emit_annotated(sid: pd.Series, comment: pd.Series, morphemes: pd.Series, base_phrases: pd.Series, phrases: pd.Series) -> pd.Series:
     """The lines of a sentence."""
     rows = zip(sid, comment, morphemes, base_phrases, phrases, strict=True)

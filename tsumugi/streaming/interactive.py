@@ -75,7 +75,7 @@ def numbered_sentences(sentences: DataFrame) -> DataFrame:
 
 def file_lines(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
     """Lines of files as they arrive in a folder: the file's folder-wide stream is one source, in order of arrival."""
-    read = spark.readStream.option("maxFilesPerTrigger", per_batch).option("wholetext", True).text(path)
+    read = spark.readStream.option("maxFilesPerTrigger", per_batch).text(path, wholetext=True)
     each = read.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("line_no", "line"))
     return each.select(F.lit("stdin").alias("source"), "line_no", "line")
 
