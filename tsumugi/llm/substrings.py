@@ -47,20 +47,22 @@ def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats_in(rows: list[tuple], window: int) -> list[tuple]:
-    """rows: (doc_id, text_hash, first window, segment) that share a prefix -> (doc_id, text_hash, start, end) to remove.
+    """rows: (doc_id, text_hash, places, segment) that share a prefix -> (doc_id, text_hash, places, start, end) to remove.
+
+    A document has a row for each different segment, with the places at which it begins; start and end count from there.
 
     The suffix tree of the group's segments, each of which counts once, with the smallest doc_id of its rows. A window goes
     where the node at its full depth has a leaf of a smaller doc_id.
     """
     by_segment: dict[bytes, list[tuple]] = {}
-    for doc_id, text_hash, first, segment in rows:
-        by_segment.setdefault(segment, []).append((doc_id, text_hash, first))
+    for doc_id, text_hash, places, segment in rows:
+        by_segment.setdefault(segment, []).append((doc_id, text_hash, places))
     least_of = {s: min(m[0] for m in members) for s, members in by_segment.items()}
     out: list[tuple] = []
     if len(by_segment) == 1:  # a tree of one path
         ((segment, members),) = by_segment.items()
         n = segment.count(b" ") + 1
-        return [(d, t, first, first + n) for d, t, first in members if d > least_of[segment]]
+        return [(d, t, places, 0, n) for d, t, places in members if d > least_of[segment]]
     suffixes: list[tuple[bytes, int, int]] = []  # the window that begins the suffix, segment, place
     order = list(by_segment)
     counts = []
@@ -79,20 +81,22 @@ def repeats_in(rows: list[tuple], window: int) -> list[tuple]:
                 node_least[k][place] = least
             start = i
     for k, segment in enumerate(order):
-        for doc_id, text_hash, first in by_segment[segment]:
+        for doc_id, text_hash, places in by_segment[segment]:
             gone = np.flatnonzero(node_least[k] < doc_id)
             if len(gone):
                 cuts = np.flatnonzero(np.diff(gone) > 1) + 1
-                out.extend((doc_id, text_hash, first + int(g[0]), first + int(g[-1]) + window) for g in np.split(gone, cuts))
+                out.extend((doc_id, text_hash, places, int(g[0]), int(g[-1]) + window) for g in np.split(gone, cuts))
     return out
 
 
 IDS = [T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType())]
-SPAN = T.StructType([*IDS, T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+PLACES = T.StructField("places", T.ArrayType(T.LongType()))
+SPAN = T.StructType([*IDS, PLACES, T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("places", pa.list_(pa.int64())), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """docs: doc_id, text_hash, text -> spans of words (start, end) to remove, by doc_id and text_hash.
+    """docs: doc_id, text_hash, text -> spans of words to remove: from start to end after each of the places.
 
     All windows of a text that a smaller doc_id has too are repeats: such copies go whole (end is WHOLE) and their anchors
     aren't followed up; the text's first document stands for them.
@@ -131,11 +135,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     places, grams = anchors_of(words, window, prefix)
                     first, last = runs_of(places)
                     own = grams[places[first]].view(np.int64)
+                    found: dict[tuple[int, bytes], list[int]] = {}  # a text that repeats itself has few different segments
                     for k in np.flatnonzero(np.isin(own, np.array(keys, np.int64))).tolist():
                         a, b = int(first[k]), int(last[k])
-                        for x, y in zip(out, (int(own[k]), doc_id, text_hash, a, b" ".join(words[a : b + window])), strict=True):
+                        found.setdefault((int(own[k]), b" ".join(words[a : b + window])), []).append(a)
+                    for (key, segment), at in found.items():
+                        for x, y in zip(out, (key, doc_id, text_hash, at, segment), strict=True):
                             x.append(y)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.binary())], names=["key", "doc_id", "text_hash", "first", "segment"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["key", "doc_id", "text_hash", "places", "segment"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +152,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                     words = ascii_words(text)
                     places, grams = anchors_of(words, window, prefix)
                     at = np.flatnonzero(np.isin(grams[places].view(np.int64), np.array(keys, np.int64)))
-                    whole = [mix(rolling(mix(word_hashes(words) + np.uint64(k) * GOLDEN), window))[at].view(np.int64) for k in range(2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[0]), pa.array(whole[1]), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), text_hash)), pa.array(at)], names=["h1", "h2", "doc_id", "text_hash", "start"])
+                    h1, h2 = (mix(rolling(mix(word_hashes(words) + np.uint64(k) * GOLDEN), window))[at].view(np.int64) for k in range(2))
+                    order = np.lexsort((at, h2, h1))
+                    h1, h2, at = h1[order], h2[order], at[order]
+                    begin = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+                    own = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(at)].astype(np.int32)), pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[begin]), pa.array(h2[begin]), pa.array(np.full(len(begin), doc_id)), pa.array(np.full(len(begin), text_hash)), own], names=["h1", "h2", "doc_id", "text_hash", "places"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -162,25 +174,29 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
             yield spans(repeats_in(group, window))
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=SPAN.names)
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SPAN_ARROW.types, strict=True)], schema=SPAN_ARROW)
 
     with_keys = lambda kind: docs.join(lists.where(F.size(kind) > 0).select("doc_id", "text_hash", F.col(kind).alias("keys")), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "keys")
-    parts = with_keys("small").mapInArrow(segments, T.StructType([T.StructField("key", T.LongType()), *IDS, T.StructField("first", T.LongType()), T.StructField("segment", T.BinaryType())]))
+    parts = with_keys("small").mapInArrow(segments, T.StructType([T.StructField("key", T.LongType()), *IDS, PLACES, T.StructField("segment", T.BinaryType())]))
     small = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trees, SPAN)
-    each = with_keys("large").mapInArrow(windows, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *IDS, T.StructField("start", T.LongType())]))
+    each = with_keys("large").mapInArrow(windows, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *IDS, PLACES]))
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    large = salted_join(each, least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_hash", "start", (F.col("start") + window).alias("end"))
-    return small.unionByName(large).unionByName(copies.select("doc_id", "text_hash", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("end")))
+    number = lambda k: F.lit(k).cast("long")
+    large = salted_join(each, least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_hash", "places", number(0).alias("start"), number(window).alias("end"))
+    whole = copies.select("doc_id", "text_hash", F.array(number(0)).alias("places"), number(0).alias("start"), number(WHOLE).alias("end"))
+    return small.unionByName(large).unionByName(whole)
 
 
-def covered(n: int, starts: list[int], ends: list[int], window: int) -> np.ndarray:
+def covered(n: int, spans: list[dict], window: int) -> np.ndarray:
     """Which of n words lie in a span."""
-    if WHOLE in ends:
-        return np.full(n, n >= window)
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.array(starts, np.int64), 1)
-    np.add.at(change, np.array(ends, np.int64), -1)
+    for s in spans:
+        if s["end"] == WHOLE:
+            return np.full(n, n >= window)
+        at = np.array(s["places"], np.int64)
+        np.add.at(change, at + s["start"], 1)
+        np.add.at(change, at + s["end"], -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -197,7 +213,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     hashed = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     dealt = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
-    gone = repeated_spans(dealt, window, prefix).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    gone = repeated_spans(dealt, window, prefix).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("places", "start", "end")).alias("spans"))
     left = hashed.withColumn("_id", F.col("doc_id").cast("long")).join(gone.select(F.col("doc_id").alias("_id"), "text_hash", "spans"), ["_id", "text_hash"], "left").select(*names, "spans")
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.select(*names).schema.fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     at = names.index("text")
@@ -217,7 +233,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
             for texts, spans in rows_of(iter([batch]), ["text", "spans"]):
                 for text, own in zip(texts, spans, strict=True):
                     words = ascii_words(text)
-                    out = covered(len(words), [s["start"] for s in own], [s["end"] for s in own], window) if own else np.zeros(len(words), bool)
+                    out = covered(len(words), own, window) if own else np.zeros(len(words), bool)
                     n_words.append(len(words))
                     n_removed.append(int(out.sum()))
                     new.append(text if text is None or layout and not out.any() else kept(text, words, out))
