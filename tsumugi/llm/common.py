@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[list[str], DataFrame]:
+    """df's columns, but for some, as one struct "row" beside whatever is selected next: own names can't clash with them."""
+    names = [c for c in df.columns if c not in without]
+    return names, df.select(F.struct(*[df[c] for c in names]).alias("row"), *[df[c] for c in without if c in df.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, mix, rolling, rows_of, stored
+from tsumugi.llm.common import GOLDEN, mix, packed, rolling, rows_of, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bits of the filter that spares the join most of the documents' hashes; a full one lets all pass.
@@ -147,13 +147,14 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresho
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles and containment of each document and item that it contains; see contained()."""
+    """doc_id, item_id, n_shared, n_shingles and containment of each document and item that it contains, once each; see contained()."""
     found = contained(docs, items, shingle, threshold)
-    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(found, "text_hash")
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(found, "text_hash").distinct()
     return named.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text contains no item; rows with a null text stay."""
-    found = contained(docs, items, shingle, threshold).select(F.col("text_hash").alias("_found")).distinct()
-    return docs.join(found, F.xxhash64("text") == F.col("_found"), "left_anti")
+    found = contained(docs, items, shingle, threshold).select("text_hash").distinct()
+    _, rows = packed(docs)
+    return rows.withColumn("text_hash", F.xxhash64("row.text")).join(found, "text_hash", "left_anti").select("row.*")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, cut, mix, shuffle_partitions
+from tsumugi.llm.common import GOLDEN, cut, mix, packed, shuffle_partitions
 from tsumugi.llm.components import connected_components
 
 SEED = 42
@@ -318,9 +318,10 @@ def keep_one_each(docs: DataFrame, groups: DataFrame, text: str = "text") -> Dat
     """The rows of docs of which each group keeps one: its smallest doc_id (of equal ids and of rows without any, the least text)."""
     own = F.when(F.col("doc_id").isNull(), F.col("print"))
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = stays.groupBy("doc_id", own).agg(F.min("text_hash").alias("_keep"), F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), "_keep", "_n")
-    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    kept = marked.join(ids, marked["doc_id"].eqNullSafe(ids["_id"]) & (F.col("_hash") == F.col("_keep")))
-    first = Window.partitionBy("_id", "_hash").orderBy(*[c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
-    more = kept.where("_n > 1").withColumn("_row", F.row_number().over(first)).where("_row = 1")
-    return kept.where("_n = 1").select(docs.columns).unionByName(more.select(docs.columns))
+    ids = stays.groupBy("doc_id", own).agg(F.min("text_hash").alias("keep"), F.count("*").alias("n")).select(F.col("doc_id").alias("id"), "keep", "n")
+    _, marked = packed(docs)
+    marked = marked.select("row", F.col("row.doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(f"row.{text}"), F.lit(""))).alias("hash"))
+    kept = marked.join(ids, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("keep")))
+    first = Window.partitionBy("id", "hash").orderBy(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))])
+    more = kept.where("n > 1").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return kept.where("n = 1").select("row.*").unionByName(more.select("row.*"))

@@ -70,8 +70,8 @@ class Machine:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return self.w0 + x @ self.w + 0.5 * ((x @ self.v) ** 2 - (x * x) @ (self.v * self.v)).sum(axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 0.01, decay: float = 1e-4, batch: int = 256, seed: int = 11) -> Machine:
-        """Adam on the log loss. With one label only, or none, the score is that label's smoothed share."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 1200, rate: float = 0.01, decay: float = 1e-4, batch: int = 256, seed: int = 11) -> Machine:
+        """Adam on the log loss, as many steps for any number of rows. With one label only, or none, the score is that label's smoothed share."""
         self.w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         if len(np.unique(y)) < 2:
             self.v[:] = 0
@@ -81,25 +81,24 @@ class Machine:
         rng = np.random.default_rng(seed)
         first = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
         second = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
-        step = 0
-        for epoch in range(epochs):
-            order = rng.permutation(len(y))
-            now = rate * (1 - 0.9 * epoch / epochs)
-            for start in range(0, len(y), batch):
-                b = order[start : start + batch]
-                xb = x[b]
-                g = ((1 / (1 + np.exp(-np.clip(self.logits(xb), -30, 30))) - y[b]) / len(b)).astype(np.float32)
-                xv = xb @ self.v
-                grads = [np.array([g.sum()]), xb.T @ g + decay * self.w, xb.T @ (g[:, None] * xv) - ((xb * xb).T @ g)[:, None] * self.v + decay * self.v]
-                step += 1
-                for k, (d, value) in enumerate(zip(grads, (None, self.w, self.v), strict=True)):
-                    first[k] = 0.9 * first[k] + 0.1 * d
-                    second[k] = 0.999 * second[k] + 0.001 * d * d
-                    move = now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                    if value is None:
-                        self.w0 -= float(move[0])
-                    else:
-                        value -= move.astype(np.float32)
+        order = np.empty(0, np.int64)
+        for step in range(1, steps + 1):
+            if not len(order):
+                order = rng.permutation(len(y))
+            b, order = order[:batch], order[batch:]
+            now = rate * (1 - 0.9 * step / steps)
+            xb = x[b]
+            g = ((1 / (1 + np.exp(-np.clip(self.logits(xb), -30, 30))) - y[b]) / len(b)).astype(np.float32)
+            xv = xb @ self.v
+            grads = [np.array([g.sum()]), xb.T @ g + decay * self.w, xb.T @ (g[:, None] * xv) - ((xb * xb).T @ g)[:, None] * self.v + decay * self.v]
+            for k, (d, value) in enumerate(zip(grads, (None, self.w, self.v), strict=True)):
+                first[k] = 0.9 * first[k] + 0.1 * d
+                second[k] = 0.999 * second[k] + 0.001 * d * d
+                move = now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                if value is None:
+                    self.w0 -= float(move[0])
+                else:
+                    value -= move.astype(np.float32)
         return self
 
     def scores(self, texts: list[str | None]) -> np.ndarray:

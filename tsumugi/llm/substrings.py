@@ -210,13 +210,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     one doc_id don't affect each other. Texts of fewer words than a window stay whole. Other columns pass through, but for
     ones named n_words or n_removed, which give way.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    hashed = docs.select(*names, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    dealt = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
+    keep = docs.drop("n_words", "n_removed")
+    others = [c for c in keep.columns if c != "text"]
+    hashed = keep.select(F.struct(*[keep[c] for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    dealt = hashed.select("doc_id", "text_hash", "text")
     gone = repeated_spans(dealt, window, prefix).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("places", "start", "end")).alias("spans"))
-    left = hashed.withColumn("_id", F.col("doc_id").cast("long")).join(gone.select(F.col("doc_id").alias("_id"), "text_hash", "spans"), ["_id", "text_hash"], "left").select(*names, "spans")
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.select(*names).schema.fields], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    at = names.index("text")
+    left = hashed.join(gone, ["doc_id", "text_hash"], "left").select("row", "text", "spans")
+    schema = T.StructType([*left.schema.fields[:2], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def kept(text: str, words: list[bytes], gone: np.ndarray) -> str:
         if not layout:
@@ -237,8 +237,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
                     n_words.append(len(words))
                     n_removed.append(int(out.sum()))
                     new.append(text if text is None or layout and not out.any() else kept(text, words, out))
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
+            made = [pa.array(new, batch.schema.field(1).type), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=schema.names)
 
-    return left.mapInArrow(kernel, schema)
+    found = left.mapInArrow(kernel, schema)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in keep.columns], "n_words", "n_removed")
