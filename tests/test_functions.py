@@ -129,3 +129,9 @@ def test_char_tags(spark):
     rows = [([0, 1, 0, 1], [True, False, False, True])]
     assert one(spark, rows, "p array<int>, s array<boolean>", edits.char_tags("p", "s", vocab.WORD_TAGS)) == [["I", "B"]]
     assert one(spark, [(["x", "a", "b", "c", "d"], 3)], "t array<string>, n int", edits.tag_window("t", "n"), edits.tag_window("t", "n", 1)) == [(["a", "b", "c"], ["a", "b", "c", "d"])]
+
+
+def test_denormalized_sentences(spark):
+    rows = [([("そう", "そう"), ("だ", "だ"), ("ガニ", "カニ")], k) for k in range(60)]
+    found = one(spark, rows, "w array<struct<surf:string,norm:string>>, k long", edits.denormalize_sentence("w", "k", 1.0))
+    assert all(f[1:] == ["だ", "ガニ"] for f in found) and {f[0] for f in found} > {"そう"}

@@ -227,3 +227,37 @@ def test_corpus(spark):
     hits, reasons = corpus.partial_matches(sentences, records)
     assert rows_of(hits) == [(0, 1, "だ", "だ", "判定詞", "基本形")] and dict(rows_of(reasons)) == {"text_mismatch": 1, "no_info": 1}
     assert set(corpus.all_corpora({"a": ids, "b": ids}).select("corpus").distinct().toPandas()["corpus"]) == {"a", "b"}
+
+
+def test_parsed_tables(spark):
+    from tsumugi.sources.text import parse_annotated
+
+    knp = """# S-ID:d-0
+* 1D
++ 1D <NE:PERSON:山田太郎><体言>
+山田 やまだ 山田 名詞 6 人名 5 * 0 * 0 NIL <基本句-主辞>
+太郎 たろう 太郎 名詞 6 人名 5 * 0 * 0 NIL
+は は は 助詞 9 副助詞 2 * 0 * 0 NIL
+* -1D
++ -1D <NE:DATE:今日><用言:動>
+今日 きょう 今日 名詞 6 時相名詞 10 * 0 * 0 NIL
+EOS
+""".replace("太郎 たろう 太郎 名詞 6 人名 5 * 0 * 0 NIL\nは は は 助詞 9 副助詞 2 * 0 * 0 NIL\n", "太郎 たろう 太郎 名詞 6 人名 5 * 0 * 0 NIL\n")
+    parsed = spark.createDataFrame([("d", knp)], "doc_id string, text string").select("doc_id", F.posexplode(parse_annotated("text")).alias("sent_idx", "s")).select("doc_id", "sent_idx", "s.*")
+    words, phrases = structure.word_table(parsed), structure.base_phrase_table(parsed)
+    assert [r["surf"] for r in words.orderBy("morph_idx").collect()] == ["山田", "太郎", "今日"]
+    assert [(r["first_morph"], r["last_morph"], r["global_idx"]) for r in phrases.orderBy("bp_idx").collect()] == [(0, 1, 0), (2, 2, 1)]
+    assert rows_of(structure.gold_entities(phrases, words)) == [("d", 0, "DATE", 2, 3), ("d", 0, "PERSON", 0, 2)]
+
+
+def test_normal_forms(spark):
+    inflection = spark.createDataFrame([("母音動詞", "タ系連用テ形", "て", "る")], "conjtype string, conjform string, ending string, base_ending string")
+    words = spark.createDataFrame([(0, "見てぇ", "見る", "母音動詞", "タ系連用テ形"), (1, "犬", "犬", "*", "*"), (2, "x", "y", "母音動詞", "未然形")], "key int, surf string, lemma string, conjtype string, conjform string")
+    assert [r["norm"] for r in lexicon.normal_forms(words, inflection).orderBy("key").collect()] == ["見て", "犬", None]
+
+
+def test_segmentation_scores(spark):
+    gold = spark.createDataFrame([("d", 0, 2), ("d", 2, 3), ("d", 3, 5)], "k string, start int, end int")
+    system = spark.createDataFrame([("d", 0, 2), ("d", 2, 5)], "k string, start int, end int")
+    row = metrics.segmentation_scores(gold, system, ["k"]).first()
+    assert (row["accuracy"], row["tp"], row["fp"], row["fn"]) == (0.8, 1, 1, 2)

@@ -72,8 +72,9 @@ def test_dictionaries(spark, tmp_path):
     ids = dictionary.encode_dictionary(found.withColumn("ord", F.when(F.col("surf") == "犬", 0).otherwise(1)))
     assert {r["pos_no"] for r in ids.collect()} == {0}
     put(tmp_path, k__txt="# header\n計 3757 U8a08 B149 G2 S9 ケイ はか.る -はか.らい T1 かず {plot} {plan it}\n")
-    kanji = {r["character"]: (r["readings"], r["meanings"]) for r in dictionary.read_kanji(spark, str(tmp_path / "k.txt")).collect()}
-    assert kanji["計"] == (["けい", "はか.る", "-はか.らい"], ["plot", "plan it"]) and kanji["°"][0] == ["ど"]
+    kanji = {r["character"]: r for r in dictionary.read_kanji(spark, str(tmp_path / "k.txt")).collect()}
+    assert kanji["計"]["readings"] == ["けい", "はか.る", "-はか.らい", "かず"] and kanji["計"]["meanings"] == ["plot", "plan it"] and kanji["計"]["numbers"]["strokes"] == 9
+    assert kanji["°"]["readings"] == ["ど"] and len(kanji) == 15 and {"さんびゃっ", "さんぜんおく", "さんちょう"} < set(kanji["3"]["readings"]) and "ごぜんまん" in kanji["5"]["readings"]
     lines = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, "")], "ord int, line string")
     assert rows_of(dictionary.reading_vocabulary(lines), "id") == [("[UNK]", 0), ("[ID]", 1), ("b", 2), ("a", 3)]
     assert rows_of(dictionary.insertion_vocabulary(lines.where("ord < 2"), 10), "id") == [("b", 10), ("a", 11)]
@@ -88,6 +89,9 @@ def test_sinks(spark, tmp_path):
     assert spark.createDataFrame([([0, 2, 3, 1],)], "i array<int>").select(sinks.generated_text("i", F.lit(["<pad>", "</s>", "▁a", "b c"]), [0, 1])).first()[0] == "abc"
     sinks.write_text(df, str(tmp_path / "out"), ["ord"])
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a", "b"]
+    assert text.existing([str(tmp_path), "/nowhere"], ".none") == []
+    lines = text.normalized_lines(spark.createDataFrame([("f", "１\n２")], "path string, text string")).first()["text"]
+    assert lines == "1\n2"
     sinks.write_splits(df.withColumn("split", F.lit("train")), str(tmp_path / "s"))
     assert (tmp_path / "s" / "split=train").is_dir() and sinks.rendered("") == "EOD\n"
 

@@ -35,3 +35,20 @@ def test_running_numbers(spark, tmp_path):
     finally:
         query.stop()
     assert found == {"x-1": "a", "x-2": "b", "x-3": "d", "y-1": "c"}
+
+
+def test_merged_sentences(spark, tmp_path):
+    interactive.use_rocksdb(spark)
+    folder = tmp_path / "in"
+    schema = "doc_id string, ord long, sid string, analysis string, last boolean"
+    spark.createDataFrame([("x", 0, "s0", "a", False), ("x", 1, "s1", "b", False), ("y", 0, "t0", "c", True)], schema).write.parquet(str(folder / "0"))
+    read = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(folder))
+    query = interactive.merged_sentences(read).writeStream.format("memory").queryName("merged").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        query.processAllAvailable()
+        spark.createDataFrame([("x", 2, "s1", "late", False), ("x", 3, "s2", "d", True)], schema).write.parquet(str(folder / "1"))
+        query.processAllAvailable()
+        found = sorted((r["doc_id"], r["sid"], r["analysis"]) for r in spark.sql("SELECT * FROM merged").collect())
+    finally:
+        query.stop()
+    assert found == [("x", "s0", "a"), ("x", "s1", "b"), ("x", "s2", "d"), ("y", "t0", "c")]

@@ -126,6 +126,18 @@ def denormalize_randomly(surf: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series([norm.denormalize_randomly(s, random.Random(f"{k}:{s}")) if s else s for s, k in zip(surf, seed, strict=True)])
 
 
+def denormalize_sentence(words: Column | str, seed: Column | str, p: float = 0.5) -> Column:
+    """Written forms of a sentence (array of structs surf, norm), of which some that are normal become variants, seeded by a key."""
+
+    @arrow("array<string>")
+    def vary(own: pd.Series, key: pd.Series) -> pd.Series:
+        import random
+
+        return pd.Series([norm.denormalize_sentence([(w["surf"], w["norm"] or "") for w in ws], random.Random(f"{k}"), p) if ws is not None else None for ws, k in zip(own, key, strict=True)])
+
+    return vary(words, seed)
+
+
 @arrow("array<struct<pre:string,post:string>>")
 def char_diffs(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([[{"pre": a, "post": b} for a, b in edits.char_diffs(x, y)] if x is not None and y is not None else None for x, y in zip(before, after, strict=True)])

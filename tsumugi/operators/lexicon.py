@@ -53,6 +53,18 @@ def recover_lemmas(words: DataFrame, entries: DataFrame, inflection: DataFrame,
     return own.withColumn("lemmas", F.coalesce(F.col("_listed"), F.array(F.coalesce("_base", "norm")))).drop("_listed", "_base")
 
 
+def normal_forms(words: DataFrame, inflection: DataFrame) -> DataFrame:
+    """norm of words (key, surf, lemma, conjtype, conjform): the lemma, or for what inflects the lemma in the word's form.
+
+    The base ending of the form's row in inflection is exchanged for its ending; without a row norm is null.
+    """
+    endings = inflection.select(F.col("conjtype").alias("_t"), F.col("conjform").alias("_f"), "ending", "base_ending")
+    fits = (F.col("conjtype") == F.col("_t")) & (F.col("conjform") == F.col("_f")) & F.endswith(F.col("lemma"), F.col("base_ending"))
+    stem = F.substring(F.col("lemma"), F.lit(1), F.length("lemma") - F.length("base_ending"))
+    made = words.where("conjtype != '*'").join(endings, fits).groupBy("key").agg(F.max_by(F.concat(stem, F.col("ending")), F.struct(F.length("base_ending"), "ending")).alias("_norm"))
+    return words.join(made, "key", "left").withColumn("norm", F.when(F.col("conjtype") == "*", F.col("lemma")).otherwise(F.col("_norm"))).drop("_norm")
+
+
 def homographs(lemmas: Column | str, meanings: Column | str) -> Column:
     """The other readings of a word: every further lemma with every further meaning; with only one of either, that stays."""
     lemmas, meanings = (F.col(c) if isinstance(c, str) else c for c in (lemmas, meanings))

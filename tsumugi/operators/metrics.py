@@ -60,6 +60,17 @@ def accuracy(rows: DataFrame, gold: str, system: str, by: list[str] | None = Non
     return rows.where(known).groupBy(*(by or [])).agg(F.avg(F.col(gold).eqNullSafe(F.col(system)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def segmentation_scores(gold: DataFrame, system: DataFrame, keys: list[str]) -> DataFrame:
+    """Accuracy of B and I over characters, and F1 of segments as spans, of two segmentations (keys, start, end) of the same texts.
+
+    A character is a B where a segment starts; characters beyond either segmentation don't count.
+    """
+    begins = lambda df, name: df.select(*keys, F.explode(F.sequence("start", F.col("end") - 1)).alias("at"), "start").select(*keys, "at", (F.col("at") == F.col("start")).alias(name))
+    chars = begins(gold, "g").join(begins(system, "s"), [*keys, "at"]).agg(F.avg((F.col("g") == F.col("s")).cast("double")).alias("accuracy"))
+    spans = with_scores(span_counts(gold, system, [*keys, "start", "end"]))
+    return chars.crossJoin(spans)
+
+
 def norm_scores(rows: DataFrame, gold: str = "gold", system: str = "system") -> DataFrame:
     """Word normalization: per operation, "change" (all but K) and accuracy, in long form (key, value).
 
@@ -167,10 +178,10 @@ def morphology(system: pd.Series, gold: pd.Series) -> pd.DataFrame:
 
 
 def morphology_scores(sentences: DataFrame) -> DataFrame:
-    """key, precision, recall and f1 over sentences (system, gold), and the share of equal texts under "text"."""
+    """key, tp, fp, fn, precision, recall and f1 over sentences (system, gold), and in same_text the share of equal texts."""
     c = sentences.select(morphology("system", "gold").alias("c"), (F.array_join(F.transform("system", lambda x: x["surf"]), "") == F.array_join(F.transform("gold", lambda x: x["surf"]), "")).alias("same"))
     wide = c.agg(*[F.struct(*[F.sum(f"c.{k}.{x}").alias(x) for x in ("tp", "fp", "fn")]).alias(k) for k in KEYS], F.avg(F.col("same").cast("double")).alias("same"))
-    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), *[F.col(f"{k}.{x}").alias(x) for x in ("tp", "fp", "fn")]) for k in KEYS])))
+    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), *[F.col(f"{k}.{x}").alias(x) for x in ("tp", "fp", "fn")], F.col("same").alias("same_text")) for k in KEYS])))
     return with_scores(rows)
 
 

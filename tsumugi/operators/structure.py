@@ -16,6 +16,36 @@ from tsumugi.kernels.trees import build_tree, has_cycle, phrase_heads
 WORD = ["doc_id", "sent_idx"]
 
 
+def word_table(sentences: DataFrame) -> DataFrame:
+    """One row a morpheme of parsed sentences: doc_id, sent_idx, sid, morph_idx and its columns (features as they were read)."""
+    return sentences.select("doc_id", "sent_idx", "sid", F.posexplode("morphemes").alias("morph_idx", "m")).select("doc_id", "sent_idx", "sid", "morph_idx", "m.*")
+
+
+def base_phrase_table(sentences: DataFrame) -> DataFrame:
+    """One row a base phrase of parsed sentences, with its place in the document and its first and last word."""
+    each = sentences.select("doc_id", "sent_idx", "sid", F.posexplode("base_phrases").alias("bp_idx", "b")).select("doc_id", "sent_idx", "sid", "bp_idx", "b.*")
+    within = Window.partitionBy(*WORD).orderBy("bp_idx")
+    upto = F.sum("n_morphemes").over(within)
+    document = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_idx", "bp_idx")) - 1
+    return each.withColumns({"last_morph": (upto - 1).cast("int"), "first_morph": (upto - F.col("n_morphemes")).cast("int"), "global_idx": document})
+
+
+def gold_entities(base_phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """category, start and end of the NE features of base phrases: words up to the base phrase's last that spell the entity.
+
+    The shortest run of words that ends there and has the entity's text; features that no run spells give nothing.
+    """
+    ne = F.element_at(F.filter("features", lambda f: f["key"] == "NE"), 1)["value"]
+    own = base_phrases.where(F.exists("features", lambda f: f["key"] == "NE")).select(*WORD, F.col("last_morph").alias("_last"), F.substring_index(ne, ":", 1).alias("category"), ne.alias("_ne"))
+    text = F.substring(F.col("_ne"), F.locate(":", F.col("_ne")) + 1, F.length("_ne"))
+    w = words.select(*WORD, "morph_idx", "surf")
+    runs = own.join(w, WORD).where("morph_idx <= _last")
+    tail = Window.partitionBy(*WORD, "_last").orderBy(F.desc("morph_idx"))
+    spelt = F.array_join(F.reverse(F.collect_list("surf").over(tail)), "")
+    found = runs.withColumn("_spelt", spelt).where(F.col("_spelt") == text)
+    return found.groupBy(*WORD, "category", "_last").agg(F.max("morph_idx").alias("start")).select(*WORD, "category", "start", (F.col("_last") + 1).alias("end"))
+
+
 def chunk(words: DataFrame, scores: str = "word_features") -> DataFrame:
     """bp_idx and phrase_idx of words (doc_id, sent_idx, morph_idx, scores) and their flags.
 

@@ -42,37 +42,66 @@ def encode_dictionary(entries: DataFrame) -> DataFrame:
     return out.select(*entries.columns, *[f"{n}_no" for n in ("pos", "subpos", "conjtype", "conjform")])
 
 
-#: Readings of signs (fixed values); those of digits are built below.
-SIGNS = {"°": ("ど",), "&": ("あんど",), ".": ("てん",), ":": ("じ",)}
-
-
-def parse_kanji_line(line: str) -> tuple[str, list[str], list[str]] | None:
-    """Character, readings in hiragana and meanings of a line: fields begin with a letter, kana or a brace."""
+#: Readings of signs, of 0 and of 1 (fixed values).
+SIGNS = {
+    "°": "ど", "&": "あんど", ".": "てん", ":": "じ", "0": "れい ぜろ まる",
+    "1": "いち いっ ひと ひとつ わん ふぁーすと じゅう じゅっ ひゃく ひゃっ いっぴゃく せん いっせん まん いちまん じゅうまん ひゃくまん せんまん いっせんまん おく おっ いちおく じゅうおく じゅくおっ ひゃくおく ひゃくおっ せんおく せんおっ いっせんおく いっせんおっ ちょう いっちょう",
+}
+#: For the other digits: their own readings, then how they begin compounds, their hundred, and their thousand alone and before 10^4 (fixed values).
+DIGITS = {
+    "2": ("に じ ふた ふたつ つー とぅー せかんど", "に", "にひゃく", "にせん", "にせん"),
+    "3": ("さん み みっつ みっ すりー さーど", "さん", "さんびゃく", "さんぜん", "さんぜん"),
+    "4": ("し よ よっつ よっ よん ふぉー ふぉーす", "よん", "よんひゃく", "よんせん", "よんせん"),
+    "5": ("ご いつ ふぁいぶ ふぃふす", "ご", "ごひゃく", "ごせん", "ごぜん"),
+    "6": ("ろく ろっ む むっ むっつ しっくす", "ろく", "ろっぴゃく", "ろくせん", "ろくせん"),
+    "7": ("しち なな ななつ なの せぶん", "なな", "ななひゃく", "ななせん", "ななせん"),
+    "8": ("はち はっ や やっつ えいと", "はち", "はっぴゃく", "はっせん", "はっせん"),
+    "9": ("きゅう く ここの ここのつ ないん", "きゅう", "きゅうひゃく", "きゅうせん", "きゅうせん"),
+}
+
+
+def built_in_readings() -> dict[str, list[str]]:
+    """Readings of the signs and digits: a digit's compounds are its tens, hundreds, thousands, and those with 10^4 and 10^8."""
+    out = {c: r.split() for c, r in SIGNS.items()}
+    short = lambda r: r[:-1] + "っ"
+    for c, (own, lead, hundred, thousand, before) in DIGITS.items():
+        small = [lead + "じゅう", lead + "じゅっ", hundred, short(hundred), thousand]
+        man = [x + "まん" for x in (lead, lead + "じゅう", hundred, before)]
+        oku = [x + y for x in (lead, lead + "じゅう", hundred, before) for y in ("おく", "おっ")]
+        out[c] = [*own.split(), *small, *man, *oku, lead + "ちょう"]
+    return out
+
+
+KANJI = "struct<character:string,readings:array<string>,meanings:array<string>,pinyin:array<string>,korean:array<string>,numbers:map<string,int>>"
+#: One-letter marks of numeric fields (fixed values).
+NUMBERS = {"B": "radical", "C": "classical_radical", "S": "strokes", "G": "grade", "F": "frequency"}
+
+
+def parse_kanji_line(line: str) -> dict | None:
+    """A line's character, readings in hiragana (a hyphen at the end dropped), meanings in braces, and other fields."""
     if not line.strip() or line.startswith("#"):
         return None
-    char, _, rest = line.partition(" ")
-    meanings = re.findall(r"\{([^}]*)\}", rest)
-    fields = re.sub(r"\{[^}]*\}", "", rest).split()
-    readings = []
-    for f in fields:
-        if f in ("T1", "T2"):
-            break  # what follows are readings in names
-        kana = f.strip("-")
-        if kana and all(c in ".-" or unicodedata.name(c, "").startswith(("HIRAGANA", "KATAKANA")) for c in kana):
-            readings.append(f.removesuffix("-").translate(TO_HIRAGANA))
-    return char, readings, meanings
+    character, _, rest = line.rstrip().partition(" ")
+    out: dict = {"character": character, "readings": [], "meanings": re.findall(r"\{([^}]*)\}", rest), "pinyin": [], "korean": [], "numbers": {}}
+    for f in re.sub(r"\{[^}]*\}", "", rest).split()[1:]:  # the first is a code point
+        if f[0] in NUMBERS and f[1:].isdigit():
+            out["numbers"].setdefault(NUMBERS[f[0]], int(f[1:]))
+        elif f[0] in "YW":
+            out["pinyin" if f[0] == "Y" else "korean"].append(f[1:])
+        elif unicodedata.name(f[0], "").startswith(("HIRAGANA", "KATAKANA")) or f[0] == "-" and len(f) > 1:
+            out["readings"].append(f.translate(TO_HIRAGANA).removesuffix("-"))
+    return out
 
 
 def read_kanji(spark: SparkSession, path: str) -> DataFrame:
-    """character, readings and meanings of a kanji dictionary's lines, the built-in signs included."""
+    """character, readings, meanings and other fields of a kanji dictionary's lines, and the built-in signs and digits."""
 
-    @arrow("struct<character:string,readings:array<string>,meanings:array<string>>")
-    def parsed(line: pd.Series) -> pd.DataFrame:
-        rows = [parse_kanji_line(x) or (None, None, None) for x in line]
-        return pd.DataFrame(rows, columns=["character", "readings", "meanings"])
+    @arrow(f"array<{KANJI}>")
+    def parsed(line: pd.Series) -> pd.Series:
+        return line.map(lambda x: [k] if (k := parse_kanji_line(x)) else [])
 
-    own = spark.read.text(path).select(parsed("value").alias("k")).select("k.*").where("character is not null")
-    signs = spark.createDataFrame([(c, list(r), []) for c, r in SIGNS.items()], own.schema)
+    own = spark.read.text(path).select(F.inline(parsed("value")))
+    signs = spark.createDataFrame([(c, r, [], [], [], {}) for c, r in built_in_readings().items()], own.schema)
     return own.unionByName(signs.join(own.select("character"), "character", "left_anti"))
 
 

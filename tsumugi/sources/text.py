@@ -6,12 +6,14 @@ work at most and files are read in parallel.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsumugi.functions.arrow import arrow
-from tsumugi.functions.text import doc_id_of, without_doc_id
+from tsumugi.functions.text import doc_id_of, normalize_text, without_doc_id
 from tsumugi.kernels import formats
 from tsumugi.schema import SENTENCE
 
@@ -24,6 +26,21 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     return reader.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def existing(paths: list[str], suffix: str) -> list[str]:
+    """Files of the suffix among paths and below those that are folders, sorted; paths that don't exist are left out. For local paths."""
+    out: set[str] = set()
+    for p in map(Path, paths):
+        out |= {str(p)} if p.is_file() and p.name.endswith(suffix) else {str(f) for f in p.rglob(f"*{suffix}")} if p.is_dir() else set()
+    return sorted(out)
+
+
+def normalized_lines(files: DataFrame) -> DataFrame:
+    """Texts whose lines are normalized one by one, so that the line ends stay."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", normalize_text("line"))
+    rows = F.array_sort(F.collect_list(F.struct("n", "line")))
+    return lines.groupBy("path").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
+
+
 def raw_chunks(text: Column | str) -> Column:
     """Documents of a raw text: each line EOD ends one, even an empty one; what follows the last counts if it isn't blank."""
     text = F.col(text) if isinstance(text, str) else text

@@ -58,6 +58,30 @@ class SentenceCounter(StatefulProcessor):
         pass
 
 
+MERGED = StructType([StructField("doc_id", StringType()), StructField("ord", LongType()), StructField("sid", StringType()), StructField("analysis", StringType())])
+
+
+class SentenceMerger(StatefulProcessor):
+    """Keeps the first analysis of each of a document's sentences; gives them in order, and forgets them, when its end has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getMapState("sentences", StructType([StructField("sid", StringType())]), StructType([StructField("ord", LongType()), StructField("analysis", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("ord")
+        for row in frame.itertuples():
+            if not self.state.containsKey((row.sid,)):
+                self.state.updateValue((row.sid,), (int(row.ord), row.analysis))
+        out = []
+        if bool(frame["last"].any()):
+            out = sorted((v[0], k[0], v[1]) for k, v in self.state.iterator())
+            self.state.clear()
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=MERGED.names)
+
+    def close(self) -> None:
+        pass
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that these processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -73,6 +97,11 @@ def numbered_sentences(sentences: DataFrame) -> DataFrame:
     return sentences.groupBy("doc_id").transformWithStateInPandas(SentenceCounter(), NUMBERED, "Append", "None")
 
 
+def merged_sentences(analysed: DataFrame) -> DataFrame:
+    """A stream of analysed sentences of windows (doc_id, ord, sid, analysis, last) as each document's sentences, once each."""
+    return analysed.groupBy("doc_id").transformWithStateInPandas(SentenceMerger(), MERGED, "Append", "None")
+
+
 def file_lines(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
     """Lines of files as they arrive in a folder: the file's folder-wide stream is one source, in order of arrival."""
     read = spark.readStream.option("maxFilesPerTrigger", per_batch).text(path, wholetext=True)
