@@ -43,9 +43,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def words_of(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9; all else separates."""
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
+
+
 def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring words; words are lower-cased runs of a-z and 0-9, all else separates."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """The distinct pairs of neighbouring words."""
+    words = words_of(text)
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
@@ -67,10 +72,12 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     index = F.broadcast(template_index(docs.sparkSession, templates))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "passage"))
     whole = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("passage"))
-    passages = lines.unionByName(whole)
-    cut_up = passages.select("doc_id", "line", F.xxhash64("passage").alias("hash"), bigrams(F.col("passage")).alias("own"))
     longest = max((len(re.findall("[a-z0-9]+", t.lower())) - 1 for _, t in templates), default=0)  # no template has more bigrams
-    sized = cut_up.where(F.size("own").between(1, int(longest * (2 - threshold) / threshold) + 1)).select("doc_id", "line", "hash", F.size("own").alias("n"), F.explode("own").alias("bigram"))
+    most = int(longest * (2 - threshold) / threshold) + 1
+    # d different words make d - 1 different bigrams at least: a document of more is too large for every template
+    passages = lines.unionByName(whole.where(F.size(F.array_distinct(words_of(F.col("passage")))) <= most + 1))
+    cut_up = passages.select("doc_id", "line", F.xxhash64("passage").alias("hash"), bigrams(F.col("passage")).alias("own"))
+    sized = cut_up.where(F.size("own").between(1, most)).select("doc_id", "line", "hash", F.size("own").alias("n"), F.explode("own").alias("bigram"))
     near = (F.col("n") >= F.col("size") * (threshold / (2 - threshold)) - 1e-9) & (F.col("n") <= F.col("size") * ((2 - threshold) / threshold) + 1e-9)
     hits = sized.join(index, "bigram").where(near)
     shared = hits.groupBy("doc_id", "line", "hash", "template").agg(F.size(F.collect_set("bigram")).alias("c"), F.first("n").alias("n"), F.first("size").alias("size"), F.first("license").alias("license"))

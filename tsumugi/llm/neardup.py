@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, method: Method, text: str = "text") -> DataFram
     classes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "text_hash").alias("keys")))
     keyed = classes.where("node is not null").select(F.explode("keys").alias("key"), "node", "print")
     exact = isinstance(method, Blocked) and method.radius == 2
-    found = links_in_buckets(keyed.repartition(n, "key").sortWithinPartitions("key"), method.lanes, method.radius, exact)
+    found = links_in_buckets(keyed.repartition(n, "key").sortWithinPartitions("key", "node"), method.lanes, method.radius, exact)
     if exact:
         found = cut(found)
         links = found.where("b is not null").select("a", "b").unionByName(near_by_neighbours(found.where("b is null")))
