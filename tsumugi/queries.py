@@ -552,3 +552,121 @@ def length_bucketed(spark, sf_dir):
 @query("SELECT split, n FROM (SELECT floor(count(*) * 0.9) AS a, floor(count(*) * 0.05) AS b, count(*) AS c FROM customer) t, LATERAL (SELECT unnest(['train', 'valid', 'test']) AS split, unnest([CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(c - a - b AS BIGINT)]) AS n)")
 def seeded_split(spark, sf_dir):
     return corpus.seeded_split(table(spark, sf_dir, "customer"), "c_custkey").groupBy("split").agg(F.count("*").alias("n"))
+
+
+# --- more of the same: tags, linear forms, fall-backs, streams
+
+
+@query("WITH w AS (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM benchmark), e AS (SELECT item_id, i, ws[i] AS surf FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)), c AS (SELECT item_id, i, k, surf[k] AS c FROM (SELECT item_id, i, surf, unnest(range(1, length(surf) + 1)) AS k FROM e)) SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i, k) - 1 AS INT) AS \"offset\", c AS char, CASE WHEN i = 1 AND k = 1 THEN 'B' ELSE 'I' END AS sent_tag, CASE WHEN k = 1 THEN 'B' ELSE 'I' END AS word_tag FROM c")
+def gold_char_tags(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("morph_idx", "surf")).where("surf != ''")
+    rows = words.select(F.col("item_id").alias("doc_id"), F.lit(0).alias("sent_idx"), "morph_idx", "surf", F.transform(F.split("surf", ""), lambda c: F.lit("K")).alias("ops"))
+    return segment.gold_char_tags(rows).select(F.col("doc_id").alias("item_id"), "offset", "char", "sent_tag", "word_tag")
+
+
+@query("SELECT vec_id, list_concat([-100], list_transform(embedding[1:5], lambda x: CASE WHEN x > 0.1 THEN 1 WHEN x < -0.1 THEN 0 ELSE -100 END), [-100, -100]) AS labels FROM embeddings")
+def encoded_labels(spark, sf_dir):
+    tags = F.transform(F.slice("embedding", 1, 5), lambda x: F.when(x > 0.1, "I").when(x < -0.1, "B"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", structure.encoded(tags, 8, F.lit(["B", "I"])).alias("labels"))
+
+
+def lines_of_parts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array(F.struct(F.col("p_name").alias("surf"), F.col("p_type").alias("reading"), F.col("p_brand").alias("lemma"), F.when(F.col("p_size") > 25, F.concat_ws("/", "p_brand", "p_type")).alias("canon"))).alias("m"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '<extra_id_6>') AS source, '<extra_id_0>' || p_name || '<extra_id_1>' || p_type || '<extra_id_2>' || p_brand || '<extra_id_3>' || CASE WHEN p_size > 25 THEN p_brand || '/' || p_type ELSE '<extra_id_4>' END AS target FROM part")
+def linear_form(spark, sf_dir):
+    source, target = structure.linearize("m")
+    return lines_of_parts(spark, sf_dir).select("p_partkey", source.alias("source"), target.alias("target"))
+
+
+@query("SELECT p_partkey, p_name AS surf, p_type AS reading, p_brand AS lemma, CASE WHEN p_size > 25 THEN p_brand || '/' || p_type END AS canon FROM part")
+def parsed_linear_form(spark, sf_dir):
+    _, target = structure.linearize("m")
+    return lines_of_parts(spark, sf_dir).select("p_partkey", F.inline(structure.parse_linear(target)))
+
+
+@query(f"WITH {UNITS}, w AS (SELECT k, i, q, s, f, i // 2 AS bp FROM u) SELECT k, CAST(bp AS INT) AS bp_idx, arg_max(s || ':' || f, i) AS \"NE\" FROM w WHERE q % 5 = 0 GROUP BY k, bp")
+def entity_features(spark, sf_dir):
+    own = units(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), "i", "q", "s", "f")
+    words = own.select("doc_id", "sent_idx", F.col("i").alias("morph_idx"), F.col("f").alias("surf"), F.expr("i div 2").cast("int").alias("bp_idx"))
+    entities = own.where("q % 5 = 0").select("doc_id", "sent_idx", F.col("s").alias("category"), F.col("i").alias("start"), (F.col("i") + 1).alias("end"))
+    return structure.entity_features(entities, words).select(F.col("doc_id").alias("k"), "bp_idx", "NE")
+
+
+FEATURES = ("用言:動", "用言:判", "体言", "節-区切:補文")
+
+
+@query(f"WITH {UNITS}, e AS (SELECT k, i, f, q % 2 AS a, d % 2 AS b, max(i) OVER (PARTITION BY k) AS last FROM u) SELECT k, i, CASE WHEN b = 1 THEN '判' WHEN a = 1 THEN '動' END AS verb, a = 1 AND b = 1 AS noun, CASE WHEN f = 'A' THEN '補文' WHEN i = last THEN '-' END AS boundary FROM e")
+def base_phrase_features(spark, sf_dir):
+    high = lambda c: F.when(c, 0.75).otherwise(0.25)
+    a, b = F.col("q") % 2 == 1, F.col("d") % 2 == 1
+    at = dict(zip(FEATURES, (a, b, a & b, F.col("f") == "A"), strict=True))
+    scores = F.array(*[high(at[n]) if n in at else F.lit(0.0) for n in vocab.BASE_PHRASE_FEATURES])
+    rows = units(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), F.col("i").alias("bp_idx"), F.col("i").alias("phrase_idx"), scores.alias("bp_features"))
+    f = lambda key: F.try_element_at("features", F.lit(key))
+    found = structure.base_phrase_features(rows)
+    boundary = F.when(F.array_contains(F.map_keys("features"), "節-区切"), F.coalesce(f("節-区切"), F.lit("-")))
+    return found.select(F.col("doc_id").alias("k"), F.col("bp_idx").alias("i"), f("用言").alias("verb"), F.array_contains(F.map_keys("features"), "体言").alias("noun"), boundary.alias("boundary"))
+
+
+@query(f"WITH {UNITS} SELECT k, i, CASE WHEN f = 'A' THEN '子音動詞ラ行' ELSE '母音動詞' END AS conjtype, CASE WHEN f = 'A' THEN '基本形' ELSE '未然形' END AS conjform, CASE WHEN s = 'F' THEN '副詞' ELSE '名詞' END AS pos FROM u")
+def fall_back(spark, sf_dir):
+    old = F.col("f") == "A"
+    odd = F.col("s") == "F"
+    rows = units(spark, sf_dir).select("k", "i", F.when(odd, "未定義語").otherwise("名詞").alias("pos"), F.when(odd, "未対応表現").otherwise("人名").alias("subpos"), F.when(old, "文語").otherwise("母音動詞").alias("conjtype"), F.when(old, "連体形たる").otherwise("未然形").alias("conjform"))
+    return structure.fall_back(rows).select("k", "i", "conjtype", "conjform", "pos")
+
+
+@query("SELECT round(avg(value), 6) AS loss FROM (SELECT arg_min(value, event_id) AS value FROM events GROUP BY user_id)")
+def mean_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("example_id"), F.col("event_id").alias("arrival"), F.col("value").alias("loss"))
+    return metrics.mean_loss(rows).select(F.round("loss", 6).alias("loss"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || '/' || p_type ELSE p_name || '/' || p_brand END AS canon FROM part")
+def synthesized_canon(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 2 == 0, "*").otherwise("母音動詞")
+    return table(spark, sf_dir, "part").select("p_partkey", text.synthesize_canon("p_name", "p_type", F.lit("動詞"), kind, "p_brand").alias("canon"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT'")
+def without_bracket_sentences(spark, sf_dir):
+    comment = F.when(F.col("o_orderpriority") == "1-URGENT", "x 括弧位置=3").when(F.col("o_orderpriority") == "5-LOW", "y")
+    return segment.without_bracket_sentences(table(spark, sf_dir, "orders").select("o_orderkey", comment.alias("comment"))).select("o_orderkey")
+
+
+WRITTEN = (("買ぅ", "KS", "買う"), ("ね〜〜", "KED", "ねえ"), ("ガニ", "VK", "カニ"), ("そーー", "KPD", "そう"), ("きれー", "KKP", "きれい"))
+
+
+@query(f"WITH {UNITS} SELECT k, i, CASE q % 5 " + " ".join(f"WHEN {n} THEN '{w[2]}'" for n, w in enumerate(WRITTEN)) + " END AS norm FROM u")
+def normalized_words(spark, sf_dir):
+    pick = lambda at: F.element_at(F.lit([w[at] for w in WRITTEN]), F.col("q") % 5 + 1)
+    return units(spark, sf_dir).select("k", "i", edits.apply_norm_ops(pick(0), F.split(pick(1), "")).alias("norm"))
+
+
+VARIED = (("なあ", "なぁ"), ("関ケ原", "関ヶ原"), ("びみょうだ", "びみょーだ"), ("もどかしいな", "もどかしーな"), ("犬", "犬"))
+
+
+@query(f"WITH {UNITS} SELECT k, i, CASE q % 5 " + " ".join(f"WHEN {n} THEN '{w[1]}'" for n, w in enumerate(VARIED)) + " END AS variant FROM u")
+def spelling_variants(spark, sf_dir):
+    return units(spark, sf_dir).select("k", "i", edits.denormalize(F.element_at(F.lit([w[0] for w in VARIED]), F.col("q") % 5 + 1)).alias("variant"))
+
+
+@query("SELECT 'c' || conv_id AS doc_id, 'c' || conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sid, text FROM conversations")
+def turn_stream(spark, sf_dir):
+    """A stream: the conversations' turns as they arrive, numbered by state that outlives a batch; read back from its sink."""
+    from tsumugi.sources.shared import shared_folder
+    from tsumugi.streaming import interactive
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    interactive.use_rocksdb(spark)
+    out = shared_folder(spark)
+    source = table(spark, sf_dir, "conversations")
+    source.write.parquet(f"{out}/in")
+    turns = spark.readStream.schema(source.schema).parquet(f"{out}/in")
+    rows = turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("sent_ord"), "text", F.lit(False).alias("last"))
+    stream = interactive.numbered_sentences(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{out}/rows").select("doc_id", "sid", "text")
