@@ -84,6 +84,19 @@ def test_stages(spark, inputs):
     assert {r["doc_id"]: r["mix_order"] for r in corpus_pipeline.run(spark, path).collect()} == {r["doc_id"]: r["mix_order"] for r in mixed}
 
 
+def test_other_columns_pass_through(spark, inputs):
+    path, _, _ = inputs
+    names = ("score", "n_words", "n_removed", "text_hash", "hash", "row", "others", "spans", "component_id", "slot", "_text")
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(60)
+    for name in names:
+        docs = docs.withColumn(name, docs["doc_id"].cast("string"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, stored(stage(spark, docs, path))
+        if k < 4:
+            assert docs.columns == before.columns and docs.where("not (score <=> cast(doc_id as string) and n_words <=> cast(doc_id as string))").count() == 0
+    assert docs.count() > 20 and {"slot", "mix_order"} <= set(docs.columns)
+
+
 def test_empty_documents(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     path = folder(spark, tmp_path, documents=none, labels=spark.read.parquet(f"{SF}/labels.parquet"), benchmark=spark.read.parquet(f"{SF}/benchmark.parquet"))

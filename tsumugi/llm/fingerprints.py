@@ -22,6 +22,8 @@ from tsumugi.llm.common import GOLDEN, mix, shuffle_partitions, word_hashes
 
 #: 64-bit lanes of a fingerprint.
 LANES = 2
+#: Ranges of ids, at most: their cuts come to the driver. A range of any size streams past in its order.
+MOST_RANGES = 10_000
 #: Terms that vote in one matrix.
 STEP = 1 << 15
 
@@ -117,8 +119,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = 4 * n
-    found = one.agg(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts)], 100 * parts)).first()[0]
+    parts = min(4 * n, MOST_RANGES)
+    found = one.agg(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts)], 20 * parts)).first()[0]
     cuts = np.unique(np.array([x for x in found or [] if x is not None], dtype=np.int64))
 
     @F.pandas_udf("int")

@@ -153,3 +153,17 @@ def score_documents(docs: DataFrame, machine: Machine, keys: list[str], text: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=names)
 
     return one.mapInArrow(kernel, schema)
+
+
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least the threshold; in one pass without a shuffle."""
+    at = docs.columns.index(text)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good: list[bool] = []
+            for start in range(0, batch.num_rows, 128):
+                good.extend((machine.scores(batch.column(at).slice(start, 128).to_pylist()) >= threshold).tolist())
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(kernel, docs.schema)
