@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tsumugi.functions.arrow import arrow
+from tsumugi.functions.binding import let
 from tsumugi import vocab
 from tsumugi.kernels.crf import Chain
 
@@ -24,17 +25,23 @@ def argmax(scores: Column | str) -> Column:
     return F.nullif(F.array_position(scores, F.array_max(scores)), F.lit(0)).cast("int") - 1
 
 
+def _exps(scores: Column, then) -> Column:
+    """then(exponentials of the scores less the largest), each worked out once."""
+    exps = let(lambda x, top: F.transform(x, lambda v: F.exp(v.cast("double") - top)), scores, F.array_max(scores).cast("double"))
+    return let(then, exps)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(scores: Column | str) -> Column:
-    scores = _col(scores)
-    exps = F.transform(scores, lambda x: F.exp(x.cast("double") - F.array_max(scores).cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(exps, lambda x: x / total)
+    return _exps(_col(scores), lambda e: let(lambda own, total: F.transform(own, lambda x: x / total), e, _total(e)))
 
 
 def best_probability(scores: Column | str) -> Column:
     """The softmax of the largest score."""
-    scores = _col(scores)
-    return 1.0 / F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - F.array_max(scores).cast("double")))
+    return 1.0 / _exps(_col(scores), _total)
 
 
 def threshold_choice(scores: Column | str, threshold: float, default: int = 0) -> Column:
@@ -66,17 +73,32 @@ def morpheme_attributes(pos: Column | str, subpos: Column | str, conjtype: Colum
     The sub-part is one of the part's; what doesn't inflect has type and form "*", else the form is one of the type's.
     """
     name = lambda names, at: F.element_at(F.lit(list(names)), at + 1)
-    p = name(vocab.POS, argmax(pos))
-    s = name(vocab.SUBPOS, argmax(mask_scores(subpos, F.element_at(_legal(vocab.SUBPOS, vocab.SUBPOS_OF), p))))
-    pairs = F.lit(sorted(f"{a}\t{b}" for a, b in vocab.INFLECTABLE))
-    inflects = F.array_contains(pairs, F.concat(p, F.lit("\t"), s))
-    t = F.when(inflects, name(vocab.CONJTYPES, argmax(conjtype))).otherwise(F.lit("*"))
-    f = F.when(inflects, name(vocab.CONJFORMS, argmax(mask_scores(conjform, F.element_at(_legal(vocab.CONJFORMS, vocab.CONJFORMS_OF), t))))).otherwise(F.lit("*"))
     place = lambda names, x: F.array_position(F.lit(list(names)), x).cast("int") - 1
-    within = lambda groups, g, x: F.element_at(F.create_map(*[y for k, own in groups.items() for y in (F.lit(k), F.lit(list(own)))]), g)
-    sub_id = F.array_position(within(vocab.SUBPOS_OF, p, s), s).cast("int") - F.when(s == "*", 1).otherwise(0)
-    form_id = F.array_position(within(vocab.CONJFORMS_OF, t, f), f).cast("int") - 1
-    return F.struct(p.alias("pos"), (place(vocab.POS, p) + 1).alias("pos_id"), s.alias("subpos"), sub_id.alias("subpos_id"), t.alias("conjtype"), place(vocab.CONJTYPES, t).alias("conjtype_id"), f.alias("conjform"), form_id.alias("conjform_id"))
+    pairs = F.lit(sorted(f"{a}\t{b}" for a, b in vocab.INFLECTABLE))
+
+    def within(groups: dict, g: Column, x: Column) -> Column:
+        return F.array_position(F.element_at(F.create_map(*[y for k, own in groups.items() for y in (F.lit(k), F.lit(list(own)))]), g), x).cast("int")
+
+    def with_pos(p: Column) -> Column:
+        s = name(vocab.SUBPOS, argmax(mask_scores(subpos, F.element_at(_legal(vocab.SUBPOS, vocab.SUBPOS_OF), p))))
+        return let(with_subpos, p, s)
+
+    def with_subpos(p: Column, s: Column) -> Column:
+        inflects = F.array_contains(pairs, F.concat(p, F.lit("\t"), s))
+        return let(with_type, p, s, inflects, F.when(inflects, name(vocab.CONJTYPES, argmax(conjtype))).otherwise(F.lit("*")))
+
+    def with_type(p: Column, s: Column, inflects: Column, t: Column) -> Column:
+        form = name(vocab.CONJFORMS, argmax(mask_scores(conjform, F.element_at(_legal(vocab.CONJFORMS, vocab.CONJFORMS_OF), t))))
+        return let(with_form, p, s, t, F.when(inflects, form).otherwise(F.lit("*")))
+
+    def with_form(p: Column, s: Column, t: Column, f: Column) -> Column:
+        sub_id = within(vocab.SUBPOS_OF, p, s) - F.when(s == "*", 1).otherwise(0)
+        return F.struct(
+            p.alias("pos"), (place(vocab.POS, p) + 1).alias("pos_id"), s.alias("subpos"), sub_id.alias("subpos_id"), t.alias("conjtype"), place(vocab.CONJTYPES, t).alias("conjtype_id"),
+            f.alias("conjform"), (within(vocab.CONJFORMS_OF, t, f) - 1).alias("conjform_id"),
+        )
+
+    return let(with_pos, name(vocab.POS, argmax(pos)))
 
 
 def crf_decode(tags: tuple[str, ...], start: Sequence[float] | None = None, step: Sequence[Sequence[float]] | None = None, end: Sequence[float] | None = None):
@@ -104,8 +126,7 @@ def cross_entropy(scores: Column | str, label: Column | str) -> Column:
     """-log softmax of the label's score; null for an ignored label (null or -100)."""
     scores, label = _col(scores), _col(label)
     own = F.try_element_at(scores, label.cast("int") + 1).cast("double") - F.array_max(scores).cast("double")
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - F.array_max(scores).cast("double")))
-    return F.when(label.isNotNull() & (label != vocab.IGNORE_INDEX), F.log(total) - own)
+    return F.when(label.isNotNull() & (label != vocab.IGNORE_INDEX), F.log(_exps(scores, _total)) - own)
 
 
 def binary_cross_entropy(probabilities: Column | str, labels: Column | str) -> Column:
@@ -117,6 +138,6 @@ def binary_cross_entropy(probabilities: Column | str, labels: Column | str) -> C
 def cohesion_loss(scores: Column | str, labels: Column | str) -> Column:
     """-sum of label weight times log softmax over candidates: several antecedents may be right; null without one."""
     scores = _col(scores)
-    total = F.log(F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - F.array_max(scores).cast("double")))) + F.array_max(scores).cast("double")
-    own = F.aggregate(F.zip_with(scores, _col(labels), lambda x, y: F.when(y.cast("boolean"), total - x.cast("double")).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    total = F.log(_exps(scores, _total)) + F.array_max(scores).cast("double")
+    own = let(lambda x, y, t: _total(F.zip_with(x, y, lambda v, right: F.when(right.cast("boolean"), t - v.cast("double")).otherwise(F.lit(0.0)))), scores, _col(labels), total)
     return F.when(F.exists(_col(labels), lambda y: y.cast("boolean")), own)

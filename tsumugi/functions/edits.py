@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tsumugi.functions.arrow import arrow
+from tsumugi.functions.binding import let
 from tsumugi import vocab
 from tsumugi.kernels import edits, norm
 
@@ -33,13 +34,16 @@ def apply_edits(text: Column | str, keep_tags: Column | str, insert_tags: Column
 
     There is one keep tag a character and one insert tag more; other lengths raise an error.
     """
-    text, keep, insert = _col(text), _col(keep_tags), _col(insert_tags)
     added = lambda t: F.when(F.startswith(t, F.lit("I:")), F.substring(t, F.lit(3), F.length(t))).otherwise(F.lit(""))
     kept = lambda c, t: F.when(t.isin("K", "_"), c).when(F.startswith(t, F.lit("R:")), F.substring(t, F.lit(3), F.length(t))).otherwise(F.lit(""))
-    own = F.zip_with(characters(text), keep, kept)
-    made = F.array_join(F.zip_with(F.transform(insert, added), own, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    fits = (F.length(text) == F.size(keep)) & (F.size(keep) + 1 == F.size(insert))
-    return F.when(fits, made).otherwise(F.raise_error(F.lit("one keep tag a character and one insert tag more are needed")))
+
+    def edited(chars: Column, keep: Column, insert: Column) -> Column:
+        own = F.zip_with(chars, keep, kept)
+        made = F.array_join(F.zip_with(F.transform(insert, added), own, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        fits = (F.size(chars) == F.size(keep)) & (F.size(keep) + 1 == F.size(insert))
+        return F.when(fits, made).otherwise(F.raise_error(F.lit("one keep tag a character and one insert tag more are needed")))
+
+    return let(edited, characters(text), _col(keep_tags), _col(insert_tags))
 
 
 def tag_window(tags: Column | str, n: Column | str, extra: int = 0) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.functions.arrow import arrow
+from tsumugi.functions.binding import let
 from tsumugi import vocab
 from tsumugi.functions.decode import argmax
 from tsumugi.kernels.trees import build_tree, has_cycle, phrase_heads
@@ -93,7 +94,8 @@ def base_phrase_features(phrases: DataFrame, scores: str = "bp_features") -> Dat
     plain = F.filter(rows, lambda r: ~F.startswith(r["label"], F.lit("節-区切")))
     entry = lambda label: F.struct(F.substring_index(label, ":", 1).alias("key"), F.when(F.contains(label, F.lit(":")), F.substring(label, F.locate(":", label) + 1, F.length(label))).alias("value"))
     # later labels overwrite earlier ones of their key
-    kept = F.filter(plain, lambda r: ~F.exists(plain, lambda o: (o["i"] > r["i"]) & (F.substring_index(o["label"], ":", 1) == F.substring_index(r["label"], ":", 1))))
+    key = lambda r: F.substring_index(r["label"], ":", 1)
+    kept = let(lambda own: F.filter(own, lambda r: ~F.exists(own, lambda o: (o["i"] > r["i"]) & (key(o) == key(r)))), plain)
     by_phrase = Window.partitionBy(*WORD, "phrase_idx")
     sentence = Window.partitionBy(*WORD)
     own = phrases.withColumns(
