@@ -48,17 +48,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def bigrams(text: Column) -> Column:
+def bigrams(words: Column) -> Column:
     """The distinct pairs of neighbouring words."""
-    words = words_of(text)
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def once(c: Column) -> Column:
+    """A value that is worked out once a row: as the one element of an array that is exploded. Catalyst would otherwise put
+    its expression wherever it is used, and functions with lambdas don't share what they have in common."""
+    return F.explode(F.array(c))
 
 
 def template_index(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """template, license, size and bigram of each template's bigrams."""
     data = json.dumps([{"template": k, "license": name, "text": text} for k, (name, text) in enumerate(templates)])
     rows = spark.range(1).select(F.inline(F.from_json(F.lit(data), "array<struct<template:int,license:string,text:string>>")))
-    return rows.select("template", "license", bigrams(F.col("text")).alias("own")).select("template", "license", F.size("own").alias("size"), F.explode("own").alias("bigram"))
+    cut_up = rows.select("template", "license", once(words_of(F.col("text"))).alias("words"))
+    return cut_up.select("template", "license", bigrams(F.col("words")).alias("own")).select("template", "license", F.size("own").alias("size"), F.explode("own").alias("bigram"))
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,10 +81,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     whole = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("passage"))
     longest = max((len(re.findall("[a-z0-9]+", t.lower())) - 1 for _, t in templates), default=0)  # no template has more bigrams
     most = int(longest * (2 - threshold) / threshold) + 1
-    # d different words make d - 1 different bigrams at least: a document of more is too large for every template
-    passages = lines.unionByName(whole.where(F.size(F.array_distinct(words_of(F.col("passage")))) <= most + 1))
-    cut_up = passages.select("doc_id", "line", F.xxhash64("passage").alias("hash"), bigrams(F.col("passage")).alias("own"))
-    sized = cut_up.where(F.size("own").between(1, most)).select("doc_id", "line", "hash", F.size("own").alias("n"), F.explode("own").alias("bigram"))
+    passages = lines.unionByName(whole).select("doc_id", "line", F.xxhash64("passage").alias("hash"), once(words_of(F.col("passage"))).alias("words"))
+    # d different words make d - 1 different bigrams at least: a passage of more is too large for every template
+    fitting = passages.where((F.size("words") > 1) & (F.size(F.array_distinct("words")) <= most + 1))
+    sized = fitting.select("doc_id", "line", "hash", once(bigrams(F.col("words"))).alias("own")).select("doc_id", "line", "hash", F.size("own").alias("n"), F.explode("own").alias("bigram"))
     near = (F.col("n") >= F.col("size") * (threshold / (2 - threshold)) - 1e-9) & (F.col("n") <= F.col("size") * ((2 - threshold) / threshold) + 1e-9)
     hits = sized.join(index, "bigram").where(near)
     shared = hits.groupBy("doc_id", "line", "hash", "template").agg(F.size(F.collect_set("bigram")).alias("c"), F.first("n").alias("n"), F.first("size").alias("size"), F.first("license").alias("license"))
