@@ -22,6 +22,7 @@ from tsumugi.sources.text import from_text, read_raw
 
 log = logging.getLogger(__name__)
 TASKS = ("typo", "char", "seq2seq", "word")
+#: Names of input formats: plain text, morpheme lines, and those with phrases (fixed values).
 FORMATS = ("raw", "jumanpp", "knp")
 Predictor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 

@@ -113,9 +113,9 @@ def apply_edits(spark, sf_dir):
     return docs.select("doc_id", F.length("text").cast("long").alias("n"), edits.apply_edits("text", keep, insert).alias("corrected"))
 
 
-@query("SELECT vec_id, list_transform(embedding[1:8], lambda x: CASE WHEN abs(x) < 0.1 THEN 'K' WHEN x > 0 THEN 'R:p' ELSE 'D' END) AS tags FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.1 THEN 'K' WHEN x > 0 THEN 'R:p' ELSE 'D' END) AS tags FROM embeddings")
 def typo_tags(spark, sf_dir):
-    own = F.slice("embedding", 1, 8)
+    own = F.col("embedding")
     tokens = F.transform(own, lambda x: F.when(x > 0, "p").otherwise("<d>"))
     return table(spark, sf_dir, "embeddings").select("vec_id", edits.typo_tags(tokens, F.transform(own, lambda x: F.abs(x)), 0.1, "R").alias("tags"))
 
@@ -268,22 +268,21 @@ def entries(spark, sf_dir) -> DataFrame:
 
 
 def lexicon_words(spark, sf_dir) -> DataFrame:
-    names = table(spark, sf_dir, "part").where("p_size <= 10")
-    return names.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("norm"), F.col("p_type").alias("reading"), F.lit("名詞").alias("pos"), F.lit("普通名詞").alias("subpos"), F.lit("*").alias("conjtype"), F.concat_ws("/", "p_name", "p_type").alias("canon"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("norm"), F.col("p_type").alias("reading"), F.lit("名詞").alias("pos"), F.lit("普通名詞").alias("subpos"), F.lit("*").alias("conjtype"), F.concat_ws("/", "p_name", "p_type").alias("canon"))
 
 
-@query("SELECT w.p_partkey AS key, string_agg('代表表記:' || e.p_partkey, ' ' ORDER BY e.p_partkey) AS meanings, count(*) AS n FROM part w JOIN part e ON w.p_name = e.p_name AND w.p_type = e.p_type WHERE w.p_size <= 10 GROUP BY 1")
+@query("SELECT w.p_partkey AS key, string_agg('代表表記:' || e.p_partkey, ' ' ORDER BY e.p_partkey) AS meanings, count(*) AS n FROM part w JOIN part e ON w.p_name = e.p_name AND w.p_type = e.p_type GROUP BY 1")
 def dict_lookup(spark, sf_dir):
     return lexicon.look_up(lexicon_words(spark, sf_dir), entries(spark, sf_dir)).select("key", F.array_join("meanings", " ").alias("meanings"), F.size("meanings").cast("long").alias("n"))
 
 
-@query("SELECT w.p_partkey AS key, CAST(count(*) AS BIGINT) AS n FROM part w JOIN part e ON w.p_name = e.p_name AND w.p_type = e.p_type AND w.p_brand = e.p_brand WHERE w.p_size <= 10 GROUP BY 1")
+@query("SELECT w.p_partkey AS key, CAST(count(*) AS BIGINT) AS n FROM part w JOIN part e ON w.p_name = e.p_name AND w.p_type = e.p_type AND w.p_brand = e.p_brand GROUP BY 1")
 def canon_lookup(spark, sf_dir):
     words = lexicon_words(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_brand"), "key").withColumn("norm", F.col("p_brand"))
     return lexicon.look_up(words, entries(spark, sf_dir), by="canon").select("key", F.size("meanings").cast("long").alias("n"))
 
 
-@query("WITH m AS (SELECT w.p_partkey AS key, count(*) AS n FROM part w JOIN part e ON w.p_name = e.p_name AND w.p_type = e.p_type WHERE w.p_size <= 10 GROUP BY 1) SELECT key, CASE WHEN n > 1 THEN n - 1 ELSE 0 END AS n_homographs FROM m")
+@query("WITH m AS (SELECT w.p_partkey AS key, count(*) AS n FROM part w JOIN part e ON w.p_name = e.p_name AND w.p_type = e.p_type GROUP BY 1) SELECT key, CASE WHEN n > 1 THEN n - 1 ELSE 0 END AS n_homographs FROM m")
 def homographs(spark, sf_dir):
     found = lexicon.look_up(lexicon_words(spark, sf_dir), entries(spark, sf_dir))
     return found.select("key", F.size(lexicon.homographs(F.array("norm"), "meanings")).cast("long").alias("n_homographs"))
@@ -309,10 +308,10 @@ def outer_entities(spark, sf_dir):
     return structure.outer_entities(units(spark, sf_dir).select(F.col("k").alias("sid"), F.col("i").alias("start"), (F.col("i") + 1 + F.col("q") % 3).alias("end")))
 
 
-@query("SELECT doc_id, text, 'train' AS split FROM (SELECT CAST(d.doc_id AS BIGINT) AS doc_id, substr(text, 1, 20) AS text FROM documents d JOIN labels l USING (doc_id) WHERE quality = 1)")
+@query("SELECT doc_id, text, CASE quality WHEN 1 THEN 'train' ELSE 'valid' END AS split FROM documents JOIN labels USING (doc_id)")
 def with_splits(spark, sf_dir):
-    ids = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("train").alias("split"))
-    return corpus.with_splits(table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 20).alias("text")), ids)
+    ids = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").otherwise("valid").alias("split"))
+    return corpus.with_splits(table(spark, sf_dir, "documents").select("doc_id", "text"), ids)
 
 
 # --- scores
@@ -564,10 +563,10 @@ def gold_char_tags(spark, sf_dir):
     return segment.gold_char_tags(rows).select(F.col("doc_id").alias("item_id"), "offset", "char", "sent_tag", "word_tag")
 
 
-@query("SELECT vec_id, list_concat([-100], list_transform(embedding[1:5], lambda x: CASE WHEN x > 0.1 THEN 1 WHEN x < -0.1 THEN 0 ELSE -100 END), [-100, -100]) AS labels FROM embeddings")
+@query("SELECT vec_id, list_concat([-100], list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 1 WHEN x < -0.1 THEN 0 ELSE -100 END), [-100, -100]) AS labels FROM embeddings")
 def encoded_labels(spark, sf_dir):
-    tags = F.transform(F.slice("embedding", 1, 5), lambda x: F.when(x > 0.1, "I").when(x < -0.1, "B"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", structure.encoded(tags, 8, F.lit(["B", "I"])).alias("labels"))
+    tags = F.transform("embedding", lambda x: F.when(x > 0.1, "I").when(x < -0.1, "B"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", structure.encoded(tags, 67, F.lit(["B", "I"])).alias("labels"))
 
 
 def lines_of_parts(spark, sf_dir) -> DataFrame:
@@ -586,11 +585,11 @@ def parsed_linear_form(spark, sf_dir):
     return lines_of_parts(spark, sf_dir).select("p_partkey", F.inline(structure.parse_linear(target)))
 
 
-@query(f"WITH {UNITS}, w AS (SELECT k, i, q, s, f, i // 2 AS bp FROM u) SELECT k, CAST(bp AS INT) AS bp_idx, arg_max(s || ':' || f, i) AS \"NE\" FROM w WHERE q % 5 = 0 GROUP BY k, bp")
+@query(f"WITH {UNITS}, w AS (SELECT k, i, q, s, f, i // 2 AS bp FROM u) SELECT k, CAST(bp AS INT) AS bp_idx, arg_max(s || ':' || f, i) AS \"NE\" FROM w WHERE f <> 'R' GROUP BY k, bp")
 def entity_features(spark, sf_dir):
     own = units(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), "i", "q", "s", "f")
     words = own.select("doc_id", "sent_idx", F.col("i").alias("morph_idx"), F.col("f").alias("surf"), F.expr("i div 2").cast("int").alias("bp_idx"))
-    entities = own.where("q % 5 = 0").select("doc_id", "sent_idx", F.col("s").alias("category"), F.col("i").alias("start"), (F.col("i") + 1).alias("end"))
+    entities = own.where("f != 'R'").select("doc_id", "sent_idx", F.col("s").alias("category"), F.col("i").alias("start"), (F.col("i") + 1).alias("end"))
     return structure.entity_features(entities, words).select(F.col("doc_id").alias("k"), "bp_idx", "NE")
 
 
