@@ -98,7 +98,7 @@ def test_urls(spark):
         "http://a.com": (("a.com", ""), None, "allow"), "http://A.com/x": (("a.com", "/x"), "com/", "allow"), "https://example.com/en/1": (("example.com", "/en/1"), "example.com/en/", "block"),
         "https://m.example.com/EN/1": (("m.example.com", "/EN/1"), "com/", "allow"), "https://www.example.com/en/?q": (("www.example.com", "/en/"), "www.example.com/en/", "allow"),
         "https://notexample.com/en/": (("notexample.com", "/en/"), "com/", "allow"), "x://b.net/es/#t": (("b.net", "/es/"), "net/es/", "block"), "x://net/fr/": (("net", "/fr/"), "net/fr/", "block"),
-        "x://b.net/esp": (("b.net", "/esp"), None, "allow"), "http://spam-farm.example.org/a": (("spam-farm.example.org", "/a"), None, "block"), "no url": (("", ""), None, "allow"), None: (("", ""), None, "allow"), "": (("", ""), None, "allow"),
+        "x://b.net/esp": (("b.net", "/esp"), None, "allow"), "http://spam-farm.example.org/a": (("spam-farm.example.org", "/a"), None, "block"), "http://adult-x.b.org": (("adult-x.b.org", ""), None, "block"), "http://b.org/ads/adult": (("b.org", "/ads/adult"), None, "allow"), "no url": (("", ""), None, "allow"), None: (("", ""), None, "allow"), "": (("", ""), None, "allow"),
     }
     df = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "page_id int, url string")
     found = rows_of(urls.filter_urls(df, ["page_id"]), "page_id")

@@ -79,7 +79,8 @@ m AS (SELECT page_id, max_by(name, length(name)) AS rule, max_by(rverdict, lengt
       ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v
   WHEN regexp_matches(lower(host || path), '(^|[.-])((spam|link)[-_]?farm[0-9]*|cheap[-_]?pills?|online[-_]?(casino|pharmacy|poker)|free[-_]?(porn|xxx|sex)|adult[-_]?(cams?|chat|videos?)|payday[-_]?loans?|click[-_]?bait)([.-]|/|$)')
-    OR regexp_matches(lower(host || path), '(^|[./-])(porn|xxx|casino|viagra|warez|malware|phishing|doubleclick)([./-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+    OR regexp_matches(lower(host || path), '(^|[./-])(porn|xxx|casino|viagra|warez|malware|phishing|doubleclick)([./-]|$)')
+    OR regexp_matches(lower(host || path), '^([^/]*[.-])?(adult|ads|adserver|bets|betting|spam|tracker)([.-]|/|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN m USING (page_id)
 """
 
