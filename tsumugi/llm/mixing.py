@@ -110,7 +110,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     names = [c for c in docs.columns if c not in new]
     _, rows = packed(docs.select(*[docs[c] for c in names]))
     ranges = 1 << max(1, 4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()
-    one = rows.select("row", F.coalesce(F.col(f"row.`{source}`").cast("string"), F.lit("")).alias("_source"), F.xxhash64("row.doc_id", "row.text").alias("_hash"))
+    one = rows.select("row", F.coalesce(F.col(f"row.`{source}`").cast("string"), F.lit("")).alias("_source"), F.xxhash64("row.doc_id", "row.text").alias("_hash"), F.hash("row.doc_id", "row.text").alias("_tie"))
     one = one.withColumn("_range", F.shiftrightunsigned("_hash", 65 - ranges.bit_length()))
     counts = one.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
     sizes = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).limit(MAX_SOURCES + 1).collect()}
@@ -136,7 +136,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
         return pd.DataFrame({"slot": slots, "weight": share})
 
     before = counts.select("_source", "_range", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_hash", "row.doc_id", "row.text"))
+    within = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_hash", "_tie"))  # beyond that rows are alike
     numbered = one.withColumn("_k", within).join(before, ["_source", "_range"]).withColumn("_k", F.col("_before") + F.col("_k") - 1)
     found = numbered.select("row", F.expr(f"_k div {block}").alias("block"), (F.col("_k") % block).alias("place"), placed("_source", F.expr(f"_k div {block}")).alias("_at"))
     return found.select("row.*", "block", F.col("_at.slot").alias("slot"), "place", (F.col("_at.slot") * block + F.col("place")).alias("mix_order"), F.col("_at.weight").alias("weight"))
