@@ -110,6 +110,22 @@ def test_urls(spark):
         assert index.judge(r["url"]) == plain.judge(r["url"])
 
 
+def test_joined_words_are_blocked():
+    """Two-word patterns whose words are one token, against an index without tokens."""
+    pairs = {"spam": ["farm", "farm7"], "link": ["farm", "farm2024"], "cheap": ["pill", "pills"], "online": ["casino", "pharmacy", "poker"], "free": ["porn", "xxx", "sex"], "adult": ["cam", "cams", "chat", "video", "videos"], "payday": ["loan", "loans"], "click": ["bait"]}
+    index = urls.Index(urls.PATTERN_RULES, {"spam": 9, "clickbait": 5, "online": 1})
+    plain = urls.Index(tuple(r._replace(tokens=()) for r in urls.PATTERN_RULES), {})
+    for a, ends in pairs.items():
+        for mark in ("", "-", "_"):
+            for b in ends:
+                for given in (f"x://{a}{mark}{b}.org", f"x://m.{a}{mark}{b}-9.net/p", f"x://a.org/q-{a.upper()}{mark}{b}"):
+                    assert index.judge(given)[3] == plain.judge(given)[3] == "block", given
+                for given in (f"x://x{a}{mark}{b}.org", f"x://a.org/{a}{mark}{b}x"):
+                    assert index.judge(given) == plain.judge(given), given
+    assert index.judge("x://xspamfarm.org")[3] == index.judge("x://a.org/spamfarmx")[3] == "allow"
+    assert index.judge("x://spamfarm\u0663.org")[3] == "allow"
+
+
 # --- 4
 
 

@@ -49,12 +49,15 @@ SITE_RULES = (
 )
 #: Patterns for URLs that no site rule fits: a block pattern that fits decides, else the URL is allowed.
 PATTERN_RULES = tuple(
-    pattern_rule(rf"(?:\A|[.-]){a}[-_]?{b}(?=[.-]|/|\Z)", "block", *tokens)
-    for a, b, tokens in (
-        ("spam", r"farm\d*", ("spam",)), ("link", r"farm\d*", ("link",)), ("cheap", "pills?", ("cheap",)), ("online", "(?:casino|pharmacy|poker)", ("online",)),
-        ("free", "(?:porn|xxx|sex)", ("free",)), ("adult", "(?:cams?|chat|videos?)", ("adult",)), ("payday", "loans?", ("payday",)), ("click", "bait", ("click",)),
+    pattern_rule(rf"(?:\A|[.-]){a}[-_]{b}(?=[.-]|/|\Z)", "block", a)
+    for a, b in (
+        ("spam", r"farm[0-9]*"), ("link", r"farm[0-9]*"), ("cheap", "pills?"), ("online", "(?:casino|pharmacy|poker)"),
+        ("free", "(?:porn|xxx|sex)"), ("adult", "(?:cams?|chat|videos?)"), ("payday", "loans?"), ("click", "bait"),
     )
-) + tuple(pattern_rule(rf"(?:\A|[./-]){word}(?=[./-]|\Z)", "block", word) for word in ("porn", "xxx", "casino", "viagra", "warez", "malware", "phishing", "doubleclick")) + tuple(pattern_rule(rf"\A(?:[^/]*[.-])?{word}(?=[.-]|/|\Z)", "block", word) for word in ("adult", "ads", "adserver", "bets", "betting", "spam", "tracker"))
+) + tuple(  # the same without a separator are one token, which ends in any number for farms: no token is sure then
+    pattern_rule(rf"(?:\A|[.-]){joined}(?=[.-]|/|\Z)", "block", joined)
+    for joined in ("cheappill", "cheappills", "onlinecasino", "onlinepharmacy", "onlinepoker", "freeporn", "freexxx", "freesex", "adultcam", "adultcams", "adultchat", "adultvideo", "adultvideos", "paydayloan", "paydayloans", "clickbait")
+) + (pattern_rule(r"(?:\A|[.-])(?:spam|link)farm[0-9]*(?=[.-]|/|\Z)", "block"),) + tuple(pattern_rule(rf"(?:\A|[./-]){word}(?=[./-]|\Z)", "block", word) for word in ("porn", "xxx", "casino", "viagra", "warez", "malware", "phishing", "doubleclick")) + tuple(pattern_rule(rf"\A(?:[^/]*[.-])?{word}(?=[.-]|/|\Z)", "block", word) for word in ("adult", "ads", "adserver", "bets", "betting", "spam", "tracker"))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
