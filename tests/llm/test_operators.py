@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -293,6 +295,61 @@ def test_licenses(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines of longer documents, and license files; every run of lines compared by hand."""
+    filler = [f"line {k} of a story about w{k % 37} and w{k % 11}" for k in range(200)]
+    texts = dict(licenses.FULL_TEXTS)
+    long = {n: max((t for m, t in licenses.TEMPLATES if m == n), key=len) for n, _ in licenses.TEMPLATES}
+    wrapped = lambda text, width=60: textwrap.wrap(text, width)
+    rows = {}
+    for k, name in enumerate(("MIT", "ISC", "GPL-3.0", "GPL-2.0", "Apache-2.0", "BSD-2-Clause")):
+        rows[k] = (name, 50, filler[:50] + wrapped(long[name]) + filler[50:])
+    for k, name in enumerate(texts):
+        rows[10 + k] = (name, 4, [f"{name} License", "", "Copyright (c) 2020 Some One", ""] + wrapped(texts[name], 76))
+        rows[20 + k] = (name, 200, filler + wrapped(texts[name], 40) + filler)
+    shared = textwrap.wrap("# " + long["ISC"] + " " + long["GPL-3.0"], 70)
+    df = spark.createDataFrame([(k, "\n".join(lines)) for k, (_, _, lines) in rows.items()] + [(40, "\n".join(filler + shared)), (41, "\n".join(["Released under the MIT License."] * 300))], "doc_id long, text string")
+    found = defaultdict(dict)
+    for r in licenses.scan_licenses(df).collect():
+        found[r["doc_id"]][r["license"]] = (r["n_passages"], r["first_line"], r["dice"])
+    for k, (name, line, lines) in rows.items():
+        n, first, dice = found[k].pop(name)
+        assert (n, first, found[k]) == (1, line, {}) or (k in range(10, 20) and (n, first, found[k]) == (0, -1, {})), (k, name)
+        assert dice == pytest.approx(1.0) if k < 10 else dice > 0.9
+    assert set(found[40]) == {"ISC", "GPL-3.0"} and found[41] == {"MIT": (300, 0, 1.0)}
+
+
+def test_runs_of_lines_against_brute_force(spark):
+    rng = random.Random(6)
+    pairs_of = lambda text: {*zip(w := re.findall("[a-z0-9]+", text.lower()), w[1:], strict=False)}
+    given = [("X", "a b c d e f g h"), ("Y", "e f g h a b a c"), ("Z", "a b a b c")]
+    rows = [(k, "".join(rng.choice(["a b", "c", "d e", "f g h", "x", "e f", "", "b a c"]) + rng.choice([" ", "\n", "\n"]) for _ in range(rng.randrange(2, 14)))) for k in range(150)]
+    wanted, whole = defaultdict(set), set()
+    for k, text in rows:
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                own = pairs_of("\n".join(lines[i : j + 1]))
+                for t, (_, template) in enumerate(given):
+                    b = pairs_of(template)
+                    if own and 2 * len(own & b) / (len(own) + len(b)) >= 0.8 - 1e-9:
+                        wanted[k, t].add((i, j, len(own & b), len(own)))
+        own = pairs_of(text)
+        whole |= {(k, t) for t, (_, x) in enumerate(given) if len(lines) > 1 and own and 2 * len(own & pairs_of(x)) / (len(own) + len(pairs_of(x))) >= 0.8 - 1e-9}
+    near = licenses.near_passages(spark.createDataFrame(rows, "doc_id long, text string"), tuple(given), 0.8).collect()
+    near = [r for r in near if 2 * r["run"]["c"] / (r["run"]["n"] + r["size"]) >= 0.8 - 1e-9]
+    found = defaultdict(set)
+    for r in near:
+        if r["run"]["s"] >= 0:
+            found[r["doc_id"], r["template"]].add((r["run"]["s"], r["run"]["e"], r["run"]["c"], r["run"]["n"]))
+    assert {(r["doc_id"], r["template"]) for r in near if r["run"]["s"] < 0} == whole and whole
+    assert set(found) == set(wanted) and len(found) > 20
+    for key, runs in wanted.items():
+        assert found[key] <= runs
+        for i, j, c, n in runs:  # a run that isn't there holds one that is as near
+            assert any(i <= s and e <= j and x == c and y <= n for s, e, x, y in found[key])
+
+
 # --- 7
 
 
