@@ -209,6 +209,32 @@ def test_wide_fingerprints_follow_similarity(spark):
     assert found == {i: i - (i % 3 == 1) for i, _ in texts}
 
 
+@pytest.mark.parametrize("most", [neardup.MOST, 3, 17])
+def test_large_buckets_lose_no_link(spark, monkeypatch, most):
+    """Chains of fingerprints in one bucket, of which only neighbours are near: links don't depend on the size of a piece."""
+    monkeypatch.setattr(neardup, "MOST", most)
+
+    class OneBucket(neardup.Banded):
+        def __init__(self):
+            self.lanes, self.radius = 1, 5
+
+        def describe(self, text):
+            return int(text).to_bytes(8, "big"), [7 if int(text) else 8]
+
+    rng = random.Random(11)
+    prints = [0]
+    for _ in range(8):
+        x = rng.getrandbits(64)
+        bits = rng.sample(range(64), 60)
+        for k in range(12):  # each link flips five bits of its own
+            prints.append(x := x ^ sum(1 << b for b in bits[5 * k : 5 * k + 5]))
+    ids = rng.sample(range(1000), len(prints))
+    least = reachable(list(zip(ids, prints, strict=True)), 5)
+    df = spark.createDataFrame([(i, str(p)) for i, p in zip(ids, prints, strict=True)], "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_groups(df, OneBucket()).collect()} == least
+    assert len(set(least.values())) == 9
+
+
 def test_buckets_against_brute_force():
     rng = np.random.default_rng(0)
     for lanes, radius in ((1, 2), (4, 45)):

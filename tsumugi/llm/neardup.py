@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, cut, mix, packed, shuffle_partitions
+from tsumugi.llm.common import GOLDEN, cut, mix, packed, salted_join, shuffle_partitions
 from tsumugi.llm.components import connected_components
 
 SEED = 42
-#: Rows of a bucket that are compared in one piece, and comparisons (a fingerprint with a word of 64) at a time.
+#: Rows of a bucket that are compared in one piece (more are compared by pairs of pieces), and comparisons (a fingerprint with a word of 64) at a time.
 MOST, STEP = 2048, 1 << 14
 #: Shingles whose bits are counted at a time.
 COUNTED = 255 << 7
@@ -163,23 +163,27 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def bucket_roots(prints: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by bucket: the first row of each row's group, where rows of a bucket within the radius are linked."""
+def bucket_roots(prints: np.ndarray, bucket: np.ndarray, radius: int, since: np.ndarray | None = None) -> np.ndarray:
+    """For rows sorted by bucket: the first row of each row's group, where rows of a bucket within the radius are linked.
+
+    A row is compared with those of its bucket from row since on (those after it, if that isn't given).
+    """
     n = len(prints)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[first, n])
     end = np.repeat(first + sizes, sizes)
     own = np.arange(n)
-    keep = own + 1 < end  # a row is compared with those after it in its bucket
+    since = own + 1 if since is None else since
+    keep = since < end
     rows = own[keep]
-    from_word, to_word = (rows + 1) // 64, (end[keep] - 1) // 64
+    from_word, to_word = since[keep] // 64, (end[keep] - 1) // 64
     count = to_word - from_word + 1
     labels, planes = own.copy(), planes_of(prints)
     task = np.repeat(np.arange(len(rows)), count)
     word = np.arange(len(task)) - np.repeat(np.cumsum(count) - count, count) + from_word[task]
     for start in range(0, len(task), STEP):
         t, w = task[start : start + STEP], word[start : start + STEP]
-        low = np.clip(rows[t] + 1 - 64 * w, 0, 64)
+        low = np.clip(since[rows[t]] - 64 * w, 0, 64)
         high = np.clip(end[rows[t]] - 64 * w, 0, 64)
         upto = lambda k: np.where(k >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
         a, b = near_lanes(prints, planes, rows[t], w, upto(high) & ~upto(low), radius)
@@ -192,11 +196,10 @@ LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("print", pa.binary())])
 
 
-def links_in_buckets(rows: DataFrame, lanes: int, radius: int, exact: bool) -> DataFrame:
+def links_in_buckets(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
     """rows (key, node, print) sorted by key -> links a-b that join what is near in each bucket, without the pairs.
 
-    A bucket of over MOST rows is compared piece by piece, each with what is left of the pieces before (one row of each
-    group). If exact, its rows come back as they are instead (b is null), for near_by_neighbours().
+    The rows of a bucket of over MOST come back as they are (b is null), for near_by_neighbours() or near_by_pieces().
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,21 +211,11 @@ def links_in_buckets(rows: DataFrame, lanes: int, radius: int, exact: bool) -> D
             def back(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> None:
                 out.extend((a, None, k, p.astype(">u8").tobytes()) for a, k, p in zip(nodes.tolist(), keys.tolist(), prints, strict=True))
 
-            def link(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-                """Links whole buckets; the rows that stand for each group."""
+            def link(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> None:
+                """Links whole buckets."""
                 roots = bucket_roots(prints, keys, radius)
                 hit = np.flatnonzero(roots != np.arange(len(keys)))
                 out.extend((a, b, None, None) for a, b in zip(nodes[hit].tolist(), nodes[roots[hit]].tolist(), strict=True))
-                return np.unique(roots)
-
-            def large(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-                """Works through one bucket of any size; what is left of it."""
-                left = tuple(x[:0] for x in rows)
-                for start in range(0, len(rows[0]), MOST):
-                    piece = tuple(np.concatenate([x, y[start : start + MOST]]) for x, y in zip(left, rows, strict=True))
-                    stay = link(*piece)
-                    left = tuple(x[stay] for x in piece)
-                return left
 
             if batch is not None:
                 data = b"".join(batch.column("print").to_pylist())
@@ -243,15 +236,11 @@ def links_in_buckets(rows: DataFrame, lanes: int, radius: int, exact: bool) -> D
                     link(*(x[small] for x in held))
                 for start, size in zip(first.tolist(), sizes.tolist(), strict=True):
                     if size > MOST and start < whole:
-                        own = tuple(x[start : start + size] for x in held)
-                        back(*own) if exact else large(own)
+                        back(*(x[start : start + size] for x in held))
                 held = tuple(x[whole:] for x in held)
                 if len(held[0]) > MOST:  # the last bucket, which may go on
-                    if exact:
-                        back(*held)
-                        passing, held = int(held[0][0]), tuple(x[:0] for x in held)
-                    else:
-                        held = large(held)
+                    back(*held)
+                    passing, held = int(held[0][0]), tuple(x[:0] for x in held)
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LINK_ARROW.types, strict=True)], schema=LINK_ARROW)
 
@@ -277,6 +266,48 @@ def near_by_neighbours(rows: DataFrame) -> DataFrame:
     return groups.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a != b").select("a", "b").distinct()
 
 
+def near_by_pieces(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Links a-b that join what is near among the rows (a, key, print) of each key: every pair of its rows is compared.
+
+    A key's rows are dealt into pieces of about MOST by a hash of a, and each two pieces (and each with itself) to a group
+    of their own, so that no task has more than two pieces at a time. A row goes to as many groups as its key has pieces,
+    and the comparisons grow with the square of a key's rows, as they must where all of them are to be found.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    pieces = rows.groupBy("key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("pieces"))
+    dealt = salted_join(rows.select("a", "key", "print"), pieces, ["key"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    paired = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "a", "print")
+    ordered = paired.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "a")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.empty((0, 3), np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty((0, lanes), np.uint64))  # of the last group so far
+        for batch in with_end(batches):
+            if batch is not None:
+                group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+                data = b"".join(batch.column("print").to_pylist())
+                new = (group, batch.column("second").to_numpy(zero_copy_only=False), batch.column("a").to_numpy(), np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, lanes))
+                held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            if not len(held[0]):
+                continue
+            first = np.flatnonzero(np.r_[True, (held[0][1:] != held[0][:-1]).any(axis=1)])
+            whole = int(first[-1]) if batch is not None else len(held[0])
+            if not whole:
+                continue
+            group, second, nodes, prints = (x[:whole] for x in held)
+            held = tuple(x[whole:] for x in held)
+            first = first[first < whole]
+            sizes = np.diff(np.r_[first, whole])
+            end = np.repeat(first + sizes, sizes)
+            other = np.repeat(first + sizes - np.add.reduceat(second.astype(np.int64), first), sizes)  # where the second piece begins
+            since = np.where(group[:, 1] == group[:, 2], np.arange(whole) + 1, np.where(second, end, other))
+            roots = bucket_roots(prints, np.repeat(np.arange(len(first)), sizes), radius, since)
+            hit = np.flatnonzero(roots != np.arange(whole))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[hit], pa.int64()), pa.array(nodes[roots[hit]], pa.int64())], names=["a", "b"])
+
+    return ordered.mapInArrow(kernel, "a long, b long").distinct()
+
+
 def describe(docs: DataFrame, method: Method, text: str = "text") -> DataFrame:
     """doc_id, text_hash, print and keys of each row of docs, kept in the shared folder."""
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("_text"))
@@ -302,13 +333,10 @@ def near_groups(docs: DataFrame, method: Method, text: str = "text") -> DataFram
     rows = describe(docs, method, text)
     classes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "text_hash").alias("keys")))
     keyed = classes.where("node is not null").select(F.explode("keys").alias("key"), "node", "print")
-    exact = isinstance(method, Blocked) and method.radius == 2
-    found = links_in_buckets(keyed.repartition(n, "key").sortWithinPartitions("key", "node"), method.lanes, method.radius, exact)
-    if exact:
-        found = cut(found)
-        links = found.where("b is not null").select("a", "b").unionByName(near_by_neighbours(found.where("b is null")))
-    else:
-        links = found.select("a", "b")
+    found = cut(links_in_buckets(keyed.repartition(n, "key").sortWithinPartitions("key", "node"), method.lanes, method.radius))
+    large = found.where("b is null")
+    more = near_by_neighbours(large) if isinstance(method, Blocked) and method.radius == 2 else near_by_pieces(large, method.lanes, method.radius)
+    links = found.where("b is not null").select("a", "b").unionByName(more)
     roots = connected_components(links)
     named = classes.select("print", "node").join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "text_hash", "print").join(named, "print")
