@@ -1,11 +1,11 @@
-"""Substring dedup (operator 9): suffixes split by variable-length prefixes, and a suffix tree for each group.
+"""Substring dedup (operator 9): windows grouped by a prefix of their anchor, then by all their words.
 
 Not every suffix need be sorted to find the repeats of a length: each window of that many words picks the least hash among
 its PREFIX-word sequences, its anchor, and equal windows pick equal anchors. So only the suffixes around anchors (about one
 in twenty) are split by their prefix at first; groups of one document have no repeat and end there. Of the others, those
-of a size that fits into memory get a suffix tree (as a sorted suffix array with common prefix lengths); its internal
-nodes of the full depth are the repeats. The suffixes of larger groups are split by a longer prefix, the whole window, at
-which a group is a single node, so that the smallest doc_id of each is an aggregate.
+of a size that fits into memory have their windows sorted, and equal ones grouped: the repeats, as the nodes of a suffix
+tree at that depth would be (no tree, no common prefix lengths). Larger groups are split by the hash of the whole window,
+so that the smallest doc_id of each is an aggregate.
 """
 
 from __future__ import annotations
