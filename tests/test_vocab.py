@@ -11,6 +11,8 @@ def test_sizes():
 
 
 def test_samples():
+    assert v.SMALL_TO_LARGE["ゎ"] == "わ" and v.PROLONGED_VOWEL["ね"] == "い" and v.PROLONGED_E["ね"] == "え"
+    assert v.DISCOURSE_FOLDING["逆接・譲歩(逆方向)"] == "逆接" and v.DISCOURSE_FOLDING["NIL"] == v.NO_DISCOURSE
     assert v.VOICED_TO_VOICELESS["ぱ"] == "は" and v.VOICED_TO_VOICELESS["ヅ"] == "ツ"
     assert v.KATAKANA.startswith("ァアィイ") and "ー" in v.KATAKANA
     assert v.SUBPOS_OF["助詞"]["終助詞"] == 4 and v.SUBPOS_OF["動詞"] == {"*": 0}
