@@ -209,6 +209,59 @@ def test_wide_fingerprints_follow_similarity(spark):
     assert found == {i: i - (i % 3 == 1) for i, _ in texts}
 
 
+def shingled(own):
+    return {tuple(own[k : k + 5]) for k in range(len(own) - 4)} or {tuple(own)}
+
+
+def alike(a, b):
+    return len(shingled(a) & shingled(b)) / len(shingled(a) | shingled(b))
+
+
+@pytest.mark.parametrize("n_words", [10, 20, 50, 400])
+def test_recall_of_near_copies(n_words):
+    """Pairs of similarity 0.8 to 0.85 (words left out, put in or changed): in a bucket of both and within the radius."""
+    rng, method, tried, linked = random.Random(n_words), neardup.Banded(), 0, 0
+    while tried < 200:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(n_words, n_words + n_words // 5))]
+        other = list(own)
+        for _ in range(rng.randint(1, max(1, n_words // 40))):
+            at, how = rng.randrange(len(other) + 1), rng.randrange(3)
+            other[at : at + (how != 1)] = [f"x{rng.randrange(10**6)}"] * (how > 0)
+        if not 0.8 <= alike(own, other) < (0.85 if n_words > 20 else 0.9):
+            continue
+        tried += 1
+        (p, k, m), (q, j, n) = method.describe(" ".join(own)), method.describe(" ".join(other))
+        linked += bool(set(k) & set(j)) and (int.from_bytes(p, "big") ^ int.from_bytes(q, "big")).bit_count() <= method.radii[min(m, n)]
+    assert linked / tried >= 0.9
+
+
+def test_share_of_bits_is_counted():
+    rng = np.random.default_rng(3)
+    for a, b, c in ((4, 5, 4), (6, 7, 6), (30, 33, 28)):
+        coins = rng.integers(0, 2, (200_000, a + b - c))
+        one, two = coins[:, :a].sum(axis=1) * 2 > a, np.c_[coins[:, :c], coins[:, a:]].sum(axis=1) * 2 > b
+        assert abs((one != two).mean() - neardup.share_of_bits(a, b, c)) < 0.005
+
+
+@pytest.mark.parametrize("changed", [4, 5])
+def test_a_cluster_of_variants_has_the_same_groups_at_any_size(spark, monkeypatch, changed):
+    """Variants of one text, most in one bucket: the same groups with pieces of 64 and 512 rows and without pieces."""
+    rng = random.Random(changed)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(1300):
+        own = list(base)
+        for at in rng.sample(range(200), changed):
+            own[at] = f"c{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = []
+    for most in (64, 512, 1 << 20):
+        monkeypatch.setattr(neardup, "MOST", most)
+        found.append({r["doc_id"]: r["component_id"] for r in neardup.near_groups(df, neardup.Banded()).collect()})
+    assert found[0] == found[1] == found[2]
+
+
 @pytest.mark.parametrize("most", [neardup.MOST, 3, 17])
 def test_large_buckets_lose_no_link(spark, monkeypatch, most):
     """Chains of fingerprints in one bucket, of which only neighbours are near: links don't depend on the size of a piece."""
@@ -216,10 +269,10 @@ def test_large_buckets_lose_no_link(spark, monkeypatch, most):
 
     class OneBucket(neardup.Banded):
         def __init__(self):
-            self.lanes, self.radius = 1, 5
+            self.lanes, self.radii = 1, np.array([5])
 
         def describe(self, text):
-            return int(text).to_bytes(8, "big"), [7 if int(text) else 8]
+            return int(text).to_bytes(8, "big"), [7 if int(text) else 8], 0
 
     rng = random.Random(11)
     prints = [0]
@@ -248,7 +301,7 @@ def test_buckets_against_brute_force():
         for i in range(700):
             near = np.flatnonzero((np.bitwise_count(prints[i] ^ prints).sum(axis=1) <= radius) & (bucket == bucket[i]))
             labels = neardup.unite(labels, np.full(len(near), i), near)
-        assert (neardup.bucket_roots(prints, bucket, radius) == labels).all()
+        assert (neardup.bucket_roots(prints, bucket, np.zeros(700, np.int64), np.array([radius])) == labels).all()
 
 
 def test_components(spark):
@@ -449,7 +502,34 @@ def removed_by_hand(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("most", [substrings.MOST, 1])
+def test_suffix_arrays_against_brute_force():
+    """Sorted suffixes, common prefixes and deep nodes of groups of texts, with repeats within and across them."""
+    rng = random.Random(4)
+    for window in (1, 3, 5):
+        texts, group = [], []
+        for g in range(6):
+            base = [b"abc"[k : k + 1] for k in (rng.randrange(3) for _ in range(30))]
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(20)
+                texts.append(base[at : at + rng.randint(window, 12)] if rng.random() < 0.7 else [rng.choice([b"a", b"b"]) for _ in range(window + 3)])
+                group.append(g)
+        texts, group = zip(*((t, g) for t, g in zip(texts, group, strict=True) if len(t) >= window), strict=True)
+        text, place, common = substrings.suffix_array(list(texts), list(group), window)
+        assert sorted(zip(text.tolist(), place.tolist(), strict=True)) == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - window + 1)]
+        suffixes = [(group[k], texts[k][i:]) for k, i in zip(text.tolist(), place.tolist(), strict=True)]
+        order = {}  # the words' own order is that of their first appearance
+        for t in texts:
+            for w in t:
+                order.setdefault(w, len(order))
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a[1], b[1], strict=False)) if x != y), min(len(a[1]), len(b[1]))) if a[0] == b[0] else 0
+        assert common.tolist() == [0] + [shared(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+        node = substrings.deep_nodes(common, window).tolist()
+        for i, a in enumerate(suffixes):
+            for j, b in enumerate(suffixes):
+                assert (node[i] == node[j]) == (i == j or shared(a, b) >= window)
+
+
+@pytest.mark.parametrize("most", [substrings.MOST, 1, 4])
 def test_substring_dedup(spark, tmp_path, monkeypatch, most):
     """The second size splits every group by the whole window."""
     monkeypatch.setattr(substrings, "MOST", most)

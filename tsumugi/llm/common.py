@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,9 +32,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset on a local master (tests)."""
     context = spark.sparkContext
-    own = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    own = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if own is None and not context.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(own or tempfile.mkdtemp(prefix="tsumugi-"))
     return own or context.getCheckpointDir()
@@ -48,21 +51,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_kept: set[str] = set()
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """This application's folder of tables, which is deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        context = spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        atexit.register(lambda: files.delete(at, True))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder: unlike cut(), its size on disk is then known to the optimizer."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """many joined with one, which has a row for each value of keys at most: a hot value is dealt out over so many tasks.
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """many joined with one, which has a row for each value of keys (whole numbers) at most and, as count, how many rows of many have it.
 
-    many's rows are salted by a hash of all their columns, one's rows are repeated for each salt.
+    Keys with more rows than a shuffle partition's fair share, of which there can't be more than partitions, are matched by
+    a broadcast; the other keys' rows are shuffled, and the matched ones with them, spread by a hash of all their columns.
+    one is read three times: keep it stored. Its columns come behind many's, without keys and count.
     """
-    salt = F.pmod(F.hash(*many.columns), F.lit(salts))
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return many.withColumn("_salt", salt).join(one.withColumn("_salt", every), [*keys, "_salt"]).drop("_salt")
+    share = (one.agg(F.sum(count)).first()[0] or 0) // shuffle_partitions(many.sparkSession) + 1
+    values = [c for c in one.columns if c not in (*keys, count)]
+    value = F.struct(*values) if values else F.struct(F.lit(True).alias("_known"))
+    hot = one.where(F.col(count) > share).select(*keys, value.alias("_hot"))
+    cold = one.where(F.col(count) <= share).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_open"), value.alias("_cold"))
+    marked = many.join(F.broadcast(hot), keys, "left").withColumn("_open", F.col("_hot").isNull()).withColumn("_spread", F.xxhash64(*many.columns))
+    dealt = marked.select(*many.columns, "_hot", "_open", *[F.when(F.col("_open"), F.col(k)).otherwise(F.col("_spread")).cast(many.schema[k].dataType).alias(f"_{k}") for k in keys])
+    both = dealt.join(cold, [*[f"_{k}" for k in keys], "_open"], "left").withColumn("_value", F.coalesce("_hot", "_cold")).where("_value is not null")
+    return both.select(*many.columns, *[F.col(f"_value.{c}").alias(c) for c in values])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from tsumugi.llm.common import cut
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round over edges (u, v) with u > v; a node's edges are never brought together.
+    """One large-star and one small-star round over edges (u, v) with u > v; a node's edges are aggregated and joined, never collected.
 
     Large star: each node hands its larger neighbours to the least of its neighbourhood. Small star: each node hands its
     smaller neighbours, and itself, to the least of them. Both are a minimum for each node and a join with it.
@@ -22,22 +22,18 @@ def stars(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node and root (the least node reachable) of every node that has an edge; edges (a, b) of longs in any direction.
 
     Loops, repeated edges and nulls are ignored; no edges give no rows. Each round is kept in the shared folder, and the
-    rounds end once the edges stay the same (their number grows with the logarithm of the longest path).
+    rounds end once the edges stay the same. Every round before that lowers some node's parent, so there is an end, and
+    the number of rounds grows with the logarithm of the longest path.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    was = state(now)
-    for _ in range(rounds):
-        if not was[0]:
-            break
+    was, before = state(now), None
+    while was[0] and was != before:
         now = cut(stars(now))
-        if was == (was := state(now)):
-            break
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
+        was, before = state(now), was
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

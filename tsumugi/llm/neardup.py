@@ -4,12 +4,14 @@ Fingerprints that may be near share a key: for a small radius the bits of some o
 differing bits agree on all but r blocks of any cut into blocks), for a large one two minimum hashes of their shingles.
 Within a key's bucket the fingerprints' bits are stored as planes, 64 fingerprints a word, so that a few bitwise operations
 with carry-save counters move 64 distances on by two bits; words of which all distances exceed the radius are left.
+Of documents with few shingles the radius follows from their number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, cut, mix, packed, salted_join, shuffle_partitions
+from tsumugi.llm.common import GOLDEN, cut, hot_join, mix, packed, shuffle_partitions, stored
 from tsumugi.llm.components import connected_components
 
 SEED = 42
 #: Rows of a bucket that are compared in one piece (more are compared by pairs of pieces), and comparisons (a fingerprint with a word of 64) at a time.
 MOST, STEP = 2048, 1 << 14
+#: Pairs that are united at a time.
+PAIRS = 1 << 17
 #: Shingles whose bits are counted at a time.
 COUNTED = 255 << 7
 
@@ -75,35 +79,57 @@ class Blocked:
 
     def __init__(self, shingle: int = 3, radius: int = 2):
         self.shingle, self.radius, self.lanes = shingle, radius, 1
+        self.radii = np.array([radius])
 
-    def describe(self, text: str | None) -> tuple[bytes, list[int]]:
+    def describe(self, text: str | None) -> tuple[bytes, list[int], int]:
         found = majority(shingle_hashes(text, self.shingle))
-        return found.to_bytes(8, "big"), block_keys(found, self.radius)
+        return found.to_bytes(8, "big"), block_keys(found, self.radius), 0
+
+
+#: Up to so many distinct shingles the share of differing bits is counted out; beyond, the angle gives it.
+FEW = 128
+
+
+def share_of_bits(a: int, b: int, c: int) -> float:
+    """The chance that a bit differs between documents of a and b distinct shingles, c of them common: each shingle's bit is a coin."""
+    tail = lambda n, above: sum(comb(n, k) for k in range(max(0, above + 1), n + 1)) / 2**n  # noqa: E731 (more than above ones)
+    out = 0.0
+    for x in range(c + 1):
+        p, q = tail(a - c, a // 2 - x), tail(b - c, b // 2 - x)
+        out += comb(c, x) / 2**c * (p * (1 - q) + q * (1 - p))
+    return out
 
 
 class Banded:
     """Wide fingerprints of distinct shingles, compared within buckets of two minimum hashes each.
 
-    A shingle similarity (Jaccard) of s gives an angle of acos(2s/(1+s)) between documents of one size, and the share of
-    bits that differ is that angle over pi. Of documents with similarity s, a bucket is shared with probability
-    1-(1-s^2)^bands: over 0.999 for s=0.8 and 8 bands.
+    Documents of a shingle similarity (Jaccard) of s have an angle of acos(2s/(1+s)) at most, and the share of
+    bits that differ is that angle over pi; of few shingles it is counted out (share_of_bits), for the pair of sizes with
+    similarity s or more that has the largest share. The radius is that share and `slack` standard deviations, so a pair
+    of similarity s is within it with a probability of 0.97; radii has it by the number of shingles of the smaller document,
+    the last entry for all more. Of documents with similarity s, a bucket is shared with probability 1-(1-s^2)^bands: over
+    0.999 for s=0.8 and 8 bands.
     """
 
-    def __init__(self, shingle: int = 5, similarity: float = 0.8, lanes: int = 16, bands: int = 8):
+    def __init__(self, shingle: int = 5, similarity: float = 0.8, lanes: int = 16, bands: int = 8, slack: float = 2.0):
         self.shingle, self.lanes, self.bands = shingle, lanes, bands
-        share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-        bits = 64 * lanes
-        self.radius = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))  # half as much again as a standard deviation more
-
-    def describe(self, text: str | None) -> tuple[bytes, list[int]]:
+        shares = [0.0]
+        for n in range(1, FEW):
+            sizes = range(n, int(n / similarity + 1e-9) + 1)
+            shares.append(max((share_of_bits(n, m, c) for m in sizes if (c := int(np.ceil(similarity * (n + m) / (1 + similarity) - 1e-9))) <= n), default=0.0))
+        shares.append(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+        share, bits = np.array(shares), 64 * lanes
+        self.radii = (bits * share + slack * np.sqrt(bits * share * (1 - share))).astype(np.int64)
+
+    def describe(self, text: str | None) -> tuple[bytes, list[int], int]:
         hashes = np.unique(shingle_hashes(text, self.shingle))
         if not len(hashes):
-            return bytes(8 * self.lanes), [0]
+            return bytes(8 * self.lanes), [0], 0
         with np.errstate(over="ignore"):
             found = b"".join(majority(mix(hashes + np.uint64(k + 1) * GOLDEN)).to_bytes(8, "big") for k in range(self.lanes))
             least = [mix(hashes ^ (np.uint64(k + 101) * GOLDEN)).min() for k in range(2 * self.bands)]
             keys = [mix(np.array([least[2 * k] * GOLDEN + least[2 * k + 1] + np.uint64(k)]))[0] for k in range(self.bands)]
-        return found, [signed(int(k)) for k in keys]
+        return found, [signed(int(k)) for k in keys], min(len(hashes), FEW)
 
 
 Method = Blocked | Banded
@@ -163,12 +189,15 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def bucket_roots(prints: np.ndarray, bucket: np.ndarray, radius: int, since: np.ndarray | None = None) -> np.ndarray:
+def bucket_roots(prints: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, radii: np.ndarray, since: np.ndarray | None = None) -> np.ndarray:
     """For rows sorted by bucket: the first row of each row's group, where rows of a bucket within the radius are linked.
 
-    A row is compared with those of its bucket from row since on (those after it, if that isn't given).
+    The radius of two rows is that in radii for the smaller of their sizes. A row is compared with those of its bucket from
+    row since on (those after it, if that isn't given).
     """
-    n = len(prints)
+    n, own_size = len(prints), np.minimum(sizes, len(radii) - 1)
+    present = radii[np.unique(own_size)]
+    radius = int(present.max(initial=0))
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     sizes = np.diff(np.r_[first, n])
     end = np.repeat(first + sizes, sizes)
@@ -187,39 +216,44 @@ def bucket_roots(prints: np.ndarray, bucket: np.ndarray, radius: int, since: np.
         high = np.clip(end[rows[t]] - 64 * w, 0, 64)
         upto = lambda k: np.where(k >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1))
         a, b = near_lanes(prints, planes, rows[t], w, upto(high) & ~upto(low), radius)
-        if len(a):
-            labels = unite(labels, a, b)
+        for k in range(0, len(a), PAIRS):
+            x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+            if (present != radius).any():  # some pairs have a smaller radius
+                near = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1) <= radii[np.minimum(own_size[x], own_size[y])]
+                x, y = x[near], y[near]
+            labels = unite(labels, x, y)
     return labels
 
 
-LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("key", T.LongType()), T.StructField("print", T.BinaryType())])
-LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("print", pa.binary())])
+LINK = T.StructType([*[T.StructField(c, T.LongType()) for c in ("a", "b", "key", "size")], T.StructField("print", T.BinaryType())])
+LINK_ARROW = pa.schema([*[(c, pa.int64()) for c in ("a", "b", "key", "size")], ("print", pa.binary())])
 
 
-def links_in_buckets(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """rows (key, node, print) sorted by key -> links a-b that join what is near in each bucket, without the pairs.
+def links_in_buckets(rows: DataFrame, lanes: int, radii: np.ndarray) -> DataFrame:
+    """rows (key, node, size, print) sorted by key -> links a-b that join what is near in each bucket, without the pairs.
 
-    The rows of a bucket of over MOST come back as they are (b is null), for near_by_neighbours() or near_by_pieces().
+    The rows of a bucket of over MOST come back as they are (b is null), for near_by_neighbours() or near_by_pieces(),
+    which find just the same links: MOST changes where buckets are compared, not what is linked.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, lanes), np.uint64))  # of the last bucket so far
+        held = (*[np.empty(0, np.int64)] * 3, np.empty((0, lanes), np.uint64))  # key, node, size and print, of the last bucket so far
         passing: int | None = None  # the key of a bucket that comes back
         for batch in with_end(batches):
-            out: list[tuple] = []  # a, b, key, print
+            out: list[tuple] = []  # a, b, key, size, print
 
-            def back(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> None:
-                out.extend((a, None, k, p.astype(">u8").tobytes()) for a, k, p in zip(nodes.tolist(), keys.tolist(), prints, strict=True))
+            def back(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> None:
+                out.extend((a, None, k, n, p.astype(">u8").tobytes()) for a, k, n, p in zip(nodes.tolist(), keys.tolist(), sizes.tolist(), prints, strict=True))
 
-            def link(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> None:
+            def link(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> None:
                 """Links whole buckets."""
-                roots = bucket_roots(prints, keys, radius)
+                roots = bucket_roots(prints, keys, sizes, radii)
                 hit = np.flatnonzero(roots != np.arange(len(keys)))
-                out.extend((a, b, None, None) for a, b in zip(nodes[hit].tolist(), nodes[roots[hit]].tolist(), strict=True))
+                out.extend((a, b, None, None, None) for a, b in zip(nodes[hit].tolist(), nodes[roots[hit]].tolist(), strict=True))
 
             if batch is not None:
                 data = b"".join(batch.column("print").to_pylist())
-                new = (batch.column("key").to_numpy(), batch.column("node").to_numpy(), np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, lanes))
+                new = (*[batch.column(c).to_numpy() for c in ("key", "node", "size")], np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, lanes))
                 if passing is not None:
                     n = int(np.searchsorted(new[0] != passing, True))
                     back(*(x[:n] for x in new))
@@ -229,19 +263,19 @@ def links_in_buckets(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
             if len(held[0]):
                 first = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])
                 whole = first[-1] if batch is not None else len(held[0])
-                sizes = np.diff(np.r_[first, len(held[0])])
-                much = np.repeat(sizes > MOST, sizes)
+                counts = np.diff(np.r_[first, len(held[0])])
+                much = np.repeat(counts > MOST, counts)
                 small = np.flatnonzero(~much[:whole])
                 if len(small):
                     link(*(x[small] for x in held))
-                for start, size in zip(first.tolist(), sizes.tolist(), strict=True):
-                    if size > MOST and start < whole:
-                        back(*(x[start : start + size] for x in held))
+                for start, count in zip(first.tolist(), counts.tolist(), strict=True):
+                    if count > MOST and start < whole:
+                        back(*(x[start : start + count] for x in held))
                 held = tuple(x[whole:] for x in held)
                 if len(held[0]) > MOST:  # the last bucket, which may go on
                     back(*held)
                     passing, held = int(held[0][0]), tuple(x[:0] for x in held)
-            columns = list(zip(*out, strict=True)) or [[]] * 4
+            columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LINK_ARROW.types, strict=True)], schema=LINK_ARROW)
 
     return rows.mapInArrow(kernel, LINK)
@@ -266,27 +300,27 @@ def near_by_neighbours(rows: DataFrame) -> DataFrame:
     return groups.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).where("a != b").select("a", "b").distinct()
 
 
-def near_by_pieces(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Links a-b that join what is near among the rows (a, key, print) of each key: every pair of its rows is compared.
+def near_by_pieces(rows: DataFrame, lanes: int, radii: np.ndarray) -> DataFrame:
+    """Links a-b that join what is near among the rows (a, key, size, print) of each key: every pair of its rows is compared.
 
     A key's rows are dealt into pieces of about MOST by a hash of a, and each two pieces (and each with itself) to a group
     of their own, so that no task has more than two pieces at a time. A row goes to as many groups as its key has pieces,
     and the comparisons grow with the square of a key's rows, as they must where all of them are to be found.
     """
     n = shuffle_partitions(rows.sparkSession)
-    pieces = rows.groupBy("key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("pieces"))
-    dealt = salted_join(rows.select("a", "key", "print"), pieces, ["key"]).withColumn("own", F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int"))
+    pieces = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MOST).cast("int").alias("pieces")))
+    dealt = hot_join(rows.select("a", "key", "size", "print"), pieces, ["key"], "n").withColumn("own", F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    paired = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "a", "print")
+    paired = each.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "a", "size", "print")
     ordered = paired.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "second", "a")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty((0, 3), np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty((0, lanes), np.uint64))  # of the last group so far
+        held = (np.empty((0, 3), np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, lanes), np.uint64))  # of the last group so far
         for batch in with_end(batches):
             if batch is not None:
                 group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
                 data = b"".join(batch.column("print").to_pylist())
-                new = (group, batch.column("second").to_numpy(zero_copy_only=False), batch.column("a").to_numpy(), np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, lanes))
+                new = (group, batch.column("second").to_numpy(zero_copy_only=False), batch.column("a").to_numpy(), batch.column("size").to_numpy(), np.frombuffer(data, ">u8").astype(np.uint64).reshape(-1, lanes))
                 held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             if not len(held[0]):
                 continue
@@ -294,14 +328,14 @@ def near_by_pieces(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
             whole = int(first[-1]) if batch is not None else len(held[0])
             if not whole:
                 continue
-            group, second, nodes, prints = (x[:whole] for x in held)
+            group, second, nodes, sizes, prints = (x[:whole] for x in held)
             held = tuple(x[whole:] for x in held)
             first = first[first < whole]
-            sizes = np.diff(np.r_[first, whole])
-            end = np.repeat(first + sizes, sizes)
-            other = np.repeat(first + sizes - np.add.reduceat(second.astype(np.int64), first), sizes)  # where the second piece begins
+            counts = np.diff(np.r_[first, whole])
+            end = np.repeat(first + counts, counts)
+            other = np.repeat(first + counts - np.add.reduceat(second.astype(np.int64), first), counts)  # where the second piece begins
             since = np.where(group[:, 1] == group[:, 2], np.arange(whole) + 1, np.where(second, end, other))
-            roots = bucket_roots(prints, np.repeat(np.arange(len(first)), sizes), radius, since)
+            roots = bucket_roots(prints, np.repeat(np.arange(len(first)), counts), sizes, radii, since)
             hit = np.flatnonzero(roots != np.arange(whole))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[hit], pa.int64()), pa.array(nodes[roots[hit]], pa.int64())], names=["a", "b"])
 
@@ -309,15 +343,15 @@ def near_by_pieces(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
 
 
 def describe(docs: DataFrame, method: Method, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, print and keys of each row of docs, kept in the shared folder."""
+    """doc_id, text_hash, print, keys and size (see Banded) of each row of docs, kept in the shared folder."""
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("_text"))
-    schema = T.StructType([*one.schema.fields[:2], T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*one.schema.fields[:2], T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
     names = [f.name for f in schema.fields]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [method.describe(t.as_py()) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.int64())], names=names)
 
     return cut(one.mapInArrow(kernel, schema))
 
@@ -331,11 +365,11 @@ def near_groups(docs: DataFrame, method: Method, text: str = "text") -> DataFram
     """
     n = shuffle_partitions(docs.sparkSession)
     rows = describe(docs, method, text)
-    classes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "text_hash").alias("keys")))
-    keyed = classes.where("node is not null").select(F.explode("keys").alias("key"), "node", "print")
-    found = cut(links_in_buckets(keyed.repartition(n, "key").sortWithinPartitions("key", "node"), method.lanes, method.radius))
+    classes = cut(rows.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "size"), "text_hash").alias("own")))
+    keyed = classes.where("node is not null").select(F.explode("own.keys").alias("key"), "node", "own.size", "print")
+    found = cut(links_in_buckets(keyed.repartition(n, "key").sortWithinPartitions("key", "node"), method.lanes, method.radii))
     large = found.where("b is null")
-    more = near_by_neighbours(large) if isinstance(method, Blocked) and method.radius == 2 else near_by_pieces(large, method.lanes, method.radius)
+    more = near_by_neighbours(large) if isinstance(method, Blocked) and method.radius == 2 else near_by_pieces(large, method.lanes, method.radii)
     links = found.where("b is not null").select("a", "b").unionByName(more)
     roots = connected_components(links)
     named = classes.select("print", "node").join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
