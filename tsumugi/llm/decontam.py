@@ -4,7 +4,7 @@ An item with n distinct shingles is contained in a document if at least t n of t
 of its shingles one occurs, and the item's MinHash sketch is just that many of its least hashes: a sketch whose length follows
 the item's size, with which no contained item is missed, however long the document. Items are partitioned by size; of a
 document only the partitions that it is large enough for matter, and of its hashes those below the partitions' largest
-sketch value. What they share makes a candidate, and candidates are compared on their shingles as text.
+sketch value. What they share makes a candidate, and a text's candidates are compared with it on their shingles as words.
 (Classic MinHash signatures on the document's side would lose short items in long documents, whose Jaccard similarity is
 next to 0.)
 """
@@ -17,15 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, mix, packed, rolling, rows_of, stored
+from tsumugi.llm.common import GOLDEN, mix, packed, rolling, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bits of the filter that spares the join most of the documents' hashes; a full one lets all pass.
-FILTER_BITS = 1 << 22
+#: The size of the filter that spares most documents and hashes what follows: for each hash, and at most (8 MB).
+BITS_A_HASH, MOST_BITS = 1024, 1 << 26
+#: Candidates that are checked against a text together.
+CANDIDATES = 256
 find_words = re.compile(r"[^\W_]+").findall
 
 
@@ -73,88 +75,143 @@ def sketches(items: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").mapInArrow(kernel, SKETCH)
 
 
-def filter_bits(sketch: DataFrame) -> np.ndarray:
-    """A bit for each value of the hashes' low bits that some sketch has: a fixed size, whatever the number of items."""
+def filter_bits(sketch: DataFrame) -> tuple[bytes, int]:
+    """A Bloom filter of the sketches' hashes as bytes, and its number of bits: BITS_A_HASH for each hash, MOST_BITS at most (a full one lets all pass)."""
+    size = min(MOST_BITS, 1 << max(16, int(sketch.count() * BITS_A_HASH).bit_length()))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[batch.column("hash").to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)] = True
+            for at in places_of(batch.column("hash").to_numpy().view(np.uint64), size):
+                bits[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in sketch.select("hash").coalesce(8).mapInArrow(kernel, "bits binary").toLocalIterator():
         out |= np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out).astype(bool)
+    return out.tobytes(), size
 
 
-def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """text_hash, item_id, n_shared and n_shingles of each text of docs and each item that it contains.
+def places_of(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's two places in a filter of that many bits (a power of 2)."""
+    return hashes & np.uint64(size - 1), (hashes >> np.uint64(26)) & np.uint64(size - 1)
 
-    Contained means that at least threshold of the item's distinct shingles (shingle words each; of an item with fewer
-    words, all of them) occur in the text. Words are lower-cased runs of letters and digits. Null and empty texts
-    contain nothing, items without words or an item_id are contained in nothing, equal texts count once (text_hash is
-    xxhash64 of the text), repeated items too. Either table may be empty.
+
+KEY = ["text_hash", "other"]
+
+
+def suspects(docs: DataFrame, items: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that may contain an item (doc_id, text_hash, other, text), and their candidates (text_hash, other, item_id).
+
+    text_hash and other are 128 bits of the text. Each text is read once; a size class of items matters only to texts with
+    as many distinct shingles as its smallest item needs.
     """
     sketch = stored(sketches(items, shingle, threshold))
     classes = sketch.groupBy("width", "size_class").agg(F.max(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))).alias("top")).collect()  # at most shingle x 64 rows
     widths = sorted({r["width"] for r in classes})
     bounds: dict[int, list[tuple[int, int]]] = {w: sorted((needed(1 << r["size_class"], threshold), r["top"] + (1 << 63)) for r in classes if r["width"] == w) for w in widths}
-    bits = np.packbits(filter_bits(sketch))
+    packed_bits, size = filter_bits(sketch)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(k, T.LongType()) for k in KEY], T.StructField("text", T.StringType()), T.StructField("hits", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("size", T.LongType())])))])
+    kinds = pa.list_(pa.struct([("hash", pa.int64()), ("size", pa.int64())]))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(bits).astype(bool)
+        known = np.unpackbits(np.frombuffer(packed_bits, np.uint8)).astype(bool)
         for batch in batches:
-            out: list[np.ndarray] = [np.empty(0, np.int64)]
-            owner: list[np.ndarray] = [np.empty(0, np.int64)]
-            for ids, texts in rows_of(iter([batch]), ["text_hash", "text"]):
-                for text_hash, text in zip(ids, texts, strict=True):
-                    words = words_of(text)
-                    for w in widths:
-                        own = shingle_hashes(words, [w])
-                        top = max((t for least, t in bounds[w] if least <= len(own)), default=-1)
-                        if top >= 0:
-                            own = own[(own <= np.uint64(top)) & known[own & np.uint64(FILTER_BITS - 1)]]
-                            out.append(own.view(np.int64))
-                            owner.append(np.full(len(own), text_hash))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owner)), pa.array(np.concatenate(out))], names=["text_hash", "hash"])
-
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    hits = texts.mapInArrow(probe, "text_hash long, hash long").join(sketch.select("item_id", "hash"), "hash")
-    pairs = stored(hits.select("text_hash", "item_id").distinct())
+            kept, hits = [], []
+            for k, text in enumerate(batch.column("text")):
+                words, found = words_of(text.as_py()), []
+                for w in widths:
+                    own = shingle_hashes(words, [w])  # sorted
+                    top = max((t for least, t in bounds[w] if least <= len(own)), default=-1)
+                    if top >= 0:
+                        low = own[: np.searchsorted(own, np.uint64(top), side="right")]
+                        x, y = places_of(low, size)
+                        found.extend({"hash": h, "size": len(own)} for h in low[known[x] & known[y]].view(np.int64).tolist())
+                if found:
+                    kept.append(k)
+                    hits.append(found)
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(hits, kinds)], names=schema.names)
+
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit("other"), "text").alias("other"), "text")
+    found = stored(texts.mapInArrow(probe, schema))
+    least = F.expr(f"greatest(ceil({threshold}D * shiftleft(1L, size_class) - 1e-9D), 1L)")
+    each = found.select(*KEY, F.explode("hits").alias("hit")).select(*KEY, F.col("hit.hash").alias("hash"), F.col("hit.size").alias("size")).distinct()
+    pairs = each.join(sketch.select("item_id", "hash", least.alias("least")), "hash").where("size >= least").select(*KEY, "item_id").distinct()
+    return found.select("doc_id", *KEY, "text"), stored(pairs)
+
+
+VERDICT = T.StructType([*[T.StructField(k, T.LongType()) for k in KEY], *[T.StructField(n, T.LongType()) for n in ("n_items", "item_id", "n_shared", "n_shingles")]])
+
+
+def verdicts(found: DataFrame, pairs: DataFrame, items: DataFrame, shingle: int, threshold: float, first: bool = False) -> DataFrame:
+    """text_hash, other, n_items, item_id, n_shared and n_shingles of each text that contains items: how many, and the best.
+
+    A text travels once for every CANDIDATES of its candidates, which are checked together while its shingles stream past; no
+    pair of a text and an item comes out. With first, only one of the items is looked for.
+    """
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null and item is not null").distinct()
+    counted = pairs.join(named, "item_id").withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
+    chunks = counted.groupBy(*KEY, F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / CANDIDATES)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    texts = found.dropDuplicates(KEY).select(*KEY, "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words, sets = None, [], {}
         for batch in batches:
             out: list[tuple] = []
-            for text_hash, text, item_id, item in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                own = words_of(item)
-                n = min(shingle, len(own))
-                if last != text:
-                    last, words, sets = text, words_of(text), {}
-                if n not in sets:
-                    sets[n] = shingle_set(words, n)
-                wanted = shingle_set(own, n)
-                shared = len(wanted & sets[n])
-                if shared >= needed(len(wanted), threshold):
-                    out.append((text_hash, item_id, shared, len(wanted)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["text_hash", "item_id", "n_shared", "n_shingles"])
-
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
-    both = texts.join(pairs, "text_hash").join(named, "item_id").select("text_hash", "text", "item_id", "item")
-    return stored(both.mapInArrow(verify, "text_hash long, item_id long, n_shared long, n_shingles long").distinct())
+            for text_hash, other, text, own in zip(*[batch.column(c) for c in (*KEY, "text", "items")], strict=True):
+                hits = items_in(words_of(text.as_py()), [(x["item_id"], x["item"]) for x in own.as_py()], shingle, threshold, first)
+                if hits:
+                    _, item, shared, n = min((-shared / n, item, shared, n) for item, shared, n in hits)
+                    out.append((text_hash.as_py(), other.as_py(), len({item for item, _, _ in hits}), item, shared, n))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=VERDICT.names)
+
+    each = texts.join(chunks, KEY).select(*KEY, "text", "items").mapInArrow(verify, VERDICT)
+    best = F.min_by(F.struct("item_id", "n_shared", "n_shingles"), F.struct(-F.col("n_shared") / F.col("n_shingles"), "item_id")).alias("best")
+    return each.groupBy(*KEY).agg(F.sum("n_items").alias("n_items"), best).select(*KEY, "n_items", "best.*")
+
+
+def items_in(words: list[str], items: list[tuple[int, str]], shingle: int, threshold: float, first: bool = False) -> list[tuple[int, int, int]]:
+    """(item_id, shared, size) of the items that are contained in the words: only the items' shingles are held, not the text's."""
+    wanted: dict[int, dict[tuple[str, ...], list[int]]] = {}
+    sizes, shared = [], [0] * len(items)
+    for k, (_, item) in enumerate(items):
+        own = words_of(item)
+        n = min(shingle, len(own))
+        of = shingle_set(own, n) if n else set()
+        sizes.append(len(of))
+        for s in of:
+            wanted.setdefault(n, {}).setdefault(s, []).append(k)
+    for n, index in wanted.items():
+        for i in range(len(words) - n + 1):
+            for k in index.pop(tuple(words[i : i + n]), ()):  # each shingle counts once
+                shared[k] += 1
+                if first and shared[k] >= needed(sizes[k], threshold):
+                    return [(items[k][0], shared[k], sizes[k])]
+    return [(items[k][0], shared[k], n) for k, n in enumerate(sizes) if n and shared[k] >= needed(n, threshold)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles and containment of each document and item that it contains, once each; see contained()."""
-    found = contained(docs, items, shingle, threshold)
-    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(found, "text_hash").distinct()
-    return named.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    """doc_id, n_items, item_id, n_shared, n_shingles and containment of each document that contains items: how many items,
+    and the one of which most is contained (of equal ones the smallest item_id).
+
+    Contained means that at least threshold of the item's distinct shingles (shingle words each; of an item with fewer
+    words, all of them) occur in the text. Words are lower-cased runs of letters and digits. Null and empty texts
+    contain nothing, items without words or an item_id are contained in nothing, repeated items (an item_id counts once)
+    and repeated rows of a document once; rows without a doc_id are one row each text. Either table may be empty; other
+    columns aren't read. Texts of any length are read whole.
+    """
+    found, pairs = suspects(docs, items, shingle, threshold)
+    named = found.select("doc_id", *KEY).distinct().join(verdicts(found, pairs, items, shingle, threshold), KEY)
+    return named.select("doc_id", "n_items", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text contains no item; rows with a null text stay."""
-    found = contained(docs, items, shingle, threshold).select("text_hash").distinct()
+    """The rows of docs, with all their columns, whose text contains no item (see contaminated()).
+
+    Rows with a null or empty text stay, repeated rows stay or go together; either table may be empty.
+    """
+    found, pairs = suspects(docs, items, shingle, threshold)
+    gone = verdicts(found, pairs, items, shingle, threshold, first=True).select(*KEY)
     _, rows = packed(docs)
-    return rows.withColumn("text_hash", F.xxhash64("row.text")).join(found, "text_hash", "left_anti").select("row.*")
+    return rows.withColumn("text_hash", F.xxhash64("row.text")).withColumn("other", F.xxhash64(F.lit("other"), "row.text")).join(gone, KEY, "left_anti").select("row.*")

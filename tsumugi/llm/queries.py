@@ -92,7 +92,8 @@ b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FRO
 bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b WHERE len(ws) >= 5)),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
 c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment FROM c JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_shingles
+SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n_items, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment FROM c JOIN n USING (item_id)
+WHERE 5 * n_shared >= 4 * n_shingles QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_shared / n_shingles DESC, item_id) = 1
 """
 
 
