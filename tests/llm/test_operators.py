@@ -356,9 +356,28 @@ def test_mixing(spark, docs, none):
     again = {(r["doc_id"], r["text"]): r["slot"] for r in mixing.mix_sources(docs.repartition(5), block=2).collect() if r["doc_id"] in (1, 6, 7, 10)}
     assert again == {(r["doc_id"], r["text"]): r["slot"] for r in found if r["doc_id"] in (1, 6, 7, 10)}
     assert mixing.mix_sources(none).count() == 0
-    many = spark.range(300).select("id", F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.col("id").cast("string").alias("source"))
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix_sources(many)
+
+
+def test_mixing_of_very_many_sources(spark, monkeypatch):
+    """Sources beyond the number of places share one, with their weights together, in the order of their deadlines."""
+    monkeypatch.setattr(mixing, "PLACES", 5)
+    rows = [(k, f"t{k}", f"s{k % 40}" if k < 400 else f"big{k % 4}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix_sources(df, block=4).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(1200)) and len({r["mix_order"] for r in found}) == 1200
+    place = lambda s: s if s.startswith("big") else "shared"
+    weights = {f"big{k}": 200**0.5 for k in range(4)} | {"shared": 40 * 10**0.5}
+    blocks = {p: -(-n // 4) for p, n in Counter(place(r["source"]) for r in found).items()}
+    names = {s: ("=" + s if s != "shared" else "+") for s in blocks}
+    order = simulated({names[s]: n for s, n in blocks.items()}, {names[s]: w for s, w in weights.items()}, mixing.PARTS)
+    assert {(r["slot"], names[place(r["source"])]) for r in found} == set(enumerate(order))
+    for r in found:
+        assert r["place"] < 4 and (place(r["source"]) != "shared" or r["weight"] < 0.02)
+    shared = [r["source"] for r in sorted(found, key=lambda r: r["mix_order"]) if place(r["source"]) == "shared"]
+    for k in range(10):  # sources of equal weight take turns
+        assert len(set(shared[40 * k : 40 * k + 40])) == 40
+    some = mixing.mix_sources(df, weights={"s0": 3.0, "big1": 1.0}, block=4).collect()
+    assert len({r["mix_order"] for r in some}) == 1200 and {r["source"] for r in sorted(some, key=lambda r: r["mix_order"])[:13]} == {"s0", "big1"}
 
 
 # --- 6

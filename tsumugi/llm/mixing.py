@@ -5,6 +5,8 @@ floor((i-1) D/c) and due before slot ceil(i D/c); each slot goes to the released
 after any number t of slots a source has had less than one block more or less than t c/D. The pattern repeats every D
 slots, so one period, worked out on the driver, places every block, and rows find their slots without exchanging anything.
 Once a source has run out, the others' weights are scaled up and a new pattern begins: no row is dropped or repeated.
+Of very many sources the largest are scheduled one by one; the others share one place in the schedule, with their weights
+together, and follow each other there by deadline.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import packed, shuffle_partitions
+from tsumugi.llm.common import packed, shuffle_partitions, stored
 
 #: Weights are rounded to this part (at least one for each source), and are reported so.
 PARTS = 10_000
 BLOCK = 64
-#: Sources, at most: more is an error, since a mixture names its sources. The driver's tables have MAX_SOURCES * PARTS numbers at most.
-MAX_SOURCES = 256
+#: Places in the schedule, at most: of more sources, those of the least weights share one. The driver's tables have PLACES * PARTS numbers at most.
+PLACES = 256
+#: Names of places: a source's, and that which sources share.
+ALONE, SHARED = "=", "+"
 
 
 def shares(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -94,6 +98,18 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], parts: int = PAR
     return out
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, ties: list[str], counts: DataFrame) -> DataFrame:
+    """rows with _k, their number (from 0) by the columns `order` (ranges of rows that follow each other) and ties.
+
+    counts: by, order and _n, the number of rows. Counts are summed up and rows numbered within their range: no group of
+    rows is brought together but one of a range.
+    """
+    window = Window.partitionBy(*by).orderBy(order)
+    before = counts.select(*by, order, (F.sum("_n").over(window) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*by, order).orderBy(*ties))
+    return rows.withColumn("_k", within).join(before, [*by, order]).withColumn("_k", F.col("_before") + F.col("_k") - 1).drop("_before")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, parts: int = PARTS, source: str = "source") -> DataFrame:
     """The rows of docs with block (of its source), slot, place (in the block), mix_order and weight.
 
@@ -101,10 +117,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     number of rows to the given power. Every row comes once: when a source has run out the others' weights are scaled up.
     Within a source the order is that of a hash of the doc_id and text. A null source is one of its own, named "" in
     weights; rows without a doc_id are ordered by their text; repeated rows take places beside each other; an empty table
-    gives no rows. More than MAX_SOURCES sources are an error. Columns of the five names give way.
+    gives no rows. Columns of the five names give way.
 
-    Rows are numbered without bringing a source together: hash ranges are counted, the counts summed up, and rows
-    numbered within their range.
+    Any number of sources is mixed: of more than PLACES, those beyond the PLACES - 1 of the largest weights share one place
+    of the schedule, whose blocks (block counts these) hold their rows by deadline, number / weight. The deviation of
+    less than one block then holds for the place as a whole.
     """
     new = ("block", "slot", "place", "mix_order", "weight")
     names = [c for c in docs.columns if c not in new]
@@ -112,11 +129,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     ranges = 1 << max(1, 4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()
     one = rows.select("row", F.coalesce(F.col(f"row.`{source}`").cast("string"), F.lit("")).alias("_source"), F.xxhash64("row.doc_id", "row.text").alias("_hash"), F.hash("row.doc_id", "row.text").alias("_tie"))
     one = one.withColumn("_range", F.shiftrightunsigned("_hash", 65 - ranges.bit_length()))
-    counts = one.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    sizes = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = schedule({s: -(-n // block) for s, n in sizes.items()}, weights if weights is not None else {s: n**power for s, n in sizes.items()}, parts)
+    counts = stored(one.groupBy("_source", "_range").agg(F.count("*").alias("_n")))
+    sized = counts.groupBy("_source").agg(F.sum("_n").alias("_rows"))
+    if weights is None:
+        weighed = sized.withColumn("_weight", F.pow(F.col("_rows").cast("double"), F.lit(float(power))))
+    else:
+        given = docs.sparkSession.createDataFrame([(str(s), float(w)) for s, w in weights.items()], "_source string, _weight double")
+        weighed = sized.join(given, "_source", "left").withColumn("_weight", F.greatest(F.coalesce("_weight", F.lit(0.0)), F.lit(0.0)))
+    weighed = stored(weighed)
+    alone = [tuple(r) for r in weighed.orderBy(F.desc("_weight"), "_source").limit(PLACES + 1).select("_source", "_rows", "_weight").collect()]
+    keyed = numbered(one, ["_source"], "_range", ["_hash", "_tie"], counts)  # beyond that rows are alike
+    lines, pooled = keyed.withColumn("_line", F.concat(F.lit(ALONE), "_source")).withColumn("_part", F.lit(1.0)), None
+    if len(alone) > PLACES:
+        alone = alone[: PLACES - 1]
+        rest = weighed.where(~F.col("_source").isin([s for s, _, _ in alone]))
+        n_rest, w_rest = rest.agg(F.sum("_rows"), F.sum("_weight")).first()
+        pooled = (SHARED, n_rest, w_rest)
+        lines = lines.where(F.col("_source").isin([s for s, _, _ in alone])).unionByName(shared_line(keyed, rest, ranges, w_rest))
+    sizes = {ALONE + s: (n, w) for s, n, w in alone} | ({SHARED: pooled[1:]} if pooled else {})
+    plan = schedule({s: -(-n // block) for s, (n, _) in sizes.items()}, {s: w for s, (_, w) in sizes.items()}, parts)
 
     def look_up(sources: pd.Series, blocks: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         slots, share = np.zeros(len(sources), np.int64), np.zeros(len(sources))
@@ -135,8 +166,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
         slots, share = look_up(sources, blocks)
         return pd.DataFrame({"slot": slots, "weight": share})
 
-    before = counts.select("_source", "_range", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_hash", "_tie"))  # beyond that rows are alike
-    numbered = one.withColumn("_k", within).join(before, ["_source", "_range"]).withColumn("_k", F.col("_before") + F.col("_k") - 1)
-    found = numbered.select("row", F.expr(f"_k div {block}").alias("block"), (F.col("_k") % block).alias("place"), placed("_source", F.expr(f"_k div {block}")).alias("_at"))
-    return found.select("row.*", "block", F.col("_at.slot").alias("slot"), "place", (F.col("_at.slot") * block + F.col("place")).alias("mix_order"), F.col("_at.weight").alias("weight"))
+    found = lines.select("row", "_part", F.expr(f"_k div {block}").alias("block"), (F.col("_k") % block).alias("place"), placed("_line", F.expr(f"_k div {block}")).alias("_at"))
+    return found.select("row.*", "block", F.col("_at.slot").alias("slot"), "place", (F.col("_at.slot") * block + F.col("place")).alias("mix_order"), (F.col("_at.weight") * F.col("_part")).alias("weight"))
+
+
+def shared_line(keyed: DataFrame, rest: DataFrame, ranges: int, weight: float) -> DataFrame:
+    """The rows of the sources in rest, numbered together by deadline; those without a weight come last. _part is a source's part of the weight.
+
+    A row's deadline lies at a place of its own (by its hash) within its source's period, so that no deadline is common to many rows.
+    """
+    own = keyed.join(rest.drop("_rows"), "_source")
+    within = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
+    due = own.withColumn("_due", (F.col("_k") + within) / F.greatest("_weight", F.lit(1e-30)))
+    bounds = np.unique(np.array(due.agg(F.percentile_approx("_due", [(k + 1) / ranges for k in range(ranges)], 20 * ranges)).first()[0] or [], float))
+
+    @F.pandas_udf("long")
+    def range_of(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, values.to_numpy(float), side="left"))
+
+    ranged = due.withColumn("_range", range_of("_due"))
+    counts = stored(ranged.groupBy("_range").agg(F.count("*").alias("_n")))
+    again = numbered(ranged.drop("_k"), [], "_range", ["_due", "_hash", "_tie"], counts)
+    return again.select("row", "_source", "_hash", "_tie", "_range", "_k", F.lit(SHARED).alias("_line"), (F.col("_weight") / weight if weight else F.lit(1.0)).alias("_part"))

@@ -35,8 +35,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"))  # the order needs no more of a text
-    return mixing.mix_sources(docs).select("doc_id", "source", "block", "slot", "place", "mix_order", "weight")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
