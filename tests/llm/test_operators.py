@@ -40,7 +40,9 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.edited_fingerprints(none).count() == 0
     single = fingerprints.edited_fingerprints(docs.where("doc_id = 10")).first()
     assert single["near_next"] == 1.0
-    assert len(fingerprints.edited_fingerprints(docs).collect()) == len(ROWS)
+    every = fingerprints.with_near(fingerprints.edited_fingerprints(docs)).collect()
+    assert len(every) == len(ROWS) and all(r["near_next"] == 1.0 and r["n_near"] is None for r in every if r["doc_id"] is None)
+    assert fingerprints.with_near(fingerprints.edited_fingerprints(none)).count() == 0
 
 
 def test_fingerprints_of_near_texts_are_near(spark):
@@ -61,8 +63,50 @@ def test_search_finds_all_within_the_radius(spark):
     found = {(r["query"], r["found"]): r["distance"] for r in fingerprints.search(df, df, 3).collect()}
     own = {(a, b): d for a in set(prints) for b in set(prints) if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 3}
     assert found == own
-    with pytest.raises(ValueError, match="blocks"):
-        fingerprints.search(df, df, 8)
+    assert fingerprints.search(df.limit(0), df, 3).count() == 0 == fingerprints.search(df, df.limit(0), 3).count()
+    with pytest.raises(ValueError, match="radius"):
+        fingerprints.search(df, df, 16)
+
+
+def plain_print(text):
+    """Term by term and bit by bit: words and pairs of words, weighted by 1 + floor(log2 count), vote on 128 signed bits."""
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    golden = 0x9E3779B97F4A7C15
+    own = [xxhash.xxh3_64_intdigest(w.encode()) for w in words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))]
+    counts = Counter([mixed(x) for x in own] + [mixed((x * golden + y) % 2**64) for x, y in zip(own, own[1:], strict=False)])
+    out = ""
+    for lane in (1, 2):
+        votes = [0] * 64
+        for term, n in counts.items():
+            h = mixed((term + lane * golden) % 2**64)
+            for b in range(64):
+                votes[b] += n.bit_length() if h >> b & 1 else -n.bit_length()
+        out += f"{sum(1 << b for b in range(64) if votes[b] > 0):016x}"
+    return out
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    """Every column of the query over all documents of the smallest tables, the search included."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {r["doc_id"]: r for r in queries.op1_fingerprints(spark, SF).collect()}
+    order = sorted(docs, reverse=True)
+    prints = {i: plain_print(t) for i, t in docs.items()}
+    alike = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    assert sorted(found) == sorted(docs)
+    for k, i in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        n = len(docs[i]) // 3
+        edited = docs[i][: len(docs[i]) - n] + docs[after][:n]
+        r, other = found[i], plain_print(edited)
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(docs[i]), hashlib.sha256(edited.encode()).hexdigest(), prints[i], other)
+        assert (r["near_edited"], r["near_next"]) == (alike(prints[i], other), alike(prints[i], prints[after]))
+        assert r["n_near"] == (sum((int(prints[i], 16) ^ int(p, 16)).bit_count() <= fingerprints.RADIUS for p in prints.values()) if i % 20 == 0 else None)
 
 
 # --- 2

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -18,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, mix, shuffle_partitions, word_hashes
+from tsumugi.llm.common import GOLDEN, mix, shuffle_partitions, stored, word_hashes
 
 #: 64-bit lanes of a fingerprint.
 LANES = 2
-#: Ranges of ids, at most: their cuts come to the driver. A range of any size streams past in its order.
-MOST_RANGES = 10_000
+#: Bits in which two fingerprints may differ for the search of the query.
+RADIUS = 3
 #: Terms that vote in one matrix.
 STEP = 1 << 15
 
@@ -79,25 +78,40 @@ def differing_bits(a: Column, b: Column) -> Column:
     return sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(1, 2 * LANES)), F.bit_count(part(a, 0).bitwiseXOR(part(b, 0))))
 
 
-def search(queries: DataFrame, index: DataFrame, radius: int, blocks: int = 8) -> DataFrame:
+def block_tables(prints: Column, radius: int) -> Column:
+    """The keys of a fingerprint in the permuted tables: one for each of radius + 1 blocks of its bits, with the block in front."""
+    n = radius + 1
+    width = 32 * LANES // 2 // n  # hex digits of a block; the last has the rest
+    return F.array(*[F.concat(F.lit(f"{k}:"), F.substring(prints, width * k + 1, width if k < n - 1 else 32)) for k in range(n)])
+
+
+def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs (query, found, distance) of fingerprints at most radius bits apart.
 
-    A fingerprint is cut into blocks. Those that differ in at most radius bits agree on blocks - radius of them at least,
-    so one table for each choice of that many blocks, keyed by their bits, finds them all: an equi-join on (table, key),
-    whose rows are then compared. Equal fingerprints count once on either side (join documents to the result by their
-    fingerprint); nulls are ignored; an empty side gives no pairs. blocks divides 32 and exceeds radius.
+    A fingerprint is cut into radius + 1 blocks. Those that differ in at most radius bits agree in one block at least, so as
+    many tables, each permuted to begin with another block and keyed by it, find them all: an equi-join on (table, block), whose
+    rows are then compared; a pair counts in the first of its tables. Equal fingerprints count once on either side (join
+    documents to the result by their fingerprint); nulls are ignored; an empty side gives no pairs. radius is 15 at most.
+    Rows of a block that many fingerprints share are dealt over all partitions.
     """
-    if not 0 <= radius < blocks or 32 % blocks:
-        raise ValueError("blocks must divide 32 and be greater than radius")
-    width = 8 * LANES * 2 // blocks  # hex digits of a block
+    if not 0 <= radius < 16:
+        raise ValueError("radius must be 0 to 15")
 
     def tables(df: DataFrame, name: str) -> DataFrame:
         one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        keys = [F.concat(F.lit(f"{n}:"), *[F.substring(name, width * b + 1, width) for b in chosen]) for n, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-        return one.select(name, F.explode(F.array(*keys)).alias("_key"))
+        return one.select(name, F.posexplode(block_tables(F.col(name), radius)).alias("_table", "_block"))
 
-    pairs = tables(queries, "query").join(tables(index, "found"), "_key").select("query", "found", differing_bits(F.col("query"), F.col("found")).alias("distance"))
-    return pairs.where(F.col("distance") <= radius).distinct()
+    asked, known = tables(queries, "query"), tables(index, "found")
+    parts = shuffle_partitions(index.sparkSession)
+    crowd = stored(known.join(asked.select("_block").distinct(), "_block", "left_semi").groupBy("_block").agg(F.count("*").alias("n")))
+    share = (crowd.agg(F.sum("n")).first()[0] or 0) // parts + 1
+    hot = [r[0] for r in crowd.where(F.col("n") > share).select("_block").collect()]  # fewer than parts
+    is_hot = F.col("_block").isin(hot) if hot else F.lit(False)
+    dealt = known.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("found"), F.lit(parts)).cast("int")).otherwise(0))
+    every = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, parts - 1).otherwise(0))))
+    first = F.array_position(F.zip_with(block_tables(F.col("query"), radius), block_tables(F.col("found"), radius), lambda a, b: a == b), True) - 1
+    pairs = dealt.join(every, ["_block", "_salt", "_table"]).select("query", "found", "_table", differing_bits(F.col("query"), F.col("found")).alias("distance"))
+    return pairs.where((F.col("distance") <= radius) & (F.col("_table") == first)).select("query", "found", "distance")
 
 
 EDITED = T.StructType(
@@ -110,27 +124,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next smaller doc_id; after the smallest comes the largest. In the edited text the
     last third (floor) of the code points gives way to the first as many (or all) of the next document's. Documents of one
-    doc_id follow each other by text; those without a doc_id come last of all, and after them the largest doc_id. A null
+    doc_id follow each other by text; those without a doc_id stand outside this order, each its own next. A null
     text counts as empty; an empty table gives no rows; a single document is its own next.
 
     The ids are cut into ranges at sampled ids, and the document at each cut also goes to the range above, so that each
     range is worked through in order by one task, on its own: one shuffle of the texts, no global order.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(docs.sparkSession)
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = min(4 * n, MOST_RANGES)
-    found = one.agg(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts)], 20 * parts)).first()[0]
+    found = one.agg(F.percentile_approx("doc_id", [(k + 1) / n for k in range(n)], 100 * n)).first()[0]
     cuts = np.unique(np.array([x for x in found or [] if x is not None], dtype=np.int64))
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="left")).astype("int32"))
+    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="left")
+        return pd.Series(np.where(ids.isna(), hashes % n, own).astype("int32"))
 
-    own = one.withColumn("part", part_of("doc_id")).withColumn("copy", F.lit(False))
+    own = one.withColumn("part", part_of("doc_id", F.xxhash64("text"))).withColumn("copy", F.lit(False))
     bounds = one.where(F.col("doc_id").isin([int(x) for x in cuts])) if len(cuts) else one.limit(0)
-    copies = bounds.withColumn("part", (part_of("doc_id") + 1) % F.lit(max(1, len(cuts)))).withColumn("copy", F.lit(True))
-    ordered = own.unionByName(copies).repartition(n, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
+    copies = bounds.withColumn("part", ((part_of("doc_id", F.lit(0).cast("long")) + 1) % F.lit(max(1, len(cuts)))).cast("int")).withColumn("copy", F.lit(True))
+    ordered = own.unionByName(copies).repartitionById(n, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (part, doc_id, text, fingerprint) of the row that waits for its next
@@ -138,6 +151,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for row in zip(batch.column("part"), batch.column("copy"), batch.column("doc_id"), batch.column("text"), strict=True):
                 part, copy, doc_id, text = (x.as_py() for x in row)
+                if doc_id is None:
+                    lanes = simhash(text)
+                    out.append(edited((part, None, text, lanes), text, lanes))
+                    continue
                 if copy and last is None:
                     continue
                 if last is not None and last[0] != part:
@@ -156,6 +173,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(kernel, EDITED)
 
 
+def with_near(found: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame:
+    """found (doc_id, fingerprint and others; kept once) with n_near: for the rows whose doc_id is divisible by `every`, how
+    many rows have a fingerprint at most radius bits from theirs, their own included; null for the others.
+    """
+    found = stored(found)
+    counts = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    asked = found.where(F.col("doc_id") % every == 0).select("doc_id", "fingerprint").distinct()
+    pairs = search(asked, found.select("fingerprint"), radius)
+    near = pairs.join(counts.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(F.sum("n").alias("n_near"))
+    by_id = asked.join(near, asked["fingerprint"] == near["query"]).select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print"), "n_near")
+    both = (found["doc_id"] == by_id["_id"]) & (found["fingerprint"] == by_id["_print"])
+    return found.where(F.col("doc_id") % every == 0).join(by_id, both).select(*[found[c] for c in found.columns], "n_near").unionByName(found.where(~F.coalesce(F.col("doc_id") % every == 0, F.lit(False))).withColumn("n_near", F.lit(None).cast("long")))
+
+
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 

@@ -15,7 +15,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.with_near(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
