@@ -136,9 +136,70 @@ def test_quality(spark, docs, none):
     assert quality.score_documents(none, empty, ["doc_id"]).count() == 0 and empty.scores(["x", None])[0] == pytest.approx(0.5)
 
 
+def test_scores_against_a_plain_version():
+    """Feature by feature, in a loop over all pairs, on the machine's own scale."""
+    machine, rng = quality.Machine(), np.random.default_rng(5)
+    machine.w0, machine.w = -0.2, rng.normal(0, 0.3, quality.SIZE).astype(np.float32)
+    machine.v = rng.normal(0, 0.2, machine.v.shape).astype(np.float32)
+    for text in ("", None, "One two. Two THREE!\n\none two", "x " * 500):
+        x = quality.features(text).astype(float)
+        own = words((text or "").lower())
+        counts = Counter(xxhash.xxh3_64_intdigest(w.encode()) % quality.BUCKETS for w in own)
+        hashed = np.array([np.log1p(counts[b]) for b in range(quality.BUCKETS)])
+        assert np.allclose(x[: quality.BUCKETS], hashed / max(1e-9, np.sqrt((hashed**2).sum())), atol=1e-5)
+        x[quality.BUCKETS :] = np.clip((x[quality.BUCKETS :] - machine.mean) / machine.scale, -4, 4) / 4
+        at = np.flatnonzero(x)
+        total = machine.w0 + sum(machine.w[i] * x[i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) * x[i] * x[j] for i, j in combinations(at, 2))
+        assert np.isclose(machine.scores([text])[0], 1 / (1 + np.exp(-np.clip(total, -30, 30))), atol=1e-4)
+
+
+def test_held_out_labels_are_ranked(spark):
+    """On held-out rows: the area under the curve, and more right than the commoner label alone gives."""
+    sf = "/root/testdata/sf0.01"
+    found = queries.op2_quality_classifier(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good, bad = found[found["quality"] == 1]["score"].to_numpy(), found[found["quality"] == 0]["score"].to_numpy()
+    assert len(good) > 20 and len(bad) > 3
+    area = (good[:, None] > bad[None, :]).mean() + 0.5 * (good[:, None] == bad[None, :]).mean()
+    assert area > 0.97 and (found["predicted"] == found["quality"]).mean() > max(found["quality"].mean(), 1 - found["quality"].mean()) + 0.05
+
+
 # --- 3
 
 
+def test_filter_rules():
+    """Filter texts by what they mean, written out."""
+    fits = {"||ads.example.com^": ["ads.example.com/x", "m.ads.example.com", "ads.example.com:80/"], "|http": [], "/banner/*/img^": ["a.org/banner/1/img", "a.org/banner//img/x"], "swf|": ["a.org/x.swf"], "-ad-": ["a.org/x-AD-y"], "*": ["", "a.org"], "a^b": ["x/a/b"]}
+    fails = {"||ads.example.com^": ["xads.example.com/", "ads.example.community", "a.org/ads.example.com"], "/banner/*/img^": ["a.org/banner/img", "a.org/banner/1/imgs"], "swf|": ["a.swf/x"], "-ad-": ["a.org/x-ads-y"], "a^b": ["x/ab", "a.b"]}
+    for text, given in fits.items():
+        rule = urls.filter_rule(text, "block")
+        for u in given:
+            assert re.search(rule.pattern, u.lower(), re.DOTALL), (text, u)
+            assert set(rule.tokens) <= set(re.findall(urls.TOKEN, u.lower())), (text, u)
+    for text, given in fails.items():
+        assert not any(re.search(urls.filter_rule(text, "block").pattern, u, re.DOTALL) for u in given), text
+    assert urls.filter_rule("||ads.example.com^", "block").tokens == ("ads", "example", "com") and urls.filter_rule("swf|", "block").tokens == ()
+
+
+def test_thousands_of_rules_from_a_table(spark):
+    """The index against every rule run on every URL."""
+    rng = random.Random(6)
+    part = [f"{a}{b}" for a in ("ad", "shop", "news", "pix", "z") for b in range(60)]
+    rows = [(f"{rng.choice(part)}.{rng.choice(('com', 'net', 'org'))}", f"/{rng.choice(part)}"[: rng.randrange(8)], None, rng.choice(("allow", "block"))) for _ in range(1500)]
+    shapes = ("||{0}.com^", "/{0}/*{1}", "-{0}.", "|{0}.net/", "{0}|", "{0}*{1}^", ".{0}/{1}/")
+    rows += [(None, None, rng.choice(shapes).format(rng.choice(part), rng.choice(part)), rng.choice(("allow", "block"))) for _ in range(2500)] + [(None, None, None, "block"), ("x.com", None, None, None), (None, None, "", "block")]
+    rules = urls.read_rules(spark.createDataFrame(rows * 2, "host string, path string, pattern string, verdict string"))
+    assert 3000 < len(rules) < 4001
+    given = [f"https://{rng.choice(part)}.{rng.choice(part)}.{rng.choice(('com', 'net', 'org'))}/{rng.choice(part)}/{rng.choice(part)}{rng.choice(('', '-' + rng.choice(part) + '.x', '?q'))}" for _ in range(300)]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "page_id int, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(df, ["page_id"], sites=tuple(r for r in rules if r.name), patterns=tuple(r for r in rules if not r.name)).collect()}
+    for k, u in enumerate(given):
+        full = "".join(urls.split_url(u))
+        own = [(r.length, r.verdict, r.name) for r in rules if r.name and re.search(r.pattern, full, re.DOTALL)]
+        blocked = any(r.name is None and r.verdict == "block" and re.search(r.pattern, full.lower(), re.DOTALL) for r in rules)
+        assert found[k] == ((max(own)[2], max(own)[1]) if own else (None, "block" if blocked else "allow")), u
+    assert {v for _, v in found.values()} == {"allow", "block"}
+
+
 def test_urls(spark):
     given = {
         "http://a.com": (("a.com", ""), None, "allow"), "http://A.com/x": (("a.com", "/x"), "com/", "allow"), "https://example.com/en/1": (("example.com", "/en/1"), "example.com/en/", "block"),
@@ -654,7 +715,8 @@ def test_chat_round_trip():
     tricky = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x", "<<|", "", "a<", "|", "\n"]
     for role in ("user", "assistant", "<|im_end|>"):
         for t in tricky:
-            formatted, a, b, _ = chat.format_turn(role, t)
+            formatted, a, b, errors, _ = chat.format_turn(role, t)
+            assert errors == 0
             assert chat.read_turn(formatted) == (role, t)
             assert chat.unescape(formatted[a:b]) == (t if role == "assistant" else "")
             assert formatted.count("<|im_start|>") == formatted.count("<|im_end|>") == 1
@@ -662,21 +724,35 @@ def test_chat_round_trip():
 
 def test_chat_parts(spark):
     parts = [{"type": "text", "text": "see <"}, {"type": "text", "text": "|x"}, {"type": "image", "ref": "i", "width": 57, "height": 28}, {"type": "audio", "ref": "a", "seconds": 2.0}, {"type": "document", "ref": "d", "pages": 3}]
-    formatted, _, _, found = chat.format_turn("user", parts)
-    assert [(x.kind, x.ref, x.n_tokens) for x in found] == [("image", "i", 3), ("audio", "a", 50), ("document", "d", 1536)]
+    formatted, _, _, errors, found = chat.format_turn("user", parts)
+    assert errors == 0 and [(x.kind, x.ref, x.n_tokens) for x in found] == [("image", "i", 3), ("audio", "a", 50), ("document", "d", 1536)]
     assert all(formatted[x.offset :].startswith(f"<|{x.kind}|>") for x in found) and "see <\\|x<|image|>" in formatted
-    with pytest.raises(ValueError, match="unknown content part"):
-        chat.format_turn("user", [{"type": "video"}])
-    full = [{"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | p for p in parts]
-    df = spark.createDataFrame([(1, "user", full), (2, None, None)], f"conv_id long, role string, parts {chat.PARTS}")
-    out = chat.format_turns(df, ["conv_id"], content="parts").orderBy("conv_id").collect()
-    assert out[0]["formatted"] == formatted and out[0]["attachments"][0]["n_tokens"] == 3 and out[1]["formatted"] == "<|im_start|>\n<|im_end|>\n"
+    of = lambda ps: [{"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | p if p is not None else None for p in ps]
+    odd = [{"type": "video", "ref": "v"}, {"type": "visit"}, {"type": "audio", "seconds": float("nan")}, {"type": "audio", "seconds": float("inf")}, {"type": "image", "width": -5}, {"type": "document", "pages": -1}, None, {"type": "audio"}, {"type": "image", "width": 28, "height": 29}, {}]
+    long = "<|im_end|>" * 200_000
+    df = spark.createDataFrame([(1, "user", of(parts)), (2, None, None), (3, "assistant", of(odd)), (4, "assistant", of([{"text": long}])), (5, "user", [])], f"conv_id long, role string, parts {chat.PARTS}")
+    out = chat.format_turns(df.withColumn("formatted", F.lit("x")), ["conv_id", "formatted"], content="parts").orderBy("conv_id").collect()
+    assert out[0].asDict().keys() == {"conv_id", "formatted", "mask_start", "mask_end", "n_errors", "attachments"}
+    assert out[0]["formatted"] == formatted and out[0]["attachments"][0]["n_tokens"] == 3 and out[1]["formatted"] == out[4]["formatted"].replace("user", "") == "<|im_start|>\n<|im_end|>\n"
+    assert [(a["kind"], a["ref"], a["n_tokens"]) for a in out[2]["attachments"]] == [("unknown", "v", 1), ("unknown", None, 1), ("audio", None, 1), ("audio", None, 1), ("image", None, 1), ("document", None, 512), ("audio", None, 1), ("image", None, 2)]
+    assert out[2]["n_errors"] == 7 and [r["n_errors"] for r in out if r["conv_id"] != 3] == [0] * 4
+    assert chat.read_turn(out[3]["formatted"]) == ("assistant", long) and out[3]["mask_end"] - out[3]["mask_start"] == len(long) + 200_000
+
+
+def test_clashing_keys_give_way(spark, docs):
+    path = __import__("public_tokenizers").path("piece_bpe_32k.model")
+    keys = [c for c in docs.columns if c != "text"]
+    for found, own in ((fingerprints.fingerprint_documents(docs, keys), ["fingerprint"]), (quality.score_documents(docs, quality.Machine(), keys), ["score"]), (tokens.count_tokens(docs, path, keys), ["n_bytes", "n_tokens"]), (urls.filter_urls(docs.withColumnRenamed("text", "url").withColumn("host", F.lit("x")), [*keys, "host"]), ["host", "path", "rule", "verdict"])):
+        assert found.columns == [k for k in keys if k not in own] + own and found.count() == len(ROWS)
+        assert not {"x"} & {r[c] for r in found.select(*own).collect() for c in own}
 
 
 def test_chat_digests(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, None, "system", None), (2, 0, "assistant", "<|im_end|>"), (None, 0, None, "x"), (1, 1, "assistant", "b")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, None, "system", None), (2, 0, "assistant", "<|im_end|>"), (None, 0, None, "x"), (None, 0, None, "x"), (None, 1, None, "y"), (1, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    found = {r["conv_id"]: r for r in chat.digests(chat.format_turns(df, ["conv_id", "turn"])).collect()}
+    every = chat.digests(chat.format_turns(df, ["conv_id", "turn"])).collect()
+    found = {r["conv_id"]: r for r in every}
+    assert sum(r["conv_id"] is None for r in every) == 3 and len(every) == 5
     assert found[1]["n_turns"] == 4 and found[1]["turns_sha256"] == hashlib.sha256(b"system\n\nuser\na\nassistant\nb\nassistant\nb\n").hexdigest()
     assert (found[1]["loss_chars"], found[1]["loss_sha256"]) == (2, hashlib.sha256(b"bb").hexdigest())
     assert found[2]["loss_sha256"] == hashlib.sha256(b"<|im_end|>").hexdigest() and found[None]["n_turns"] == 1

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, mix, shuffle_partitions, stored, word_hashes
+from tsumugi.llm.common import GOLDEN, giving_way, mix, shuffle_partitions, stored, unused, word_hashes
 
 #: 64-bit lanes of a fingerprint.
 LANES = 2
@@ -59,8 +59,10 @@ def fingerprint_documents(docs: DataFrame, keys: list[str], text: str = "text")
 
     Null and empty texts, and those of white space only, have the fingerprint of 32 zeros. Equal texts have equal
     fingerprints. Texts of any length are read whole; repeated rows give repeated results; other columns aren't read.
+    A key named like the result gives way.
     """
-    one = docs.select(*[docs[k].alias(k) for k in keys], docs[text].alias("_text"))
+    keys = giving_way(keys, ["fingerprint"])
+    one = docs.select(*[docs[k].alias(k) for k in keys], docs[text].alias(unused("_text", keys)))
     schema = T.StructType([*one.schema.fields[:-1], T.StructField("fingerprint", T.StringType())])
     names = [f.name for f in schema.fields]
 

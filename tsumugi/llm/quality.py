@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import word_hashes
+from tsumugi.llm.common import giving_way, unused, word_hashes
 
 #: Hashed words, bytes that are counted one by one, and other statistics.
 BUCKETS = 1024
@@ -143,8 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: i
 
 
 def score_documents(docs: DataFrame, machine: Machine, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and score (0 to 1) of each row of docs, in one pass without a shuffle; null texts score as empty ones."""
-    one = docs.select(*[docs[k].alias(k) for k in keys], docs[text].alias("_text"))
+    """keys and score (0 to 1) of each row of docs, in one pass without a shuffle; null texts score as empty ones.
+
+    Repeated rows give repeated results, an empty table none; other columns aren't read; a key named like the result gives way.
+    """
+    keys = giving_way(keys, ["score"])
+    one = docs.select(*[docs[k].alias(k) for k in keys], docs[text].alias(unused("_text", keys)))
     schema = T.StructType([*one.schema.fields[:-1], T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema.fields]
 
@@ -160,7 +164,11 @@ def score_documents(docs: DataFrame, machine: Machine, keys: list[str], text: st
 
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least the threshold; in one pass without a shuffle."""
+    """The rows of docs, with all their columns, whose text scores at least the threshold; in one pass without a shuffle.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; a score equal to the threshold stays; an empty
+    table gives none.
+    """
     at = docs.columns.index(text)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, MIX_1, MIX_2, rows_of
+from tsumugi.llm.common import GOLDEN, MIX_1, MIX_2, giving_way, rows_of, unused
 
 SPACE = "▁"
 NONE = np.int64(1 << 40)
@@ -183,17 +183,19 @@ def count_tokens(docs: DataFrame, model_file: str, keys: list[str], text: str =
     """keys, n_bytes and n_tokens of each row of docs; the model file must be at that path on every executor.
 
     One row a document, in one pass without a shuffle. A null or empty text has 0 bytes and 0 tokens; repeated rows give
-    repeated results; a text of any length is counted whole; other columns of docs aren't read.
+    repeated results; a text of any length is counted whole; other columns of docs aren't read; a key
+    named like a result gives way.
     """
-    one = docs.select(*[docs[k].alias(k) for k in keys], docs[text].alias("_text"))
+    keys = giving_way(keys, SCHEMA.names)
+    one = docs.select(*[docs[k].alias(k) for k in keys], docs[text].alias(unused("_text", keys)))
     schema = T.StructType([*one.schema.fields[:-1], *SCHEMA.fields])
-    arrow = [f.name for f in schema.fields]
+    arrow, own_text = [f.name for f in schema.fields], [one.columns[-1]]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = loaded(model_file)
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for (texts,) in rows_of(iter([batch]), ["_text"]):
+            for (texts,) in rows_of(iter([batch]), own_text):
                 n_bytes += [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
                 n_tokens += merges.counts(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=arrow)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsumugi.llm.common import giving_way, unused
+
 TOKEN = r"[a-z0-9]+"
 
 
@@ -39,6 +41,34 @@ def pattern_rule(pattern: str, verdict: str, *tokens: str) -> Rule:
     return Rule(None, pattern, verdict, tokens)
 
 
+def filter_rule(text: str, verdict: str) -> Rule:
+    """A rule from a filter's text: * stands for any characters, ^ for a separator (none of a-z, 0-9, % . _ -) or the end, || in
+    front for the begin of a host or subdomain, | in front or behind for the begin or end. It fits anywhere in host + path.
+
+    Tokens are the text's runs of a-z and 0-9 that can't go on in the URL: another character or an anchor is on either side.
+    """
+    own = text.translate(LOWER)
+    head = r"\A(?:[^/]*\.)?" if own.startswith("||") else r"\A" if own.startswith("|") else ""
+    tail = r"\Z" if own.endswith("|") and own.strip("|") else ""
+    body = own.strip("|")
+    pattern = "".join(".*" if c == "*" else r"(?:[^a-z0-9%._-]|\Z)" if c == "^" else re.escape(c) for c in body)
+    marked = ("/" if head else "*") + body + ("/" if tail else "*")
+    return Rule(None, head + pattern + tail, verdict, tuple(dict.fromkeys(re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", marked))))
+
+
+def read_rules(rules: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table of host, path, pattern and verdict: a site rule where host isn't null, else a filter's text in pattern.
+
+    A table of rules is configuration: it comes to the driver and each executor holds all of it. Rows without a verdict, or
+    without host and pattern, are ignored; of equal rows one counts; their order doesn't matter.
+    """
+    out = set()
+    for r in rules.select("host", "path", "pattern", "verdict").distinct().collect():
+        if r["verdict"] is not None and (r["host"] is not None or r["pattern"]):
+            out.add(site_rule(r["host"], r["path"] or "", r["verdict"]) if r["host"] is not None else filter_rule(r["pattern"], r["verdict"]))
+    return tuple(sorted(out, key=lambda r: (r.name or "", r.pattern, r.verdict)))
+
+
 #: Site rules: the longest that fits decides.
 SITE_RULES = (
     site_rule("com", "/", "allow"),
@@ -90,7 +120,7 @@ class Index:
             for r, pattern in self.by_token.get(token, ()):
                 if r.name is None:
                     blocked = blocked or r.verdict == "block" and bool(pattern.search(full.translate(LOWER)))
-                elif (best is None or r.length > best.length) and pattern.search(full):
+                elif (best is None or (r.length, r.verdict) > (best.length, best.verdict)) and pattern.search(full):
                     best = r
         return host, path, best and best.name, best.verdict if best else "block" if blocked else "allow"
 
@@ -106,13 +136,15 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url") ->
 def filter_urls(pages: DataFrame, keys: list[str], url: str = "url", sites: tuple[Rule, ...] = SITE_RULES, patterns: tuple[Rule, ...] = PATTERN_RULES) -> DataFrame:
     """keys, host, path, rule and verdict (allow or block) of each row of pages.
 
-    The longest site rule that fits decides; where none fits, a pattern that blocks; else the URL is allowed. A URL that is
+    The longest site rule that fits decides (of equal ones one that blocks); where none fits, a pattern that blocks; else the URL is allowed.
+    sites and patterns may come from a table (read_rules). A URL that is
     null, empty or without :// has an empty host and path, no rule, and is allowed. Repeated rows give repeated results;
-    only the keys and the URLs are read. No shuffle but for the token counts.
+    only the keys and the URLs are read; a key named like a result gives way. No shuffle but for the token counts.
     """
+    keys = giving_way(keys, ["host", "path", "rule", "verdict"])
     rules = (*sites, *patterns)
     counts = token_counts(pages, rules, url)
-    one = pages.select(*[pages[k].alias(k) for k in keys], pages[url].alias("_url"))
+    one = pages.select(*[pages[k].alias(k) for k in keys], pages[url].alias(unused("_url", keys)))
     schema = T.StructType([*one.schema.fields[:-1], *[T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")]])
     names = [f.name for f in schema.fields]
 
