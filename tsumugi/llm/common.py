@@ -27,6 +27,19 @@ def packed(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[list[str], Dat
     return names, df.select(F.struct(*[df[c] for c in names]).alias("row"), *[df[c] for c in without if c in df.columns])
 
 
+def giving_way(keys: list[str], results: list[str]) -> list[str]:
+    """The keys but for those named like a result, which give way to it."""
+    return [k for k in keys if k not in results]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind it as no column of that name needs (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -74,21 +87,21 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def hot_join(many: DataFrame, one: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """many joined with one, which has a row for each value of keys (whole numbers) at most and, as count, how many rows of many have it.
+    """many joined with one, which has a row for each value of keys at most and, as count, how many rows of many have it.
 
-    Keys with more rows than a shuffle partition's fair share, of which there can't be more than partitions, are matched by
-    a broadcast; the other keys' rows are shuffled, and the matched ones with them, spread by a hash of all their columns.
-    one is read three times: keep it stored. Its columns come behind many's, without keys and count.
+    Keys with more rows than a shuffle partition's fair share, of which there can't be more than partitions, are dealt over
+    all partitions: many's rows by a hash of all their columns, and one's row repeated for each. No other row is repeated.
+    one is read twice: keep it stored.
     """
-    share = (one.agg(F.sum(count)).first()[0] or 0) // shuffle_partitions(many.sparkSession) + 1
-    values = [c for c in one.columns if c not in (*keys, count)]
-    value = F.struct(*values) if values else F.struct(F.lit(True).alias("_known"))
-    hot = one.where(F.col(count) > share).select(*keys, value.alias("_hot"))
-    cold = one.where(F.col(count) <= share).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_open"), value.alias("_cold"))
-    marked = many.join(F.broadcast(hot), keys, "left").withColumn("_open", F.col("_hot").isNull()).withColumn("_spread", F.xxhash64(*many.columns))
-    dealt = marked.select(*many.columns, "_hot", "_open", *[F.when(F.col("_open"), F.col(k)).otherwise(F.col("_spread")).cast(many.schema[k].dataType).alias(f"_{k}") for k in keys])
-    both = dealt.join(cold, [*[f"_{k}" for k in keys], "_open"], "left").withColumn("_value", F.coalesce("_hot", "_cold")).where("_value is not null")
-    return both.select(*many.columns, *[F.col(f"_value.{c}").alias(c) for c in values])
+    parts = shuffle_partitions(many.sparkSession)
+    share = (one.agg(F.sum(count)).first()[0] or 0) // parts + 1
+    hot = [r[0] for r in one.where(F.col(count) > share).select(keys[0]).distinct().collect()]  # fewer than parts
+    if not hot:
+        return many.join(one.drop(count), keys)
+    is_hot = F.col(keys[0]).isin(hot)
+    salted = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(parts)).cast("int")).otherwise(0))
+    every = one.drop(count).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, parts - 1).otherwise(0))))
+    return salted.join(every, [*keys, "_salt"]).drop("_salt")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ in common, so that it is one node, and its smallest doc_id an aggregate.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -205,41 +206,33 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ..
     marks = stored(anchor_keys(known, window, lengths, 0))
     first = stored(marks.groupBy("text_hash", "other").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("text_hash", "other", "least", "n"))
     copies = stored(hot_join(marks.select("doc_id", "text_hash", "other"), first, ["text_hash", "other"], "n").where("doc_id > least").select("doc_id", "text_hash").distinct())
-    per_level = [grouped_keys(marks.join(copies, ["doc_id", "text_hash"], "left_anti"))]
-    empty = F.array().cast("array<bigint>")
-
-    def lists() -> DataFrame:
-        """doc_id, text_hash, and the keys of small and large groups as arrays by level."""
-        out = per_level[0].select("doc_id", "text_hash", F.array("small").alias("small"), F.array("large").alias("large"))
-        for more in per_level[1:]:
-            last = more.select("doc_id", "text_hash", F.col("small").alias("s"), F.col("large").alias("l"))
-            joined = out.join(last, ["doc_id", "text_hash"], "left")
-            out = joined.select("doc_id", "text_hash", *[F.concat(c, F.array(F.coalesce(x, empty))).alias(c) for c, x in (("small", "s"), ("large", "l"))])
-        return out
+    no_keys = F.array().cast("array<array<bigint>>")
 
-    def with_keys(which: str) -> DataFrame:
-        chosen = lists().where(which)
-        return known.join(chosen, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "other", "text", "small", "large")
+    def with_keys(lists: DataFrame) -> DataFrame:
+        return known.join(lists, ["doc_id", "text_hash"])
 
-    for level in range(1, levels):
-        per_level.append(grouped_keys(anchor_keys(with_keys(f"size(large[{level - 1}]) > 0"), window, lengths, level)))
+    per_level: list[DataFrame] = []  # what each level has in small groups, beside the large ones of the levels before
+    large_at: DataFrame | None = None  # the keys of large groups at all levels so far
+    for level in range(levels):
+        own = grouped_keys(anchor_keys(with_keys(large_at), window, lengths, level) if level else marks.join(copies, ["doc_id", "text_hash"], "left_anti"))
+        before = own.join(large_at.withColumnRenamed("large", "before"), ["doc_id", "text_hash"]) if level else own.withColumn("before", no_keys)
+        chosen = before.where("size(small) > 0").select("doc_id", "text_hash", "small", F.col("before").alias("large"))
+        per_level.append(stored(chosen) if level else chosen)
+        large_at = stored(before.where("size(large) > 0").select("doc_id", "text_hash", F.concat("before", F.array("large")).alias("large")))
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, hashes, texts, smalls, larges in rows_of(iter([batch]), ["doc_id", "text_hash", "text", "small", "large"], most=128):
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, text_hash, text, small, large in zip(ids, hashes, texts, smalls, larges, strict=True):
                     words = ascii_words(text)
+                    places, grams = anchors_of(words, window, lengths[level])
+                    open_ = open_windows(words, window, lengths[:level], large) & np.isin(grams[places].view(np.int64), np.array(small, np.int64))
+                    starts, ends = runs_of(places, open_)
+                    own = (mix(grams[places[starts]] + np.uint64(level)) if level else grams[places[starts]]).view(np.int64)
                     found: dict[tuple[int, bytes], list[int]] = {}  # a text that repeats itself has few different segments
-                    for level, keys in enumerate(small):
-                        if not keys:
-                            continue
-                        places, grams = anchors_of(words, window, lengths[level])
-                        open_ = open_windows(words, window, lengths[:level], large[:level]) & np.isin(grams[places].view(np.int64), np.array(keys, np.int64))
-                        starts, ends = runs_of(places, open_)
-                        own = (mix(grams[places[starts]] + np.uint64(level)) if level else grams[places[starts]]).view(np.int64)
-                        for key, a, b in zip(own.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                            found.setdefault((key, b" ".join(words[a : b + window])), []).append(a)
+                    for key, a, b in zip(own.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                        found.setdefault((key, b" ".join(words[a : b + window])), []).append(a)
                     for (key, segment), at in found.items():
                         for x, y in zip(out, (key, doc_id, text_hash, at, segment), strict=True):
                             x.append(y)
@@ -278,9 +271,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ..
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SPAN_ARROW.types, strict=True)], schema=SPAN_ARROW)
 
-    parts = with_keys("exists(small, x -> size(x) > 0)").mapInArrow(segments, T.StructType([T.StructField("key", T.LongType()), *IDS, PLACES, T.StructField("segment", T.BinaryType())]))
+    segment = T.StructType([T.StructField("key", T.LongType()), *IDS, PLACES, T.StructField("segment", T.BinaryType())])
+    of_level = [with_keys(lists).select("doc_id", "text_hash", "text", "small", "large").mapInArrow(partial(segments, level), segment) for level, lists in enumerate(per_level)]
+    parts = reduce(DataFrame.unionByName, of_level)
     small = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trees, SPAN)
-    each = with_keys(f"size(large[{levels - 1}]) > 0").mapInArrow(windows, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *IDS, PLACES]))
+    each = with_keys(large_at).select("doc_id", "text_hash", "text", "large").mapInArrow(windows, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *IDS, PLACES]))
     least = stored(each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("h1", "h2", "least", "n"))
     number = lambda k: F.lit(k).cast("long")
     large = hot_join(each, least, ["h1", "h2"], "n").where("doc_id > least").select("doc_id", "text_hash", "places", number(0).alias("start"), number(window).alias("end"))
