@@ -1,8 +1,11 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from tsumugi import vocab
-from tsumugi.operators import corpus, lexicon, metrics, segment, structure, windows
+from tsumugi.operators import corpus, lexicon, metrics, numbering, segment, structure, windows
 
 
 def rows_of(df, *order):
@@ -32,11 +35,52 @@ def test_ids(spark):
     docs = spark.createDataFrame([(k, "x" if k == 3 else None) for k in range(11)], "ord int, doc_id string")
     found = dict(rows_of(segment.assign_doc_ids(dealt(docs), "p").select("ord", "doc_id")))
     assert found[0] == "p-00" and found[10] == "p-10" and found[3] == "x"
+    several = spark.createDataFrame([(f, k, "" if (f, k) == ("b", 1) else None, "" if k in (2, 5) else "t") for f in ("b", "a") for k in range(7)], "path string, ord int, doc_id string, text string").where("text != ''")
+    found = {(f, k): i for f, k, i in rows_of(segment.assign_doc_ids(dealt(several), "q").select("path", "ord", "doc_id"))}
+    assert found == {(f, k): f"q-{n:02}" for n, (f, k) in enumerate((f, k) for f in ("a", "b") for k in (0, 1, 3, 4, 6))}
     sents = spark.createDataFrame([("a", k, None) for k in range(10)] + [("b", 0, "own")], "doc_id string, sent_idx int, sid string")
     found = {(d, i): s for d, i, s in rows_of(segment.assign_sentence_ids(sents).select("doc_id", "sent_idx", "sid"))}
     assert found["a", 3] == "a-03" and found["b", 0] == "own"
 
 
+def test_long_numbers_stay_whole(spark):
+    sents = spark.createDataFrame([("a", 7, None), ("a", 123, None)], "doc_id string, sent_idx int, sid string")
+    assert {r["sid"] for r in segment.assign_sentence_ids(sents).collect()} == {"a-7", "a-123"}
+
+
+def test_numbers_with_nulls_ties_and_skew(spark):
+    """Nulls first, a value that most rows have, and repeated rows: every row has a number, in order."""
+    rows = [(None, k) for k in range(40)] + [(5, k) for k in range(300)] + [(k, 0) for k in range(60)] + [(7, 0)] * 3
+    df = dealt(spark.createDataFrame(rows, "a int, b int"))
+    found = sorted((r["n"], r["a"], r["b"], r["all"]) for r in numbering.numbered(df, ["a", "b"], "n", "all").collect())
+    assert [n for n, *_ in found] == list(range(len(rows))) and {t for *_, t in found} == {len(rows)}
+    assert [(a, b) for _, a, b, _ in found] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert numbering.numbered(df.limit(0), ["a"], "n").count() == 0
+    ids = corpus.renumbered(df.where("a is null or a > 6"), "a", "b")
+    assert sorted(r["example_id"] for r in ids.collect()) == list(range(40 + 53 + 3))
+    split = Counter(r["split"] for r in corpus.seeded_split(df, "a").collect())
+    assert split == {"train": 362, "valid": 20, "test": 21}
+
+
+def test_capped_sample_is_the_sequential_scan(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.choice("aabcde") for _ in range(rng.randrange(4))]) for k in range(200)] + [(300, None), (301, ["z", None, "z"])]
+    for per_key, total in ((3, 100), (20, 30), (1, 1)):
+        taken, own = Counter(), []
+        for k, keys in rows:
+            room = sorted({x for x in keys or [] if x is not None and taken[x] < per_key})
+            if room and len(own) < total:
+                own.append((k, room))
+                taken.update(room)
+        assert rows_of(corpus.capped_sample(dealt(spark.createDataFrame(rows, "ord long, keys array<string>")), per_key, total)) == own
+
+
+def test_length_buckets_are_in_order(spark):
+    df = spark.createDataFrame([(k * 37 % 101,) for k in range(101)], "n int")
+    parts = corpus.length_buckets(df, "n", 4).withColumn("p", F.spark_partition_id()).collect()
+    assert [r["n"] for r in sorted(parts, key=lambda r: r["p"])] == list(range(101))
+
+
 def test_gold_char_tags(spark):
     words = spark.createDataFrame([("d", 0, 0, "ab", ["K", "D"]), ("d", 0, 1, "c", ["K"]), ("d", 1, 0, "e", ["K"])], "doc_id string, sent_idx int, morph_idx int, surf string, ops array<string>")
     found = rows_of(segment.gold_char_tags(words, F.col("sent_idx") == 0), "offset")

@@ -20,3 +20,16 @@ def arrow(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         return on_columns
 
     return declare
+
+
+def batch(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """As arrow(), for a function of Arrow arrays: nothing becomes a Python object."""
+
+    def declare(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def on_columns(*columns: Column | str) -> Column:
+            return F.arrow_udf(f, kind)(*columns)
+
+        return on_columns
+
+    return declare

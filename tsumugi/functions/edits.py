@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tsumugi.functions.arrow import arrow
-from tsumugi.functions.binding import let
+from tsumugi.functions.arrow import arrow, batch
 from tsumugi import vocab
 from tsumugi.kernels import edits, norm
 
@@ -29,21 +31,38 @@ def characters(text: Column | str) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def apply_edits(text: Column | str, keep_tags: Column | str, insert_tags: Column | str) -> Column:
-    """A text under its edit tags: before each character what is inserted there, then the character kept, replaced or dropped.
+def split_characters(text: pa.Array) -> pa.Array:
+    """The code points of all texts, one after the other: a view of the same bytes, cut before each that begins one."""
+    text = text.cast(pa.string())
+    _, places, data = text.buffers()
+    ends = np.frombuffer(places, np.int32)[text.offset : text.offset + len(text) + 1]
+    own = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    begin = np.flatnonzero((own & 0xC0) != 0x80)
+    return pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.r_[begin, len(own)].astype(np.int32)), pa.py_buffer(own.tobytes()))
 
-    There is one keep tag a character and one insert tag more; other lengths raise an error.
-    """
-    added = lambda t: F.when(F.startswith(t, F.lit("I:")), F.substring(t, F.lit(3), F.length(t))).otherwise(F.lit(""))
-    kept = lambda c, t: F.when(t.isin("K", "_"), c).when(F.startswith(t, F.lit("R:")), F.substring(t, F.lit(3), F.length(t))).otherwise(F.lit(""))
 
-    def edited(chars: Column, keep: Column, insert: Column) -> Column:
-        own = F.zip_with(chars, keep, kept)
-        made = F.array_join(F.zip_with(F.transform(insert, added), own, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        fits = (F.size(chars) == F.size(keep)) & (F.size(keep) + 1 == F.size(insert))
-        return F.when(fits, made).otherwise(F.raise_error(F.lit("one keep tag a character and one insert tag more are needed")))
+@batch("string")
+def apply_edits(text: pa.Array, keep_tags: pa.Array, insert_tags: pa.Array) -> pa.Array:
+    """A text under its edit tags: before each character what is inserted there, then the character kept, replaced or dropped.
 
-    return let(edited, characters(text), _col(keep_tags), _col(insert_tags))
+    There is one keep tag a character and one insert tag more; other lengths raise an error. Null where one of the three is.
+    """
+    known = pc.and_(pc.and_(text.is_valid(), keep_tags.is_valid()), insert_tags.is_valid())
+    text, keep_tags, insert_tags = (x.filter(known) for x in (text, keep_tags, insert_tags))
+    n, n_keep, n_insert = (np.asarray(x, np.int64) for x in (pc.utf8_length(text), pc.list_value_length(keep_tags), pc.list_value_length(insert_tags)))
+    if (n != n_keep).any() or (n + 1 != n_insert).any():
+        raise ValueError("one keep tag a character and one insert tag more are needed")
+    keep, insert, nothing = keep_tags.flatten(), insert_tags.flatten(), pa.scalar("")
+    after = lambda tags: pc.utf8_slice_codeunits(tags, 2)
+    kept = pc.if_else(pc.is_in(keep, pa.array(["K", "_"])), split_characters(text), pc.if_else(pc.starts_with(keep, "R:"), after(keep), nothing))
+    added = pc.if_else(pc.starts_with(insert, "I:"), after(insert), nothing)
+    ends = np.cumsum(n + 1)  # each text's last insert tag has no character behind it
+    at = np.arange(len(insert)) - np.repeat(np.arange(len(n)), n + 1)
+    at[ends - 1] = len(kept)
+    both = pc.binary_join_element_wise(pc.fill_null(added, ""), pa.concat_arrays([pc.fill_null(kept, ""), pa.array([""])]).take(pa.array(at)), "")
+    made = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), both), "")
+    order = np.cumsum(np.asarray(known, bool)) - 1
+    return made.take(pa.array(np.where(np.asarray(known, bool), order, 0), mask=~np.asarray(known, bool)))
 
 
 def tag_window(tags: Column | str, n: Column | str, extra: int = 0) -> Column:

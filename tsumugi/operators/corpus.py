@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from tsumugi.functions.arrow import arrow
 from tsumugi.functions.edits import typo_gold_tags
 from tsumugi.functions.text import normalize_text
+from tsumugi.operators.numbering import numbered
 
 
 def counts(rows: DataFrame, value: Column | str, name: str = "value") -> DataFrame:
@@ -35,19 +34,14 @@ def insertion_counts(examples: DataFrame, tags: str = "ins_tags", least: int = 2
 
 
 def seeded_split(rows: DataFrame, key: str, seed: int = 42, shares: tuple[float, float] = (0.9, 0.05)) -> DataFrame:
-    """split (train, valid, test) of rows in a seeded order of their keys: floors of the shares for train and valid.
+    """split (train, valid, test) of rows in a seeded order of their keys (md5 of "seed:key"): floors of the shares for train and valid.
 
-    Exact sizes need the rank of each key; it is counted over hash ranges, so that no task ranks all rows. Equal keys are
-    ordered by all that a row has; the order doesn't depend on how rows are dealt out.
+    Exact sizes need the place of each key in that order, which numbered() gives. Rows of equal keys are beside each
+    other, in any order; otherwise the split doesn't depend on how rows are dealt out. Null keys are keys too.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    own = rows.withColumn("_h", h).withColumn("_range", F.shiftrightunsigned("_h", 56))
-    sizes = own.groupBy("_range").agg(F.count("*").alias("_n"))  # 256 rows at most
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) - 1
-    ranked = own.withColumn("_k", within).join(F.broadcast(before), "_range").withColumn("_k", F.col("_k") + F.col("_before"))
+    ranked = numbered(rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))), ["_h", key], "_k", "_total")
     n_train, n_valid = F.floor(F.col("_total") * shares[0]), F.floor(F.col("_total") * shares[1])
-    return ranked.withColumn("split", F.when(F.col("_k") < n_train, "train").when(F.col("_k") < n_train + n_valid, "valid").otherwise("test")).drop("_h", "_range", "_k", "_before", "_total")
+    return ranked.withColumn("split", F.when(F.col("_k") < n_train, "train").when(F.col("_k") < n_train + n_valid, "valid").otherwise("test")).drop("_h", "_k", "_total")
 
 
 def hold_out(rows: DataFrame, category: str, order: str, n: int) -> DataFrame:
@@ -64,26 +58,14 @@ def capped(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
 def capped_sample(sentences: DataFrame, per_key: int, total: int) -> DataFrame:
     """ord and keys of sentences (ord, keys: array) taken in order while a key of theirs has been taken less than per_key times.
 
-    A sentence's keys are those that still have room; each counts once. The scan is sequential by definition, over one
-    small row a sentence; it ends at total sentences.
+    A sentence is taken, until there are total of them, if a key of its own still has room; the keys that have are returned. So
+    a key has room in just the first per_key sentences that have it, taken or not: each of those takes it. Hence the keys
+    are ranked apart (a window a key, of which only the first per_key rows stay), and the first total sentences are kept.
+    Null and empty keys, and nulls among them, give nothing.
     """
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken: dict[str, int] = {}
-        n = 0
-        for frame in frames:
-            out = []
-            for ord_, keys in zip(frame["ord"], frame["keys"], strict=True):
-                own = sorted({k for k in keys if taken.get(k, 0) < per_key})
-                if own and n < total:
-                    out.append((ord_, own))
-                    n += 1
-                    for k in own:
-                        taken[k] = taken.get(k, 0) + 1
-            yield pd.DataFrame(out, columns=["ord", "keys"])
-
-    rows = sentences.select(F.col("ord").cast("long").alias("ord"), "keys").repartition(1).sortWithinPartitions("ord")
-    return rows.mapInPandas(scan, "ord long, keys array<string>")
+    each = sentences.select("ord", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
+    room = each.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("ord"))).where(F.col("_k") <= per_key)
+    return room.groupBy(F.col("ord").cast("long").alias("ord")).agg(F.array_sort(F.collect_set("key")).alias("keys")).orderBy("ord").limit(total)
 
 
 def length_buckets(examples: DataFrame, size: Column | str, n: int) -> DataFrame:
@@ -93,15 +75,8 @@ def length_buckets(examples: DataFrame, size: Column | str, n: int) -> DataFrame
 
 
 def renumbered(examples: DataFrame, *order: str) -> DataFrame:
-    """example_id from 0 in the given order, whose first column is a number; as for seeded_split, ranges of it are counted first."""
-    first = order[0]
-    low, high = examples.agg(F.min(first), F.max(first)).first()
-    width = max(1, ((high or 0) - (low or 0)) // 255)
-    own = examples.withColumn("_range", F.floor((F.col(first) - F.lit(low or 0)) / width))
-    sizes = own.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return own.withColumn("_k", within).join(F.broadcast(before), "_range").withColumn("example_id", F.col("_k") + F.col("_before")).drop("_range", "_k", "_before")
+    """example_id from 0 in the given order; nulls come first. See numbered()."""
+    return numbered(examples, list(order), "example_id")
 
 
 def typo_examples(raw: DataFrame, train: bool) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsumugi.functions.arrow import arrow
+from tsumugi.functions.arrow import arrow, batch
+from tsumugi.operators.numbering import numbered, padded
 from tsumugi.kernels import norm
 
 
@@ -20,18 +24,24 @@ def split_sentences(text: Column | str, ends: str = ".!?。！？") -> Column:
     return F.regexp_extract_all(_col(text), F.lit(f"[^{own}]*[{own}]+|[^{own}]+$"), F.lit(0))
 
 
-@arrow("array<string>")
-def sentences_by_tags(text: pd.Series, tags: pd.Series) -> pd.Series:
+@batch("array<string>")
+def sentences_by_tags(text: pa.Array, tags: pa.Array) -> pa.Array:
     """Sentences of a text by one tag a character: B begins one. Characters without a tag, and tags without one, are left out."""
-
-    def one(t: str | None, own) -> list[str] | None:
-        if t is None or own is None:
-            return None
-        n = min(len(t), len(own))
-        cuts = [i for i in range(1, n) if own[i] == "B"]
-        return [t[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True) if a < b]
-
-    return pd.Series([one(t, own) for t, own in zip(text, tags, strict=True)])
+    known = np.asarray(pc.and_(text.is_valid(), tags.is_valid()), bool)
+    some = pa.array(known)
+    own, of = text.filter(some), tags.filter(some)
+    n, n_tags = np.asarray(pc.utf8_length(own), np.int64), np.asarray(pc.list_value_length(of), np.int64)
+    begins = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(of.flatten(), "B"), False), bool))
+    first = np.cumsum(n_tags) - n_tags
+    row = np.searchsorted(first, begins, side="right") - 1
+    at = begins - first[row]
+    upto = np.minimum(n, n_tags)
+    inner = (at > 0) & (at < upto[row])
+    out: list[list[str] | None] = [None] * len(text)
+    cuts = np.split(at[inner], np.searchsorted(row[inner], np.arange(1, len(n))))[: len(n)]  # one at least, even of none
+    for place, t, mine, m in zip(np.flatnonzero(known).tolist(), own.to_pylist(), cuts, upto.tolist(), strict=True):
+        out[place] = [t[a:b] for a, b in zip([0, *mine.tolist()], [*mine.tolist(), m], strict=True)] if m else []
+    return pa.array(out, pa.list_(pa.string()))
 
 
 WORDS = "array<struct<sent_idx:int,surf:string,norm:string>>"
@@ -84,8 +94,8 @@ def unknown_morphemes(words: DataFrame) -> DataFrame:
 
 
 def segment_tags(segments: Column | str) -> Column:
-    """B and I for each character of the segments."""
-    return F.flatten(F.transform(_col(segments), lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.when(i == 1, "B").otherwise("I"))))
+    """B and I for each character of the segments (an empty segment is a B)."""
+    return F.split(F.array_join(F.transform(_col(segments), lambda s: F.rpad(F.lit("B"), F.greatest(F.length(s), F.lit(1)), F.lit("I"))), ""), "")
 
 
 def spans(segments: DataFrame, key: list[str], order: str, surf: str = "surf") -> DataFrame:
@@ -94,21 +104,22 @@ def spans(segments: DataFrame, key: list[str], order: str, surf: str = "surf") -
     return segments.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.length(surf))
 
 
-def assign_doc_ids(docs: DataFrame, prefix: str, ordinal: str = "ord") -> DataFrame:
-    """doc_id {prefix}-{ordinal} where it is null or empty, padded to the digits of the number of documents.
+def assign_doc_ids(docs: DataFrame, prefix: str, order: tuple[str, ...] = ("path", "ord")) -> DataFrame:
+    """doc_id {prefix}-{number} where it is null or empty: the document's number from 0 among all of docs, over all files.
 
-    The number is one aggregate, joined back: no row is numbered in a single task.
+    Numbers are padded to the digits of the number of documents. docs must have the columns of the order that tells the
+    documents apart; those among it that docs lacks are left out.
     """
-    total = docs.agg(F.count("*").alias("_n"))
-    made = F.concat(F.lit(f"{prefix}-"), F.lpad(F.col(ordinal).cast("string"), F.length(F.col("_n").cast("string")), F.lit("0")))
-    return docs.crossJoin(F.broadcast(total)).withColumn("doc_id", F.coalesce(F.nullif("doc_id", F.lit("")), made)).drop("_n")
+    own = [c for c in order if c in docs.columns]
+    made = F.concat(F.lit(f"{prefix}-"), padded(F.col("_number"), F.length(F.col("_total").cast("string"))))
+    return numbered(docs, own, "_number", "_total").withColumn("doc_id", F.coalesce(F.nullif("doc_id", F.lit("")), made)).drop("_number", "_total")
 
 
 def assign_sentence_ids(sentences: DataFrame) -> DataFrame:
     """sid {doc_id}-{sent_idx} where it is null or empty, padded to the digits of the largest document's number of sentences."""
     counts = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n").alias("_n"))
-    made = F.concat_ws("-", "doc_id", F.lpad(F.col("sent_idx").cast("string"), F.length(F.col("_n").cast("string")), F.lit("0")))
+    made = F.concat_ws("-", "doc_id", padded(F.col("sent_idx"), F.length(F.col("_n").cast("string"))))
     return sentences.crossJoin(F.broadcast(most)).withColumn("sid", F.coalesce(F.nullif("sid", F.lit("")), made)).drop("_n")
 
 

@@ -60,10 +60,12 @@ def normalize_text(spark, sf_dir):
     return normalized_documents(spark, sf_dir).withColumn("n", F.length("text").cast("long"))
 
 
-@query("SELECT item_id, 'bench-' || lpad(CAST(item_id AS VARCHAR), CAST(length(CAST((SELECT count(*) FROM benchmark) AS VARCHAR)) AS INT), '0') AS doc_id FROM benchmark")
+@query("SELECT doc_id AS n, CASE WHEN doc_id % 5 = 1 THEN 'own' || doc_id ELSE 'd-' || lpad(CAST(k AS VARCHAR), CAST(length(CAST(total AS VARCHAR)) AS INT), '0') END AS doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id % 3 AS VARCHAR), doc_id // 3) - 1 AS k, count(*) OVER () AS total FROM documents WHERE text <> '' AND doc_id % 7 <> 2)")
 def assign_doc_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").alias("ord"), F.lit(None).cast("string").alias("doc_id"))
-    return segment.assign_doc_ids(rows, "bench").select("item_id", "doc_id")
+    """Documents of three files; some are left out, so that their places have gaps, and some have ids of their own."""
+    docs = table(spark, sf_dir, "documents").where("text != '' and doc_id % 7 != 2")
+    rows = docs.select(F.col("doc_id").alias("n"), (F.col("doc_id") % 3).cast("string").alias("path"), F.expr("doc_id div 3").alias("ord"), F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("own"), F.col("doc_id").cast("string"))).alias("doc_id"))
+    return segment.assign_doc_ids(rows, "d").select("n", "doc_id")
 
 
 SENTENCES = f"WITH {DOCS}, s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+$') AS own FROM n), x AS (SELECT doc_id, unnest(range(len(own))) AS i, own FROM s), e AS (SELECT doc_id, CAST(i AS INT) AS sent_idx, own[i + 1] AS sentence FROM x)"
@@ -537,20 +539,33 @@ def holdout_per_category(spark, sf_dir):
     return corpus.hold_out(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 100)
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 3")
+@query("WITH e AS (SELECT DISTINCT p_partkey AS ord, unnest(string_split(p_name, ' ')) AS key FROM part), r AS (SELECT ord, key, row_number() OVER (PARTITION BY key ORDER BY ord) AS k FROM e) SELECT ord, string_agg(key, ' ' ORDER BY key) AS keys FROM r WHERE k <= 10 GROUP BY ord ORDER BY ord LIMIT 200")
 def capped_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.split("p_name", " ").alias("keys"))
+    return corpus.capped_sample(rows, 10, 200).select("ord", F.array_join("keys", " ").alias("keys"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 3")
+def capped(spark, sf_dir):
     return corpus.capped(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3)
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS example_id FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 100 ELSE length(text) END NULLS FIRST, doc_id) - 1 AS example_id FROM documents")
 def length_bucketed(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
-    return corpus.renumbered(docs, "n", "doc_id").select("doc_id", F.col("example_id").cast("long").alias("example_id"))
+    """Numbers by length, of which many are null and a third equal."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, 100).otherwise(F.length("text")).alias("n"))
+    return corpus.renumbered(docs, "n", "doc_id").select("doc_id", "example_id")
+
+
+@query("SELECT doc_id, CAST(length(text) AS INT) AS n FROM documents")
+def length_buckets(spark, sf_dir):
+    """Rows as they are, dealt out by length; the order within a bucket is tested apart."""
+    return corpus.length_buckets(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "n", 8)
 
 
-@query("SELECT split, n FROM (SELECT floor(count(*) * 0.9) AS a, floor(count(*) * 0.05) AS b, count(*) AS c FROM customer) t, LATERAL (SELECT unnest(['train', 'valid', 'test']) AS split, unnest([CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(c - a - b AS BIGINT)]) AS n)")
+@query("SELECT c_custkey, CASE WHEN k <= floor(c * 0.9) THEN 'train' WHEN k <= floor(c * 0.9) + floor(c * 0.05) THEN 'valid' ELSE 'test' END AS split FROM (SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || c_custkey)) AS k, count(*) OVER () AS c FROM customer)")
 def seeded_split(spark, sf_dir):
-    return corpus.seeded_split(table(spark, sf_dir, "customer"), "c_custkey").groupBy("split").agg(F.count("*").alias("n"))
+    return corpus.seeded_split(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
 # --- more of the same: tags, linear forms, fall-backs, streams
