@@ -11,7 +11,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,17 +73,15 @@ def fingerprint_documents(docs: DataFrame, keys: list[str], text: str = "text")
     return one.mapInArrow(kernel, schema)
 
 
-def differing_bits(a: Column, b: Column) -> Column:
-    """The Hamming distance of two fingerprints in hex, by 32 bits at a time."""
-    part = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long")
-    return sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(1, 2 * LANES)), F.bit_count(part(a, 0).bitwiseXOR(part(b, 0))))
+def lanes_of(prints: Column, name: str) -> list[Column]:
+    """A fingerprint in hex as numbers of 32 bits, worked out once: comparisons of pairs then make no objects."""
+    return [F.conv(F.substring(prints, 8 * k + 1, 8), 16, 10).cast("long").alias(f"{name}_{k}") for k in range(2 * LANES)]
 
 
-def block_tables(prints: Column, radius: int) -> Column:
-    """The keys of a fingerprint in the permuted tables: one for each of radius + 1 blocks of its bits, with the block in front."""
-    n = radius + 1
-    width = 32 * LANES // 2 // n  # hex digits of a block; the last has the rest
-    return F.array(*[F.concat(F.lit(f"{k}:"), F.substring(prints, width * k + 1, width if k < n - 1 else 32)) for k in range(n)])
+def block_of(prints: str, k: int, blocks: int) -> Column:
+    """The k-th of a fingerprint's blocks; the last has the rest."""
+    width = 16 * LANES // blocks  # hex digits
+    return F.substring(prints, width * k + 1, width if k < blocks - 1 else 16 * LANES)
 
 
 def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -99,9 +96,13 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
     if not 0 <= radius < 16:
         raise ValueError("radius must be 0 to 15")
 
+    blocks = radius + 1
+
     def tables(df: DataFrame, name: str) -> DataFrame:
-        one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        return one.select(name, F.posexplode(block_tables(F.col(name), radius)).alias("_table", "_block"))
+        """One row for each table, keyed by the block that it begins with (its number in front)."""
+        one = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct().select(name, *lanes_of(F.col(name), name))
+        keys = F.array(*[F.concat(F.lit(f"{k}:"), block_of(name, k, blocks)) for k in range(blocks)])
+        return one.select("*", F.posexplode(keys).alias(f"{name}_table", "_block")).drop("query_table")
 
     asked, known = tables(queries, "query"), tables(index, "found")
     parts = shuffle_partitions(index.sparkSession)
@@ -111,9 +112,12 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
     is_hot = F.col("_block").isin(hot) if hot else F.lit(False)
     dealt = known.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64("found"), F.lit(parts)).cast("int")).otherwise(0))
     every = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, parts - 1).otherwise(0))))
-    first = F.array_position(F.zip_with(block_tables(F.col("query"), radius), block_tables(F.col("found"), radius), lambda a, b: a == b), True) - 1
-    pairs = dealt.join(every, ["_block", "_salt", "_table"]).select("query", "found", "_table", differing_bits(F.col("query"), F.col("found")).alias("distance"))
-    return pairs.where((F.col("distance") <= radius) & (F.col("_table") == first)).select("query", "found", "distance")
+    differing = sum((F.bit_count(F.col(f"query_{k}").bitwiseXOR(F.col(f"found_{k}"))) for k in range(1, 2 * LANES)), F.bit_count(F.col("query_0").bitwiseXOR(F.col("found_0"))))
+    before = F.lit(True)  # no table before this one has the pair
+    for k in range(blocks - 1):
+        before = before & ((F.col("found_table") <= k) | (block_of("query", k, blocks) != block_of("found", k, blocks)))
+    pairs = dealt.join(every, ["_block", "_salt"]).withColumn("distance", differing)
+    return pairs.where((F.col("distance") <= radius) & before).select("query", "found", "distance")
 
 
 EDITED = T.StructType(
@@ -137,10 +141,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     found = one.agg(F.percentile_approx("doc_id", [(k + 1) / n for k in range(n)], 100 * n)).first()[0]
     cuts = np.unique(np.array([x for x in found or [] if x is not None], dtype=np.int64))
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, ids.fillna(0).astype("int64"), side="left")
-        return pd.Series(np.where(ids.isna(), hashes % n, own).astype("int32"))
+    def part_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        known = np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="left")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), hashes.to_numpy() % n, known), pa.int32())
+
+    part_of = F.arrow_udf(part_of, "int")
 
     own = one.withColumn("part", part_of("doc_id", F.xxhash64("text"))).withColumn("copy", F.lit(False))
     bounds = one.where(F.col("doc_id").isin([int(x) for x in cuts])) if len(cuts) else one.limit(0)
