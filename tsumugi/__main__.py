@@ -27,7 +27,7 @@ def main(args: list[str] | None = None) -> None:
     module, _, name = (given.predictors or "").partition(":")
     registry = getattr(importlib.import_module(module), name) if given.predictors else Registry()
     spark = SparkSession.builder.appName("tsumugi").getOrCreate()
-    found = analyze(spark, Pipeline(registry), given.tasks, text=given.text, files=given.filename)
+    found = analyze(spark, Pipeline(registry), given.tasks, text=given.text, files=given.filename, kind=given.input_format)
     if given.output:
         found.write.mode("overwrite").json(given.output)
     else:

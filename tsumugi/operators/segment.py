@@ -84,13 +84,15 @@ def split_words(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"[\p{L}\p{N}]+|."), F.lit(0))
 
 
+def unknown_attributes(words: DataFrame) -> DataFrame:
+    """Words with the attributes of an unknown part of speech."""
+    return words.withColumns({"pos": F.lit("未定義語"), "pos_id": F.lit(15), "subpos": F.lit("その他"), "subpos_id": F.lit(1), "conjtype": F.lit("*"), "conjtype_id": F.lit(0), "conjform": F.lit("*"), "conjform_id": F.lit(0)})
+
+
 def unknown_morphemes(words: DataFrame) -> DataFrame:
     """Words (surf, norm) as morphemes of which only form and lemma are known."""
-    none, zero = F.lit("*"), F.lit(0)
-    return words.select(
-        *[c for c in words.columns if c not in ("surf", "norm")], "surf", F.lit("_").alias("reading"), F.coalesce(F.nullif("norm", F.lit("")), F.col("surf")).alias("lemma"),
-        F.lit("未定義語").alias("pos"), F.lit(15).alias("pos_id"), F.lit("その他").alias("subpos"), F.lit(1).alias("subpos_id"), none.alias("conjtype"), zero.alias("conjtype_id"), none.alias("conjform"), zero.alias("conjform_id"),
-    )
+    lemma = F.coalesce(F.nullif("norm", F.lit("")), F.col("surf"))
+    return unknown_attributes(words.select(*[c for c in words.columns if c not in ("surf", "norm")], "surf", F.lit("_").alias("reading"), lemma.alias("lemma")))
 
 
 def segment_tags(segments: Column | str) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tsumugi.functions.edits import apply_edits, tag_window, typo_tags
 from tsumugi.functions.text import normalize_text
-from tsumugi.operators.segment import assign_doc_ids, eligible, sentences_by_tags, unknown_morphemes, words_by_tags
+from tsumugi.operators import structure
+from tsumugi.operators.segment import assign_doc_ids, eligible, sentences_by_tags, unknown_attributes, unknown_morphemes, words_by_tags
+from tsumugi.plans import word_stage
 from tsumugi.sources import sinks
-from tsumugi.sources.text import from_text, read_raw
+from tsumugi.sources.text import annotated, from_text, read_annotated, read_raw
 
 log = logging.getLogger(__name__)
 TASKS = ("typo", "char", "seq2seq", "word")
@@ -78,9 +79,12 @@ class Registry:
 
 @dataclass
 class Pipeline:
+    """The stages. dictionary: what the word stage looks up."""
+
     registry: Registry
     max_typo_length: int = 256
     typo_threshold: float = 0.0
+    dictionary: word_stage.Dictionary | None = None
 
     def typo(self, docs: DataFrame) -> DataFrame:
         """docs with corrected texts. Texts that the stage can't take stay as they are, in their places.
@@ -107,26 +111,76 @@ class Pipeline:
         return unknown_morphemes(words.withColumn("morph_idx", within).drop("place"))
 
     def seq2seq(self, words: DataFrame) -> DataFrame:
-        return self.registry.predict("seq2seq", words)
+        """Words with the readings, lemmas and canonical forms of generated texts; sentences without any words are left out.
 
-    def word(self, words: DataFrame) -> DataFrame:
-        return self.registry.predict("word", words)
+        The predictor gets doc_id, sent_idx and source (the words' linear form) and gives doc_id, sent_idx and target.
+        """
+        own = words if "canon" in words.columns else words.withColumn("canon", F.lit(None).cast("string"))
+        m = F.struct("morph_idx", F.struct("surf", "reading", "lemma", "canon").alias("m"))
+        others = [F.first(c).alias(c) for c in ("sid", "comment") if c in own.columns]
+        sentences = own.groupBy("doc_id", "sent_idx").agg(F.transform(F.array_sort(F.collect_list(m), lambda a, b: a["morph_idx"] - b["morph_idx"]), lambda x: x["m"]).alias("m"), *others)
+        source, _ = structure.linearize("m")
+        made = self.registry.predict("seq2seq", sentences.select("doc_id", "sent_idx", source.alias("source")))
+        each = sentences.drop("m").join(made, ["doc_id", "sent_idx"]).select("*", F.posexplode(structure.parse_linear("target")).alias("morph_idx", "w"))
+        return each.select("doc_id", "sent_idx", "morph_idx", *[c for c in ("sid", "comment") if c in own.columns], "w.*")
+
+    def word(self, words: DataFrame, keep: bool = False) -> DataFrame:
+        """Parsed sentences of words, by predicted scores (see word_stage). keep: readings and lemmas are an earlier stage's.
+
+        The predictor gets the words with their place in the document (word_idx) and gives the columns of word_stage.PREDICTIONS.
+        """
+        if self.dictionary is None:
+            raise LookupError("the stage 'word' needs a dictionary")
+        missing = {"sid": F.concat_ws("-", "doc_id", "sent_idx"), "comment": F.lit(None).cast("string"), "canon": F.lit(None).cast("string")}
+        own = word_stage.with_places(words).withColumns({c: x for c, x in missing.items() if c not in words.columns})
+        return word_stage.assemble(own.drop("word_idx"), self.registry.predict("word", own), self.dictionary, keep)
 
     def run(self, docs: DataFrame, tasks: str, kind: str = "raw", prefix: str = "doc") -> DataFrame:
-        """Documents (ord, doc_id, text) through the tasks. Empty documents are dropped, ids assigned, texts normalized."""
+        """Documents through the tasks.
+
+        Raw ones (ord, doc_id, text): empty ones are dropped, ids assigned, texts normalized. Annotated ones (sentences as
+        read_annotated() gives them) are word sequences for seq2seq and word, and else the texts that their words make.
+        """
         own = parse_tasks(tasks)
         for warning in check_tasks(own, kind):
             log.warning(warning)
-        named = assign_doc_ids(docs.where(F.coalesce(F.col("text"), F.lit("")) != ""), prefix).withColumn("text", normalize_text("text"))
-        return reduce(lambda df, t: getattr(self, t)(df), own, named)
-
-
-def analyze(spark: SparkSession, pipeline: Pipeline, tasks: str, text: str | None = None, files: list[str] | None = None) -> DataFrame:
-    """Runs the tasks over a text or over files; just one of them must be given."""
+        if kind != "raw" and own[0] in ("seq2seq", "word"):
+            rows = structure.word_table(docs).join(docs.select("doc_id", "sent_idx", "comment"), ["doc_id", "sent_idx"])
+            m = F.filter("semantics.items", lambda x: x["key"] == "代表表記")
+            now = rows.withColumn("canon", F.try_element_at(m, F.lit(1))["value"]).select("doc_id", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon")
+        else:
+            texts = docs if kind == "raw" else sinks.document_texts(docs.select("doc_id", "sent_idx", F.array_join(F.transform("morphemes", lambda x: x["surf"]), "").alias("text")))
+            now = assign_doc_ids(texts.where(F.coalesce(F.col("text"), F.lit("")) != ""), prefix, ("path", "ord") if "ord" in texts.columns else ("doc_id",)).withColumn("text", normalize_text("text"))
+        for t in own:
+            now = self.word(now, keep="seq2seq" in own) if t == "word" else getattr(self, t)(now)
+        return now
+
+
+def analyze(spark: SparkSession, pipeline: Pipeline, tasks: str, text: str | None = None, files: list[str] | None = None, kind: str = "raw") -> DataFrame:
+    """Runs the tasks over a text or over files, raw or annotated; just one of them must be given."""
     if (text is None) == (files is None):
         raise ValueError("give a text or files")
-    docs = from_text(spark, text) if text is not None else read_raw(spark, files)
-    return pipeline.run(docs, tasks)
+    if kind == "raw":
+        docs = from_text(spark, text) if text is not None else read_raw(spark, files)
+    else:
+        docs = annotated(spark.createDataFrame([("text", text)], "path string, text string")) if text is not None else read_annotated(spark, files, glob=None)
+    return pipeline.run(docs, tasks, kind)
+
+
+def rendered(found: DataFrame, last: str) -> DataFrame:
+    """doc_id and text: what the last task of a run gives, as it is written: raw text, morpheme lines, or analyses."""
+    if last == "typo":
+        return found.select("doc_id", F.concat(sinks.raw_block("doc_id", "text"), F.lit("\n")).alias("text"))
+    if last == "word":
+        return word_stage.written(found)
+    names = ("surf", "reading", "lemma", "pos", "pos_id", "subpos", "subpos_id", "conjtype", "conjtype_id", "conjform", "conjform_id")
+    own = found if "pos" in found.columns else unknown_attributes(found)
+    canon = F.concat(F.lit(' "代表表記:'), F.col("canon"), F.lit('"')) if "canon" in own.columns else F.lit(None).cast("string")
+    line = F.concat(F.concat_ws(" ", *[F.col(n).cast("string") for n in names]), F.coalesce(canon, F.lit("")), F.lit("\n"))
+    sid = F.first("sid") if "sid" in own.columns else F.concat_ws("-", "doc_id", "sent_idx")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("morph_idx", line.alias("t")))), lambda x: x["t"])
+    sentences = own.groupBy("doc_id", "sent_idx").agg(F.concat(F.lit("# S-ID:"), sid, F.lit("\n"), F.array_join(lines, ""), F.lit("EOS\n")).alias("text"))
+    return sinks.document_texts(sentences)
 
 
 def raw_output(docs: DataFrame) -> DataFrame:

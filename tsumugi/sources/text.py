@@ -9,10 +9,11 @@ from __future__ import annotations
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tsumugi.functions.arrow import arrow
+from tsumugi.functions.arrow import arrow, batch
 from tsumugi.functions.text import doc_id_of, normalize_text, without_doc_id
 from tsumugi.kernels import formats
 from tsumugi.schema import SENTENCE
@@ -98,16 +99,20 @@ def parse_annotated(text: pd.Series) -> pd.Series:
     return text.map(formats.parse_document, na_action="ignore")
 
 
-@arrow("string")
-def emit_annotated(sid: pd.Series, comment: pd.Series, morphemes: pd.Series, base_phrases: pd.Series, phrases: pd.Series) -> pd.Series:
+@batch("string")
+def emit_annotated(sid: pa.Array, comment: pa.Array, morphemes: pa.Array, base_phrases: pa.Array, phrases: pa.Array) -> pa.Array:
     """The lines of a sentence."""
-    rows = zip(sid, comment, morphemes, base_phrases, phrases, strict=True)
-    return pd.Series([formats.emit_sentence({"sid": s, "comment": c, "morphemes": list(m), "base_phrases": list(b), "phrases": list(p)}) for s, c, m, b, p in rows])
+    rows = zip(*[x.to_pylist() for x in (sid, comment, morphemes, base_phrases, phrases)], strict=True)
+    return pa.array([formats.emit_sentence({"sid": s, "comment": c, "morphemes": m, "base_phrases": b, "phrases": p}) for s, c, m, b, p in rows], pa.string())
 
 
 def read_annotated(spark: SparkSession, paths: str | list[str], glob: str | None = "*.knp", recursive: bool = False) -> DataFrame:
     """doc_id (of the sentence ids, else the file's name), sent_idx and the sentence columns of each sentence of the files."""
-    files = whole_files(spark, paths, glob, recursive)
+    return annotated(whole_files(spark, paths, glob, recursive))
+
+
+def annotated(files: DataFrame) -> DataFrame:
+    """doc_id, sent_idx and the sentence columns of annotated texts (path, text)."""
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     each = files.select(name.alias("file"), F.posexplode(parse_annotated("text")).alias("sent_idx", "s"))
     doc_id = F.coalesce(F.nullif(F.regexp_extract(F.col("s.sid"), r"^(.*)-[^-]+$", 1), F.lit("")), F.col("file"))
