@@ -498,6 +498,35 @@ def test_licenses(spark, docs, none):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_notices_inside_paragraphs(spark):
+    """A notice among other sentences of its line, after a copyright, over a line end within paragraphs, and twice in a line."""
+    story = "Once there was a fox. It ran over the hills and far away! Nobody saw it again?"
+    mpl = next(t for n, t in licenses.TEMPLATES if n == "MPL-2.0")
+    rows = [
+        (1, f"{story} Released under the MIT License. {story}"), (2, f"{story}\n(c) 2020 Some One. Licensed under CC BY 4.0."), (3, f"{story} {mpl[:40]}\n{mpl[40:]} {story}"),
+        (4, f"x y z\nReleased under the MIT License. Then more. Licensed under CC BY-SA 4.0. {story}"), (5, f"{story} The MIT License is not what this is about, nor is it released."), (6, "Released under the MIT License. " * 3),
+    ]
+    found = {(r["doc_id"], r["license"]): (r["n_passages"], r["first_line"], r["dice"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, "MIT"): (1, 0, 1.0), (2, "CC-BY-4.0"): (1, 1, 1.0), (3, "MPL-2.0"): (1, 0, 1.0), (4, "MIT"): (1, 1, 1.0), (4, "CC-BY-SA-4.0"): (1, 1, 1.0), (6, "MIT"): (3, 0, 1.0)}
+
+
+def test_recall_of_planted_notices(spark):
+    """Every template and full text, alone on a line, wrapped, or inside a paragraph, within a longer document."""
+    rng = random.Random(9)
+    names = [f"n{k}" for k in range(500)]
+    prose = lambda n: " ".join(" ".join(rng.choice(names) for _ in range(9)) + "." for _ in range(n))
+    rows, wanted = [], {}
+    for k, (name, text) in enumerate((*licenses.TEMPLATES, *licenses.FULL_TEXTS)):
+        for way in range(3):
+            given = "\n" + text + "\n" if way == 0 else "\n" + "\n".join(textwrap.wrap(text, 50)) + "\n" if way == 1 else " " + text + " "
+            rows.append((3 * k + way, prose(20) + given + prose(20)))
+            wanted[3 * k + way] = name
+    found = defaultdict(set)
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert sum(wanted[k] in found[k] for k in wanted) / len(wanted) > 0.97
+
+
 def test_wrapped_licenses(spark):
     """Notices over several lines of longer documents, and license files; every run of lines compared by hand."""
     filler = [f"line {k} of a story about w{k % 37} and w{k % 11}" for k in range(200)]

@@ -1,10 +1,11 @@
 """License scans (operator 6): Dice coefficient over word bigrams against license templates, in DataFrame functions only.
 
-A document's passages are its lines, its runs of lines and, if it has several lines, the whole of it. A passage of a distinct
+A document's lines are cut at sentence ends; its passages are the pieces, runs of pieces (such as a line, or several) and, if it
+has several lines, the whole of it. A passage of a distinct
 bigrams and a template of b have a Dice coefficient of 2 c / (a + b) with c bigrams in common. As a is c at least, that is t
 at least only if c is b t / (2 - t) or more: documents with fewer of a template's bigrams in all of their text are left at once.
-In the others a run matters only if each end of it holds one of the template's bigrams: to begin at a line that has some, and to
-end where one is new to the run. The bigrams are those of the whole text, so they go on from line to line.
+In the others a run matters only if each end of it holds one of the template's bigrams: to begin at a piece that has some, and to
+end where one is new to the run. The bigrams are those of the whole text, so they go on from piece to piece.
 """
 
 from __future__ import annotations
@@ -94,12 +95,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def runs_of(hits: Column, pairs: Column, lines: Column) -> Column:
-    """For one template's hits in a document (p, s, e, start, stop, prev; by p): the runs of lines that may be near it.
+def pieces_of(text: Column) -> Column:
+    """The lines of a text, cut at white space after a sentence's end, as structs of text and line (from 0)."""
+    cut = lambda line, i: F.transform(F.split(line, r"(?<=[.!?;:])\s+"), lambda t: F.struct(t.alias("text"), i.alias("line")))
+    return F.flatten(F.transform(F.split(text, "\n"), cut))
 
-    A hit is a bigram at p whose words are in the lines s and e, which go from word start on and up to word stop; the same
-    bigram was last hit in line prev. A run (s, e) with its first and last hit (lo, hi), c of the template's bigrams and n in all.
+
+def runs_of(hits: Column, pairs: Column, pieces: Column) -> Column:
+    """For one template's hits in a document (p, s, e, start, stop, prev; by p): the runs of pieces that may be near it.
+
+    A hit is a bigram at p whose words are in the pieces s and e, which go from word start on and up to word stop; the same
+    bigram was last hit in piece prev. A run (s, e) with its first line and the number of line ends in it (more), its first
+    and last hit (lo, hi), c of the template's bigrams and n in all.
     """
+    line = lambda k: F.get(pieces, k)["line"]
 
     def from_line(i: Column) -> Column:
         def to_line(new: Column) -> Column:  # the hits that are new to a run from line i on
@@ -107,8 +116,8 @@ def runs_of(hits: Column, pairs: Column, lines: Column) -> Column:
             with_c = F.transform(ends, lambda j: F.struct(j["e"].alias("e"), j["stop"].alias("stop"), F.size(F.filter(new, lambda x: x["e"] <= j["e"])).alias("c")))
             enough = F.filter(with_c, lambda j: j["c"] >= F.col("t.least"))
             size = lambda j: F.size(F.array_distinct(F.slice(pairs, i["start"] + 1, j["stop"] - i["start"] - 1)))
-            passage = lambda j: F.xxhash64(F.slice(lines, i["s"] + 1, j["e"] - i["s"] + 1))
-            return F.transform(enough, lambda j: F.struct(i["s"].alias("s"), j["e"].alias("e"), F.get(new, F.lit(0))["p"].alias("lo"), F.get(new, j["c"] - 1)["p"].alias("hi"), j["c"].alias("c"), size(j).alias("n"), passage(j).alias("hash")))
+            passage = lambda j: F.xxhash64(F.transform(F.slice(pieces, i["s"] + 1, j["e"] - i["s"] + 1), lambda x: x["text"]))
+            return F.transform(enough, lambda j: F.struct(i["s"].alias("s"), j["e"].alias("e"), line(i["s"]).alias("line"), (line(j["e"]) - line(i["s"])).alias("more"), F.get(new, F.lit(0))["p"].alias("lo"), F.get(new, j["c"] - 1)["p"].alias("hi"), j["c"].alias("c"), size(j).alias("n"), passage(j).alias("hash")))
 
         return let(F.filter(hits, lambda x: (x["s"] >= i["s"]) & (x["prev"] < i["s"])), to_line)
 
@@ -117,13 +126,13 @@ def runs_of(hits: Column, pairs: Column, lines: Column) -> Column:
 
 
 def near_passages(docs: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float) -> DataFrame:
-    """doc_id, text_hash, template, license, size and run (as runs_of() gives; s and e are -1 for the whole) of what is near a template."""
+    """doc_id, text_hash, template, license, size and run (as runs_of() gives; s, e and line are -1 for the whole) of what is near a template."""
     table, every = template_literals(templates, threshold)
     worded = docs.select("doc_id", "text", once(words_of(F.col("text"))).alias("words")).where(F.size("words") > 1)
     known = worded.select("doc_id", "text", once(F.array_intersect(bigrams(F.col("words")), every)).alias("known")).where(F.size("known") > 0)
     near = known.select("doc_id", "text", once(F.filter(table, lambda t: F.size(F.array_intersect(t["own"], F.col("known"))) >= t["least"])).alias("near")).where(F.size("near") > 0)
-    lined = near.select("doc_id", F.xxhash64("text").alias("text_hash"), "near", once(F.split("text", "\n")).alias("lines"))
-    cut_up = lined.select("*", once(F.transform("lines", words_of)).alias("words"))
+    lined = near.select("doc_id", F.xxhash64("text").alias("text_hash"), "near", once(pieces_of(F.col("text"))).alias("lines"))
+    cut_up = lined.select("*", once(F.transform("lines", lambda x: words_of(x["text"]))).alias("words"))
     numbered = F.flatten(F.transform("words", lambda ws, i: F.transform(ws, lambda w, k: F.struct(w.alias("w"), i.alias("line"), k.alias("k"), F.size(ws).alias("n")))))
     placed = cut_up.select("doc_id", "text_hash", "near", "lines", once(numbered).alias("words"))
     after = F.slice("words", F.lit(2), F.size("words") - 1)
@@ -135,8 +144,8 @@ def near_passages(docs: DataFrame, templates: tuple[tuple[str, str], ...], thres
     before = lambda x, k: let(F.get("by_bigram", k - 1), lambda y: F.when(y["b"] == x["b"], y["s"]).otherwise(-1))
     hits = F.array_sort(F.transform("by_bigram", lambda x, k: F.struct(x["p"].alias("p"), x["s"].alias("s"), x["e"].alias("e"), x["start"].alias("start"), x["stop"].alias("stop"), before(x, k).alias("prev"))))
     hit = sorted_.select("doc_id", "text_hash", "t", "lines", "pairs", once(hits).alias("hits"))
-    whole = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.size(F.array_intersect("pairs", "t.own")).alias("c"), F.size(F.array_distinct("pairs")).alias("n"), F.col("text_hash").alias("hash"))
-    runs = F.concat(runs_of(F.col("hits"), F.col("pairs"), F.col("lines")), F.when(F.size("lines") > 1, F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0)))
+    whole = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(-1).alias("line"), F.lit(0).alias("more"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.size(F.array_intersect("pairs", "t.own")).alias("c"), F.size(F.array_distinct("pairs")).alias("n"), F.col("text_hash").alias("hash"))
+    runs = F.concat(runs_of(F.col("hits"), F.col("pairs"), F.col("lines")), F.when(F.element_at("lines", -1)["line"] > 0, F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0)))
     return hit.select("doc_id", "text_hash", "t.template", "t.license", "t.size", F.explode(runs).alias("run"))
 
 
@@ -144,19 +153,19 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     """doc_id, license, n_passages, first_line and dice (the best) of the licenses that documents have.
 
     A passage counts for its best template, of equal ones the first, if the coefficient is at least threshold. Passages are
-    lines and runs of lines; of those that share words of their templates the one counts that has most in common beyond what
+    lines cut at sentence ends, and runs of such pieces; of those that share words of their templates the one counts that has most in common beyond what
     the threshold asks (2 c - threshold (a + b)), of equal ones the shortest, then the first. Lines are counted from 0; the
     whole document is line -1, isn't counted in n_passages, and gives way to a better run, while runs give way to it where no
     line or run is better. Null and empty texts, and those of one word, have no license; rows of one doc_id are one document
     (equal passages in the same place count once), rows without a doc_id too; an empty table gives no rows. Texts of any
-    length are read whole. The time for one document grows with the square of its lines that have bigrams of a template
+    length are read whole. The time for one document grows with the square of its pieces that have bigrams of a template
     that it may contain.
     """
     found = near_passages(docs, templates, threshold).select("doc_id", "text_hash", "template", "license", "size", "run.*")
     scored = found.withColumn("dice", 2 * F.col("c") / (F.col("n") + F.col("size"))).where(F.col("dice") >= threshold - 1e-9)
     scored = scored.withColumn("gain", F.round(2 * F.col("c") - threshold * (F.col("n") + F.col("size")), 6))
-    best = scored.groupBy("doc_id", "text_hash", "s", "e").agg(F.min_by(F.struct("license", "dice", "gain", "lo", "hi", "hash"), F.struct(-F.col("dice"), "template")).alias("best"))
-    ranked = F.struct((-F.col("best.gain")).alias("rank"), (F.col("e") - F.col("s")).alias("more"), "s", "e", "best.lo", "best.hi", "best.license", "best.dice", "best.hash")
+    best = scored.groupBy("doc_id", "text_hash", "s", "e").agg(F.min_by(F.struct("license", "dice", "gain", "line", "more", "lo", "hi", "hash"), F.struct(-F.col("dice"), "template")).alias("best"))
+    ranked = F.struct((-F.col("best.gain")).alias("rank"), "best.more", (F.col("e") - F.col("s")).alias("pieces"), "s", "e", "best.line", "best.lo", "best.hi", "best.license", "best.dice", "best.hash")
     all_ = best.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(ranked)).alias("all"))
     split = all_.select("doc_id", "text_hash", once(F.filter("all", lambda x: x["s"] >= 0)).alias("parts"), F.get(F.filter("all", lambda x: x["s"] < 0), F.lit(0)).alias("whole"))
     beaten = F.get("parts", F.lit(0))["rank"] < F.col("whole.rank")
@@ -165,7 +174,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     chosen = left.select("doc_id", "whole", once(apart).alias("chosen"))
     better = F.exists("chosen", lambda x: (x["more"] > 0) & (x["rank"] < F.col("whole.rank")))
     kept = chosen.select("doc_id", F.explode(F.when(F.col("whole").isNull() | better, F.col("chosen")).otherwise(F.concat("chosen", F.array("whole")))).alias("x"))
-    passages = kept.select("doc_id", "x.s", "x.e", "x.hash", "x.license", "x.dice").distinct()
+    passages = kept.select("doc_id", "x.s", "x.e", "x.line", "x.hash", "x.license", "x.dice").distinct()
     return passages.groupBy("doc_id", "license").agg(
-        F.sum(F.when(F.col("s") >= 0, 1).otherwise(0)).alias("n_passages"), F.coalesce(F.min(F.when(F.col("s") >= 0, F.col("s"))), F.lit(-1)).alias("first_line"), F.max("dice").alias("dice")
+        F.sum(F.when(F.col("s") >= 0, 1).otherwise(0)).alias("n_passages"), F.coalesce(F.min(F.when(F.col("s") >= 0, F.col("line"))), F.lit(-1)).alias("first_line"), F.max("dice").alias("dice")
     )
