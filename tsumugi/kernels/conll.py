@@ -175,6 +175,11 @@ def f1(n_gold: int, n_system: int, right: int) -> float:
 
 def score(gold: Treebank, system: Treebank) -> dict[str, float]:
     """F1 of the 13 metrics of the 2018 shared task."""
+    return {m: f1(*n) for m, n in counts(gold, system).items()}
+
+
+def counts(gold: Treebank, system: Treebank) -> dict[str, tuple[int, int, int]]:
+    """For each of the 13 metrics of the 2018 shared task: units of gold, of system, and how many are right."""
     if gold.text != system.text:
         raise ConllError("the texts differ")
     pairs = align_words(gold, system)
@@ -206,12 +211,12 @@ def score(gold: Treebank, system: Treebank) -> dict[str, float]:
         own = [(to_gold.get(k, "unaligned"), system.words[k].deprel, system.words[k].upos, system.words[k].feats) for k in functional[1][s]]
         return own == [(k, gold.words[k].deprel, gold.words[k].upos, gold.words[k].feats) for k in functional[0][g]]
 
-    def words(right, keep=lambda w: True) -> float:
+    def words(right, keep=lambda w: True) -> tuple[int, int, int]:
         n = [sum(map(keep, t.words)) for t in (gold, system)]
-        return f1(*n, sum(right(g, s) for g, s in pairs if keep(gold.words[g])))
+        return n[0], n[1], sum(right(g, s) for g, s in pairs if keep(gold.words[g]))
 
     content = lambda w: w.deprel in CONTENT_DEPRELS
-    spans = lambda a, b: f1(len(a), len(b), len(set(a) & set(b)))
+    spans = lambda a, b: (len(a), len(b), len(set(a) & set(b)))
     return {
         "Tokens": spans(gold.tokens, system.tokens), "Sentences": spans(gold.sentences, system.sentences), "Words": words(lambda g, s: True),
         "UPOS": words(equal("upos")), "XPOS": words(equal("xpos")), "UFeats": words(equal("feats")), "AllTags": words(equal("upos", "xpos", "feats")),

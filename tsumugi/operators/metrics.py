@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsumugi.functions.arrow import arrow
+from tsumugi.functions.arrow import arrow, batch
 from tsumugi import vocab
 from tsumugi.functions.edits import diff_counts
 from tsumugi.kernels import conll
@@ -106,14 +107,36 @@ def attribute_scores(rows: DataFrame) -> DataFrame:
 def label_scores(gold: DataFrame, system: DataFrame, keys: list[str], label: str = "label", only_gold: bool = True) -> DataFrame:
     """Scores of each label over units that have it (keys, label), "macro" (their mean) and "micro" (all together).
 
-    With only_gold, labels that no gold unit has don't count for macro. One pass: a rollup over the joined units.
+    With only_gold, labels that no gold unit has don't count for macro. One pass over the units: what follows is one row that
+    holds the counts of all labels, which are a closed vocabulary.
     """
-    counts = span_counts(gold, system, [*keys, label], [label])
-    each = with_scores(counts)
-    listed = each.where("tp + fn > 0") if only_gold else each
-    macro = listed.agg(F.avg("f1").alias("f1")).select(F.lit("macro").alias(label), "f1")
-    micro = with_scores(counts.agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])).select(F.lit("micro").alias(label), "f1")
-    return listed.select(label, "f1").unionByName(macro).unionByName(micro)
+    counts = with_scores(span_counts(gold, system, [*keys, label], [label]))
+    every = counts.agg(F.collect_list(F.struct(label, "f1", "tp", "fp", "fn")).alias("every"))
+    listed = F.filter("every", lambda x: x["tp"] + x["fn"] > 0) if only_gold else F.col("every")
+    total = lambda name: F.aggregate("every", F.lit(0).cast("long"), lambda a, x: a + x[name])
+    row = lambda name, f1: F.struct(F.lit(name).alias(label), f1.alias("f1"))
+    macro = F.when(F.size(listed) > 0, F.aggregate(listed, F.lit(0.0), lambda a, x: a + x["f1"]) / F.size(listed))
+    rows = F.concat(F.transform(listed, lambda x: F.struct(x[label].alias(label), x["f1"].alias("f1"))), F.array(row("macro", macro), row("micro", prf(total("tp"), total("fp"), total("fn"))["f1"])))
+    return every.select(F.inline(rows))
+
+
+def word_feature_scores(gold: DataFrame, system: DataFrame, keys: list[str], order: str, boundaries: tuple[str, ...] = ("基本句-区切", "文節-区切")) -> DataFrame:
+    """Scores of word features (keys, order, features: an array of names), by label, macro and micro.
+
+    A boundary is a feature of the last word of a chunk, so it is scored by its chunks: runs of words up to one with the feature
+    and, at the end of a sequence, without. All others are scored word by word.
+    """
+
+    def spans(words: DataFrame) -> DataFrame:
+        plain = words.select(*keys, F.explode("features").alias("label"), F.col(order).alias("start"), F.col(order).alias("end")).where(~F.col("label").isin(*boundaries))
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        out = plain
+        for name in boundaries:
+            run = F.coalesce(F.sum(F.array_contains("features", name).cast("int")).over(before), F.lit(0))
+            out = out.unionByName(words.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(order).alias("start"), F.max(order).alias("end")).select(*keys, F.lit(name).alias("label"), "start", "end"))
+        return out
+
+    return label_scores(spans(gold), spans(system), [*keys, "start", "end"])
 
 
 def discourse_scores(rows: DataFrame, gold: str = "gold", system: str = "system") -> DataFrame:
@@ -130,19 +153,26 @@ def cohesion_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
     """F1 of predicate arguments, bridging and coreference over edges (doc_id, src, rel, tgt), by relation and in all; and their mean.
 
     An edge is right if an equal one is in gold (tgt: the base phrase's number, or the referent's name). Coreference edges
-    are compared as links of each mention.
+    are compared as links of each mention. One pass over the edges: their counts by relation are one row then.
     """
     task = F.when(F.col("rel") == vocab.COREFERENCE, "coreference").when(F.col("rel").isin(*vocab.BRIDGING_RELATIONS), "bridging").otherwise("pas")
     counts = span_counts(gold.withColumn("task", task), system.withColumn("task", task), ["doc_id", "src", "rel", "tgt", "task"], ["task", "rel"])
-    each = with_scores(counts.where("task = 'pas'")).select(F.concat_ws("_", "task", "rel", F.lit("f1")).alias("key"), F.col("f1").alias("value"))
-    tasks = with_scores(counts.groupBy("task").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")]))
-    alls = tasks.select(F.concat_ws("_", "task", F.lit("f1")).alias("key"), F.col("f1").alias("value"))
-    mean = tasks.agg(F.avg("f1").alias("value")).select(F.lit("cohesion_analysis_f1").alias("key"), "value")
-    return each.unionByName(alls).unionByName(mean)
+    every = with_scores(counts).agg(F.collect_list(F.struct("task", "rel", "f1", "tp", "fp", "fn")).alias("every"))
+    own = lambda t: F.filter("every", lambda x: x["task"] == t)
+    total = lambda t, n: F.aggregate(own(t), F.lit(0).cast("long"), lambda a, x: a + x[n])
+    tasks = ("pas", "bridging", "coreference")
+    f1 = {t: F.when(F.size(own(t)) > 0, prf(total(t, "tp"), total(t, "fp"), total(t, "fn"))["f1"]) for t in tasks}
+    each = F.transform(own("pas"), lambda x: F.struct(F.concat_ws("_", x["task"], x["rel"], F.lit("f1")).alias("key"), x["f1"].alias("value")))
+    alls = F.filter(F.array(*[F.struct(F.lit(f"{t}_f1").alias("key"), f1[t].alias("value")) for t in tasks]), lambda x: x["value"].isNotNull())
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["value"]) / F.nullif(F.size(xs), F.lit(0))
+    return every.select(F.inline(F.concat(each, alls, F.array(F.struct(F.lit("cohesion_analysis_f1").alias("key"), mean(alls).alias("value"))))))
 
 
 def attachment_scores(gold: DataFrame, system: DataFrame, keys: list[str]) -> DataFrame:
-    """UAS and LAS of units with equal spans (keys, head, deprel), natively; the full set needs conll_scores()."""
+    """UAS and LAS of units with equal spans (keys, head, deprel), natively; the full set needs conll_table_scores().
+
+    keys must tell the units of a side apart: repeated ones would count once for each pair.
+    """
     pairs = gold.alias("g").join(system.alias("s"), keys)
     n_g, n_s = gold.agg(F.count("*").alias("n_g")), system.agg(F.count("*").alias("n_s"))
     right = pairs.agg(F.sum((F.col("g.head") == F.col("s.head")).cast("long")).alias("uas"), F.sum(((F.col("g.head") == F.col("s.head")) & (F.col("g.deprel") == F.col("s.deprel"))).cast("long")).alias("las"))
@@ -154,6 +184,33 @@ def conll_scores(gold: str, system: str) -> dict[str, float]:
     return conll.score(conll.read(gold.splitlines()), conll.read(system.splitlines()))
 
 
+METRICS = ("Tokens", "Sentences", "Words", "UPOS", "XPOS", "UFeats", "AllTags", "Lemmas", "UAS", "LAS", "CLAS", "MLAS", "BLEX")
+
+
+@batch("struct<" + ",".join(f"{m}:struct<gold:long,system:long,right:long>" for m in METRICS) + ">")
+def conll_counts(gold: pa.Array, system: pa.Array) -> pa.Array:
+    """For each of the 13 metrics of two texts in CoNLL-U: units of either and how many are right; null where the texts differ or are malformed."""
+    out: list[dict | None] = []
+    for g, s in zip(gold.to_pylist(), system.to_pylist(), strict=True):
+        try:
+            found = conll.counts(conll.read(g.splitlines()), conll.read(s.splitlines())) if g is not None and s is not None else None
+        except conll.ConllError:
+            found = None
+        out.append(found and {m: dict(zip(("gold", "system", "right"), n, strict=True)) for m, n in found.items()})
+    kind = pa.struct([("gold", pa.int64()), ("system", pa.int64()), ("right", pa.int64())])
+    return pa.array(out, pa.struct([(m, kind) for m in METRICS]))
+
+
+def conll_table_scores(documents: DataFrame, gold: str = "gold", system: str = "system") -> DataFrame:
+    """metric, precision, recall and f1 of the 13 metrics over all documents (texts in CoNLL-U), and n_failed, how many can't be compared."""
+    each = documents.select(conll_counts(gold, system).alias("c"))
+    sums = [F.struct(F.lit(m).alias("metric"), *[F.coalesce(F.sum(f"c.{m}.{n}"), F.lit(0)).alias(n) for n in ("gold", "system", "right")]) for m in METRICS]
+    wide = each.agg(F.array(*sums).alias("rows"), F.sum(F.col("c").isNull().cast("long")).alias("n_failed"))
+    rows = wide.select("n_failed", F.inline("rows"))
+    p, r = ratio(F.col("right"), F.col("system")), ratio(F.col("right"), F.col("gold"))
+    return rows.select("metric", p.alias("precision"), r.alias("recall"), ratio(2 * F.col("right"), F.col("gold") + F.col("system")).alias("f1"), "n_failed")
+
+
 @arrow("array<string>")
 def conll_errors(sentence: pd.Series) -> pd.Series:
     """What is wrong with a sentence of CoNLL-U lines."""

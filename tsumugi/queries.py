@@ -90,20 +90,20 @@ def segment_words(spark, sf_dir):
     return sentences(spark, sf_dir).select("doc_id", "sent_idx", F.posexplode(segment.split_words("sentence")).alias("word_idx", "surf"))
 
 
-@query(SENTENCES + " SELECT doc_id, count(*) AS n_sentences, CAST(sum(length(sentence)) AS BIGINT) AS n_chars FROM e WHERE doc_id IS NOT NULL GROUP BY doc_id")
+@query(SENTENCES + " SELECT doc_id, sent_idx, sentence FROM e")
 def sentences_by_tags(spark, sf_dir):
     docs = normalized_documents(spark, sf_dir).withColumn("tags", segment.segment_tags(segment.split_sentences("text")))
-    each = docs.select("doc_id", F.explode(segment.sentences_by_tags("text", "tags")).alias("s"))
-    return each.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("s")).alias("n_chars"))
+    return docs.select("doc_id", F.posexplode(segment.sentences_by_tags("text", "tags")).alias("sent_idx", "sentence"))
 
 
-@query("SELECT item_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN i = 1 OR c = ' ' OR text[i - 1] = ' ' THEN 1 ELSE 0 END) AS BIGINT) AS n_words FROM (SELECT item_id, text, i, text[i] AS c FROM (SELECT item_id, replace(text, chr(10), '') AS text FROM benchmark), LATERAL (SELECT unnest(range(1, length(text) + 1)) AS i)) GROUP BY item_id, text")
+@query("WITH c AS (SELECT item_id, i, c, CASE WHEN i % 5 = 1 OR c = ' ' OR lag(c) OVER (PARTITION BY item_id ORDER BY i) = ' ' THEN 1 ELSE 0 END AS b FROM (SELECT item_id, i, text[i] AS c FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM (SELECT item_id, replace(text, chr(10), '') AS text FROM benchmark)))), w AS (SELECT *, sum(b) OVER (PARTITION BY item_id ORDER BY i) - 1 AS place FROM c) SELECT item_id, CAST(place AS INT) AS place, string_agg(c, '' ORDER BY i) AS surf FROM w GROUP BY 1, 2")
 def words_by_tags(spark, sf_dir):
+    """A word begins at every fifth character, and around spaces, which are words of their own."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit("\n"), F.lit("")).alias("text"))
     chars = edits.characters("text")
-    same = lambda tag: F.transform(chars, lambda c: F.lit(tag))
-    words = rows.select("item_id", F.length("text").cast("long").alias("n_chars"), segment.words_by_tags(F.array("text"), same("I"), same("K")).alias("w"))
-    return words.select("item_id", "n_chars", F.size("w").cast("long").alias("n_words"))
+    begins = F.transform(chars, lambda c, i: F.when(i % 5 == 0, "B").otherwise("I"))
+    words = rows.select("item_id", F.posexplode(segment.words_by_tags(F.array("text"), begins, F.transform(chars, lambda c: F.lit("K")))).alias("place", "w"))
+    return words.select("item_id", "place", F.col("w.surf").alias("surf"))
 
 
 @query("SELECT doc_id, length(text) AS n, list_aggregate(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('e', 'E') THEN '' WHEN c = 'a' THEN '4' WHEN c = 'o' THEN '+o' ELSE c END), 'string_agg', '') || '!' AS corrected FROM (SELECT doc_id, text FROM documents WHERE text <> '')")
@@ -128,9 +128,12 @@ def typo_eligibility(spark, sf_dir):
     return segment.corrected_or_kept(docs)
 
 
-@query("SELECT page_id, translate(url, 'abcdefghijklmnopqrstuvwxyz0123456789:/.', 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９：／．') AS url FROM (SELECT page_id, regexp_replace(url, '[^a-z0-9:/.]', '', 'g') AS url FROM pages)")
+ASCII = "".join(map(chr, range(0x21, 0x7F)))
+
+
+@query("SELECT page_id, translate(url, '" + ASCII.replace("'", "''") + "', '" + "".join(chr(ord(c) + 0xFEE0) for c in ASCII) + "') AS url FROM pages")
 def full_width(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.to_full_width(F.regexp_replace("url", "[^a-z0-9:/.]", "")).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", text.to_full_width("url").alias("url"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'k' || o_orderstatus WHEN o_orderstatus = 'F' THEN '節-機能-' || o_orderstatus ELSE 'k' || o_orderstatus || ':' || o_orderpriority END AS label FROM orders")
@@ -213,10 +216,10 @@ def pack_windows(spark, sf_dir):
     return own.select("conv_id", F.posexplode(windows.window_spans(2000, -1)("lengths")).alias("win_idx", "w")).select("conv_id", "win_idx", "w.start", "w.end")
 
 
-@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_targets FROM (SELECT 'c' || conv_id AS doc_id FROM conversations) GROUP BY doc_id")
+@query("WITH RECURSIVE r AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ls FROM conversations GROUP BY conv_id), p(conv_id, ls, i, n, win) AS (SELECT conv_id, ls, 1, ls[1], 0 FROM r UNION ALL SELECT conv_id, ls, i + 1, CASE WHEN n + ls[i + 1] > 900 THEN ls[i + 1] ELSE n + ls[i + 1] END, CASE WHEN n + ls[i + 1] > 900 THEN win + 1 ELSE win END FROM p WHERE i < len(ls)), w AS (SELECT conv_id, i - 1 AS sent_idx, win, count(*) OVER (PARTITION BY conv_id, win) AS width, list_sum(ls) <= 900 AS fits FROM p) SELECT 'c' || conv_id AS doc_id, CAST(sent_idx AS INT) AS sent_idx, 'c' || conv_id || CASE WHEN fits THEN '' ELSE '-s' || width || 'i' || win END AS window_id FROM w")
 def target_sentences(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("sent_idx"), F.length("text").alias("n_tokens"))
-    return windows.target_sentences(windows.split_documents(rows, 2000)).groupBy("doc_id").agg(F.count("*").alias("n_targets"))
+    return windows.target_sentences(windows.split_documents(rows, 900)).select("doc_id", "sent_idx", "window_id")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1")
@@ -356,13 +359,8 @@ def pieces(spark, sf_dir) -> DataFrame:
 
 @query(PIECES + " SELECT example_id, word_idx, arg_min(value, token_idx) AS first, arg_max(value, token_idx) AS last, max(value) AS most, round(avg(CAST(value AS DOUBLE)), 6) AS average FROM p GROUP BY 1, 2")
 def pool_words(spark, sf_dir):
-    own = pieces(spark, sf_dir)
-    out = None
-    for how, name in (("first", "first"), ("last", "last"), ("max", "most")):
-        one = lexicon.pool(own, how).withColumnRenamed("value", name)
-        out = one if out is None else out.join(one, ["example_id", "word_idx"])
-    mean = lexicon.pool(own.withColumn("value", F.col("value").cast("double")), "average").withColumn("average", F.round("value", 6)).drop("value")
-    return out.join(mean, ["example_id", "word_idx"])
+    found = lexicon.pools(pieces(spark, sf_dir), {"first": "first", "last": "last", "most": "max", "average": "average"})
+    return found.withColumn("average", F.round("average", 6))
 
 
 @query(PIECES + ", r AS (SELECT *, CASE WHEN value > 0.1 THEN 'x' WHEN value < -0.1 THEN '[UNK]' ELSE '' END AS reading FROM p) SELECT example_id, word_idx, coalesce(nullif(string_agg(CASE WHEN reading = '[UNK]' THEN CAST(token_idx AS VARCHAR) ELSE reading END, '' ORDER BY token_idx), ''), '_') AS reading FROM r GROUP BY 1, 2")
@@ -436,13 +434,6 @@ def viterbi_spans(spark, sf_dir):
     return own.select("vec_id", decode.crf_decode(tags)("e", "m").alias("tags"))
 
 
-@query()
-def norm_ops(spark, sf_dir):
-    """Rows only: operations between written and normal forms of a small list, on each region."""
-    pairs = spark.createDataFrame([("買ぅ", "買う"), ("うまそー", "うまそう"), ("ね〜〜", "ねえ"), ("ガニ", "カニ")], "surf string, norm string")
-    return table(spark, sf_dir, "region").select("r_regionkey").crossJoin(pairs).select("r_regionkey", "surf", edits.infer_norm_ops("surf", "norm").alias("ops"))
-
-
 # --- metrics
 
 JUDGED = "WITH j AS (SELECT d.doc_id, lang, quality AS gold, CASE WHEN length(text) > 600 THEN 1 ELSE 0 END AS system FROM documents d JOIN labels l USING (doc_id))"
@@ -659,6 +650,13 @@ def normalized_words(spark, sf_dir):
     return units(spark, sf_dir).select("k", "i", edits.apply_norm_ops(pick(0), F.split(pick(1), "")).alias("norm"))
 
 
+@query(f"WITH {UNITS} SELECT k, i, CASE q % 5 " + " ".join(f"WHEN {n} THEN '{w[1]}'" for n, w in enumerate(WRITTEN)) + " END AS ops FROM u")
+def norm_ops(spark, sf_dir):
+    """Operations between written and normal forms."""
+    pick = lambda at: F.element_at(F.lit([w[at] for w in WRITTEN]), F.col("q") % 5 + 1)
+    return units(spark, sf_dir).select("k", "i", F.array_join(edits.infer_norm_ops(pick(0), pick(2)), "").alias("ops"))
+
+
 VARIED = (("なあ", "なぁ"), ("関ケ原", "関ヶ原"), ("びみょうだ", "びみょーだ"), ("もどかしいな", "もどかしーな"), ("犬", "犬"))
 
 

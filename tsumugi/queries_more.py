@@ -5,13 +5,13 @@ As in tsumugi.queries, tags, scores and annotations are derived from the tables
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi import vocab
 from tsumugi.functions import decode, edits, text
 from tsumugi.operators import corpus, lexicon, metrics, segment, structure, windows
-from tsumugi.queries import UNITS, query, table, units
+from tsumugi.queries import ORACLES, UNITS, query, table, units
 from tsumugi.sources import sinks
 from tsumugi.sources import text as sources
 from tsumugi.sources.dictionary import dictionary_entries, encode_dictionary, read_dictionary, semantics_items
@@ -236,6 +236,9 @@ def viterbi_tags(spark, sf_dir):
     return own.select("vec_id", F.array_join(decode.crf_decode(TAGS)("e", "m").cast("array<string>"), "").alias("tags"))
 
 
+ORACLES["viterbi_spans"] = f"SELECT vec_id, list_transform(string_split(tags, ''), lambda x: CAST(x AS INT)) AS tags FROM ({_viterbi_sql()})"
+
+
 @query("SELECT vec_id, round(avg(-ln(CASE WHEN y THEN p ELSE 1 - p END)), 6) AS loss FROM (SELECT vec_id, i, 0.5 + 0.4 * sin(CAST(embedding[i] AS DOUBLE)) AS p, (i + label) % 2 = 0 AS y FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embeddings)) WHERE i % 5 <> 0 GROUP BY vec_id")
 def binary_losses(spark, sf_dir):
     p = F.transform("embedding", lambda x: 0.5 + 0.4 * F.sin(x.cast("double")))
@@ -361,6 +364,38 @@ def partly_gold(spark, sf_dir):
     return metrics.partly_gold(rows, 2)
 
 
+CHUNKED = f"WITH {UNITS}, n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i, q % 3 = 0 AS gb, d % 3 = 0 AS sb, t % 2 = 0 AS gf, f = 'A' AS sf FROM u), "
+
+
+@query(CHUNKED + "c AS (SELECT k, i, coalesce(sum(CAST(gb AS INT)) OVER w, 0) AS gr, coalesce(sum(CAST(sb AS INT)) OVER w, 0) AS sr FROM n WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT k, '基本句-区切' AS label, min(i) AS a, max(i) AS b FROM c GROUP BY k, gr UNION ALL SELECT k, '基本句-主辞', i, i FROM n WHERE gf), s AS (SELECT k, '基本句-区切' AS label, min(i) AS a, max(i) AS b FROM c GROUP BY k, sr UNION ALL SELECT k, '基本句-主辞', i, i FROM n WHERE sf), x AS (SELECT label, (SELECT count(*) FROM g JOIN s USING (k, label, a, b) WHERE label = l.label) AS tp, (SELECT count(*) FROM g WHERE g.label = l.label) + (SELECT count(*) FROM s WHERE s.label = l.label) AS n FROM (VALUES ('基本句-区切'), ('基本句-主辞')) l(label)) SELECT label, round(2 * tp / n, 9) AS f1 FROM x UNION ALL SELECT 'macro', round(avg(2 * tp / n), 9) FROM x UNION ALL SELECT 'micro', round(2 * sum(tp) / sum(n), 9) FROM x")
+def word_feature_scores(spark, sf_dir):
+    """Boundaries by their chunks, another feature word by word."""
+    flags = lambda b, f: F.filter(F.array(F.when(b, "基本句-区切"), F.when(f, "基本句-主辞")), lambda x: x.isNotNull())
+    side = lambda b, f: units(spark, sf_dir).select("k", "i", flags(b, f).alias("features"))
+    found = metrics.word_feature_scores(side(F.col("q") % 3 == 0, F.col("t") % 2 == 0), side(F.col("d") % 3 == 0, F.col("f") == "A"), ["k"], "i", ("基本句-区切",))
+    return found.select("label", F.round("f1", 9).alias("f1"))
+
+
+DEPRELS = ("nsubj", "obj", "case")
+
+
+@query(f"WITH {UNITS}, n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) AS i, q, d, t, f FROM u), w AS (SELECT k, i, i = 1 AS root, q % 3 AS gd, CASE WHEN d < 6 THEN q % 3 ELSE d % 3 END AS sd, 1 AS gh, CASE WHEN t < 5 THEN 1 ELSE greatest(i - 1, 1) END AS sh, f <> 'R' AS tag, t % 3 <> 0 AS lemma FROM n), m AS (SELECT count(*) AS n, count(*) FILTER (tag) AS tags, count(*) FILTER (lemma) AS lemmas, count(*) FILTER (root OR gh = sh) AS uas, count(*) FILTER (root OR gh = sh AND gd = sd) AS las FROM w) SELECT metric, round(x / n, 9) AS f1 FROM (SELECT unnest(['Tokens', 'Sentences', 'Words', 'UPOS', 'XPOS', 'UFeats', 'AllTags', 'Lemmas', 'UAS', 'LAS']) AS metric, unnest([n, n, n, tags, n, n, tags, lemmas, uas, las]) AS x, n FROM m)")
+def conll_metrics(spark, sf_dir):
+    """Ten of the thirteen metrics over documents in CoNLL-U, of the same segmentation; a document is an order."""
+    own = units(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("i")))
+    rel = lambda c: F.element_at(F.lit(list(DEPRELS)), c % 3 + 1)
+    root = F.col("n") == 1
+
+    def line(upos, lemma, head, deprel):
+        return F.concat_ws("\t", F.col("n").cast("string"), F.concat(F.lit("w"), F.col("n").cast("string")), lemma, upos, F.lit("X"), F.lit("_"), F.when(root, 0).otherwise(head).cast("string"), F.when(root, "root").otherwise(deprel), F.lit("_"), F.lit("_"))
+
+    gold = line(F.lit("NOUN"), F.lit("l"), F.lit(1), rel(F.col("q")))
+    system = line(F.when(F.col("f") != "R", "NOUN").otherwise("VERB"), F.when(F.col("t") % 3 != 0, "l").otherwise("m"), F.when(F.col("t") < 5, 1).otherwise(F.greatest(F.col("n") - 1, F.lit(1))), rel(F.when(F.col("d") < 6, F.col("q")).otherwise(F.col("d"))))
+    text_of = lambda c: F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("t")))), lambda x: x["t"]), "\n"), F.lit("\n\n"))
+    found = metrics.conll_table_scores(own.groupBy("k").agg(text_of(gold).alias("gold"), text_of(system).alias("system")))
+    return found.where(~F.col("metric").isin("CLAS", "MLAS", "BLEX")).select("metric", F.round("f1", 9).alias("f1"))
+
+
 # --- sources and sinks
 
 
