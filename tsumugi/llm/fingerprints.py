@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, giving_way, mix, shuffle_partitions, stored, unused, word_hashes
+from tsumugi.llm.common import GOLDEN, cut, giving_way, mix, shuffle_partitions, unused, word_hashes
 
 #: 64-bit lanes of a fingerprint.
 LANES = 2
@@ -106,7 +106,7 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
 
     asked, known = tables(queries, "query"), tables(index, "found")
     parts = shuffle_partitions(index.sparkSession)
-    crowd = stored(known.join(asked.select("_block").distinct(), "_block", "left_semi").groupBy("_block").agg(F.count("*").alias("n")))
+    crowd = known.join(asked.select("_block").distinct(), "_block", "left_semi").groupBy("_block").agg(F.count("*").alias("n"))
     share = (crowd.agg(F.sum("n")).first()[0] or 0) // parts + 1
     hot = [r[0] for r in crowd.where(F.col("n") > share).select("_block").collect()]  # fewer than parts
     is_hot = F.col("_block").isin(hot) if hot else F.lit(False)
@@ -184,7 +184,7 @@ def with_near(found: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFr
     """found (doc_id, fingerprint and others; kept once) with n_near: for the rows whose doc_id is divisible by `every`, how
     many rows have a fingerprint at most radius bits from theirs, their own included; null for the others.
     """
-    found = stored(found)
+    found = cut(found.coalesce(-(-shuffle_partitions(found.sparkSession) // 4)))  # its rows are a tenth of the texts': several ranges make a file
     counts = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = found.where(F.col("doc_id") % every == 0).select("doc_id", "fingerprint").distinct()
     pairs = search(asked, found.select("fingerprint"), radius)
