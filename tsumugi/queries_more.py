@@ -396,9 +396,109 @@ def conll_metrics(spark, sf_dir):
     return found.where(~F.col("metric").isin("CLAS", "MLAS", "BLEX")).select("metric", F.round("f1", 9).alias("f1"))
 
 
+@query("WITH d AS (SELECT doc_id AS k, n_chars % 60 + 1 AS n, greatest(n_chars % 60 - 9, 0) // 3 AS m, greatest(n_chars % 60 - 9, 0) % 3 AS r FROM documents), w AS (SELECT k, n, m, unnest(range(m + r + 1)) AS i FROM d) SELECT k, i, 2 * least(i, m) + i AS a, least(2 * least(i, m) + i + 10, n) AS b FROM w")
+def stride_windows(spark, sf_dir):
+    """Windows of ten equal items whose ends are three items apart; where that is too far, one by one."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.array_repeat(F.lit(1), (F.col("n_chars") % 60 + 1).cast("int")).alias("lengths"))
+    each = own.select("k", F.posexplode(windows.window_spans(10, 3)("lengths")).alias("i", "w"))
+    return each.select("k", F.col("i").cast("long").alias("i"), F.col("w.start").cast("long").alias("a"), F.col("w.end").cast("long").alias("b"))
+
+
+def _crf_sql() -> str:
+    """log p of the tag O at all of 16 steps: the path's score less the logarithm of the sum over all paths, by recursion."""
+    allowed = {(a, b) for a in range(4) for b in range(4) if b != 2 or a in (1, 2)}
+    start = ", ".join(f"{'-1024.0' if k == 2 else '0.0'} + e[{k + 1}]" for k in range(4))
+    step = ", ".join("ln(" + " + ".join(f"exp(s[{a + 1}])" for a in range(4) if (a, b) in allowed) + f") + e[4 * i + {b + 1}]" for b in range(4))
+    return f"WITH RECURSIVE v AS ({STEPS}), r(vec_id, e, i, s, own) AS (SELECT vec_id, e, 1, [{start}], e[1] FROM v UNION ALL SELECT vec_id, e, i + 1, [{step}], own + e[4 * i + 1] FROM r WHERE i < 16) SELECT vec_id, round(own - ln(exp(s[1]) + exp(s[2]) + exp(s[3]) + exp(s[4])), 6) AS loss FROM r WHERE i = 16"
+
+
+@query(_crf_sql())
+def crf_likelihoods(spark, sf_dir):
+    steps = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, 4))
+    own = table(spark, sf_dir, "embeddings").select("vec_id", steps.alias("e"), F.array_repeat(F.lit(0), 16).alias("g"), F.array_repeat(F.lit(True), 16).alias("m"))
+    return own.select("vec_id", F.round(decode.crf_log_likelihood(TAGS)("e", "g", "m"), 6).alias("loss"))
+
+
+def _tree_sql() -> str:
+    """The greedy tree by recursion over the units: h has the heads so far (-9: none yet); where a unit's chain of heads ends at it, the head makes a cycle."""
+    end = "list_reduce(list_prepend(c, range(n)), lambda a, b: CASE WHEN a < 0 OR h[a + 1] = -9 THEN a ELSE h[a + 1] END)"
+    free = lambda xs: f"list_filter({xs}, lambda c: {end} <> u)[1]"
+    head = f"coalesce({free('r[u + 1]')}, CASE WHEN u = n - 1 AND NOT list_contains(h, -1) THEN -1 ELSE coalesce({free('range(u + 1, n)')}, {free('list_reverse(range(u))')}) END)"
+    return (
+        f"WITH RECURSIVE {UNITS}, b AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS u, count(*) OVER (PARTITION BY k) AS n, q FROM u), "
+        "c AS (SELECT k, u, any_value(n) AS n, coalesce(list(v ORDER BY vq DESC, v) FILTER (v IS NOT NULL), [])[1:4] AS r FROM (SELECT b.k, b.u, b.n, o.u AS v, o.q AS vq FROM b LEFT JOIN b o ON b.k = o.k AND b.u <> o.u) GROUP BY k, u), "
+        "d AS (SELECT k, any_value(n) AS n, list(r ORDER BY u) AS r FROM c GROUP BY k), "
+        f"t(k, n, r, u, h) AS (SELECT k, n, r, CAST(0 AS BIGINT), list_transform(range(n), lambda x: CAST(-9 AS BIGINT)) FROM d UNION ALL SELECT k, n, r, u + 1, list_concat(h[1:u], [CAST({head} AS BIGINT)], h[u + 2:]) FROM t WHERE u < n), "
+        "x AS (SELECT k, unnest(range(n)) AS u, h FROM t WHERE u = n) SELECT k AS doc_id, 0 AS sent_idx, CAST(u AS INT) AS bp_idx, CAST(h[u + 1] AS INT) AS parent_idx, 'D' AS dep_type, CAST(u AS INT) AS phrase_idx, CAST(h[u + 1] AS INT) AS phrase_parent_idx, 'D' AS phrase_dep_type FROM x"
+    )
+
+
+ORACLES["dependency_trees"] = _tree_sql()
+
+
+@query(f"WITH {UNITS}, n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS i, f, s, q FROM u) SELECT k AS doc_id, 0 AS sent_idx, s AS category, CAST(greatest(i - q % 2, 0) AS INT) AS \"start\", CAST(i + 1 AS INT) AS \"end\" FROM n WHERE f = 'A'")
+def gold_entities(spark, sf_dir):
+    """Entities spelt by the one or two words that end at a base phrase."""
+    own = units(spark, sf_dir).withColumn("n", (F.row_number().over(Window.partitionBy("k").orderBy("i")) - 1).cast("int"))
+    words = own.select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), F.col("n").alias("morph_idx"), F.concat(F.lit("w"), F.col("n").cast("string")).alias("surf"))
+    spelt = F.concat(F.when((F.col("q") % 2 == 1) & (F.col("n") > 0), F.concat(F.lit("w"), (F.col("n") - 1).cast("string"))).otherwise(""), F.lit("w"), F.col("n").cast("string"))
+    ne = F.struct(F.lit("NE").alias("key"), F.concat_ws(":", "s", spelt).alias("value"))
+    phrases = own.select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), F.col("n").alias("last_morph"), F.when(F.col("f") == "A", F.array(ne)).otherwise(F.array(F.struct(F.lit("x").alias("key"), F.lit("y").alias("value")))).alias("features"))
+    return structure.gold_entities(phrases, words)
+
+
+READINGS = ((("犬", "が"), "いぬが", "いぬ;が"), (("食べ", "る"), "たべる", "たべ;る"), (("コーヒー",), "こーひー", "こーひー"), (("日", "本", "語"), "にほんご", "に;ほん;ご"))
+KANJI_READINGS = {"犬": ["いぬ", "けん"], "食": ["た", "しょく"], "日": ["に", "ひ"], "本": ["ほん"], "語": ["ご"]}
+
+
+@query(f"WITH {UNITS} SELECT k, i, CASE q % 4 " + " ".join(f"WHEN {n} THEN '{r[2]}'" for n, r in enumerate(READINGS)) + " END AS readings FROM u")
+def piece_readings(spark, sf_dir):
+    """The readings of a word's pieces, by the readings of its characters."""
+    pick = lambda xs: F.element_at(F.lit(xs) if isinstance(xs, list) else xs, F.col("q") % 4 + 1)
+    pieces = F.array(*[F.lit(list(r[0])) for r in READINGS])
+    kanji = F.array(*[F.struct(F.lit(c).alias("character"), F.lit(r).alias("readings")) for c, r in KANJI_READINGS.items()])
+    return units(spark, sf_dir).select("k", "i", F.array_join(lexicon.piece_readings(pick(pieces), pick([r[1] for r in READINGS]), kanji), ";").alias("readings"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'not one root' ELSE 'a cycle' END AS errors FROM orders")
+def conll_errors(spark, sf_dir):
+    """Sentences of three words: well-formed, with two roots, and with a cycle beside the root."""
+    kind = F.col("o_orderkey") % 3
+    line = lambda n, head: F.concat(F.lit(f"{n}\tw\tw\tX\t_\t_\t"), head.cast("string"), F.lit("\tdep\t_\t_"))
+    text_ = F.concat_ws("\n", line(1, F.lit(0)), line(2, F.when(kind == 1, 0).when(kind == 2, 3).otherwise(1)), line(3, F.when(kind == 2, 2).otherwise(1)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(metrics.conll_errors(text_), ";").alias("errors"))
+
+
 # --- sources and sinks
 
 
+@query("SELECT 'd' || p_partkey % 20 AS doc_id, CAST(row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) - 1 AS INT) AS sent_idx, replace(p_name, ' ', '_') AS surf FROM part")
+def annotated_folders(spark, sf_dir):
+    """A corpus of one file a document in folders of their own, read again; ids come from the sentences' ids."""
+    doc = F.col("p_partkey") % 20
+    line = F.concat(F.lit("# S-ID:d"), doc.cast("string"), F.lit("-"), F.col("p_partkey").cast("string"), F.lit("\n"), F.concat_ws(" ", bare("p_name"), bare("p_brand"), bare("p_type"), F.lit("名詞 6 普通名詞 1 * 0 * 0 NIL")), F.lit("\nEOS\n"))
+    files = table(spark, sf_dir, "part").groupBy(doc.alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    folder = shared_folder(spark)
+    files.repartition("doc").write.partitionBy("doc").text(folder)
+    found = sources.read_annotated(spark, folder, "*.txt", recursive=True)
+    return found.select("doc_id", "sent_idx", F.col("morphemes")[0]["surf"].alias("surf"))
+
+
+@query("SELECT chr(CAST(19968 + p_partkey AS INT)) AS character, 'か' || CASE WHEN p_size % 2 = 0 THEN ';あ.う' ELSE '' END AS readings, p_size AS strokes, p_brand AS meanings FROM part")
+def kanji_lines(spark, sf_dir):
+    """Lines of a kanji dictionary that were written as files and read again, without the built-in signs."""
+    from tsumugi.sources.dictionary import read_kanji
+
+    hexed = F.lpad(F.hex(F.col("p_partkey") + 19968), 4, "0")
+    character = F.decode(F.unhex(hexed), "UTF-16BE")
+    line = F.concat(character, F.lit(" "), hexed, F.lit(" S"), F.col("p_size").cast("string"), F.lit(" G1 Yya Wa カ"), F.when(F.col("p_size") % 2 == 0, " あ.う-").otherwise(""), F.lit(" {"), F.col("p_brand"), F.lit("}"))
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(folder)
+    found = read_kanji(spark, folder).where(F.map_contains_key("numbers", F.lit("strokes")))
+    return found.select("character", F.array_join("readings", ";").alias("readings"), F.element_at("numbers", "strokes").alias("strokes"), F.array_join("meanings", ";").alias("meanings"))
+
+
+
 def bare(c: str):
     return F.replace(F.col(c), F.lit(" "), F.lit("_"))
 
