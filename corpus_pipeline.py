@@ -29,11 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words or more that an earlier document has; texts of which nothing stays go."""
+    """Texts without the passages of 50 words or more that an earlier document has; texts of which nothing stays go.
+
+    n_chars, if docs has it, is the new text's where words went.
+    """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")  # whose names can't clash with new ones
     found = substrings.dedup_substrings(docs.select("doc_id", "text", others), layout=True).where("n_words = 0 or n_removed < n_words")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars"))
-    changed = {"text": F.col("text"), "n_chars": n_chars.alias("n_chars")}
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("others.n_chars")).alias("n_chars")
     return found.select(*[changed.get(c, F.col(f"others.`{c}`")) for c in docs.columns])
 
 

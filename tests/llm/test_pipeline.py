@@ -97,6 +97,14 @@ def test_other_columns_pass_through(spark, inputs):
     assert docs.count() > 20 and {"slot", "mix_order"} <= set(docs.columns)
 
 
+def test_without_n_chars(spark, inputs):
+    path, _, _ = inputs
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(40).drop("n_chars", "lang")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stored(stage(spark, docs, path))
+    assert docs.columns[:3] == ["doc_id", "text", "source"] and docs.count() > 10
+
+
 def test_empty_documents(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     path = folder(spark, tmp_path, documents=none, labels=spark.read.parquet(f"{SF}/labels.parquet"), benchmark=spark.read.parquet(f"{SF}/benchmark.parquet"))

@@ -202,7 +202,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thre
     columns aren't read. Texts of any length are read whole.
     """
     found, pairs = suspects(docs, items, shingle, threshold)
-    named = found.select("doc_id", *KEY).distinct().join(verdicts(found, pairs, items, shingle, threshold), KEY)
+    named = found.select("doc_id", *KEY).distinct().join(stored(verdicts(found, pairs, items, shingle, threshold)), KEY)
     return named.select("doc_id", "n_items", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
@@ -212,6 +212,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thr
     Rows with a null or empty text stay, repeated rows stay or go together; either table may be empty.
     """
     found, pairs = suspects(docs, items, shingle, threshold)
-    gone = verdicts(found, pairs, items, shingle, threshold, first=True).select(*KEY)
+    gone = stored(verdicts(found, pairs, items, shingle, threshold, first=True).select(*KEY))  # a table, whose size tells whether it can be broadcast
     _, rows = packed(docs)
     return rows.withColumn("text_hash", F.xxhash64("row.text")).withColumn("other", F.xxhash64(F.lit("other"), "row.text")).join(gone, KEY, "left_anti").select("row.*")
