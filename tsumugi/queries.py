@@ -671,14 +671,15 @@ def turn_stream(spark, sf_dir):
     from tsumugi.sources.shared import shared_folder
     from tsumugi.streaming import interactive
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    interactive.use_rocksdb(spark)
     out = shared_folder(spark)
     source = table(spark, sf_dir, "conversations")
-    source.write.parquet(f"{out}/in")
-    turns = spark.readStream.schema(source.schema).parquet(f"{out}/in")
+    turns = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/[c]onversations.parquet")  # a pattern, since the table may be one file
     rows = turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("sent_ord"), "text", F.lit(False).alias("last"))
-    stream = interactive.numbered_sentences(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        interactive.use_rocksdb(spark)
+        stream = interactive.numbered_sentences(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        stream.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(f"{out}/rows").select("doc_id", "sid", "text")
