@@ -151,5 +151,10 @@ def test_annotated_input_end_to_end(spark, given, tmp_path):
     assert "太郎 たろう 太郎 名詞 6 人名 5 * 0 * 0 \"代表表記:太郎/たろう 人名\"" in text and "好きな すきな 好きな 形容詞" in text
     again = annotated(spark.createDataFrame([("x", EXPECTED)], "path string, text string"))
     assert "".join(r["text"] for r in word_stage.written(again).orderBy("doc_id").collect()) == EXPECTED
+    pipeline.write(found, "word", str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.txt"))) == EXPECTED
+    two = annotated(spark.createDataFrame([("x", LINES)], "path string, text string"))
+    sets = pipeline.over_corpora(own, {"a": two, "b": two.where("doc_id = 'test-1'")}, "word")
+    assert sorted((r["corpus"], r["doc_id"]) for r in sets.collect()) == [("a", "test-0"), ("a", "test-1"), ("b", "test-1")]
     with pytest.raises(LookupError, match="dictionary"):
         pipeline.analyze(spark, pipeline.Pipeline(registry(rows)), "word", text=LINES, kind="jumanpp")

@@ -7,7 +7,8 @@ import importlib
 
 from pyspark.sql import SparkSession
 
-from tsumugi.plans.pipeline import FORMATS, Pipeline, Registry, analyze, check_tasks, parse_tasks
+from tsumugi.plans.pipeline import FORMATS, Pipeline, Registry, analyze, check_tasks, parse_tasks, rendered, write
+from tsumugi.sources import sinks
 
 
 def main(args: list[str] | None = None) -> None:
@@ -18,7 +19,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--tasks", default="char,word")
     parser.add_argument("--input-format", default="raw", choices=FORMATS)
     parser.add_argument("--predictors", help="module:name of a Registry; without one, every stage is missing")
-    parser.add_argument("--output", help="a folder for the rows as JSON; else they are shown")
+    parser.add_argument("--output", help="a folder for the text; else it is printed")
     given = parser.parse_args(args)
     try:
         check_tasks(parse_tasks(given.tasks), given.input_format)
@@ -28,10 +29,12 @@ def main(args: list[str] | None = None) -> None:
     registry = getattr(importlib.import_module(module), name) if given.predictors else Registry()
     spark = SparkSession.builder.appName("tsumugi").getOrCreate()
     found = analyze(spark, Pipeline(registry), given.tasks, text=given.text, files=given.filename, kind=given.input_format)
+    last = parse_tasks(given.tasks)[-1]
     if given.output:
-        found.write.mode("overwrite").json(given.output)
+        write(found, last, given.output)
     else:
-        found.show(truncate=False)
+        lines = "".join(r["text"] for r in rendered(found, last).orderBy("doc_id").toLocalIterator())
+        print(sinks.rendered(lines), end="")
 
 
 if __name__ == "__main__":

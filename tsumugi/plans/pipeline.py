@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tsumugi.functions.edits import apply_edits, tag_window, typo_tags
 from tsumugi.functions.text import normalize_text
 from tsumugi.operators import structure
+from tsumugi.operators.corpus import all_corpora
 from tsumugi.operators.segment import assign_doc_ids, eligible, sentences_by_tags, unknown_attributes, unknown_morphemes, words_by_tags
 from tsumugi.plans import word_stage
 from tsumugi.sources import sinks
@@ -183,6 +184,17 @@ def rendered(found: DataFrame, last: str) -> DataFrame:
     return sinks.document_texts(sentences)
 
 
+def over_corpora(pipeline: Pipeline, corpora: dict[str, DataFrame], tasks: str, kind: str = "knp") -> DataFrame:
+    """What the tasks give for each of several (evaluation) corpora, rendered: corpus, doc_id and text. Ids needn't differ between corpora."""
+    last = parse_tasks(tasks)[-1]
+    return all_corpora({name: rendered(pipeline.run(docs, tasks, kind, prefix=name), last) for name, docs in corpora.items()})
+
+
+def write(found: DataFrame, last: str, path: str) -> None:
+    """What the last task of a run gives, as text files that are in the documents' order within and across."""
+    sinks.write_text(rendered(found, last).withColumn("text", F.regexp_replace("text", r"\n\z", "")), path, ["doc_id"])
+
+
 def raw_output(docs: DataFrame) -> DataFrame:
     """Documents as blocks of raw text, in order."""
     return docs.select("ord", sinks.raw_block("doc_id", "text").alias("value"))
