@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.llm import chat, decontam, fingerprints, licenses, mixing, neardup, quality, substrings, tokens, urls
+from tsumugi.llm import chat, decontam, fingerprints, licenses, mixing, neardup, quality, substrings, tokens, trie, urls
 from tsumugi.llm.common import table
 
 MAX_TOKENS = 4096
@@ -64,7 +64,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.unionByName(extra), ["conv_id", "turn"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_heads(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op11_prefix_trie)}
 
 ORACLES: dict[str, str] = {}
 
@@ -135,3 +139,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('<|im_start|>' || regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a string, bit by bit, from the hexadecimal digits of its UTF-8."""
+    bits = f"flatten(list_transform(range(1, 2 * strlen({text}) + 1, 2), lambda p: list_transform(range(8), lambda k: ((strpos('0123456789ABCDEF', substr(hex({text}), p + 1 - k // 4, 1)) - 1) >> (k % 4)) & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))))"
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+           FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'h': h, 'w': w}} ORDER BY turn NULLS FIRST, h) AS ts FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, ts, {_crc32_sql("conv_id::VARCHAR")} % 4 AS n FROM s),
+r AS (SELECT k.conv_id, list_concat(coalesce(b.ts, [])[1:n], k.ts[n + 1:]) AS ts FROM k LEFT JOIN s b ON b.conv_id = k.conv_id - k.conv_id % 20),
+a AS (SELECT conv_id, len(ts) AS size, d, md5(array_to_string([x.h for x in ts[1:d]], '')) AS id, CASE WHEN d > 0 THEN md5(array_to_string([x.h for x in ts[1:d - 1]], '')) END AS up, ts[d].w AS w
+      FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT d, id, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(w), 0) AS w, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '') AS ends FROM a GROUP BY d, id),
+c AS (SELECT d - 1 AS d, up AS id, count(*) AS n_children FROM n GROUP BY d, up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (d, id)),
+u AS (SELECT o.d, o.id, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.w) AS saved FROM m JOIN a i ON i.conv_id = m.conv_id AND i.d = m.d
+      JOIN a o ON o.conv_id = m.conv_id AND o.d <= m.d GROUP BY o.d, o.id)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN u USING (d, id) LEFT JOIN m p ON p.d = m.d - 1 AND p.id = m.up
+"""
