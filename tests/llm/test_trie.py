@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -24,7 +25,7 @@ def plain_rebuilt(rows):
     out = {}
     for c, own in convs.items():
         h = zlib.crc32(str(c).encode()) % 4
-        out[c] = convs.get(c - c % 20, [])[:h] + own[h:]
+        out[c] = convs.get(c - int(math.fmod(c, 20)), [])[:h] + own[h:]
     return out
 
 

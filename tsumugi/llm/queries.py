@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.llm import chat, decontam, fingerprints, licenses, mixing, neardup, quality, substrings, tokens, trie, urls
+from tsumugi.llm import chat, decontam, fingerprints, language, licenses, mixing, neardup, quality, substrings, tokens, trie, urls
 from tsumugi.llm.common import table
 
 MAX_TOKENS = 4096
@@ -68,7 +68,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.with_shared_heads(trie.sequences(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op11_prefix_trie)}
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs.where(~language.held_out(F.col("doc_id")))), ["doc_id"])
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op11_prefix_trie, op12_language_id)}
 
 ORACLES: dict[str, str] = {}
 

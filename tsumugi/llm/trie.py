@@ -42,7 +42,7 @@ def sequences(rows: DataFrame) -> DataFrame:
 
 
 def with_shared_heads(seqs: DataFrame, every: int = 20, most: int = 4) -> DataFrame:
-    """Each conversation c rebuilt: the first h turns of conversation c - c % every (none if absent), then its own after its first h; h = crc32(c) % most."""
+    """Each conversation c rebuilt: the first h turns of conversation c - c % every (none if absent), then its own after its first h; h = crc32(c) % most. % has the sign of c, as in SQL."""
     heads = seqs.where(F.col("conv_id") % every == 0).select(F.col("conv_id").alias("head"), F.slice("turns", 1, most - 1).alias("first"))
     h = (F.crc32(F.col("conv_id").cast("string")) % most).cast("int")
     joined = seqs.withColumn("head", F.col("conv_id") - F.col("conv_id") % every).join(heads, "head", "left")
