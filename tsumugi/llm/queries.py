@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.llm import chat, decontam, fingerprints, language, licenses, mixing, neardup, quality, substrings, tokens, trie, urls
-from tsumugi.llm.common import table
+from tsumugi.llm import chat, decontam, fingerprints, language, licenses, mixing, neardup, quality, spelling, substrings, tokens, trie, urls
+from tsumugi.llm.common import stored, table
 
 MAX_TOKENS = 4096
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -74,7 +74,11 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op11_prefix_trie, op12_language_id)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped_variants(stored(spelling.word_counts(table(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_quality_classifier, op3_url_filters, op4_simhash_near_dedup, op5_source_mixing, op6_license_scans, op7_decontamination, op8_token_counts, op9_substring_dedup, op10_chat_formatting, op11_prefix_trie, op12_language_id, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {}
 
@@ -169,3 +173,20 @@ u AS (SELECT o.d, o.id, count(*) FILTER (m.n_children = 0) AS n_leaves, sum((m.n
 SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
 FROM m JOIN u USING (d, id) LEFT JOIN m p ON p.d = m.d - 1 AND p.id = m.up
 """
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS t, run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {_crc32_sql("t")} AS h FROM d),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+      FROM h GROUP BY 1 HAVING sum(k) >= 5 AND length(word) >= 6),
+l AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM l a JOIN l b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT w.word, w.n, l.word, l.n FROM w JOIN l ON w.word = l.rest UNION SELECT l.word, l.n, w.word, w.n FROM w JOIN l ON w.word = l.rest),
+b AS (SELECT word, count(*) AS n_near FROM p GROUP BY word),
+f AS (SELECT word, n, other AS form, m AS form_n FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+g AS (SELECT word, form, form_n FROM f WHERE form_n >= 5 * n),
+c AS (SELECT word, form AS root FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON g.word = c.root),
+e AS (SELECT word, root FROM c WHERE root NOT IN (SELECT word FROM g))
+SELECT w.word, g.form, coalesce(e.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, g.form_n FROM w LEFT JOIN b USING (word) LEFT JOIN g USING (word) LEFT JOIN e USING (word)
+"""
