@@ -17,5 +17,7 @@ def test_samples():
     assert v.KATAKANA.startswith("ァアィイ") and "ー" in v.KATAKANA
     assert v.SUBPOS_OF["助詞"]["終助詞"] == 4 and v.SUBPOS_OF["動詞"] == {"*": 0}
     assert v.CONJFORM_ID["サ変動詞"]["文語命令形"] == 20 and v.CONJFORM_ID["ナ形容詞"]["ヤ列タ系連用タリ形"] == 48
+    assert [len(v.CONJFORMS_OF[t]) for t in ("*", "母音動詞", "子音動詞カ行", "子音動詞ワ行", "サ変動詞", "判定詞")] == [1, 19, 18, 17, 21, 39]
+    assert sorted(t for types, _ in v.PARADIGMS for t in types) == sorted(v.CONJTYPES)
     assert ("接尾辞", "動詞性接尾辞") in v.INFLECTABLE and ("名詞", "普通名詞") not in v.INFLECTABLE
     assert v.ne_tags()[0] == "O" and "B-OPTIONAL" not in v.ne_tags(("OPTIONAL", "PERSON"))
