@@ -73,7 +73,7 @@ def test_near_words_equal_the_plain_version(spark, seed, cuts, most):
     assert found == plain
 
 
-@pytest.mark.parametrize("few", [0, 8])
+@pytest.mark.parametrize("few", [0, 1_000])
 def test_leaves_of_many_words(spark, monkeypatch, few):
     """Words with equal letter counts throughout, compared one by one and by what is left without a letter."""
     monkeypatch.setattr(spelling, "FEW", few)
@@ -118,4 +118,4 @@ def test_query_over_a_table(spark, tmp_path):
     counts = plain_counts([(r[0], r[1]) for r in rows])
     plain = plain_groups(counts)
     assert sorted((tuple(r) for r in found), key=repr) == plain
-    assert sum(r[1] is not None for r in plain) > 20 and any(r[1] != r[2] for r in plain if r[1])
+    assert sum(r[1] is not None for r in plain) > 10 and any(r[1] != r[2] for r in plain if r[1])

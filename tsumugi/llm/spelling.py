@@ -2,7 +2,8 @@
 
 Words are arranged in a trie by how many letters of each group they have, one group a level. One edit takes at most one
 letter out of one group and puts at most one into another, so all words near a given one are found by going down with a
-budget of one surplus and one deficit; the words at the leaves that are reached are compared. The trie is cut into subtrees
+budget of one surplus and one deficit; the words at the leaves that are reached are compared. Of two near words, the search
+starts from the one with fewer letters at the first level at which they differ: its surplus comes before its deficit. The trie is cut into subtrees
 below its first levels, one a task; subtrees of more than MOST words are cut again below further levels. The search through
 the levels above the cuts is a join: words meet the subtrees that their budget lets them reach.
 """
@@ -25,7 +26,7 @@ from tsumugi.llm.common import hot_join, rows_of, shuffle_partitions, stored
 GROUPS = ("e", "t", "n", "i", "a", "o", "r", "s", "h", "d", "l", "c", "u", "m", "g", "b", "fp", "kvw", "jqxyz")
 LEVELS = len(GROUPS) + 1
 #: Levels above each cut, words of a subtree at most, words of a leaf that are compared one by one, distinct words that a counting task holds.
-CUTS, MOST, FEW, HELD = (4, 9, LEVELS), 20_000, 8, 200_000
+CUTS, MOST, FEW, HELD = (4, 9, LEVELS), 20_000, 4, 200_000
 RUN = re.compile("[a-zÀ-ÿ]+")
 _level = {ord(c): chr(k) for k, group in enumerate(GROUPS) for c in group} | {c: chr(LEVELS - 1) for c in [*range(0xC0, 0x100)]}
 _marks = [chr(k) for k in range(LEVELS)]
@@ -38,11 +39,12 @@ def letter_counts(word: str) -> list[int]:
 
 def near(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced code point turns one into the other."""
-    if len(a) == len(b):
+    more = len(a) - len(b)
+    if not more:
         return sum(map(ne, a, b)) == 1
-    short, long = (a, b) if len(a) < len(b) else (b, a)
-    if len(long) - len(short) != 1:
+    if more not in (1, -1):
         return False
+    short, long = (b, a) if more == 1 else (a, b)
     at = next((k for k, c in enumerate(short) if c != long[k]), len(short))
     return long[at + 1 :] == short[at:]
 
@@ -85,20 +87,20 @@ def word_counts(docs: DataFrame, every: int = 199, least_length: int = 6, least_
 
 
 def reachable(counts: list[int], levels: range, plus: int, minus: int) -> Iterator[tuple[tuple[int, ...], int, int]]:
-    """The counts at these levels that a budget reaches, each with what is left of it."""
+    """The counts at these levels that a budget reaches, each with what is left of it. The deficit is there once the surplus is spent."""
     own = tuple(counts[k] for k in levels)
-    more = [own[:k] + (own[k] + 1,) + own[k + 1 :] for k in range(len(own))]
     yield own, plus, minus
-    for k in range(len(own)):
-        if plus:
-            yield more[k], plus - 1, minus
-        if minus and own[k]:
-            less = own[:k] + (own[k] - 1,) + own[k + 1 :]
-            yield less, plus, minus - 1
-            if plus:
-                for j in range(len(own)):
-                    if j != k:
-                        yield less[:j] + (less[j] + 1,) + less[j + 1 :], plus - 1, minus - 1
+    if plus:
+        for k in range(len(own)):
+            more = own[:k] + (own[k] + 1,) + own[k + 1 :]
+            yield more, 0, 1
+            for j in range(k + 1, len(own)):
+                if own[j]:
+                    yield more[:j] + (own[j] - 1,) + more[j + 1 :], 0, 0
+    elif minus:
+        for k in range(len(own)):
+            if own[k]:
+                yield own[:k] + (own[k] - 1,) + own[k + 1 :], 0, 0
 
 
 def written(counts: tuple[int, ...] | list[int]) -> str:
@@ -140,19 +142,27 @@ def grown(words: list[tuple[str, int, list[int]]], level: int) -> dict | Leaf:
     return {count: grown(some, level + 1) for count, some in below.items()}
 
 
-def search(node: dict | Leaf, level: int, word: str, counts: list[int], plus: int, minus: int) -> list[tuple[str, int]]:
-    """The words near a word below a place of the trie, depth first, with what is left of the budget."""
-    found, stack = [], [(node, level, plus, minus)]
+def search(node: dict | Leaf, level: int, word: str, counts: list[int], plus: int, minus: int) -> Iterator[tuple[str, int, bool]]:
+    """The words near a word below a place of the trie, depth first, with what is left of the budget; and whether any of it was spent."""
+    stack = [(node, level, plus, minus)]
     while stack:
         node, level, plus, minus = stack.pop()
         if isinstance(node, Leaf):
-            found += node.matches(word)
+            for other, n in node.matches(word):
+                yield other, n, not plus
             continue
         own = counts[level]
-        for step, p, m in ((0, plus, minus), (1, plus - 1, minus), (-1, plus, minus - 1)):
-            if p >= 0 and m >= 0 and (below := node.get(own + step)) is not None:
-                stack.append((below, level + 1, p, m))
-    return found
+        below = node.get(own)
+        if below is not None:
+            stack.append((below, level + 1, plus, minus))
+        if plus:
+            below = node.get(own + 1)
+            if below is not None:
+                stack.append((below, level + 1, 0, 1))
+        elif minus:
+            below = node.get(own - 1)
+            if below is not None:
+                stack.append((below, level + 1, 0, 0))
 
 
 PLACE = "key string, word string, n long, plus int, minus int"
@@ -179,7 +189,10 @@ def places(words: DataFrame, above: int, levels: int, searching: bool) -> DataFr
 
 
 def near_in_subtrees(members: DataFrame, queries: DataFrame, levels: int) -> DataFrame:
-    """word, n, and the number and best of the near words in each subtree that queries reach. Queries stream past a subtree's words."""
+    """word, n, and a near word with its n, for each that queries reach in a subtree. Queries stream past a subtree's words.
+
+    Words whose budget wasn't spent stand at the same place and both find the other; else just one of them does.
+    """
     both = members.withColumn("query", F.lit(False)).unionByName(queries.withColumn("query", F.lit(True)))
     ordered = both.repartition(shuffle_partitions(members.sparkSession), "key", "piece").sortWithinPartitions("key", "piece", "query").select("key", "piece", "query", "word", "n", "plus", "minus")
 
@@ -196,10 +209,10 @@ def near_in_subtrees(members: DataFrame, queries: DataFrame, levels: int) -> Dat
                     continue
                 if trie is None:
                     trie, words = grown(words, levels), []
-                found = search(trie, levels, word, counts, plus, minus)
-                best = min(found, key=lambda w: (-w[1], w[0]), default=(None, None))
-                for column, value in zip(out, (word, n, len(found), *best), strict=True):
-                    column.append(value)
+                for other, m, spent in search(trie, levels, word, counts, plus, minus):
+                    for row in ((word, n, 1, other, m), (other, m, 1, word, n))[: 1 + spent]:
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, RESULT_ARROW, strict=True)], schema=RESULT_ARROW)
 
     return ordered.mapInArrow(kernel, RESULT)
@@ -211,7 +224,7 @@ def near_words(words: DataFrame, cuts: tuple[int, ...] = CUTS, most: int = MOST)
     words has distinct words with their n. A subtree of over most words is cut below the next levels; one that is still so
     large below all levels, words with equal letter counts throughout, is dealt in pieces, each of which meets all that reach it.
     """
-    start = words.select(F.lit("").alias("key"), "word", "n", F.lit(1).alias("plus"), F.lit(1).alias("minus"))
+    start = words.select(F.lit("").alias("key"), "word", "n", F.lit(1).alias("plus"), F.lit(0).alias("minus"))
     members, searching, found = start, start, []
     for above, levels in zip((0, *cuts), cuts, strict=False):
         standing = stored(places(members, above, levels, searching=False))
@@ -227,8 +240,8 @@ def near_words(words: DataFrame, cuts: tuple[int, ...] = CUTS, most: int = MOST)
         if last or nodes.where(F.col("size") > most).isEmpty():
             break
         members, searching = (stored(df.where(F.col("words") > most).drop("words")) for df in (sized, reached))
-    every = found[0]
-    for df in found[1:]:
+    every = words.select("word", "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("string").alias("form"), F.lit(None).cast("long").alias("form_n"))
+    for df in found:
         every = every.unionByName(df)
     best = F.min(F.when(F.col("form").isNotNull(), F.struct((-F.col("form_n")).alias("n"), F.col("form").alias("form"))))
     return every.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n", "n_near", F.col("best.form").alias("form"), (-F.col("best.n")).alias("form_n"))
