@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tsumugi import queries, queries_more  # noqa: F401
+from tsumugi import queries, queries_more, queries_stages  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")

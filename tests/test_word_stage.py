@@ -115,12 +115,14 @@ def registry(rows):
     """A word predictor that looks its rows up, and a sequence-to-sequence one that reads each word as itself."""
     import pandas as pd
 
-    columns = [c.split()[0] for c in word_stage.PREDICTIONS.split(", ")]
-    known = {(r[0], r[1]): r for r in rows}
+    fields = [c.split()[0] for c in word_stage.PREDICTIONS.split(", ")][2:]
+    known = {(r[0], r[1]): dict(zip(fields, r[2:], strict=True)) for r in rows}
 
     def word(frames):
         for f in frames:
-            yield pd.DataFrame([known[d, k] for d, k in zip(f["doc_id"], f["word_idx"], strict=True)], columns=columns)
+            for d, words in zip(f["doc_id"], f["words"], strict=True):
+                assert "".join(w["surf"] for w in words) == "".join(WORDS[d, f"{d}-0"]) and all(w["target"] for w in words)
+            yield f[["doc_id", "win_idx"]].assign(words=[[known[d, k] for k in range(len(words))] for d, words in zip(f["doc_id"], f["words"], strict=True)])
 
     def seq2seq(frames):
         for f in frames:
@@ -128,7 +130,7 @@ def registry(rows):
             yield f[["doc_id", "sent_idx"]].assign(target=f["source"].map(one))
 
     own = pipeline.Registry()
-    own.register("word", word, word_stage.PREDICTIONS)
+    own.register("word", word, word_stage.WINDOW_PREDICTIONS)
     own.register("seq2seq", seq2seq, "doc_id string, sent_idx int, target string")
     return own
 
@@ -138,7 +140,7 @@ LINES = "".join(f"# S-ID:{sid} stimulus\n" + "".join(f"{w} _ {w} 未定義語 15
 
 def test_annotated_input_end_to_end(spark, given, tmp_path):
     words, predictions, dictionary = given
-    rows = [tuple(x if not isinstance(x, list) else [tuple(y) if hasattr(y, "asDict") else y for y in x] for x in r) for r in predictions.collect()]
+    rows = [tuple(x if not isinstance(x, list) else [y.asDict() if hasattr(y, "asDict") else y for y in x] for x in r) for r in predictions.collect()]
     own = pipeline.Pipeline(registry(rows), dictionary=dictionary)
     (tmp_path / "in.jumanpp").write_text(LINES)
     found = pipeline.analyze(spark, own, "word", files=[str(tmp_path)], kind="jumanpp")
@@ -158,3 +160,119 @@ def test_annotated_input_end_to_end(spark, given, tmp_path):
     assert sorted((r["corpus"], r["doc_id"]) for r in sets.collect()) == [("a", "test-0"), ("a", "test-1"), ("b", "test-1")]
     with pytest.raises(LookupError, match="dictionary"):
         pipeline.analyze(spark, pipeline.Pipeline(registry(rows)), "word", text=LINES, kind="jumanpp")
+
+
+def long_words(spark, sizes):
+    """Documents of sentences of so many one-letter words each; a sentence's words are its letter and place."""
+    rows = [(d, s, k, chr(97 + s % 26)) for d, own in sizes.items() for s, n in enumerate(own) for k in range(n)]
+    words = spark.createDataFrame(rows, "doc_id string, sent_idx int, morph_idx int, surf string").withColumns({"reading": F.lit("_"), "lemma": F.col("surf")})
+    return word_stage.with_places(words).repartition(5)
+
+
+@pytest.mark.parametrize("stride", [-1, 1, 2, 3])
+def test_windows_are_whole_and_merged_in_place(spark, stride):
+    """Each word is predicted once, in the window whose target it is; places in windows become places in documents."""
+    import pandas as pd
+
+    from tsumugi.kernels.spans import split_spans
+    from tsumugi.operators import predicting
+
+    sizes = {"a": [4, 7, 3, 12, 2, 2, 9, 1], "b": [5, 5], "c-s1i0": [11] * 9, "d": [3, 30, 4], "e": [1] * 40}
+    own = long_words(spark, sizes)
+    fitting, rejected = predicting.word_windows(own, 20, stride)
+    schema = "doc_id string, win_idx int, words array<struct<seen:string,heads:array<struct<head:int,dep_type:string>>,cohesion:array<struct<rel:string,tgt:int,logit:double>>,discourse:array<struct<tgt:int,relation:string>>>>"
+
+    def predictor(frames):
+        for f in frames:
+            out = []
+            for words in f["words"]:
+                n, text = len(words), "".join(w["surf"] for w in words)
+                assert 0 < n <= 20 and words[0]["morph_idx"] == 0 and any(w["target"] for w in words)
+                out.append([{"seen": text, "heads": [{"head": -1, "dep_type": "D"}, {"head": k, "dep_type": "D"}], "cohesion": [{"rel": "x", "tgt": k, "logit": 1.0}, {"rel": "x", "tgt": n + 3, "logit": 0.5}], "discourse": [{"tgt": n - 1, "relation": "y"}]} for k in range(n)])
+            yield pd.DataFrame({"doc_id": f["doc_id"], "win_idx": f["win_idx"], "words": out})
+
+    found = predicting.in_document(fitting, fitting.select("doc_id", "win_idx", "words").mapInPandas(predictor, schema)).collect()
+    expected = {}
+    for d, own_sizes in sizes.items():
+        n, upto = sum(own_sizes), [sum(own_sizes[:k]) for k in range(len(own_sizes) + 1)]
+        spans = [(0, len(own_sizes))] if n <= 20 else split_spans(own_sizes, 20, stride)
+        ended = 0
+        for a, b in spans:
+            first = ended  # a window's targets are the sentences since the end of the window before
+            if sum(own_sizes[a:b]) <= 20:
+                text = "".join(chr(97 + s % 26) * own_sizes[s] for s in range(a, b))
+                for w in range(upto[first], upto[b]):
+                    expected[d, w] = (text, [-1, w], [w, n + 3], [upto[b] - 1])
+            ended = b
+        assert ended == len(own_sizes)
+    got = {(r["doc_id"], r["word_idx"]): (r["seen"], [h["head"] for h in r["heads"]], [c["tgt"] for c in r["cohesion"]], [x["tgt"] for x in r["discourse"]]) for r in found}
+    assert len(found) == len(got) and got == expected
+    assert {(r["doc_id"], len(r["words"])) for r in rejected.collect()} == {("d", 30)}
+
+
+def test_a_prediction_of_another_length_is_an_error(spark):
+    from tsumugi.operators import predicting
+
+    windows, _ = predicting.word_windows(long_words(spark, {"a": [3]}), 20, 1)
+    short = windows.select("doc_id", "win_idx", F.array(F.struct(F.lit("x").alias("seen"))).alias("words"))
+    with pytest.raises(Exception, match="a window of 3 words has 1"):
+        predicting.in_document(windows, short).collect()
+
+
+def test_long_texts_in_windows_with_running_ids(spark, tmp_path, capsys):
+    """char over windows of whole sentences: ids from 1 on through a document, output in the order of the input."""
+
+    def char(frames):
+        for f in frames:
+            assert (f["text"].str.len() <= 10).all()
+            tags = [["B" if i == 0 or t[i - 1] == "。" else "I" for i in range(len(t))] for t in f["text"]]
+            yield f[["example_id"]].assign(sent_tags=tags, word_tags=[["B"] * len(t) for t in f["text"]], norm_ops=[["K"] * len(t) for t in f["text"]])
+
+    own = pipeline.Registry()
+    own.register("char", char, "example_id string, sent_tags array<string>, word_tags array<string>, norm_ops array<string>")
+    lines = pipeline.Pipeline(own, max_length=12)
+    text = "# D-ID:b\n犬。猫と鳥。魚だ。貝\nEOD\n# D-ID:a\n長い長い長い長い長い文。犬。\nEOD\n"
+    found = pipeline.analyze(spark, lines, "char", text=text)
+    texts = pipeline.rendered(found, "char")
+    written = "".join(r["text"] for r in texts.orderBy(*pipeline.in_order(texts)).collect())
+    assert [x for x in written.splitlines() if x.startswith("#")] == ["# S-ID:b-1", "# S-ID:b-2", "# S-ID:b-3", "# S-ID:b-4", "# S-ID:a-1"]
+    assert "".join(x[0] for x in written.splitlines() if x[0] not in "#E") == "犬。猫と鳥。魚だ。貝犬。"
+    assert [(r["doc_id"], r["text"]) for r in lines.rejected["char"].select("doc_id", "text").collect()] == [("a", "長い長い長い長い長い文。")]
+    pipeline.write(found, "char", str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.txt"))) == written
+
+
+def plain_char(frames):
+    for f in frames:
+        yield f[["example_id"]].assign(sent_tags=[["B"] + ["I"] * (len(t) - 1) for t in f["text"]], word_tags=[["B"] * len(t) for t in f["text"]], norm_ops=[["K"] * len(t) for t in f["text"]])
+
+
+def plain_word(frames):
+    """Nouns that depend on the next word, the last one on none."""
+    for f in frames:
+        out = []
+        for words in f["words"]:
+            n = len(words)
+            ends = [k + 1 == n or words[k + 1]["sent_idx"] != w["sent_idx"] for k, w in enumerate(words)]
+            out.append([{"reading": w["surf"], "pos_logits": one_hot(v.POS, ["名詞"]), "subpos_logits": one_hot(v.SUBPOS, ["普通名詞"]), "conjtype_logits": one_hot(v.CONJTYPES, ["*"]), "conjform_logits": one_hot(v.CONJFORMS, ["*"]), "word_features": one_hot(v.WORD_FEATURES, ["基本句-主辞", "基本句-区切", "文節-区切"]), "ne": "O", "bp_features": one_hot(v.BASE_PHRASE_FEATURES, ["体言"]), "heads": [{"head": -1 if ends[k] else k + 1, "dep_type": "D"}], "cohesion": [], "discourse": []} for k, w in enumerate(words)])
+        yield f[["doc_id", "win_idx"]].assign(words=out)
+
+
+CLI_PREDICTORS = pipeline.Registry()
+CLI_PREDICTORS.register("char", plain_char, "example_id string, sent_tags array<string>, word_tags array<string>, norm_ops array<string>")
+CLI_PREDICTORS.register("word", plain_word, word_stage.WINDOW_PREDICTIONS)
+
+
+def test_command_line(spark, given, tmp_path, capsys):
+    from tsumugi.__main__ import main
+
+    given[2].write(str(tmp_path / "dictionary"))
+    (tmp_path / "in.txt").write_text("# D-ID:z\n太郎\nEOD\n# D-ID:b\n犬猫\nEOD\n")
+    arguments = ["--predictors", "tests.test_word_stage:CLI_PREDICTORS", "--filename", str(tmp_path / "in.txt")]
+    with pytest.raises(SystemExit):
+        main(arguments)
+    capsys.readouterr()
+    main([*arguments, "--dictionary", str(tmp_path / "dictionary")])
+    out = capsys.readouterr().out
+    assert [x.split(" <")[0] for x in out.splitlines() if x[0] in "#+*E"] == ["# S-ID:z-1", "* 1D", "+ 1D", "* -1D", "+ -1D", "EOS", "# S-ID:b-1", "* 1D", "+ 1D", "* -1D", "+ -1D", "EOS"]
+    assert out.splitlines()[2] == "+ 1D <体言><節-主辞>" and out.splitlines()[3] == "太 太 太 名詞 6 普通名詞 1 * 0 * 0 <基本句-主辞>"

@@ -1,4 +1,4 @@
-"""Command line: python -m tsumugi --tasks char --predictors module:registry (--text TEXT | --filename FILE ...)."""
+"""Command line: python -m tsumugi [--tasks char,word] --predictors module:registry [--dictionary FOLDER] (--text TEXT | --filename FILE ...)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import importlib
 
 from pyspark.sql import SparkSession
 
-from tsumugi.plans.pipeline import FORMATS, Pipeline, Registry, analyze, check_tasks, parse_tasks, rendered, write
+from tsumugi.plans.pipeline import FORMATS, Pipeline, Registry, analyze, check_tasks, in_order, parse_tasks, rendered, write
+from tsumugi.plans.word_stage import Dictionary
 from tsumugi.sources import sinks
 
 
@@ -19,21 +20,26 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--tasks", default="char,word")
     parser.add_argument("--input-format", default="raw", choices=FORMATS)
     parser.add_argument("--predictors", help="module:name of a Registry; without one, every stage is missing")
+    parser.add_argument("--dictionary", help="a folder with the tables that the task word looks up (Dictionary.write makes one)")
     parser.add_argument("--output", help="a folder for the text; else it is printed")
     given = parser.parse_args(args)
     try:
-        check_tasks(parse_tasks(given.tasks), given.input_format)
+        tasks = parse_tasks(given.tasks)
+        check_tasks(tasks, given.input_format)
+        if "word" in tasks and not given.dictionary:
+            raise ValueError("the task word needs --dictionary")
     except ValueError as e:
         parser.error(str(e))
     module, _, name = (given.predictors or "").partition(":")
     registry = getattr(importlib.import_module(module), name) if given.predictors else Registry()
     spark = SparkSession.builder.appName("tsumugi").getOrCreate()
-    found = analyze(spark, Pipeline(registry), given.tasks, text=given.text, files=given.filename, kind=given.input_format)
-    last = parse_tasks(given.tasks)[-1]
+    found = analyze(spark, Pipeline(registry, dictionary=Dictionary.read(spark, given.dictionary) if given.dictionary else None), given.tasks, text=given.text, files=given.filename, kind=given.input_format)
+    last = tasks[-1]
     if given.output:
         write(found, last, given.output)
     else:
-        lines = "".join(r["text"] for r in rendered(found, last).orderBy("doc_id").toLocalIterator())
+        texts = rendered(found, last)
+        lines = "".join(r["text"] for r in texts.orderBy(*in_order(texts)).toLocalIterator())
         print(sinks.rendered(lines), end="")
 
 

@@ -24,16 +24,16 @@ def window_spans(max_length: int, stride: int):
 def split_documents(sentences: DataFrame, max_length: int, stride: int = -1, size: str = "n_tokens") -> DataFrame:
     """Sentences (doc_id, sent_idx, size and others) of each window: window_id, win_idx, sent_idx, target.
 
-    A document that fits is one window and keeps its id. In others, the last stride sentences of a window are its targets (all
-    of them where windows don't overlap). A sentence is repeated in each window that holds it. The lengths of a document's
+    A document that fits is one window and keeps its id. In others, the sentences by which a window ends after the one before are
+    its targets: each sentence is a target once. stride is how many that should be (-1: windows don't overlap). A sentence is repeated in each window that holds it. The lengths of a document's
     sentences are brought together, their texts aren't.
     """
     lengths = sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", size))), lambda x: x[size].cast("int")).alias("lengths"))
     fits = F.aggregate("lengths", F.lit(0), lambda a, x: a + x) <= max_length
     whole = F.array(F.struct(F.lit(0).alias("start"), F.size("lengths").alias("end")))
-    each = lengths.select("doc_id", fits.alias("fits"), F.posexplode(F.when(fits, whole).otherwise(window_spans(max_length, stride)("lengths"))).alias("win_idx", "span"))
-    width = F.col("span.end") - F.col("span.start")
-    own_stride = F.when(F.col("fits"), width).when(F.lit(stride == -1), width).otherwise(F.least(F.lit(stride), width))
+    spans = F.when(fits, whole).otherwise(window_spans(max_length, stride)("lengths"))
+    each = lengths.select("doc_id", fits.alias("fits"), spans.alias("spans")).select("doc_id", "fits", "spans", F.posexplode("spans").alias("win_idx", "span"))
+    own_stride = F.col("span.end") - F.coalesce(F.get("spans", F.col("win_idx") - 1)["end"], F.lit(0))
     windows = each.select(
         "doc_id", "win_idx", F.when(F.col("fits"), F.col("doc_id")).otherwise(F.concat(F.col("doc_id"), F.lit("-s"), own_stride.cast("string"), F.lit("i"), F.col("win_idx").cast("string"))).alias("window_id"),
         F.col("span.end").alias("_end"), own_stride.alias("_stride"), F.explode(F.sequence(F.col("span.start"), F.col("span.end") - 1)).alias("sent_idx"),

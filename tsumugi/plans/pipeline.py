@@ -10,15 +10,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsumugi import vocab
 from tsumugi.functions.edits import apply_edits, tag_window, typo_tags
 from tsumugi.functions.text import normalize_text
-from tsumugi.operators import structure
+from tsumugi.operators import predicting, structure
 from tsumugi.operators.corpus import all_corpora
-from tsumugi.operators.segment import assign_doc_ids, eligible, sentences_by_tags, unknown_attributes, unknown_morphemes, words_by_tags
+from tsumugi.operators.segment import assign_doc_ids, eligible, unknown_attributes, unknown_morphemes
 from tsumugi.plans import word_stage
+from tsumugi.sources.shared import kept
 from tsumugi.sources import sinks
 from tsumugi.sources.text import annotated, from_text, read_annotated, read_raw
 
@@ -80,12 +82,21 @@ class Registry:
 
 @dataclass
 class Pipeline:
-    """The stages. dictionary: what the word stage looks up."""
+    """The stages. dictionary: what the word stage looks up.
+
+    max_length: tokens that the char and word stages' predictors take, special ones included. stride: how many sentences further
+    each window of the word stage ends (-1: windows don't overlap). word_length: a word's number of tokens, by default its code
+    points. rejected: what the last run's char and word stages had to leave out, by stage.
+    """
 
     registry: Registry
     max_typo_length: int = 256
     typo_threshold: float = 0.0
     dictionary: word_stage.Dictionary | None = None
+    max_length: int = 512
+    stride: int = 2
+    word_length: Column | None = None
+    rejected: dict[str, DataFrame] = field(default_factory=dict)
 
     def typo(self, docs: DataFrame) -> DataFrame:
         """docs with corrected texts. Texts that the stage can't take stay as they are, in their places.
@@ -101,15 +112,15 @@ class Pipeline:
         return own.withColumn("text", F.when(F.col("kdr_predictions").isNotNull(), apply_edits("text", keep, insert)).otherwise(F.col("text"))).select(docs.columns)
 
     def char(self, docs: DataFrame) -> DataFrame:
-        """Morphemes (doc_id, sent_idx, morph_idx and their columns) by predicted tags.
+        """Morphemes (doc_id, sent_idx, morph_idx, sid and their columns) by predicted tags.
 
-        The predictor gets example_id and text and gives example_id and sent_tags, word_tags and norm_ops, one a character.
+        Texts are cut into windows of whole (tentative) sentences that the predictor can take. It gets example_id (window_id) and
+        text and gives example_id and sent_tags, word_tags and norm_ops, one a character. Sentences too long for it are left out.
         """
-        found = self.registry.predict("char", docs.select(F.col("doc_id").alias("example_id"), "text")).withColumnRenamed("example_id", "doc_id")
-        own = docs.join(found, "doc_id").withColumn("sentences", sentences_by_tags("text", "sent_tags"))
-        words = own.select("doc_id", F.posexplode(words_by_tags("sentences", "word_tags", "norm_ops")).alias("place", "w")).select("doc_id", "place", "w.*")
-        within = F.row_number().over(Window.partitionBy("doc_id", "sent_idx").orderBy("place")) - 1
-        return unknown_morphemes(words.withColumn("morph_idx", within).drop("place"))
+        fitting, self.rejected["char"] = predicting.text_windows(docs, self.max_length - 2)
+        windows = kept(fitting.select(*[c for c in ("doc_id", "doc_ord") if c in docs.columns], "win_idx", "window_id", "text"))
+        found = self.registry.predict("char", windows.select(F.col("window_id").alias("example_id"), "text")).withColumnRenamed("example_id", "window_id")
+        return unknown_morphemes(predicting.words_of_windows(windows.join(found, "window_id")))
 
     def seq2seq(self, words: DataFrame) -> DataFrame:
         """Words with the readings, lemmas and canonical forms of generated texts; sentences without any words are left out.
@@ -118,39 +129,52 @@ class Pipeline:
         """
         own = words if "canon" in words.columns else words.withColumn("canon", F.lit(None).cast("string"))
         m = F.struct("morph_idx", F.struct("surf", "reading", "lemma", "canon").alias("m"))
-        others = [F.first(c).alias(c) for c in ("sid", "comment") if c in own.columns]
+        carried = [c for c in ("sid", "comment", "doc_ord") if c in own.columns]
+        others = [F.first(c).alias(c) for c in carried]
         sentences = own.groupBy("doc_id", "sent_idx").agg(F.transform(F.array_sort(F.collect_list(m), lambda a, b: a["morph_idx"] - b["morph_idx"]), lambda x: x["m"]).alias("m"), *others)
         source, _ = structure.linearize("m")
         made = self.registry.predict("seq2seq", sentences.select("doc_id", "sent_idx", source.alias("source")))
         each = sentences.drop("m").join(made, ["doc_id", "sent_idx"]).select("*", F.posexplode(structure.parse_linear("target")).alias("morph_idx", "w"))
-        return each.select("doc_id", "sent_idx", "morph_idx", *[c for c in ("sid", "comment") if c in own.columns], "w.*")
+        return each.select("doc_id", "sent_idx", "morph_idx", *carried, "w.*")
 
     def word(self, words: DataFrame, keep: bool = False) -> DataFrame:
         """Parsed sentences of words, by predicted scores (see word_stage). keep: readings and lemmas are an earlier stage's.
 
-        The predictor gets the words with their place in the document (word_idx) and gives the columns of word_stage.PREDICTIONS.
+        The predictor gets one row a window (doc_id, win_idx, window_id and words, an array of predicting.WINDOW_WORD) and gives doc_id,
+        win_idx and words: for each word, in order, the fields of word_stage.PREDICTIONS, with places counted in the window. A
+        word's prediction is that of the window whose target it is. Sentences too long for the predictor are left out.
         """
         if self.dictionary is None:
             raise LookupError("the stage 'word' needs a dictionary")
-        missing = {"sid": F.concat_ws("-", "doc_id", "sent_idx"), "comment": F.lit(None).cast("string"), "canon": F.lit(None).cast("string")}
-        own = word_stage.with_places(words).withColumns({c: x for c, x in missing.items() if c not in words.columns})
-        return word_stage.assemble(own.drop("word_idx"), self.registry.predict("word", own), self.dictionary, keep)
+        missing = {"sid": F.concat_ws("-", "doc_id", F.col("sent_idx") + 1), "comment": F.lit(None).cast("string"), "canon": F.lit(None).cast("string")}
+        named = words.withColumns({c: x for c, x in missing.items() if c not in words.columns})
+        own = word_stage.with_places(named.select("doc_id", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon"))
+        fitting, self.rejected["word"] = predicting.word_windows(own, self.max_length - len(vocab.SPECIAL_TOKENS) - 2, self.stride, self.word_length)
+        windows = kept(fitting)
+        found = self.registry.predict("word", windows.select("doc_id", "win_idx", "window_id", "words"))
+        sentences = word_stage.assemble(own.drop("word_idx"), predicting.in_document(windows, found), self.dictionary, keep)
+        return sentences.join(words.groupBy("doc_id").agg(F.min("doc_ord").alias("doc_ord")), "doc_id") if "doc_ord" in words.columns else sentences
 
     def run(self, docs: DataFrame, tasks: str, kind: str = "raw", prefix: str = "doc") -> DataFrame:
         """Documents through the tasks.
 
         Raw ones (ord, doc_id, text): empty ones are dropped, ids assigned, texts normalized. Annotated ones (sentences as
-        read_annotated() gives them) are word sequences for seq2seq and word, and else the texts that their words make.
+        read_annotated() gives them) are word sequences for seq2seq and word, and else the texts that their words make. The
+        documents' order in the input (path and place in it; the ids, where there is neither) goes along as doc_ord.
         """
         own = parse_tasks(tasks)
         for warning in check_tasks(own, kind):
             log.warning(warning)
+        places = [c for c in ("path", "ord" if kind == "raw" else "sent_idx") if c in docs.columns] if "path" in docs.columns or kind == "raw" else []
+        order = F.struct(*places or ["doc_id"])
+        if kind != "raw":
+            orders = docs.groupBy("doc_id").agg(F.min(order).alias("doc_ord"))
         if kind != "raw" and own[0] in ("seq2seq", "word"):
             rows = structure.word_table(docs).join(docs.select("doc_id", "sent_idx", "comment"), ["doc_id", "sent_idx"])
             m = F.filter("semantics.items", lambda x: x["key"] == "代表表記")
-            now = rows.withColumn("canon", F.try_element_at(m, F.lit(1))["value"]).select("doc_id", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon")
+            now = rows.withColumn("canon", F.try_element_at(m, F.lit(1))["value"]).join(orders, "doc_id").select("doc_id", "doc_ord", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon")
         else:
-            texts = docs if kind == "raw" else sinks.document_texts(docs.select("doc_id", "sent_idx", F.array_join(F.transform("morphemes", lambda x: x["surf"]), "").alias("text")))
+            texts = docs.withColumn("doc_ord", order) if kind == "raw" else sinks.document_texts(docs.select("doc_id", "sent_idx", F.array_join(F.transform("morphemes", lambda x: x["surf"]), "").alias("text"))).join(orders, "doc_id")
             now = assign_doc_ids(texts.where(F.coalesce(F.col("text"), F.lit("")) != ""), prefix, ("path", "ord") if "ord" in texts.columns else ("doc_id",)).withColumn("text", normalize_text("text"))
         for t in own:
             now = self.word(now, keep="seq2seq" in own) if t == "word" else getattr(self, t)(now)
@@ -164,35 +188,42 @@ def analyze(spark: SparkSession, pipeline: Pipeline, tasks: str, text: str | Non
     if kind == "raw":
         docs = from_text(spark, text) if text is not None else read_raw(spark, files)
     else:
-        docs = annotated(spark.createDataFrame([("text", text)], "path string, text string")) if text is not None else read_annotated(spark, files, glob=None)
+        docs = annotated(spark.createDataFrame([("text", text)], "path string, text string"), with_path=True) if text is not None else read_annotated(spark, files, glob=None, with_path=True)
     return pipeline.run(docs, tasks, kind)
 
 
 def rendered(found: DataFrame, last: str) -> DataFrame:
-    """doc_id and text: what the last task of a run gives, as it is written: raw text, morpheme lines, or analyses."""
+    """doc_id, text and doc_ord: what the last task of a run gives, as it is written: raw text, morpheme lines, or analyses."""
+    order = ["doc_ord"] if "doc_ord" in found.columns else []
     if last == "typo":
-        return found.select("doc_id", F.concat(sinks.raw_block("doc_id", "text"), F.lit("\n")).alias("text"))
+        return found.select("doc_id", *order, F.concat(sinks.raw_block("doc_id", "text"), F.lit("\n")).alias("text"))
     if last == "word":
         return word_stage.written(found)
     names = ("surf", "reading", "lemma", "pos", "pos_id", "subpos", "subpos_id", "conjtype", "conjtype_id", "conjform", "conjform_id")
     own = found if "pos" in found.columns else unknown_attributes(found)
     canon = F.concat(F.lit(' "代表表記:'), F.col("canon"), F.lit('"')) if "canon" in own.columns else F.lit(None).cast("string")
     line = F.concat(F.concat_ws(" ", *[F.col(n).cast("string") for n in names]), F.coalesce(canon, F.lit("")), F.lit("\n"))
-    sid = F.first("sid") if "sid" in own.columns else F.concat_ws("-", "doc_id", "sent_idx")
+    sid = F.first("sid") if "sid" in own.columns else F.concat_ws("-", "doc_id", F.col("sent_idx") + 1)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("morph_idx", line.alias("t")))), lambda x: x["t"])
-    sentences = own.groupBy("doc_id", "sent_idx").agg(F.concat(F.lit("# S-ID:"), sid, F.lit("\n"), F.array_join(lines, ""), F.lit("EOS\n")).alias("text"))
-    return sinks.document_texts(sentences)
+    sentences = own.groupBy("doc_id", "sent_idx").agg(F.concat(F.lit("# S-ID:"), sid, F.lit("\n"), F.array_join(lines, ""), F.lit("EOS\n")).alias("text"), *[F.first(c).alias(c) for c in order])
+    return sinks.document_texts(sentences, carried=order)
 
 
 def over_corpora(pipeline: Pipeline, corpora: dict[str, DataFrame], tasks: str, kind: str = "knp") -> DataFrame:
     """What the tasks give for each of several (evaluation) corpora, rendered: corpus, doc_id and text. Ids needn't differ between corpora."""
     last = parse_tasks(tasks)[-1]
-    return all_corpora({name: rendered(pipeline.run(docs, tasks, kind, prefix=name), last) for name, docs in corpora.items()})
+    return all_corpora({name: rendered(pipeline.run(docs, tasks, kind, prefix=name), last).select("doc_id", "text") for name, docs in corpora.items()})
+
+
+def in_order(texts: DataFrame) -> list[str]:
+    """The columns that bring a run's texts into the order of its input."""
+    return ["doc_ord" if "doc_ord" in texts.columns else "doc_id"]
 
 
 def write(found: DataFrame, last: str, path: str) -> None:
     """What the last task of a run gives, as text files that are in the documents' order within and across."""
-    sinks.write_text(rendered(found, last).withColumn("text", F.regexp_replace("text", r"\n\z", "")), path, ["doc_id"])
+    texts = rendered(found, last)
+    sinks.write_text(texts.withColumn("text", F.regexp_replace("text", r"\n\z", "")), path, in_order(texts))
 
 
 def raw_output(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsumugi import vocab
@@ -26,6 +26,8 @@ PREDICTIONS = (
     "doc_id string, word_idx int, reading string, pos_logits array<double>, subpos_logits array<double>, conjtype_logits array<double>, conjform_logits array<double>, "
     "word_features array<double>, ne string, bp_features array<double>, heads array<struct<head:int,dep_type:string>>, cohesion array<struct<rel:string,tgt:int,logit:double>>, discourse array<struct<tgt:int,relation:string>>"
 )
+#: The same as a predictor gives it: one row a window, with places counted in the window.
+WINDOW_PREDICTIONS = "doc_id string, win_idx int, words array<struct<" + ",".join(f.replace(" ", ":", 1) for f in PREDICTIONS.split(", ")[2:]) + ">>"
 SENT = ["doc_id", "sent_idx"]
 #: Relations in the order in which they are written, and the special tokens that may be their targets.
 RELATIONS = (*vocab.PAS_RELATIONS, *vocab.BRIDGING_RELATIONS, vocab.COREFERENCE)
@@ -40,6 +42,15 @@ class Dictionary:
     inflection: DataFrame
     ambiguous: tuple[tuple[str, str], ...] = ()
 
+    @staticmethod
+    def read(spark: SparkSession, path: str, ambiguous: tuple[tuple[str, str], ...] = ()) -> Dictionary:
+        """A dictionary from a folder that write() has made."""
+        return Dictionary(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/inflection"), ambiguous)
+
+    def write(self, path: str) -> None:
+        self.entries.write.mode("overwrite").parquet(f"{path}/entries")
+        self.inflection.write.mode("overwrite").parquet(f"{path}/inflection")
+
 
 def with_places(words: DataFrame) -> DataFrame:
     """words (doc_id, sent_idx, morph_idx) with word_idx, their place in the document."""
@@ -143,6 +154,7 @@ def assemble(words: DataFrame, predictions: DataFrame, dictionary: Dictionary, k
 
 
 def written(sentences: DataFrame) -> DataFrame:
-    """doc_id and text: each document's sentences as annotated lines, in order."""
-    lines = sentences.select(*SENT, emit_annotated("sid", "comment", "morphemes", "base_phrases", "phrases").alias("text"))
-    return sinks.document_texts(lines)
+    """doc_id and text (and doc_ord, if there is one): each document's sentences as annotated lines, in order."""
+    order = ["doc_ord"] if "doc_ord" in sentences.columns else []
+    lines = sentences.select(*SENT, *order, emit_annotated("sid", "comment", "morphemes", "base_phrases", "phrases").alias("text"))
+    return sinks.document_texts(lines, carried=order)

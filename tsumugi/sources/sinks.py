@@ -36,10 +36,10 @@ def generated_text(ids: Column | str, vocab: Column | str, skipped: list[int]) -
     return F.translate(F.array_join(F.transform(kept, lambda i: F.element_at(vocab, i.cast("int") + 1)), ""), " ▁", "")
 
 
-def document_texts(sentences: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("sent_idx",), text: str = "text") -> DataFrame:
-    """One text a document of its sentences' blocks, in order."""
+def document_texts(sentences: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("sent_idx",), text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """One text a document of its sentences' blocks, in order. carried: columns of the document to keep."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
-    return sentences.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["_t"]), "").alias("text"))
+    return sentences.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["_t"]), "").alias("text"), *[F.first(c).alias(c) for c in carried or ()])
 
 
 def write_text(df: DataFrame, path: str, order: list[str], text: str = "text") -> None:

@@ -106,17 +106,17 @@ def emit_annotated(sid: pa.Array, comment: pa.Array, morphemes: pa.Array, base_p
     return pa.array([formats.emit_sentence({"sid": s, "comment": c, "morphemes": m, "base_phrases": b, "phrases": p}) for s, c, m, b, p in rows], pa.string())
 
 
-def read_annotated(spark: SparkSession, paths: str | list[str], glob: str | None = "*.knp", recursive: bool = False) -> DataFrame:
+def read_annotated(spark: SparkSession, paths: str | list[str], glob: str | None = "*.knp", recursive: bool = False, with_path: bool = False) -> DataFrame:
     """doc_id (of the sentence ids, else the file's name), sent_idx and the sentence columns of each sentence of the files."""
-    return annotated(whole_files(spark, paths, glob, recursive))
+    return annotated(whole_files(spark, paths, glob, recursive), with_path)
 
 
-def annotated(files: DataFrame) -> DataFrame:
-    """doc_id, sent_idx and the sentence columns of annotated texts (path, text)."""
+def annotated(files: DataFrame, with_path: bool = False) -> DataFrame:
+    """doc_id, sent_idx and the sentence columns (and path, if asked for) of annotated texts (path, text)."""
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    each = files.select(name.alias("file"), F.posexplode(parse_annotated("text")).alias("sent_idx", "s"))
+    each = files.select("path", name.alias("file"), F.posexplode(parse_annotated("text")).alias("sent_idx", "s"))
     doc_id = F.coalesce(F.nullif(F.regexp_extract(F.col("s.sid"), r"^(.*)-[^-]+$", 1), F.lit("")), F.col("file"))
-    return each.select(doc_id.alias("doc_id"), "sent_idx", "s.*")
+    return each.select(doc_id.alias("doc_id"), "sent_idx", "s.*", *["path"] * with_path)
 
 
 def read_typo_examples(spark: SparkSession, path: str) -> DataFrame:
