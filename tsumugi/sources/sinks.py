@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,29 @@ def write_text(df: DataFrame, path: str, order: list[str], text: str = "text") -
     df.orderBy(*order).select(F.col(text).alias("value")).write.mode("overwrite").text(path)
 
 
+def append_epoch(batch: DataFrame, epoch: int, path: str, order: list[str], text: str = "text") -> None:
+    """A micro-batch's texts, in order, as the epoch's own folder: an epoch that is run again takes the place of what it wrote before.
+
+    So a stream that is killed between two batches, or within one, and restarted from its checkpoint gives each text once.
+    """
+    batch.orderBy(*order).select(F.col(text).alias("value")).write.mode("overwrite").text(f"{path}/epoch={epoch:012d}")
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """epoch, ord and line of what append_epoch() wrote: a line's number is its place within its epoch's files."""
+    lines = spark.read.text(path).select(F.col("epoch").cast("long").alias("epoch"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    return lines.select("epoch", (F.row_number().over(Window.partitionBy("epoch").orderBy("file", "start", "at")) - 1).alias("ord"), "line")
+
+
+def begin(spark: SparkSession, path: str, checkpoint: str) -> None:
+    """Clears the output of an earlier run, unless this one goes on from its checkpoint."""
+    context = spark.sparkContext
+    at = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(context._jsc.hadoopConfiguration())
+    if not at(checkpoint).getFileSystem(context._jsc.hadoopConfiguration()).exists(at(checkpoint)):
+        files.delete(at(path), True)
+
+
 def write_splits(df: DataFrame, path: str, kind: str = "json", split: str = "split") -> None:
     """One folder a split."""
     df.write.mode("overwrite").partitionBy(split).format(kind).save(path)

@@ -59,29 +59,85 @@ class SentenceCounter(StatefulProcessor):
 
 
 MERGED = StructType([StructField("doc_id", StringType()), StructField("ord", LongType()), StructField("sid", StringType()), StructField("analysis", StringType())])
+KEPT = StructType([StructField("win_idx", LongType()), StructField("ord", LongType()), StructField("analysis", StringType())])
 
 
 class SentenceMerger(StatefulProcessor):
-    """Keeps the first analysis of each of a document's sentences; gives them in order, and forgets them, when its end has come."""
+    """Keeps one analysis of each of a document's sentences, that of the earliest window; gives them in order, and forgets them, at its end.
+
+    The end is a row marked last. idle: after how many milliseconds without a row a document that has no end is given and
+    forgotten too (None: never); rows that come later are a document of their own.
+    """
+
+    def __init__(self, idle: int | None = None):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getMapState("sentences", StructType([StructField("sid", StringType())]), StructType([StructField("ord", LongType()), StructField("analysis", StringType())]))
+        self.handle = handle
+        self.state = handle.getMapState("sentences", StructType([StructField("sid", StringType())]), KEPT)
+
+    def take(self, row) -> None:
+        key = (row.sid,)
+        if not self.state.containsKey(key) or self.state.getValue(key)[0] > row.win_idx:
+            self.state.updateValue(key, (int(row.win_idx), int(row.ord), row.analysis))
+
+    def given(self, doc_id: str) -> pd.DataFrame:
+        out = sorted((v[1], k[0], v[2]) for k, v in self.state.iterator())
+        self.state.clear()
+        return pd.DataFrame([(doc_id, *x) for x in out], columns=MERGED.names)
+
+    def wait(self, timers) -> None:
+        """A timer from now on, instead of those that are set."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, (list, tuple)) else t)
+        self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("ord")
-        for row in frame.itertuples():
-            if not self.state.containsKey((row.sid,)):
-                self.state.updateValue((row.sid,), (int(row.ord), row.analysis))
-        out = []
-        if bool(frame["last"].any()):
-            out = sorted((v[0], k[0], v[1]) for k, v in self.state.iterator())
-            self.state.clear()
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=MERGED.names)
+        ended = False
+        for frame in rows:
+            for row in frame.itertuples():
+                self.take(row)
+                ended = ended or bool(row.last)
+        if self.idle is not None and not ended:
+            self.wait(timerValues)
+        yield self.given(key[0]) if ended else pd.DataFrame([], columns=MERGED.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.given(key[0])
 
     def close(self) -> None:
         pass
 
 
+class DocumentChange(SentenceMerger):
+    """The same for a source whose documents come one after the other: a row of another document ends the one before.
+
+    Rows are taken by their place in the source (seq). A document that comes back later is another one.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.now = handle.getValueState("doc_id", StructType([StructField("doc_id", StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = self.now.get()[0] if self.now.exists() else None
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if now is not None and row.doc_id != now:
+                yield self.given(now)
+            now = row.doc_id
+            self.take(row)
+        self.now.update((now,))
+        if self.idle is not None:
+            self.wait(timerValues)
+        yield pd.DataFrame([], columns=MERGED.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.now.exists():
+            now = self.now.get()[0]
+            self.now.clear()
+            yield self.given(now)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """The state store that these processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -97,9 +153,14 @@ def numbered_sentences(sentences: DataFrame) -> DataFrame:
     return sentences.groupBy("doc_id").transformWithStateInPandas(SentenceCounter(), NUMBERED, "Append", "None")
 
 
-def merged_sentences(analysed: DataFrame) -> DataFrame:
-    """A stream of analysed sentences of windows (doc_id, ord, sid, analysis, last) as each document's sentences, once each."""
-    return analysed.groupBy("doc_id").transformWithStateInPandas(SentenceMerger(), MERGED, "Append", "None")
+def merged_sentences(analysed: DataFrame, idle: int | None = None) -> DataFrame:
+    """A stream of analysed sentences of windows (doc_id, win_idx, ord, sid, analysis, last) as each document's sentences, once each."""
+    return analysed.groupBy("doc_id").transformWithStateInPandas(SentenceMerger(idle), MERGED, "Append", "None" if idle is None else "ProcessingTime")
+
+
+def changed_documents(analysed: DataFrame, idle: int | None = None) -> DataFrame:
+    """A stream of analysed sentences of sources (source, seq, doc_id, win_idx, ord, sid, analysis) as documents, each when the next one begins."""
+    return analysed.groupBy("source").transformWithStateInPandas(DocumentChange(idle), MERGED, "Append", "None" if idle is None else "ProcessingTime")
 
 
 def file_lines(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
