@@ -184,7 +184,7 @@ def with_near(found: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFr
     """found (doc_id, fingerprint and others; kept once) with n_near: for the rows whose doc_id is divisible by `every`, how
     many rows have a fingerprint at most radius bits from theirs, their own included; null for the others.
     """
-    found = cut(found.coalesce(-(-shuffle_partitions(found.sparkSession) // 4)))  # its rows are a tenth of the texts': several ranges make a file
+    found = cut(found)
     counts = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = found.where(F.col("doc_id") % every == 0).select("doc_id", "fingerprint").distinct()
     pairs = search(asked, found.select("fingerprint"), radius)
