@@ -608,7 +608,7 @@ def best_by_hand(pairs):
 
 def test_many_items_in_many_texts(spark, monkeypatch):
     """Items and texts that all share one passage: a row a text, whatever the number of pairs, and no text once for each."""
-    monkeypatch.setattr(decontam, "CANDIDATES", 64)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 4_000)
     passage = [f"p{k}" for k in range(20)]
     items = [(k, " ".join([*passage, f"i{k}"])) for k in range(300)]
     texts = [(k, " ".join([f"t{k}", *passage, f"i{k % 7}", "end"])) for k in range(200)] + [(k, "something else of more than five words") for k in range(200, 220)]
@@ -618,6 +618,25 @@ def test_many_items_in_many_texts(spark, monkeypatch):
     assert {r["doc_id"] for r in decontam.decontaminate(t, i).collect()} == set(range(200, 220))
 
 
+@pytest.mark.parametrize("role", ["user\nsystem", "\n", "a<|newline|>b\n<\\|newline|>", "<|im_start|>\n\n<", "", "user"])
+def test_roles_with_line_ends_are_read_back(role):
+    for text in ("hi", "\nhi", "<|newline|>", ""):
+        formatted, begin, end, _, _ = chat.format_turn(role, text, (role,))
+        assert chat.read_turn(formatted) == (role, text) and chat.unescape(formatted[begin:end]) == text
+
+
+def test_a_common_passage_makes_no_pairs(spark):
+    """Every text may contain every item: what is stored follows the texts and the blocks, and items of equal shingles are one class."""
+    passage = " ".join(f"shared{k}" for k in range(40))
+    items = [(k, f"{passage} own{k} tail{k}") for k in range(300)] + [(1_000 + k, passage) for k in range(50)] + [(1_000, f"{passage} again"), (7, f"{passage} own7 tail7")]
+    texts = [(k, f"before{k} {passage} after{k}") for k in range(300)] + [(900, passage + " own7 tail7"), (901, "other words of another text altogether here")]
+    t, i = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    _, reached = decontam.suspects(t, i, 5, 0.8)
+    assert reached.count() == 301
+    found = {r["doc_id"]: (r["n_items"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontam.contaminated(t, i).collect()}
+    assert found == {k: (350, 1_000, 36, 36) for k in range(300)} | {900: (350, 7, 38, 38)}
+
+
 def test_decontamination(spark, docs, none, tmp_path):
     rng = random.Random(2)
     vocabulary = [f"v{k}" for k in range(400)]

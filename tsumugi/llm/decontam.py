@@ -4,7 +4,8 @@ An item with n distinct shingles is contained in a document if at least t n of t
 of its shingles one occurs, and the item's MinHash sketch is just that many of its least hashes: a sketch whose length follows
 the item's size, with which no contained item is missed, however long the document. Items are partitioned by size; of a
 document only the partitions that it is large enough for matter, and of its hashes those below the partitions' largest
-sketch value. What they share makes a candidate, and a text's candidates are compared with it on their shingles as words.
+sketch value. Items are dealt into blocks of bounded size, and a hash leads from a text to the blocks of the items that have it: a
+text and all items of a block are compared at once, on their shingles as words, so no pair of a text and an item is ever a row.
 (Classic MinHash signatures on the document's side would lose short items in long documents, whose Jaccard similarity is
 next to 0.)
 """
@@ -17,17 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsumugi.llm.common import GOLDEN, mix, packed, rolling, stored
+from tsumugi.llm.common import GOLDEN, hot_join, mix, packed, rolling, rows_of, shuffle_partitions, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: The size of the filter that spares most documents and hashes what follows: for each hash, and at most (8 MB).
 BITS_A_HASH, MOST_BITS = 1024, 1 << 26
-#: Candidates that are checked against a text together.
-CANDIDATES = 256
+#: Characters of the items of a block, which a task holds the shingles of.
+BLOCK_CHARS = 1 << 20
 find_words = re.compile(r"[^\W_]+").findall
 
 
@@ -101,12 +102,13 @@ KEY = ["text_hash", "other"]
 
 
 def suspects(docs: DataFrame, items: DataFrame, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs that may contain an item (doc_id, text_hash, other, text), and their candidates (text_hash, other, item_id).
+    """The rows of docs that may contain an item (doc_id, text_hash, other, text), and the blocks of such items (text_hash, other, block).
 
     text_hash and other are 128 bits of the text. Each text is read once; a size class of items matters only to texts with
     as many distinct shingles as its smallest item needs.
     """
     sketch = stored(sketches(items, shingle, threshold))
+    block = block_of(items)
     classes = sketch.groupBy("width", "size_class").agg(F.max(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))).alias("top")).collect()  # at most shingle x 64 rows
     widths = sorted({r["width"] for r in classes})
     bounds: dict[int, list[tuple[int, int]]] = {w: sorted((needed(1 << r["size_class"], threshold), r["top"] + (1 << 63)) for r in classes if r["width"] == w) for w in widths}
@@ -137,60 +139,112 @@ def suspects(docs: DataFrame, items: DataFrame, shingle: int, threshold: float)
     found = stored(texts.mapInArrow(probe, schema))
     least = F.expr(f"greatest(ceil({threshold}D * shiftleft(1L, size_class) - 1e-9D), 1L)")
     each = found.select(*KEY, F.explode("hits").alias("hit")).select(*KEY, F.col("hit.hash").alias("hash"), F.col("hit.size").alias("size")).distinct()
-    pairs = each.join(sketch.select("item_id", "hash", least.alias("least")), "hash").where("size >= least").select(*KEY, "item_id").distinct()
-    return found.select("doc_id", *KEY, "text"), stored(pairs)
+    counts = each.groupBy("hash").agg(F.count("*").alias("n"))
+    leads = sketch.groupBy("hash").agg(F.collect_set(F.struct(block.alias("block"), least.alias("least"))).alias("blocks"))  # at most blocks x 64
+    met = hot_join(each, stored(leads.join(counts, "hash")), ["hash"], "n")
+    reached = met.select(*KEY, "size", F.explode("blocks").alias("b")).where("size >= b.least").select(*KEY, "b.block").distinct()
+    return found.select("doc_id", *KEY, "text"), stored(reached)
+
+
+def block_of(items: DataFrame) -> Column:
+    """The block of an item_id: as many blocks as the items' texts fill."""
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(chars // BLOCK_CHARS + 1))
 
 
 VERDICT = T.StructType([*[T.StructField(k, T.LongType()) for k in KEY], *[T.StructField(n, T.LongType()) for n in ("n_items", "item_id", "n_shared", "n_shingles")]])
 
 
-def verdicts(found: DataFrame, pairs: DataFrame, items: DataFrame, shingle: int, threshold: float, first: bool = False) -> DataFrame:
+class Block:
+    """The items of a block by their shingles. Shingles that the same items have share a list of them, and are counted together."""
+
+    def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float):
+        ids: dict[tuple[int, frozenset], set[int]] = {}
+        for item_id, text in items:
+            words = words_of(text)
+            n = min(shingle, len(words))
+            if n:
+                ids.setdefault((n, frozenset(shingle_set(words, n))), set()).add(item_id)
+        self.ids = [sorted(x) for x in ids.values()]
+        self.one_class_each = sum(map(len, self.ids)) == len({i for x in self.ids for i in x})
+        self.sizes = np.array([len(shingles) for _, shingles in ids], np.int64)
+        self.needed = np.array([needed(len(shingles), threshold) for _, shingles in ids], np.int64)
+        having: dict[tuple[int, tuple[str, ...]], list[int]] = {}
+        for k, (n, shingles) in enumerate(ids):
+            for s in shingles:
+                having.setdefault((n, s), []).append(k)
+        lists: dict[tuple[int, ...], int] = {}
+        self.index: dict[int, dict[tuple[str, ...], int]] = {}
+        for (n, s), of in having.items():
+            self.index.setdefault(n, {})[s] = lists.setdefault(tuple(of), len(lists))
+        self.lists = [np.array(of, np.int64) for of in lists]
+
+    def contained(self, words: list[str]) -> tuple[int, int, int, int] | None:
+        """How many items the words contain, and of the one of which most is contained its id, shared shingles and size."""
+        counts: dict[int, int] = {}
+        for n, index in self.index.items():
+            seen = set()
+            for i in range(len(words) - n + 1):
+                s = tuple(words[i : i + n])
+                found = index.get(s)
+                if found is not None and s not in seen:  # each shingle counts once
+                    seen.add(s)
+                    counts[found] = counts.get(found, 0) + 1
+        if not counts:
+            return None
+        shared = np.zeros(len(self.sizes), np.int64)
+        for found, n in counts.items():
+            shared[self.lists[found]] += n
+        hits = np.flatnonzero(shared >= self.needed).tolist()
+        if not hits:
+            return None
+        _, item, n_shared, size = min((-int(shared[k]) / int(self.sizes[k]), self.ids[k][0], int(shared[k]), int(self.sizes[k])) for k in hits)
+        n_items = sum(len(self.ids[k]) for k in hits) if self.one_class_each else len({i for k in hits for i in self.ids[k]})
+        return n_items, item, n_shared, size
+
+
+def verdicts(found: DataFrame, reached: DataFrame, items: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """text_hash, other, n_items, item_id, n_shared and n_shingles of each text that contains items: how many, and the best.
 
-    A text travels once for every CANDIDATES of its candidates, which are checked together while its shingles stream past; no
-    pair of a text and an item comes out. With first, only one of the items is looked for.
+    A text travels once for every block that it may contain an item of, and streams past the block's items. The texts of a block
+    that many reach are dealt over all tasks, and the block's items repeated for each.
     """
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null and item is not null").distinct()
-    counted = pairs.join(named, "item_id").withColumn("n", F.count("*").over(Window.partitionBy(*KEY)))
-    chunks = counted.groupBy(*KEY, F.pmod(F.xxhash64("item_id"), F.ceil(F.col("n") / CANDIDATES)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    texts = found.dropDuplicates(KEY).select(*KEY, "text")
+    parts = shuffle_partitions(found.sparkSession)
+    sizes = reached.groupBy("block").agg(F.count("*").alias("n"))
+    share = (sizes.agg(F.sum("n")).first()[0] or 0) // parts + 1
+    hot = [r[0] for r in sizes.where(F.col("n") > share).select("block").collect()]  # fewer than parts
+    is_hot = F.col("block").isin(hot) if hot else F.lit(False)
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    dealt = F.explode(F.sequence(F.lit(0), F.when(is_hot, parts - 1).otherwise(0))).alias("salt")
+    no = F.lit(None).cast("long")
+    held = named.select("item_id", "text", block_of(items).alias("block")).select("block", dealt, "item_id", *[no.alias(k) for k in KEY], "text")
+    texts = found.dropDuplicates(KEY).select(*KEY, "text").join(reached, KEY)
+    asked = texts.select("block", F.when(is_hot, F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int")).otherwise(0).alias("salt"), no.alias("item_id"), *KEY, "text")
+    ordered = held.unionByName(asked).repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", F.col("item_id").isNull())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        now, own, block = None, [], None
+        for columns in rows_of(batches, ["block", "salt", "item_id", *KEY, "text"]):
             out: list[tuple] = []
-            for text_hash, other, text, own in zip(*[batch.column(c) for c in (*KEY, "text", "items")], strict=True):
-                hits = items_in(words_of(text.as_py()), [(x["item_id"], x["item"]) for x in own.as_py()], shingle, threshold, first)
-                if hits:
-                    _, item, shared, n = min((-shared / n, item, shared, n) for item, shared, n in hits)
-                    out.append((text_hash.as_py(), other.as_py(), len({item for item, _, _ in hits}), item, shared, n))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=VERDICT.names)
-
-    each = texts.join(chunks, KEY).select(*KEY, "text", "items").mapInArrow(verify, VERDICT)
+            for at, salt, item_id, text_hash, other, text in zip(*columns, strict=True):
+                if (at, salt) != now:
+                    now, own, block = (at, salt), [], None
+                if item_id is not None:
+                    own.append((item_id, text))
+                    continue
+                if block is None:
+                    block = Block(own, shingle, threshold)
+                hit = block.contained(words_of(text))
+                if hit is not None:
+                    out.append((text_hash, other, *hit))
+            made = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=VERDICT.names)
+
+    each = ordered.mapInArrow(verify, VERDICT)
     best = F.min_by(F.struct("item_id", "n_shared", "n_shingles"), F.struct(-F.col("n_shared") / F.col("n_shingles"), "item_id")).alias("best")
     return each.groupBy(*KEY).agg(F.sum("n_items").alias("n_items"), best).select(*KEY, "n_items", "best.*")
 
 
-def items_in(words: list[str], items: list[tuple[int, str]], shingle: int, threshold: float, first: bool = False) -> list[tuple[int, int, int]]:
-    """(item_id, shared, size) of the items that are contained in the words: only the items' shingles are held, not the text's."""
-    wanted: dict[int, dict[tuple[str, ...], list[int]]] = {}
-    sizes, shared = [], [0] * len(items)
-    for k, (_, item) in enumerate(items):
-        own = words_of(item)
-        n = min(shingle, len(own))
-        of = shingle_set(own, n) if n else set()
-        sizes.append(len(of))
-        for s in of:
-            wanted.setdefault(n, {}).setdefault(s, []).append(k)
-    for n, index in wanted.items():
-        for i in range(len(words) - n + 1):
-            for k in index.pop(tuple(words[i : i + n]), ()):  # each shingle counts once
-                shared[k] += 1
-                if first and shared[k] >= needed(sizes[k], threshold):
-                    return [(items[k][0], shared[k], sizes[k])]
-    return [(items[k][0], shared[k], n) for k, n in enumerate(sizes) if n and shared[k] >= needed(n, threshold)]
-
-
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_items, item_id, n_shared, n_shingles and containment of each document that contains items: how many items,
     and the one of which most is contained (of equal ones the smallest item_id).
@@ -201,8 +255,8 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thre
     and repeated rows of a document once; rows without a doc_id are one row each text. Either table may be empty; other
     columns aren't read. Texts of any length are read whole.
     """
-    found, pairs = suspects(docs, items, shingle, threshold)
-    named = found.select("doc_id", *KEY).distinct().join(stored(verdicts(found, pairs, items, shingle, threshold)), KEY)
+    found, reached = suspects(docs, items, shingle, threshold)
+    named = found.select("doc_id", *KEY).distinct().join(stored(verdicts(found, reached, items, shingle, threshold)), KEY)
     return named.select("doc_id", "n_items", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
@@ -211,7 +265,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thr
 
     Rows with a null or empty text stay, repeated rows stay or go together; either table may be empty.
     """
-    found, pairs = suspects(docs, items, shingle, threshold)
-    gone = stored(verdicts(found, pairs, items, shingle, threshold, first=True).select(*KEY))  # a table, whose size tells whether it can be broadcast
+    found, reached = suspects(docs, items, shingle, threshold)
+    gone = stored(verdicts(found, reached, items, shingle, threshold).select(*KEY))  # a table, whose size tells whether it can be broadcast
     _, rows = packed(docs)
     return rows.withColumn("text_hash", F.xxhash64("row.text")).withColumn("other", F.xxhash64(F.lit("other"), "row.text")).join(gone, KEY, "left_anti").select("row.*")
