@@ -3,7 +3,8 @@
 A turn becomes ``<|im_start|>role\\n`` + content + ``<|im_end|>\\n``. Inside roles and texts, every ``<`` that some
 backslashes (or none) and a ``|`` follow gets one more backslash, so no control string can stem from a text, and removing
 one backslash restores it. An attachment becomes ``<|image|>``, ``<|audio|>`` or ``<|document|>``; its reference, the
-place of its placeholder and the number of tokens that it will expand to are recorded beside the text. What a part lacks, or
+place of its placeholder and the number of tokens that it will expand to are recorded beside the text. A line end inside a
+role becomes ``<|newline|>``, since the role ends at the first. What a part lacks, or
 has in a form that means nothing, counts as the least there can be and is counted as an error; no part ends the job.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from tsumugi.llm.common import giving_way, shuffle_partitions, unused
 
-START, END = "<|im_start|>", "<|im_end|>\n"
+START, END, NEWLINE = "<|im_start|>", "<|im_end|>\n", "<|newline|>"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 TURN = T.StructType(
     [
@@ -122,7 +123,7 @@ def joined(parts: list[dict | None]) -> list[dict | None]:
 def format_turn(role: str | None, content: str | list[dict] | None, trained: tuple[str, ...] = ("assistant",)) -> tuple[str, int, int, int, list[Attachment]]:
     """The turn's text, the span of it under the loss mask (empty unless the role is trained), its errors and attachments."""
     role = role or ""
-    head = f"{START}{escape(role)}\n"
+    head = START + escape(role).replace("\n", NEWLINE) + "\n"
     flat = Flattener()
     for part in joined([{"type": "text", "text": content}] if content is None or isinstance(content, str) else content):
         flat.visit(part)
@@ -159,7 +160,7 @@ def read_turn(formatted: str) -> tuple[str, str]:
     if not (formatted.startswith(START) and formatted.endswith(END)):
         raise ValueError("not a formatted turn")
     head, _, rest = formatted[len(START) : -len(END)].partition("\n")
-    return unescape(head), unescape(rest)
+    return unescape(head.replace(NEWLINE, "\n")), unescape(rest)
 
 
 DIGEST = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
