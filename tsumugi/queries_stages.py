@@ -8,14 +8,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tsumugi.operators import predicting, segment
+from tsumugi.kernels import conll
+from tsumugi.operators import dependency, predicting, segment
 from tsumugi.plans import pipeline, word_stage
-from tsumugi.queries import SENTENCES, query, sentences, table
+from tsumugi.queries import SENTENCES, UNITS, query, sentences, table, units
 from tsumugi.sources import sinks
 from tsumugi.sources.shared import shared_folder
 from tsumugi.sources.splits import read_raw_splits
+from tsumugi.streaming import interactive
 
 # --- windows
 
@@ -83,3 +86,107 @@ def raw_documents_by_ranges(spark, sf_dir):
     folder = shared_folder(spark)
     docs.select(sinks.raw_block(F.concat(F.lit("d"), F.col("doc_id").cast("string")), "text").alias("value")).write.text(folder)
     return read_raw_splits(spark, folder).select("doc_id", "text")
+
+
+# --- dependency trees
+
+
+UPOS = ("NOUN", "VERB", "ADP")
+RELATIONS = ("nsubj", "obj", "case", "aux", "det:x", "root")
+
+
+def _pick(values: tuple[str, ...], place: str) -> str:
+    return f"CASE {place} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+#: Gold: a word a line of an order, in sentences of three lines. System: every third word is cut in two, and some attributes differ.
+GOLD_SQL = f"""
+{UNITS},
+p AS (SELECT *, CASE WHEN i <= 3 THEN 0 ELSE 1 END AS sent_idx FROM u),
+g0 AS (SELECT k, sent_idx, row_number() OVER w - 1 AS word_idx, 'w' || q || f AS form, CASE WHEN t % 4 = 0 THEN '_' ELSE 'l' || q % 5 END AS lemma, {_pick(UPOS, 'q % 3')} AS upos, s AS xpos, CASE WHEN d % 2 = 1 THEN 'Case=Nom' ELSE '' END AS feats,
+         {_pick(RELATIONS, 'q % 6')} AS deprel, t, row_number() OVER (PARTITION BY k, sent_idx ORDER BY i) - 1 AS pos FROM p WINDOW w AS (PARTITION BY k ORDER BY i)),
+g1 AS (SELECT *, CASE WHEN pos = 0 THEN -1 WHEN t % 2 = 0 THEN word_idx - 1 ELSE word_idx - pos END AS head FROM g0),
+s0 AS (SELECT p.*, unnest(CASE WHEN d % 3 = 0 THEN [0, 1] ELSE [2] END) AS half FROM p),
+s1 AS (SELECT k, sent_idx, row_number() OVER (PARTITION BY k ORDER BY i, half) - 1 AS word_idx, CASE half WHEN 0 THEN 'w' WHEN 1 THEN q || f ELSE 'w' || q || f END AS form, CASE WHEN t = 1 THEN 'x' ELSE 'l' || q % 5 END AS lemma, CASE WHEN d = 5 THEN 'VERB' ELSE {_pick(UPOS, 'q % 3')} END AS upos,
+         s AS xpos, CASE WHEN d % 2 = 1 AND t <> 3 THEN 'Case=Nom' ELSE '' END AS feats, CASE WHEN half = 1 THEN 'aux' ELSE {_pick(RELATIONS, 'q % 6')} END AS deprel, row_number() OVER (PARTITION BY k, sent_idx ORDER BY i, half) - 1 AS pos FROM s0),
+s2 AS (SELECT *, CASE WHEN pos = 0 THEN -1 ELSE word_idx - 1 END AS head FROM s1)"""
+
+
+def _sides_sql() -> str:
+    content, functional = (", ".join(f"'{x}'" for x in sorted(names)) for names in (conll.CONTENT_DEPRELS, conll.FUNCTIONAL_DEPRELS))
+    side = lambda of: f"SELECT k, sent_idx, word_idx, form, lemma, upos, xpos, feats, split_part(deprel, ':', 1) AS deprel, head, sum(length(form)) OVER w - length(form) AS a, sum(length(form)) OVER w AS b FROM {of} WINDOW w AS (PARTITION BY k ORDER BY word_idx)"
+    child = lambda of, key: f"SELECT k, head AS word_idx, list({{'o': {key}, 'd': deprel, 'u': upos, 'f': feats}} ORDER BY word_idx) AS c FROM {of} WHERE head >= 0 AND deprel IN ({functional}) GROUP BY ALL"
+    units_of = lambda words, sentences, content_: f"CASE WHEN m = 'Sentences' THEN {sentences} WHEN m IN ('CLAS', 'MLAS', 'BLEX') THEN {content_} ELSE {words} END"
+    same = "(g.lemma = '_' OR g.lemma = s.lemma)"
+    labelled = "att AND g_deprel = s_deprel"
+    rights = {"Words": "true", "UPOS": "upos", "XPOS": "xpos", "UFeats": "feats", "AllTags": "upos AND xpos AND feats", "Lemmas": "lemma", "UAS": "att", "LAS": labelled, "CLAS": f"con AND {labelled}", "MLAS": f"con AND {labelled} AND upos AND feats AND kids", "BLEX": f"con AND {labelled} AND lemma"}
+    sent = lambda of: f"(SELECT k, sent_idx, min(a) AS a, max(b) AS b FROM {of} GROUP BY ALL)"
+    rows = " UNION ALL ".join([f"SELECT '{m}' AS m, count(*) FILTER ({c}) AS r FROM e" for m, c in rights.items()] + ["SELECT 'Tokens', count(*) FROM pr", f"SELECT 'Sentences', count(*) FROM {sent('g')} x JOIN {sent('s')} y USING (k, a, b)"])
+    return f"""WITH {GOLD_SQL.lstrip()},
+g AS ({side('g1')}), s AS ({side('s2')}),
+pr AS (SELECT g.k, g.word_idx AS gi, s.word_idx AS si FROM g JOIN s USING (k, a, b)),
+sa AS (SELECT s.*, coalesce(pr.gi, -2) AS gi FROM s LEFT JOIN pr ON pr.k = s.k AND pr.si = s.word_idx),
+gc AS ({child('g', 'word_idx')}), sc AS ({child('sa', 'gi')}),
+e AS (SELECT g.upos = s.upos AS upos, g.xpos = s.xpos AS xpos, g.feats = s.feats AS feats, {same} AS lemma, CASE WHEN s.head < 0 THEN g.head < 0 ELSE coalesce(h.gi = g.head, false) END AS att, g.deprel AS g_deprel, s.deprel AS s_deprel, g.deprel IN ({content}) AS con, gc.c IS NOT DISTINCT FROM sc.c AS kids
+      FROM pr JOIN g ON g.k = pr.k AND g.word_idx = pr.gi JOIN s ON s.k = pr.k AND s.word_idx = pr.si LEFT JOIN pr h ON h.k = s.k AND h.si = s.head
+      LEFT JOIN gc ON gc.k = g.k AND gc.word_idx = g.word_idx LEFT JOIN sc ON sc.k = s.k AND sc.word_idx = s.word_idx),
+n AS (SELECT (SELECT count(*) FROM g) AS gw, (SELECT count(*) FROM s) AS sw, (SELECT count(*) FROM g WHERE deprel IN ({content})) AS gc, (SELECT count(*) FROM s WHERE deprel IN ({content})) AS sc, (SELECT count(DISTINCT (k, sent_idx)) FROM g) AS gs, (SELECT count(DISTINCT (k, sent_idx)) FROM s) AS ss)
+SELECT m AS metric, {units_of('gw', 'gs', 'gc')} AS gold, {units_of('sw', 'ss', 'sc')} AS system, r AS "right", CAST(0 AS BIGINT) AS n_failed FROM ({rows}), n"""
+
+
+def dependency_sides(spark, sf_dir):
+    """The gold and the system words of GOLD_SQL, as tables."""
+    pick = lambda values, c: F.element_at(F.lit(list(values)), c + 1)
+    own = units(spark, sf_dir).withColumn("sent_idx", F.when(F.col("i") <= 3, 0).otherwise(1))
+    in_order, in_sentence = Window.partitionBy("k").orderBy("i", "half"), Window.partitionBy("k", "sent_idx").orderBy("i", "half")
+    word = F.concat(F.lit("w"), F.col("q").cast("string"), "f")
+    placed = lambda rows: rows.withColumns({"word_idx": (F.row_number().over(in_order) - 1).cast("int"), "at": F.row_number().over(in_sentence) - 1})
+    lemma, feats = F.concat(F.lit("l"), (F.col("q") % 5).cast("string")), F.when(F.col("d") % 2 == 1, "Case=Nom").otherwise("")
+    gold = placed(own.withColumn("half", F.lit(2))).withColumns({"form": word, "lemma": F.when(F.col("t") % 4 == 0, "_").otherwise(lemma), "upos": pick(UPOS, F.col("q") % 3), "xpos": F.col("s"), "feats": feats, "deprel": pick(RELATIONS, F.col("q") % 6)})
+    gold = gold.withColumn("head", F.when(F.col("at") == 0, -1).when(F.col("t") % 2 == 0, F.col("word_idx") - 1).otherwise(F.col("word_idx") - F.col("at")).cast("int"))
+    halves = own.withColumn("half", F.explode(F.when(F.col("d") % 3 == 0, F.lit([0, 1])).otherwise(F.lit([2]))))
+    form = F.when(F.col("half") == 0, "w").when(F.col("half") == 1, F.concat(F.col("q").cast("string"), "f")).otherwise(word)
+    system = placed(halves).withColumns({"form": form, "lemma": F.when(F.col("t") == 1, "x").otherwise(lemma), "upos": F.when(F.col("d") == 5, "VERB").otherwise(pick(UPOS, F.col("q") % 3)), "xpos": F.col("s"), "feats": F.when(F.col("t") == 3, "").otherwise(feats), "deprel": F.when(F.col("half") == 1, "aux").otherwise(pick(RELATIONS, F.col("q") % 6))})
+    system = system.withColumn("head", F.when(F.col("at") == 0, -1).otherwise(F.col("word_idx") - 1).cast("int"))
+    names = ("sent_idx", "word_idx", "form", "lemma", "upos", "xpos", "feats", "head", "deprel")
+    return [w.select(F.col("k").alias("doc_id"), *names) for w in (gold, system)]
+
+
+@query(_sides_sql())
+def dependency_metrics(spark, sf_dir):
+    """All 13 metrics of two sides that cut the text into different words, without Python."""
+    return dependency.dependency_counts(*dependency_sides(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + UNITS + """, n AS (SELECT k, i, row_number() OVER (PARTITION BY k ORDER BY i) AS id, q, count(*) OVER (PARTITION BY k) AS n FROM u), h AS (SELECT k, id, n, CASE WHEN q % 11 = 0 THEN n + 3 WHEN id = 1 AND q % 5 > 0 THEN 0 WHEN q % 7 = 0 THEN 1 + q % n ELSE id - 1 END AS head FROM n),
+r(k, id) AS (SELECT k, id FROM h WHERE head = 0 UNION SELECT h.k, h.id FROM r JOIN h ON h.k = r.k AND h.head = r.id WHERE h.id <> h.head),
+s AS (SELECT k, n, count(*) FILTER (head = 0) AS roots, bool_or(head > n) AS far FROM h GROUP BY k, n), c AS (SELECT k, count(*) AS seen FROM r GROUP BY k)
+SELECT k, 'head' AS error FROM s WHERE far UNION ALL SELECT k, 'roots' FROM s WHERE roots <> 1 UNION ALL SELECT s.k, 'cycle' FROM s LEFT JOIN c USING (k) WHERE NOT far AND coalesce(seen, 0) < n""")
+def tree_errors(spark, sf_dir):
+    """Orders as trees over their lines, some of them with heads out of range, no or several roots, or cycles."""
+    own = units(spark, sf_dir).select("k", "q", F.row_number().over(Window.partitionBy("k").orderBy("i")).alias("id"), F.count("*").over(Window.partitionBy("k")).alias("n"))
+    head = F.when(F.col("q") % 11 == 0, F.col("n") + 3).when((F.col("id") == 1) & (F.col("q") % 5 > 0), 0).when(F.col("q") % 7 == 0, 1 + F.col("q") % F.col("n")).otherwise(F.col("id") - 1)
+    return dependency.tree_errors(own.select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), "id", head.alias("head"))).select(F.col("doc_id").alias("k"), "error")
+
+
+# --- streams
+
+
+@query("WITH c AS (SELECT 'c' || conv_id AS doc_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, md5(text) AS h FROM conversations) SELECT doc_id || ' ' || doc_id || '-' || n || ' ' || h || CASE WHEN n > 1 THEN ' window 0' ELSE ' window 1' END AS line FROM c")
+def appended_analyses(spark, sf_dir):
+    """Conversations as analysed sentences of overlapping windows: merged by state, appended epoch by epoch, and read again."""
+    out = shared_folder(spark)
+    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).cast("long").alias("ord"), (F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1).alias("last"), F.md5("text").alias("h"))
+    windows = rows.select("doc_id", "ord", F.concat_ws("-", "doc_id", "ord").alias("sid"), "last", "h", F.explode(F.when(F.col("ord") > 1, F.lit([2, 1, 0])).otherwise(F.lit([2, 1])).cast("array<bigint>")).alias("win_idx"))
+    analysed = windows.select("doc_id", "win_idx", "ord", "sid", F.concat_ws(" ", "h", F.lit("window"), F.col("win_idx").cast("string")).alias("analysis"), "last")
+    analysed.repartition(4, "doc_id").write.parquet(f"{out}/in")  # a document's rows arrive together
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        interactive.use_rocksdb(spark)
+        read = spark.readStream.schema(analysed.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+        lines = interactive.merged_sentences(read).withColumn("text", F.concat_ws(" ", "doc_id", "sid", "analysis"))
+        append = lambda batch, epoch: sinks.append_epoch(batch, epoch, f"{out}/out", ["doc_id", "ord"])
+        lines.writeStream.foreachBatch(append).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return sinks.read_epochs(spark, f"{out}/out").select("line")
