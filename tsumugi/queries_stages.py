@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tsumugi import vocab
 from tsumugi.kernels import conll
-from tsumugi.operators import dependency, predicting, segment
+from tsumugi.operators import dependency, forced, predicting, segment
 from tsumugi.plans import pipeline, word_stage
 from tsumugi.queries import SENTENCES, UNITS, query, sentences, table, units
 from tsumugi.sources import sinks
@@ -190,3 +191,56 @@ def appended_analyses(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return sinks.read_epochs(spark, f"{out}/out").select("line")
+
+
+# --- forced decoding
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+TOKENS = ("<s>", "<pad>", "</s>", vocab.SURF, vocab.READING, vocab.LEMMA, vocab.CANON, vocab.NO_CANON, vocab.DELIMITER, vocab.HALF_SPACE, *LETTERS, *("▁" + c for c in LETTERS), "an", "re", "che", "▁al", "ala", "b" * 9)
+
+
+def _forced_sql() -> str:
+    tokens = "[" + ", ".join(f"'{t}'" for t in TOKENS) + "]"
+    ids = lambda condition: f"array_to_string(list_filter(list_transform(range({len(TOKENS)}), lambda k: CASE WHEN {condition} THEN k END), lambda k: k IS NOT NULL), ',')"
+    t = f"({tokens})[k + 1]"
+    out = lambda *names: f"{t} NOT IN ({', '.join(repr(n) for n in names)})"
+    v = vocab
+    reading = out("<pad>", "</s>", v.SURF, v.READING, v.LEMMA, v.CANON, v.NO_CANON, v.DELIMITER)
+    lemma, canon = ("<pad>", "</s>", v.SURF, v.READING, v.LEMMA, v.NO_CANON, v.DELIMITER), ("<pad>", v.READING, v.LEMMA, v.CANON, v.DELIMITER)
+    spelt = "string_split(x, '')"
+    return f"""
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1:2] AS surfs FROM part),
+f AS (SELECT p_partkey, surfs, list_prepend('<s>', flatten(list_transform(surfs, lambda x: flatten([['{v.SURF}'], {spelt}, ['{v.READING}'], {spelt}, ['{v.LEMMA}'], {spelt}, ['{v.CANON}'], {spelt}])))) AS own FROM w),
+c AS (SELECT p_partkey, surfs, own[1:p_partkey % len(own) + 1] AS own FROM f),
+s AS (SELECT p_partkey, surfs, own, own[-1] AS last, list_filter(own, lambda x: x IN ('{v.SURF}', '{v.READING}', '{v.LEMMA}', '{v.CANON}'))[-1] AS section, len(list_filter(own, lambda x: x = '{v.READING}')) AS done,
+        len(own) - list_position(list_reverse(own), '{v.SURF}') + 1 AS begun FROM c),
+r AS (SELECT *, CASE WHEN section = '{v.SURF}' THEN substr(surfs[done + 1], len(own) - begun + 1) END AS rest FROM s)
+SELECT p_partkey, rest, CASE WHEN len(own) = 1 THEN '3' WHEN section = '{v.SURF}' AND rest = '' THEN '4'
+  WHEN section = '{v.SURF}' THEN {ids(f"starts_with(rest, replace({t}, '▁', ''))")}
+  WHEN section = '{v.READING}' AND last = '{v.READING}' THEN {ids(reading)} WHEN section = '{v.READING}' THEN {ids(f"{reading} OR {t} = '{v.LEMMA}'")}
+  WHEN section = '{v.LEMMA}' AND last = '{v.LEMMA}' THEN {ids(out(*lemma, v.CANON))} WHEN section = '{v.LEMMA}' THEN {ids(out(*lemma))}
+  WHEN last = '{v.CANON}' THEN {ids(out(*canon, "</s>", v.SURF))} WHEN done < len(surfs) THEN {ids(out(*canon, "</s>", v.NO_CANON))} ELSE {ids(out(*canon, v.SURF, v.NO_CANON))} END AS allowed
+FROM r"""
+
+
+@query(_forced_sql())
+def forced_tokens(spark, sf_dir):
+    """The tokens that may come next in sequences that spell two words of a name, cut at any place."""
+    spelt = lambda w: F.split(w, "")
+    one = lambda w: F.flatten(F.array(F.array(F.lit(vocab.SURF)), spelt(w), F.array(F.lit(vocab.READING)), spelt(w), F.array(F.lit(vocab.LEMMA)), spelt(w), F.array(F.lit(vocab.CANON)), spelt(w)))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.slice(F.split("p_name", " "), 1, 2).alias("surfs")).withColumn("own", F.concat(F.array(F.lit("<s>")), F.flatten(F.transform("surfs", one))))
+    cut = own.withColumn("own", F.slice("own", F.lit(1), (F.col("p_partkey") % F.size("own") + 1).cast("int")))
+    ids = F.transform("own", lambda t: F.array_position(F.lit(list(TOKENS)), t).cast("int") - 1)
+    rest = F.when(forced.section("own") == vocab.SURF, forced.rest_of_surf("own", "surfs"))
+    return cut.select("p_partkey", rest.alias("rest"), F.array_join(F.transform(forced.allowed_tokens(TOKENS)("surfs", ids), lambda i: i.cast("string")), ",").alias("allowed"))
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), v AS (SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT DISTINCT substr(w, 1, n) AS token FROM w, range(1, 4) t(n) UNION SELECT DISTINCT '▁' || substr(w, 1, 2) FROM w)), r AS (SELECT p_partkey, replace(p_name, ' ', '') AS rest FROM part) SELECT p_partkey, count(*) AS n, string_agg(token, ' ' ORDER BY token) AS tokens FROM r JOIN v ON starts_with(rest, replace(token, '▁', '')) GROUP BY p_partkey")
+def permitted_tokens(spark, sf_dir):
+    """Tokens of a vocabulary, made of the names' words, with which a name may begin: found by prefixes."""
+    part = table(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    tokens = words.select(F.explode(F.transform(F.lit([1, 2, 3]), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("token")).unionByName(words.select(F.concat(F.lit("▁"), F.substring("w", 1, 2)).alias("token"))).distinct()
+    own = forced.permitted_tokens(part.select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit("")).alias("rest")), tokens.withColumn("id", F.xxhash64("token")))
+    return own.groupBy("p_partkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
