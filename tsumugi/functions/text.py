@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -172,3 +172,8 @@ def doc_id_of(text: Column | str) -> Column:
 
 def without_doc_id(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"(?m)^#[ \t]+D-ID:[^\n]*(\n|$)", "")
+
+
+def known_labels(labels: Column | str, known: Sequence[str]) -> Column:
+    """Those of the labels that a vocabulary has, once each, in the order of the labels."""
+    return F.array_intersect(_col(labels), F.lit(list(known)).cast("array<string>"))

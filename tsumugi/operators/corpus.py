@@ -45,9 +45,16 @@ def seeded_split(rows: DataFrame, key: str, seed: int = 42, shares: tuple[float,
 
 
 def hold_out(rows: DataFrame, category: str, order: str, n: int) -> DataFrame:
-    """split: the first n rows of each category are valid, others (and those without a category) train."""
-    k = F.row_number().over(Window.partitionBy(category).orderBy(order))
-    return rows.withColumn("split", F.when(F.col(category).isNotNull() & (k <= n), "valid").otherwise("train"))
+    """split: the first n rows of each category are valid, others (and those without a category) train.
+
+    Only the first n keys of a category are ranked (tasks leave the others out before the shuffle); rows are then compared with
+    the last of them. Rows of equal order are told apart by a hash of the whole row; rows equal throughout stay together.
+    """
+    key = F.struct(F.col(order).alias("k"), F.xxhash64(*rows.columns).alias("h"))
+    keyed = rows.withColumn("_key", key)
+    ranked = keyed.where(F.col(category).isNotNull()).select(F.col(category).alias("_of"), "_key").withColumn("_k", F.row_number().over(Window.partitionBy("_of").orderBy("_key"))).where(F.col("_k") <= n)
+    last = ranked.groupBy("_of").agg(F.max("_key").alias("_last"))
+    return keyed.join(last, F.col(category) == F.col("_of"), "left").withColumn("split", F.when(F.col("_key") <= F.col("_last"), "valid").otherwise("train")).drop("_key", "_of", "_last")
 
 
 def capped(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:

@@ -12,11 +12,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsumugi import vocab
+from tsumugi.functions import text
 from tsumugi.kernels import conll
-from tsumugi.operators import dependency, forced, predicting, segment
+from tsumugi.operators import dependency, forced, lexicon, predicting, segment
 from tsumugi.plans import pipeline, word_stage
 from tsumugi.queries import SENTENCES, UNITS, query, sentences, table, units
-from tsumugi.sources import sinks
+from tsumugi.sources import annotated, sinks
+from tsumugi.sources import text as sources
+from tsumugi.sources.dictionary import read_dictionary
 from tsumugi.sources.shared import shared_folder
 from tsumugi.sources.splits import read_raw_splits
 from tsumugi.streaming import interactive
@@ -89,6 +92,21 @@ def raw_documents_by_ranges(spark, sf_dir):
     return read_raw_splits(spark, folder).select("doc_id", "text")
 
 
+@query("SELECT 'p' || p_partkey AS doc_id, 'p' || p_partkey || '-' || p_size AS sid, 'size ' || p_size AS comment, replace(p_name, ' ', '_') AS surf, replace(p_brand, ' ', '_') AS reading, replace(p_type, ' ', '_') AS lemma FROM part")
+def annotated_source(spark, sf_dir):
+    """Files of morpheme lines through the data source: ids and comments by a schema without words, words by the whole one."""
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
+    size = F.col("p_size").cast("string")
+    block = F.concat(F.lit("# S-ID:p"), F.col("p_partkey").cast("string"), F.lit("-"), size, F.lit(" size "), size, F.lit("\n"), F.concat_ws(" ", bare("p_name"), bare("p_brand"), bare("p_type"), F.lit("名詞 6 普通名詞 1 * 0 * 0 NIL")), F.lit("\nEOS"))
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "part").select(block.alias("value")).write.text(folder)
+    annotated.register(spark)
+    read = spark.read.format("annotated_text").option("glob", "*.txt")
+    ids = read.schema("doc_id string, sid string, comment string").load(folder)
+    words = spark.read.format("annotated_text").option("glob", "*.txt").load(folder).select("sid", F.explode("morphemes").alias("m"))
+    return ids.join(words, "sid").select("doc_id", "sid", "comment", "m.surf", "m.reading", "m.lemma")
+
+
 # --- dependency trees
 
 
@@ -244,3 +262,68 @@ def permitted_tokens(spark, sf_dir):
     tokens = words.select(F.explode(F.transform(F.lit([1, 2, 3]), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("token")).unionByName(words.select(F.concat(F.lit("▁"), F.substring("w", 1, 2)).alias("token"))).distinct()
     own = forced.permitted_tokens(part.select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit("")).alias("rest")), tokens.withColumn("id", F.xxhash64("token")))
     return own.groupBy("p_partkey").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
+
+
+# --- values at their limits
+
+
+def _rare(shift: int, special: bool) -> str:
+    return f"CASE (p_size + {shift}) % 19 " + " ".join(f"WHEN {k} THEN '{vocab.RARE_TO_SPECIAL[c] if special else c}'" for k, c in enumerate(vocab.RARE)) + " END"
+
+
+@query(f"SELECT p_partkey, replace(p_name, ' ', '{vocab.HALF_SPACE}') || {_rare(0, True)} || '{vocab.HALF_SPACE}' || {_rare(7, True)} || {_rare(0, True)} AS special, p_name || {_rare(0, False)} || ' ' || {_rare(7, False)} || {_rare(0, False)} AS rare FROM part")
+def rare_characters(spark, sf_dir):
+    """All rare characters, spaces too, as special tokens and back."""
+    rare = lambda shift: F.element_at(F.lit(list(vocab.RARE)), (F.col("p_size") + shift) % 19 + 1)
+    own = table(spark, sf_dir, "part").withColumn("special", text.rare_to_special(F.concat("p_name", rare(0), F.lit(" "), rare(7), rare(0))))
+    return own.select("p_partkey", "special", text.special_to_rare("special").alias("rare"))
+
+
+@query("WITH p AS (SELECT p_partkey, ['l1', 'l2', 'l3'][1:p_size % 3 + 1] AS ls, [p_brand, p_type, 'm3'][1:p_size % 4] AS ms FROM part), r AS (SELECT p_partkey, CASE WHEN len(ls) > 1 THEN ls[2:] ELSE ls END AS ls, CASE WHEN len(ms) = 0 THEN [NULL] WHEN len(ms) > 1 THEN ms[2:] ELSE ms END AS ms FROM p WHERE len(ls) > 1 OR len(ms) > 1), l AS (SELECT p_partkey, ms, unnest(ls) AS lemma FROM r) SELECT p_partkey, lemma, unnest(ms) AS semantics FROM l")
+def homograph_lists(spark, sf_dir):
+    """The other readings of words with one to three lemmas and none to three meanings."""
+    first = lambda values, n: F.slice(F.array(*values), F.lit(1), n)
+    own = table(spark, sf_dir, "part").select("p_partkey", first([F.lit("l1"), F.lit("l2"), F.lit("l3")], F.col("p_size") % 3 + 1).alias("ls"), first([F.col("p_brand"), F.col("p_type"), F.lit("m3")], F.col("p_size") % 4).alias("ms"))
+    return own.select("p_partkey", F.inline(lexicon.homographs("ls", "ms")))
+
+
+@query("SELECT p_name AS surf, p_type AS reading, p_brand AS lemma, '名詞' AS pos, 's' || p_size AS subpos, '*' AS conjtype, '*' AS conjform, p_brand || '/' || p_type AS canon, '代表表記:' || p_brand || '/' || p_type || CASE p_size % 4 WHEN 0 THEN ' x:' || p_size WHEN 1 THEN ' a b:c' ELSE '' END AS semantics FROM part")
+def read_dictionary_lines(spark, sf_dir):
+    """Twelve-column lines, written as files and read as entries; NIL, * and nothing at all add nothing to the semantics."""
+    size = F.col("p_size")
+    sem = F.when(size % 4 == 0, F.concat(F.lit("x:"), size.cast("string"))).when(size % 4 == 1, "a b:c").when(size % 4 == 2, "NIL").when(size % 8 == 3, "*").otherwise("")
+    folder = shared_folder(spark)
+    part = table(spark, sf_dir, "part")
+    star = F.lit("*")
+    part.select("p_name", F.lit("0"), F.lit("0"), F.lit("1"), F.lit("名詞"), F.concat(F.lit("s"), size.cast("string")), star, star, "p_brand", "p_type", F.concat_ws("/", "p_brand", "p_type"), sem).toDF(*[str(k) for k in range(12)]).write.csv(folder)
+    return read_dictionary(spark, folder)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS example_id, '' AS doc_id, o_orderstatus AS pre_text, o_orderpriority AS post_text, CASE WHEN o_orderkey % 2 = 0 THEN 'K,D' ELSE 'K' END AS kdr_tags, '_' AS ins_tags FROM orders")
+def typo_examples(spark, sf_dir):
+    """JSON lines in several files, numbered through all of them."""
+    folder = shared_folder(spark)
+    tags = F.when(F.col("o_orderkey") % 2 == 0, F.lit(["K", "D"])).otherwise(F.lit(["K"]))
+    own = table(spark, sf_dir, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    own.select(F.col("o_orderstatus").alias("pre_text"), F.col("o_orderpriority").alias("post_text"), tags.alias("kdr_tags"), F.lit(["_"]).alias("ins_tags")).write.json(folder)
+    found = sources.read_typo_examples(spark, folder, "*.json")
+    return found.select("example_id", "doc_id", "pre_text", "post_text", F.array_join("kdr_tags", ",").alias("kdr_tags"), F.array_join("ins_tags", ",").alias("ins_tags"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN '体言;時間' WHEN o_orderstatus = 'F' THEN '体言' WHEN o_orderkey % 3 = 0 THEN '時間' ELSE '' END AS features FROM orders")
+def known_features(spark, sf_dir):
+    """Features that the vocabulary has, of lists with others and repeated ones."""
+    other = F.concat(F.lit("other:"), "o_orderpriority")
+    given = F.array(F.when(F.col("o_orderstatus") == "F", "体言").otherwise("用言"), other, F.when(F.col("o_orderkey") % 3 == 0, "時間").otherwise(other), F.when(F.col("o_orderstatus") == "F", "体言").otherwise(other))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.known_labels(given, vocab.BASE_PHRASE_FEATURES), ";").alias("features"))
+
+
+@query("WITH p AS (SELECT p_partkey, unnest(string_split(translate(p_name, 'oae', 'どぁっ'), ' ')) AS surf, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part), n AS (SELECT p_partkey, k, surf, replace(translate(surf, 'どぁ', 'とあ'), 'っ', '') AS norm FROM p) SELECT p_partkey, CAST(2 * k - 2 AS INT) AS place, surf, CASE WHEN norm = '' THEN surf ELSE norm END AS norm FROM n UNION ALL SELECT p_partkey, CAST(2 * k - 1 AS INT), ' ', ' ' FROM n WHERE k < (SELECT max(k) FROM n m WHERE m.p_partkey = n.p_partkey)")
+def words_by_operations(spark, sf_dir):
+    """Words under normalization operations of several kinds, spaces between."""
+    own = table(spark, sf_dir, "part").select("p_partkey", F.translate("p_name", "oae", "どぁっ").alias("t"))
+    chars = F.split("t", "")
+    op = lambda c: F.when(c == "ど", "V").when(c == "ぁ", "S").when(c == "っ", "D").otherwise("K")
+    begins = F.transform(chars, lambda c, i: F.when(i == 0, "B").otherwise("I"))
+    words = segment.words_by_tags(F.array("t"), begins, F.transform(chars, op))
+    return own.select("p_partkey", F.posexplode(words).alias("place", "w")).select("p_partkey", "place", "w.surf", "w.norm")

@@ -119,10 +119,10 @@ def annotated(files: DataFrame, with_path: bool = False) -> DataFrame:
     return each.select(doc_id.alias("doc_id"), "sent_idx", "s.*", *["path"] * with_path)
 
 
-def read_typo_examples(spark: SparkSession, path: str) -> DataFrame:
+def read_typo_examples(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """example_id (from 0, by file and line), doc_id (empty) and the texts and tags of JSON lines, in all folders below."""
     schema = "pre_text string, post_text string, kdr_tags array<string>, ins_tags array<string>"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(path)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(path)
     rows = rows.select("*", F.input_file_name().alias("_path"), F.monotonically_increasing_id().alias("_line"))
     # ids run over all files: files are counted first, lines numbered within their file
     counts = rows.groupBy("_path").count()
