@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tsumugi import vocab
 from tsumugi.functions import text
 from tsumugi.kernels import conll
-from tsumugi.operators import dependency, forced, lexicon, predicting, segment
+from tsumugi.operators import dependency, forced, lexicon, loading, predicting, segment
 from tsumugi.plans import pipeline, word_stage
 from tsumugi.queries import SENTENCES, UNITS, query, sentences, table, units
 from tsumugi.sources import annotated, sinks
@@ -327,3 +327,20 @@ def words_by_operations(spark, sf_dir):
     begins = F.transform(chars, lambda c, i: F.when(i == 0, "B").otherwise("I"))
     words = segment.words_by_tags(F.array("t"), begins, F.transform(chars, op))
     return own.select("p_partkey", F.posexplode(words).alias("place", "w")).select("p_partkey", "place", "w.surf", "w.norm")
+
+
+# --- loaders
+
+
+@query("WITH d AS (SELECT doc_id, n_chars, md5('7:2:' || doc_id) AS draw, CASE WHEN n_chars <= 1 THEN 0 ELSE CAST(ceil(ln(n_chars) / ln(2.0) - 1e-9) AS INT) END AS r FROM documents WHERE n_chars IS NOT NULL), b AS (SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % 8 AS block, greatest(1, 20000 // CAST(power(2, r) AS BIGINT)) AS fits FROM d), k AS (SELECT *, (row_number() OVER (PARTITION BY block, r ORDER BY draw, doc_id) - 1) AS k FROM b), g AS (SELECT *, k // fits AS no FROM k), m AS (SELECT block || ':' || r || ':' || no AS batch, CAST(count(*) AS INT) AS n, CAST(max(n_chars) AS INT) AS longest, round(CASE WHEN max(n_chars) > 0 THEN 1 - sum(n_chars) / (count(*) * max(n_chars)) ELSE 0.0 END, 9) AS padding, string_agg(doc_id::VARCHAR, ',' ORDER BY k) AS keys FROM g GROUP BY block, r, no) SELECT * FROM m")
+def loader_batches(spark, sf_dir):
+    """An epoch's batches of documents of like length, padded to at most 20,000 characters."""
+    docs = table(spark, sf_dir, "documents").where("n_chars is not null")
+    made = loading.batches(docs, "doc_id", "n_chars", 20_000, seed=7, epoch=2, blocks=8, ratio=2.0)
+    return made.select("batch", "n", "longest", F.round("padding", 9).alias("padding"), F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+
+
+@query("SELECT doc_id, CAST(CAST('0x' || substr(draw, 1, 8) AS BIGINT) % 64 AS INT) AS block, CAST(row_number() OVER (PARTITION BY CAST('0x' || substr(draw, 1, 8) AS BIGINT) % 64 ORDER BY draw, doc_id) - 1 AS INT) AS place FROM (SELECT doc_id, md5('11:0:' || doc_id) AS draw FROM documents)")
+def shuffled_epoch(spark, sf_dir):
+    """Every document once, in the order of an epoch."""
+    return loading.loaders(table(spark, sf_dir, "documents").select("doc_id"), "train", "doc_id", "doc_id", seed=11)
