@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tsumugi import vocab
 from tsumugi.functions import text
 from tsumugi.kernels import conll
-from tsumugi.operators import dependency, forced, lexicon, loading, predicting, segment
+from tsumugi.operators import dependency, encoding, forced, lexicon, loading, predicting, segment
 from tsumugi.plans import pipeline, word_stage
 from tsumugi.queries import SENTENCES, UNITS, query, sentences, table, units
 from tsumugi.sources import annotated, sinks
@@ -344,3 +344,21 @@ def loader_batches(spark, sf_dir):
 def shuffled_epoch(spark, sf_dir):
     """Every document once, in the order of an epoch."""
     return loading.loaders(table(spark, sf_dir, "documents").select("doc_id"), "train", "doc_id", "doc_id", seed=11)
+
+
+# --- encoded examples
+
+
+@query("WITH " + UNITS + """, w AS (SELECT k, i, CASE WHEN i <= 3 THEN 0 ELSE 1 END AS sent, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS w, count(*) OVER (PARTITION BY k) AS n FROM u),
+e AS (SELECT a.k, a.w AS src, b.w AS tgt FROM w a JOIN w b ON a.k = b.k AND a.sent = b.sent AND a.w <> b.w WHERE a.sent = 1 UNION ALL SELECT k, w, n + 6 FROM w WHERE sent = 1),
+c AS (SELECT w.k, w.w, count(e.tgt) AS m, coalesce(string_agg(e.tgt::VARCHAR, ',' ORDER BY e.tgt), '') AS t FROM w LEFT JOIN e ON e.k = w.k AND e.src = w.w GROUP BY ALL),
+o AS (SELECT k, w, t, sum(m) OVER (PARTITION BY k ORDER BY w) AS upto FROM c)
+SELECT k, '0,' || string_agg(upto::VARCHAR, ',' ORDER BY w) AS offsets, string_agg(t, ',' ORDER BY w) FILTER (t <> '') AS indices FROM o GROUP BY k HAVING max(upto) > 0""")
+def encoded_heads(spark, sf_dir):
+    """The candidate heads of orders' lines as offsets and indices: lines of the second sentence are targets, the root comes behind the words."""
+    own = units(spark, sf_dir).select(F.col("k").alias("example_id"), F.when(F.col("i") <= 3, 0).otherwise(1).alias("sent_idx"), (F.row_number().over(Window.partitionBy("k").orderBy("i")) - 1).cast("int").alias("word_idx"))
+    words = own.withColumn("target", F.col("sent_idx") == 1)
+    none = words.limit(0).select("example_id", F.col("word_idx").alias("src"), F.col("word_idx").alias("head"), F.lit("D").alias("dep_type"))
+    mask = encoding.dependency_edges(words, none).where("kind = 'mask'")
+    text_ = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return encoding.csr(mask, ["example_id"], encoding.sizes(words)).select(F.col("example_id").alias("k"), text_("offsets").alias("offsets"), text_("indices").alias("indices"))
