@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tsumugi import vocab
 from tsumugi.functions import decode, edits, text
 from tsumugi.kernels import norm
+from tsumugi.operators import segment
 
 
 def one(spark, rows, schema, *columns):
@@ -135,3 +136,31 @@ def test_denormalized_sentences(spark):
     rows = [([("そう", "そう"), ("だ", "だ"), ("ガニ", "カニ")], k) for k in range(60)]
     found = one(spark, rows, "w array<struct<surf:string,norm:string>>, k long", edits.denormalize_sentence("w", "k", 1.0))
     assert all(f[1:] == ["だ", "ガニ"] for f in found) and {f[0] for f in found} > {"そう"}
+
+
+def test_edit_codes_equal_edit_tags(spark):
+    """Codes with replacements and insertions apart give what one tag a character gives."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(200):
+        text = "".join(rng.choice("aé犬😀\n ") for _ in range(rng.randrange(12)))
+        keep = [rng.choice(["K", "_", "D", "R:" + rng.choice(["", "x", "猫猫"])]) for _ in text]
+        insert = [rng.choice(["_", "_", "I:" + rng.choice(["", "y", "鳥"])]) for _ in range(len(text) + 1)]
+        rows.append((k, text, keep, insert, "".join(t[0] for t in keep), [t[2:] for t in keep if t[0] == "R"], "".join(t[0] for t in insert), [t[2:] for t in insert if t[0] == "I"]))
+    rows.append((-1, None, [], ["_"], "", [], "_", []))
+    rows.append((-2, "a", ["K"], ["_", "_"], None, [], "__", []))
+    df = spark.createDataFrame(rows, "k int, text string, keep array<string>, insert array<string>, kc string, r array<string>, ic string, i array<string>").repartition(3)
+    found = df.select("k", edits.apply_edits("text", "keep", "insert").alias("tags"), edits.apply_edit_codes("text", "kc", "r", "ic", "i").alias("codes")).collect()
+    assert all(x["tags"] == x["codes"] for x in found if x["k"] >= 0) and {x["codes"] for x in found if x["k"] < 0} == {None}
+    for bad in (("a", "KK", [], "__", []), ("a", "K", [], "_", []), ("a", "R", [], "__", []), ("a", "K", [], "I_", [])):
+        one = spark.createDataFrame([bad], "text string, kc string, r array<string>, ic string, i array<string>")
+        with pytest.raises(Exception, match="are needed"):
+            one.select(edits.apply_edit_codes("text", "kc", "r", "ic", "i")).collect()
+
+
+def test_sentences_by_codes(spark):
+    df = spark.createDataFrame([(0, "犬。猫。", "BIBI"), (1, "abc", "IBI"), (2, "", ""), (3, None, "B"), (4, "abcd", "BI"), (5, "ab", "BIBB"), (6, "x", None)], "k int, text string, codes string")
+    found = df.select("k", segment.sentences_by_tags("text", "codes").alias("a"), segment.sentences_by_tags("text", F.when(F.col("codes") == "", F.array().cast("array<string>")).otherwise(F.split("codes", ""))).alias("b")).orderBy("k").collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] and found[0]["a"] == ["犬。", "猫。"]

@@ -65,6 +65,48 @@ def apply_edits(text: pa.Array, keep_tags: pa.Array, insert_tags: pa.Array) -> p
     return made.take(pa.array(np.where(np.asarray(known, bool), order, 0), mask=~np.asarray(known, bool)))
 
 
+def string_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, one after the other, and where each begins and the last ends. Nulls are empty."""
+    values = pc.fill_null(values.cast(pa.string()), "")
+    _, places, data = values.buffers()
+    ends = np.frombuffer(places, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    own = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
+    return own, ends - ends[0]
+
+
+@batch("string")
+def apply_edit_codes(text: pa.Array, keep: pa.Array, replacements: pa.Array, insert: pa.Array, insertions: pa.Array) -> pa.Array:
+    """A text under edit tags that are written as codes: one string of K or _ (keep), D (drop) and R (replace) for its characters, and
+    one of _ (nothing) and I (insert) for the places before each and at the end. replacements and insertions hold, in order, what the
+    R and I stand for. The same as apply_edits(), without a string for each character. Null where one of the five is.
+    """
+    known = np.asarray(pc.and_kleene(pc.and_kleene(pc.and_kleene(text.is_valid(), keep.is_valid()), pc.and_kleene(replacements.is_valid(), insert.is_valid())), insertions.is_valid()), bool)
+    some = pa.array(known)
+    text, keep, replacements, insert, insertions = (x.filter(some) for x in (text, keep, replacements, insert, insertions))
+    n = np.asarray(pc.utf8_length(text), np.int64)
+    (kept, k_ends), (added, i_ends) = string_bytes(keep), string_bytes(insert)
+    if (np.diff(k_ends) != n).any() or (np.diff(i_ends) != n + 1).any():
+        raise ValueError("one keep code a character and one insert code more are needed")
+    replaced, given = kept == ord("R"), added == ord("I")
+    rows, i_rows = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(n)), n + 1)
+    if (np.bincount(rows[replaced], minlength=len(n)) != np.asarray(pc.list_value_length(replacements), np.int64)).any() or (np.bincount(i_rows[given], minlength=len(n)) != np.asarray(pc.list_value_length(insertions), np.int64)).any():
+        raise ValueError("one replacement for each R and one insertion for each I are needed")
+    chars, r, i = split_characters(text), replacements.flatten(), insertions.flatten()
+    pool = pa.concat_arrays([chars, pc.fill_null(r.cast(pa.string()), ""), pc.fill_null(i.cast(pa.string()), ""), pa.array([""], pa.string())])
+    nothing = len(pool) - 1
+    from_text = np.where(replaced, len(chars) + np.cumsum(replaced) - 1, np.where(kept == ord("D"), nothing, np.arange(len(kept))))
+    between = np.where(given, len(chars) + len(r) + np.cumsum(given) - 1, nothing)
+    # before each character what is inserted there; the last insertion of a text has none behind it
+    at = np.full(len(added) + len(kept), nothing)
+    at[np.arange(len(added)) + np.arange(len(added)) - i_rows] = between
+    at[2 * np.arange(len(kept)) + 1 + rows] = from_text
+    made, ends = string_bytes(pool.take(pa.array(at)))
+    bounds = ends[np.concatenate([[0], np.cumsum(2 * n + 1)])].astype(np.int32)  # what was taken lies side by side: texts are cut out of it
+    out = pa.StringArray.from_buffers(len(n), pa.py_buffer(bounds), pa.py_buffer(made.tobytes()))
+    order = np.cumsum(known) - 1
+    return out.take(pa.array(np.where(known, order, 0), mask=~known))
+
+
 def tag_window(tags: Column | str, n: Column | str, extra: int = 0) -> Column:
     """The tags of a text of n characters out of a sequence that starts with a special token."""
     return F.slice(_col(tags), F.lit(2), _col(n) + extra)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.functions.arrow import arrow, batch
+from tsumugi.functions.edits import string_bytes
 from tsumugi.operators.numbering import numbered, padded
 from tsumugi.kernels import norm
 
@@ -26,12 +27,20 @@ def split_sentences(text: Column | str, ends: str = ".!?。！？") -> Column:
 
 @batch("array<string>")
 def sentences_by_tags(text: pa.Array, tags: pa.Array) -> pa.Array:
-    """Sentences of a text by one tag a character: B begins one. Characters without a tag, and tags without one, are left out."""
+    """Sentences of a text by one tag a character: B begins one. Characters without a tag, and tags without one, are left out.
+
+    Tags are an array of strings, or one string of letters (see segment_codes()), which spares a string for each character.
+    """
     known = np.asarray(pc.and_(text.is_valid(), tags.is_valid()), bool)
     some = pa.array(known)
     own, of = text.filter(some), tags.filter(some)
-    n, n_tags = np.asarray(pc.utf8_length(own), np.int64), np.asarray(pc.list_value_length(of), np.int64)
-    begins = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(of.flatten(), "B"), False), bool))
+    n = np.asarray(pc.utf8_length(own), np.int64)
+    if pa.types.is_string(tags.type):
+        codes, ends = string_bytes(of)
+        n_tags, begins = np.diff(ends), np.flatnonzero(codes == ord("B"))
+    else:
+        n_tags = np.asarray(pc.list_value_length(of), np.int64)
+        begins = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(of.flatten(), "B"), False), bool))
     first = np.cumsum(n_tags) - n_tags
     row = np.searchsorted(first, begins, side="right") - 1
     at = begins - first[row]
@@ -95,9 +104,14 @@ def unknown_morphemes(words: DataFrame) -> DataFrame:
     return unknown_attributes(words.select(*[c for c in words.columns if c not in ("surf", "norm")], "surf", F.lit("_").alias("reading"), lemma.alias("lemma")))
 
 
+def segment_codes(segments: Column | str) -> Column:
+    """One string of B and I for the characters of the segments (an empty segment is a B)."""
+    return F.array_join(F.transform(_col(segments), lambda s: F.rpad(F.lit("B"), F.greatest(F.length(s), F.lit(1)), F.lit("I"))), "")
+
+
 def segment_tags(segments: Column | str) -> Column:
-    """B and I for each character of the segments (an empty segment is a B)."""
-    return F.split(F.array_join(F.transform(_col(segments), lambda s: F.rpad(F.lit("B"), F.greatest(F.length(s), F.lit(1)), F.lit("I"))), ""), "")
+    """B and I for each character of the segments, as an array."""
+    return F.split(segment_codes(segments), "")
 
 
 def spans(segments: DataFrame, key: list[str], order: str, surf: str = "surf") -> DataFrame:

@@ -92,7 +92,7 @@ def segment_words(spark, sf_dir):
 
 @query(SENTENCES + " SELECT doc_id, sent_idx, sentence FROM e")
 def sentences_by_tags(spark, sf_dir):
-    docs = normalized_documents(spark, sf_dir).withColumn("tags", segment.segment_tags(segment.split_sentences("text")))
+    docs = normalized_documents(spark, sf_dir).withColumn("tags", segment.segment_codes(segment.split_sentences("text")))
     return docs.select("doc_id", F.posexplode(segment.sentences_by_tags("text", "tags")).alias("sent_idx", "sentence"))
 
 
@@ -109,10 +109,11 @@ def words_by_tags(spark, sf_dir):
 @query("SELECT doc_id, length(text) AS n, list_aggregate(list_transform(string_split(text, ''), lambda c: CASE WHEN c IN ('e', 'E') THEN '' WHEN c = 'a' THEN '4' WHEN c = 'o' THEN '+o' ELSE c END), 'string_agg', '') || '!' AS corrected FROM (SELECT doc_id, text FROM documents WHERE text <> '')")
 def apply_edits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text != ''")
-    chars = edits.characters("text")
-    keep = F.transform(chars, lambda c: F.when(c.isin("e", "E"), "D").when(c == "a", "R:4").otherwise("K"))
-    insert = F.concat(F.transform(chars, lambda c: F.when(c == "o", "I:+").otherwise("_")), F.array(F.lit("I:!")))
-    return docs.select("doc_id", F.length("text").cast("long").alias("n"), edits.apply_edits("text", keep, insert).alias("corrected"))
+    count = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
+    keep = F.translate(F.regexp_replace("text", "[^eEa]", "K"), "eEa", "DDR")
+    insert = F.concat(F.translate(F.regexp_replace("text", "[^o]", "_"), "o", "I"), F.lit("I"))
+    corrected = edits.apply_edit_codes("text", keep, F.array_repeat(F.lit("4"), count("a")), insert, F.concat(F.array_repeat(F.lit("+"), count("o")), F.array(F.lit("!"))))
+    return docs.select("doc_id", F.length("text").cast("long").alias("n"), corrected.alias("corrected"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.1 THEN 'K' WHEN x > 0 THEN 'R:p' ELSE 'D' END) AS tags FROM embeddings")
