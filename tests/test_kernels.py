@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tsumugi.kernels import align, conll, crf, edits, forced, formats, norm, spans, trees
+from tsumugi.kernels import align, conll, crf, edits, forced, formats, norm, norm_batch, spans, trees
 from tsumugi.vocab import CANON, DELIMITER, LEMMA, NO_CANON, READING, SURF
 
 
@@ -226,3 +226,24 @@ def test_forced_decoding():
     assert vocab[NO_CANON] in f.allowed(ids) and vocab["</s>"] not in f.allowed(ids)
     ids += [vocab["神"]]
     assert vocab["</s>"] in f.allowed(ids, best=vocab["</s>"]) and f.allowed(ids) == {vocab["</s>"]}
+
+
+@pytest.mark.parametrize("seed, cells", [(1, 1 << 22), (2, 300)])
+def test_operations_of_many_pairs(monkeypatch, seed, cells):
+    """Inferred together, pairs get the operations that each gets alone, whatever the size of a table."""
+    monkeypatch.setattr(norm_batch, "CELLS", cells)
+    rng = random.Random(seed)
+    letters = "かがさざなねのゃやーっつぁあいうえおぉ〜とどヴは犬x𠮷"
+    pairs = [("", ""), ("あ", ""), ("あ", "ああ"), ("なあ", "さあ")]
+    for _ in range(2_000):
+        s = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+        n = "".join(rng.choice([c, norm.SMALL_TO_LARGE.get(c, c), rng.choice(letters) if rng.random() < 0.2 else c, "" if norm.removable(c) else c, "あ" if c == "ー" else c, "え" if c == "ー" else c, norm.VOICED_TO_VOICELESS.get(c, c)]) for c in s)
+        pairs.append((s, n))
+    plain = []
+    for s, n in pairs:
+        try:
+            plain.append(norm.infer_ops(s, n))
+        except ValueError:
+            plain.append(None)
+    assert norm_batch.infer_ops_of(pairs) == plain
+    assert {o for x in plain if x for o in x} == set("KDVSPE_") and norm_batch.infer_ops_of([]) == []

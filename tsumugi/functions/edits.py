@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tsumugi.functions.arrow import arrow, batch
 from tsumugi import vocab
-from tsumugi.kernels import edits, norm
+from tsumugi.kernels import edits, norm, norm_batch
 
 
 def _col(c: Column | str) -> Column:
@@ -154,17 +154,16 @@ def apply_norm_ops(surf: Column | str, ops: Column | str, strict: bool = False)
 
 @arrow("array<string>")
 def infer_norm_ops(surf: pd.Series, normal: pd.Series) -> pd.Series:
-    """Operations from a written to a normal form; all "_" where there are none (an empty or longer normal form too)."""
+    """Operations from a written to a normal form; all "_" where there are none (an empty or longer normal form too).
 
-    def one(s: str | None, n: str | None) -> list[str] | None:
-        if s is None or n is None:
-            return None
-        try:
-            return norm.infer_ops(s, n)
-        except ValueError:
-            return [vocab.NORM_IGNORED] * len(s)
-
-    return pd.Series([one(s, n) for s, n in zip(surf, normal, strict=True)])
+    The distinct pairs of a batch are worked out together.
+    """
+    known = (surf.notna() & normal.notna()).to_numpy()
+    pairs = list(zip(surf[known], normal[known], strict=True))
+    out: list[list[str] | None] = [None] * len(surf)
+    for k, (s, _), ops in zip(known.nonzero()[0].tolist(), pairs, norm_batch.infer_ops_of(pairs), strict=True):
+        out[k] = [vocab.NORM_IGNORED] * len(s) if ops is None else ops
+    return pd.Series(out)
 
 
 def denormalize(surf: Column | str, mark: str = "ー") -> Column:

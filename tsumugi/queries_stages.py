@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsumugi import vocab
-from tsumugi.functions import text
+from tsumugi.functions import edits, text
 from tsumugi.kernels import conll
 from tsumugi.operators import dependency, encoding, forced, lexicon, loading, predicting, segment
 from tsumugi.plans import pipeline, word_stage
@@ -362,3 +362,30 @@ def encoded_heads(spark, sf_dir):
     mask = encoding.dependency_edges(words, none).where("kind = 'mask'")
     text_ = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return encoding.csr(mask, ["example_id"], encoding.sizes(words)).select(F.col("example_id").alias("k"), text_("offsets").alias("offsets"), text_("indices").alias("indices"))
+
+
+#: What letters become in a written form, in its normal form, and by which operations.
+SPELT = {"a": ("かー", "かあ", "KP"), "e": ("ねー", "ねえ", "KE"), "o": ("とぉ", "とお", "KS"), "i": ("みっ", "み", "KD"), "u": ("うぅ〜", "うう", "KSD")}
+
+
+def _spelt_sql(at: int) -> str:
+    text_ = "replace(p_name, ' ', '')"
+    if at == 2:  # every other letter is kept
+        text_ = f"regexp_replace({text_}, '[^aeiou]', 'k', 'g')"
+    for c, forms in SPELT.items():
+        text_ = f"replace({text_}, '{c}', '{forms[at]}')"
+    return f"replace({text_}, 'k', 'K')" if at == 2 else text_
+
+
+@query(f"SELECT p_partkey, {_spelt_sql(0)} AS surf, {_spelt_sql(1)} AS norm, {_spelt_sql(2)} AS ops FROM part")
+def inferred_operations(spark, sf_dir):
+    """Operations between written and normal forms that are made of the names' letters."""
+
+    def spelt(at: int):
+        out = F.replace(F.col("p_name"), F.lit(" "), F.lit(""))
+        for c, forms in SPELT.items():
+            out = F.replace(out, F.lit(c), F.lit(forms[at]))
+        return out
+
+    own = table(spark, sf_dir, "part").select("p_partkey", spelt(0).alias("surf"), spelt(1).alias("norm"))
+    return own.select("*", F.array_join(edits.infer_norm_ops("surf", "norm"), "").alias("ops"))
