@@ -267,8 +267,9 @@ def test_command_line(spark, given, tmp_path, capsys):
     from tsumugi.__main__ import main
 
     given[2].write(str(tmp_path / "dictionary"))
-    (tmp_path / "in.txt").write_text("# D-ID:z\n太郎\nEOD\n# D-ID:b\n犬猫\nEOD\n")
-    arguments = ["--predictors", "tests.test_word_stage:CLI_PREDICTORS", "--filename", str(tmp_path / "in.txt")]
+    (tmp_path / "in.txt").write_text("# D-ID:z\n太郎\nEOD\n")
+    (tmp_path / "and.txt").write_text("# D-ID:b\n犬猫\nEOD\n")  # given after the other
+    arguments = ["--predictors", "tests.test_word_stage:CLI_PREDICTORS", "--filename", str(tmp_path / "in.txt"), "--filename", str(tmp_path / "and.txt")]
     with pytest.raises(SystemExit):
         main(arguments)
     capsys.readouterr()

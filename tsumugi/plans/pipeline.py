@@ -8,6 +8,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,8 @@ from tsumugi.operators.segment import assign_doc_ids, eligible, unknown_attribut
 from tsumugi.plans import word_stage
 from tsumugi.sources.shared import kept
 from tsumugi.sources import sinks
-from tsumugi.sources.text import annotated, from_text, read_annotated, read_raw
+from tsumugi.sources.splits import read_raw_splits
+from tsumugi.sources.text import annotated, from_text, read_annotated
 
 log = logging.getLogger(__name__)
 TASKS = ("typo", "char", "seq2seq", "word")
@@ -165,7 +167,7 @@ class Pipeline:
         own = parse_tasks(tasks)
         for warning in check_tasks(own, kind):
             log.warning(warning)
-        places = [c for c in ("path", "ord" if kind == "raw" else "sent_idx") if c in docs.columns] if "path" in docs.columns or kind == "raw" else []
+        places = [c for c in ("file_no", "path", "ord" if kind == "raw" else "sent_idx") if c in docs.columns] if "path" in docs.columns or kind == "raw" else []
         order = F.struct(*places or ["doc_id"])
         if kind != "raw":
             orders = docs.groupBy("doc_id").agg(F.min(order).alias("doc_ord"))
@@ -175,20 +177,34 @@ class Pipeline:
             now = rows.withColumn("canon", F.try_element_at(m, F.lit(1))["value"]).join(orders, "doc_id").select("doc_id", "doc_ord", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon")
         else:
             texts = docs.withColumn("doc_ord", order) if kind == "raw" else sinks.document_texts(docs.select("doc_id", "sent_idx", F.array_join(F.transform("morphemes", lambda x: x["surf"]), "").alias("text"))).join(orders, "doc_id")
-            now = assign_doc_ids(texts.where(F.coalesce(F.col("text"), F.lit("")) != ""), prefix, ("path", "ord") if "ord" in texts.columns else ("doc_id",)).withColumn("text", normalize_text("text"))
+            now = assign_doc_ids(texts.where(F.coalesce(F.col("text"), F.lit("")) != ""), prefix, ("file_no", "path", "ord") if "ord" in texts.columns else ("doc_id",)).withColumn("text", normalize_text("text"))
         for t in own:
             now = self.word(now, keep="seq2seq" in own) if t == "word" else getattr(self, t)(now)
         return now
 
 
+#: Files of a command that keep the order in which they are given; more are taken in the order of their paths.
+MOST_FILES = 64
+
+
 def analyze(spark: SparkSession, pipeline: Pipeline, tasks: str, text: str | None = None, files: list[str] | None = None, kind: str = "raw") -> DataFrame:
-    """Runs the tasks over a text or over files, raw or annotated; just one of them must be given."""
+    """Runs the tasks over a text or over files, raw or annotated; just one of them must be given.
+
+    Raw files may be of any size: they are read by byte ranges. Files come one after the other as they are given (up to MOST_FILES
+    of them), those of a folder by their paths.
+    """
     if (text is None) == (files is None):
         raise ValueError("give a text or files")
-    if kind == "raw":
-        docs = from_text(spark, text) if text is not None else read_raw(spark, files)
+
+    def read(paths: list[str]) -> DataFrame:
+        return read_raw_splits(spark, paths) if kind == "raw" else read_annotated(spark, paths, glob=None, with_path=True)
+
+    if text is not None:
+        docs = from_text(spark, text) if kind == "raw" else annotated(spark.createDataFrame([("text", text)], "path string, text string"), with_path=True)
+    elif 1 < len(files) <= MOST_FILES:
+        docs = reduce(DataFrame.unionByName, [read([f]).withColumn("file_no", F.lit(k)) for k, f in enumerate(files)])
     else:
-        docs = annotated(spark.createDataFrame([("text", text)], "path string, text string"), with_path=True) if text is not None else read_annotated(spark, files, glob=None, with_path=True)
+        docs = read(files)
     return pipeline.run(docs, tasks, kind)
 
 
