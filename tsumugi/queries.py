@@ -415,7 +415,7 @@ def argument_tags(spark, sf_dir):
 
 @query()
 def dependency_trees(spark, sf_dir):
-    """Rows only: the greedy tree of each order's lines, later lines by quantity first."""
+    """The greedy tree of each order's lines, later lines by quantity first."""
     own = units(spark, sf_dir).select(F.col("k").alias("doc_id"), F.lit(0).alias("sent_idx"), F.col("i"), "q")
     place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("i")) - 1).alias("bp_idx")
     numbered = own.select("doc_id", "sent_idx", place, "q")
@@ -428,7 +428,7 @@ def dependency_trees(spark, sf_dir):
 
 @query()
 def viterbi_spans(spark, sf_dir):
-    """Rows only: tags of 16 steps over 4 scores of each vector, under the BIO constraints."""
+    """Tags of 16 steps over 4 scores of each vector, under the BIO constraints."""
     tags = ("O", "B-X", "I-X", "B-Y")
     steps = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, 4))
     own = table(spark, sf_dir, "embeddings").select("vec_id", steps.alias("e"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i >= F.col("label") % 3).alias("m"))

@@ -14,7 +14,7 @@ from tsumugi.operators import corpus, lexicon, metrics, segment, structure, wind
 from tsumugi.queries import ORACLES, UNITS, query, table, units
 from tsumugi.sources import sinks
 from tsumugi.sources import text as sources
-from tsumugi.sources.dictionary import dictionary_entries, encode_dictionary, read_dictionary, semantics_items
+from tsumugi.sources.dictionary import dictionary_entries, encode_dictionary, semantics_items
 from tsumugi.sources.shared import shared_folder
 
 
@@ -520,8 +520,7 @@ def dictionary_lines(spark, sf_dir):
     lines = part.select(F.col("p_name").alias("surf"), F.lit("0").alias("left_id"), F.lit("0").alias("right_id"), F.col("p_partkey").cast("string").alias("cost"), F.lit("名詞").alias("pos"), F.col("p_brand").alias("subpos"), F.lit("*").alias("conjform"), F.lit("*").alias("conjtype"), F.col("p_brand").alias("lemma"), F.col("p_type").alias("reading"), F.concat_ws("/", "p_brand", "p_type").alias("repname"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x:"), F.col("p_size").cast("string"))).otherwise("NIL").alias("sem"))
     folder = shared_folder(spark)
     lines.write.csv(folder)
-    # the entries themselves, and the keys that they were made from
-    assert read_dictionary(spark, folder).columns
+    # read line by line, so that the line's number can be kept beside the entry (read_dictionary_lines reads entries as such)
     from tsumugi.sources.dictionary import COLUMNS
 
     rows = spark.read.schema(COLUMNS).csv(folder)
@@ -561,7 +560,7 @@ def shown_raw_texts(spark, sf_dir):
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM documents")
 def split_folders(spark, sf_dir):
-    """A corpus written as a folder a split, and id lists read back from *.id files."""
+    """A corpus written as a folder a split, and read back."""
     folder = shared_folder(spark)
     split = F.when(F.col("doc_id") % 4 == 0, "valid").when(F.col("doc_id") % 4 == 1, "test").otherwise("train")
     sinks.write_splits(table(spark, sf_dir, "documents").select("doc_id", split.alias("split")), folder, "parquet")
