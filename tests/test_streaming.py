@@ -1,3 +1,4 @@
+import os
 import time
 
 import pytest
@@ -94,6 +95,7 @@ def test_a_stream_killed_between_batches_gives_each_document_once(spark, tmp_pat
     folder.mkdir()
     for k in range(4):
         (folder / f"{k}.txt").write_text("".join(f"document {k} {j}\nEOD\n" for j in range(3)))
+        os.utime(folder / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))  # files arrive in the order of their times
     interactive.use_rocksdb(spark)
     sinks.begin(spark, out, state)
 
