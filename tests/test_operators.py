@@ -306,3 +306,16 @@ def test_segmentation_scores(spark):
     system = spark.createDataFrame([("d", 0, 2), ("d", 2, 5)], "k string, start int, end int")
     row = metrics.segmentation_scores(gold, system, ["k"]).first()
     assert (row["accuracy"], row["tp"], row["fp"], row["fn"]) == (0.8, 1, 1, 2)
+
+
+def test_look_ups_store_no_pairs(spark):
+    """Many words of a form with many entries: lists are made once a form, and a join doesn't stand below an aggregate."""
+    n = 400
+    entries = spark.range(n).select(F.lit("a").alias("surf"), F.lit("r").alias("reading"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("lemma"), F.lit("p").alias("pos"), F.lit("*").alias("subpos"), F.lit("t").alias("conjtype"), F.lit("c").alias("canon"), F.col("id").cast("string").alias("semantics"), (n - F.col("id")).alias("ord"))
+    words = spark.range(n).select(F.col("id").alias("key"), F.when(F.col("id") > 0, "a").alias("norm"), F.lit("r").alias("reading"), F.lit("p").alias("pos"), F.lit("*").alias("subpos"), F.lit("t").alias("conjtype"), F.lit("f").alias("conjform"))
+    joins = lambda df: sum("Join " in line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    found = lexicon.look_up(words, entries)
+    assert joins(found) == 1
+    assert {(r["key"], tuple(r["meanings"])) for r in found.collect()} == {(k, tuple(str(x) for x in range(n - 1, -1, -1)) if k else ()) for k in range(n)}
+    lemmas = lexicon.recover_lemmas(words, entries, spark.createDataFrame([], "conjtype string, conjform string, ending string, base_ending string"), [("t", "f")])
+    assert {(r["key"], tuple(r["lemmas"])) for r in lemmas.where("key > 0").collect()} == {(k, ("l0", "l2", "l1")) for k in range(1, n)} and joins(lemmas) <= 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,37 +13,40 @@ from tsumugi.kernels.align import align_reading, align_segmentations
 
 
 def look_up(words: DataFrame, entries: DataFrame, by: str = "norm") -> DataFrame:
-    """words (with key, norm or canon, reading, pos, subpos, conjtype) and the meanings of their entries, in entry order.
+    """words (with norm or canon, reading, pos, subpos, conjtype) and the meanings of their entries, in entry order.
 
     by norm: the entry's surf is the word's norm. by canon: its canon is the word's, and its lemma the norm. entries has
-    ord. A word without an entry has an empty array. Catalyst broadcasts the dictionary if it is small enough.
+    ord. A word without an entry has an empty array. Entries are listed once for each distinct form, and words meet the lists: no
+    pair of a word and an entry is stored. Catalyst broadcasts the lists if they are small enough.
     """
-    shared = ["reading", "pos", "subpos", "conjtype"]
-    e = entries.select(*[F.col(c).alias(f"_{c}") for c in shared], F.col("surf").alias("_surf"), F.col("canon").alias("_canon"), F.col("lemma").alias("_lemma"), "semantics", "ord")
-    same = [F.col(c) == F.col(f"_{c}") for c in shared]
-    same += [F.col("norm") == F.col("_surf")] if by == "norm" else [F.col("canon") == F.col("_canon"), F.col("norm") == F.col("_lemma")]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    found = words.select("key", "norm", *(["canon"] if by == "canon" else []), *shared).join(e, on).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "semantics"))), lambda x: x["semantics"]).alias("meanings"))
-    return words.join(found, "key", "left").withColumn("meanings", F.coalesce("meanings", F.array().cast("array<string>")))
+    of = {"reading": "reading", "pos": "pos", "subpos": "subpos", "conjtype": "conjtype", **({"norm": "surf"} if by == "norm" else {"canon": "canon", "norm": "lemma"})}
+    rows = F.array_sort(F.collect_list(F.struct("ord", "semantics")))
+    listed = entries.groupBy(*[F.col(e).alias(f"_{w}") for w, e in of.items()]).agg(F.transform(rows, lambda x: x["semantics"]).alias("meanings"))
+    found = words.join(listed, [F.col(w) == F.col(f"_{w}") for w in of], "left").drop(*[f"_{w}" for w in of])
+    return found.withColumn("meanings", F.coalesce("meanings", F.array().cast("array<string>")))
+
+
+def by_form(words: DataFrame, looked_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key of words, and what a function finds for their distinct forms (all columns but key): what is made of an entry list is made once a form."""
+    form = [c for c in words.columns if c != "key"]
+    found = looked_up(words.select(*form).distinct())
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in form]
+    return words.join(found.withColumnsRenamed({c: f"_{c}" for c in form}), same).drop(*form, *[f"_{c}" for c in form])
 
 
 def recover_lemmas(words: DataFrame, entries: DataFrame, inflection: DataFrame, ambiguous: list[tuple[str, str]]) -> DataFrame:
     """lemmas of words (key, norm, pos, subpos, conjtype, conjform): the first is the lemma, others make homographs.
 
     What doesn't inflect is its own lemma. For ambiguous (type, form) pairs, the lemmas of the dictionary's entries for the
-    form, in entry order. Else the base form by inflection (conjtype, conjform, ending, base_ending): the longest ending
+    form, in entry order; they are listed once a form, as in look_up. Else the base form by inflection (conjtype, conjform, ending, base_ending): the longest ending
     that fits is exchanged. Where nothing is found the norm stays.
     """
     pair = F.struct("conjtype", "conjform")
     is_ambiguous = pair.isin([F.struct(F.lit(a), F.lit(b)) for a, b in ambiguous]) if ambiguous else F.lit(False)
-    e = entries.select(F.col("surf").alias("_surf"), F.col("pos").alias("_pos"), F.col("subpos").alias("_subpos"), F.col("conjtype").alias("_conjtype"), F.col("lemma").alias("_lemma"), "ord")
-    listed = (
-        words.where(is_ambiguous & (F.col("conjtype") != "*"))
-        .join(e, (F.col("norm") == F.col("_surf")) & (F.col("pos") == F.col("_pos")) & (F.col("subpos") == F.col("_subpos")) & (F.col("conjtype") == F.col("_conjtype")))
-        .groupBy("key", "_lemma").agg(F.min("ord").alias("ord")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_lemma"))), lambda x: x["_lemma"]).alias("_listed"))
-    )
+    of = {"norm": "surf", "pos": "pos", "subpos": "subpos", "conjtype": "conjtype"}
+    firsts = entries.groupBy(*[F.col(e).alias(f"_{w}") for w, e in of.items()], F.col("lemma").alias("_lemma")).agg(F.min("ord").alias("ord"))
+    lists = firsts.groupBy(*[f"_{w}" for w in of]).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_lemma"))), lambda x: x["_lemma"]).alias("_listed"))
+    asked = is_ambiguous & (F.col("conjtype") != "*")
     endings = inflection.select(F.col("conjtype").alias("_t"), F.col("conjform").alias("_f"), "ending", "base_ending")
     fits = F.endswith(F.col("norm"), F.col("ending"))
     stem = F.substring(F.col("norm"), F.lit(1), F.length("norm") - F.length("ending"))
@@ -49,7 +54,7 @@ def recover_lemmas(words: DataFrame, entries: DataFrame, inflection: DataFrame,
         words.where(~is_ambiguous & (F.col("conjtype") != "*")).join(endings, (F.col("conjtype") == F.col("_t")) & (F.col("conjform") == F.col("_f")) & fits)
         .groupBy("key").agg(F.max_by(F.concat(stem, F.col("base_ending")), F.struct(F.length("ending"), "base_ending")).alias("_base"))
     )
-    own = words.join(listed, "key", "left").join(bases, "key", "left")
+    own = words.join(lists, [asked, *[F.col(w) == F.col(f"_{w}") for w in of]], "left").drop(*[f"_{w}" for w in of]).join(bases, "key", "left")
     return own.withColumn("lemmas", F.coalesce(F.col("_listed"), F.array(F.coalesce("_base", "norm")))).drop("_listed", "_base")
 
 
