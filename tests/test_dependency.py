@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tsumugi.kernels import conll
 from tsumugi.operators import dependency
@@ -85,3 +86,19 @@ def test_ids_that_are_not_in_sequence(spark):
     rows = [("d", 0, 1, 0), ("d", 0, 3, 1), ("d", 1, 1, 0), ("d", 1, 1, 0), ("d", 2, 2, 0), ("d", 3, None, 0)]
     found = {(r["sent_idx"], r["error"]) for r in dependency.tree_errors(spark.createDataFrame(rows, "doc_id string, sent_idx int, id int, head int")).collect()}
     assert {k for k, e in found if e == "ids"} == {0, 1, 2, 3}
+
+
+def test_trees_beyond_the_row_limit_of_recursion(spark):
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        words = spark.range(3000).select((F.col("id") / 3).cast("int").alias("doc_id"), F.lit(0).alias("sent_idx"), (F.col("id") % 3 + 1).cast("int").alias("id"), F.when(F.col("id") == 2999, 3).otherwise(F.col("id") % 3).cast("int").alias("head"))
+        assert [tuple(r) for r in dependency.tree_errors(words).collect()] == [(999, 0, "cycle")]
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
+def test_cycles_where_ids_leave_gaps(spark):
+    rows = [("d", 0, 1, 0), ("d", 0, 4, 1), ("d", 0, 7, 1), ("e", 0, 1, 0), ("e", 0, 4, 3), ("e", 0, 7, 2)]
+    found = {tuple(r) for r in dependency.tree_errors(spark.createDataFrame(rows, "doc_id string, sent_idx int, id int, head int")).collect()}
+    assert found == {("d", 0, "ids"), ("e", 0, "ids"), ("e", 0, "cycle")}

@@ -1,4 +1,4 @@
-"""Dependency trees as tables: their validation by a recursive query, and the 13 shared-task metrics for differing segmentations.
+"""Dependency trees as tables: their validation, and the 13 shared-task metrics for differing segmentations.
 
 Words are rows (doc_id, sent_idx, word_idx: their place in the document, form, lemma, upos, xpos, feats, head: a place in the
 document or -1 for the root, deprel). Words of a multi-word token have its written form as token_form and the place of its first word as token_idx;
@@ -28,10 +28,9 @@ def tree_errors(words: DataFrame) -> DataFrame:
     """doc_id, sent_idx and error for everything that is wrong with sentences of rows (doc_id, sent_idx, id, head: 0 for the root).
 
     "ids": not 1 to n; "head": null or none of 0 to n; "roots": not exactly one word hangs from the root; "cycle": a word that the root can't be
-    reached from. A sentence can have several. The last is a recursive query: it goes down from the root by one level a step, so it
-    takes as many steps as the deepest tree is high, and a word is reached once, from its head.
+    reached from. A sentence can have several. For the last, the heads of a sentence are one array, in which every word's head is replaced by
+    that one's head until 2^steps is its length: a word whose way ends at the root has it then. A sentence is what a row holds.
     """
-    spark = words.sparkSession
     own = words.select(DOC, "sent_idx", F.col("id").cast("int").alias("id"), F.col("head").cast("int").alias("head"))
     sentence = own.groupBy(DOC, "sent_idx").agg(
         F.count("*").alias("n"), (F.countDistinct("id") != F.count("*")).alias("twice"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_if(F.col("id").isNull()).alias("nulls"),
@@ -39,16 +38,16 @@ def tree_errors(words: DataFrame) -> DataFrame:
     )
     checks = {"ids": F.col("twice") | (F.col("nulls") > 0) | (F.col("low") != 1) | (F.col("high") != F.col("n")), "head": (F.col("bad") > 0) | (F.col("far") > F.col("n")), "roots": F.col("roots") != 1}
     simple = sentence.select(DOC, "sent_idx", F.explode(F.filter(F.array(*[F.when(c, name) for name, c in checks.items()]), lambda x: x.isNotNull())).alias("error"))
-    own.where("id is not null and head is not null and id != head").createOrReplaceTempView("_tree_words")
-    reached = spark.sql(f"""
-        WITH RECURSIVE reached({DOC}, sent_idx, id) MAX RECURSION LEVEL 100000 AS (
-          SELECT {DOC}, sent_idx, id FROM _tree_words WHERE head = 0
-          UNION ALL SELECT w.{DOC}, w.sent_idx, w.id FROM reached r JOIN _tree_words w ON w.{DOC} = r.{DOC} AND w.sent_idx = r.sent_idx AND w.head = r.id)
-        SELECT DISTINCT {DOC}, sent_idx, id FROM reached""")
     # only a sentence whose heads are all in range can have a cycle; one without a root is all cycle
-    sound = sentence.where("bad = 0 and far <= n and not twice and nulls = 0").select(DOC, "sent_idx", "n")
-    counts = reached.groupBy(DOC, "sent_idx").agg(F.count("*").alias("seen"))
-    cycles = sound.join(counts, [DOC, "sent_idx"], "left").where("coalesce(seen, 0) < n").select(DOC, "sent_idx", F.lit("cycle").alias("error"))
+    sound = own.groupBy(DOC, "sent_idx").agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("id", "head"))).alias("w"), (F.countDistinct("id") == F.count("*")).alias("once"), F.count_if(F.col("id").isNull() | F.col("head").isNull() | (F.col("head") < 0)).alias("bad"), F.max("head").alias("far")).where("once and bad = 0 and far <= n")
+    ids = F.transform("w", lambda x: x["id"])
+    counted = (F.col("w")[0]["id"] == 1) & (F.element_at("w", -1)["id"] == F.col("n"))
+    # a head as the place of its word; one that no word is, is its own head and leads nowhere
+    place = lambda x: F.when(x["head"] == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position("ids", x["head"]), F.lit(0)), F.array_position("ids", x["id"]))).cast("int")
+    heads = F.when(counted, F.transform("w", lambda x: x["head"])).otherwise(F.transform("w", place))
+    step = lambda h, _: F.transform(h, lambda x: F.when(x == 0, 0).otherwise(F.element_at(h, x)))
+    ends = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.col("n") + 1)).cast("int")), F.col("heads"), step)
+    cycles = sound.withColumn("ids", ids).withColumn("heads", heads).where(F.exists(ends, lambda x: x != 0)).select(DOC, "sent_idx", F.lit("cycle").alias("error"))
     return simple.unionByName(cycles)
 
 
