@@ -162,3 +162,13 @@ def test_config():
     assert str(config.config_path({"XDG_CONFIG_HOME": "/x"})) == "/x/tsumugi/config.yaml"
     assert str(config.config_path({"TSUMUGI_CONFIG_FILE": "/y"})) == "/y" and str(config.config_path({"HOME": "/h"})) == "/h/.config/tsumugi/config.yaml"
     assert config.without_keys({"a": 1, "b": [{"a": 2, "c": 3}]}, {"a"}) == {"b": [{"c": 3}]}
+
+
+def test_kanji_lines_beyond_the_first_plane(spark, tmp_path):
+    from tsumugi import queries_more
+
+    codes = [19968, 0xD7FF, 0xD800, 0xDFFF, 0xFEFF, 0xFFFF, 0x10000, 0x2A6DF, 0x10FFFF, 0x110000]
+    spark.createDataFrame([(c - 19968, c % 2, "B#1") for c in codes], "p_partkey long, p_size int, p_brand string").repartition(len(codes)).write.parquet(str(tmp_path / "part.parquet"))
+    found = sorted((r["character"], r["strokes"], r["readings"]) for r in queries_more.kanji_lines(spark, str(tmp_path)).collect())
+    known = lambda c: chr(0xFFFD) if 0xD800 <= c < 0xE000 or c > 0x10FFFF else chr(c)
+    assert found == sorted((known(c), c % 2, "か" if c % 2 else "か;あ.う") for c in codes)

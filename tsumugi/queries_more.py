@@ -486,11 +486,19 @@ def annotated_folders(spark, sf_dir):
 
 @query("SELECT chr(CAST(19968 + p_partkey AS INT)) AS character, 'か' || CASE WHEN p_size % 2 = 0 THEN ';あ.う' ELSE '' END AS readings, p_size AS strokes, p_brand AS meanings FROM part")
 def kanji_lines(spark, sf_dir):
-    """Lines of a kanji dictionary that were written as files and read again, without the built-in signs."""
+    """Lines of a kanji dictionary that were written as files and read again, without the built-in signs.
+
+    A number that is no code point (a surrogate, or beyond the last) has the replacement character; its SQL can't be run.
+    """
     from tsumugi.sources.dictionary import read_kanji
 
-    hexed = F.lpad(F.hex(F.col("p_partkey") + 19968), 4, "0")
-    character = F.decode(F.unhex(hexed), "UTF-16BE")
+    n = F.col("p_partkey") + 19968
+    known = ~n.between(0xD800, 0xDFFF) & (n <= 0x10FFFF)
+    code = F.when(known, n).otherwise(0xFFFD)
+    high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+    hexed = F.hex(code)
+    character = F.decode(F.unhex(F.when(code < 0x10000, hexed).otherwise(F.concat(F.hex(high), F.hex(low)))), "UTF-16BE")
+    character = F.concat(F.when(code == 0xFEFF, "#\n").otherwise(""), character)  # at the start of a file that character would be its mark
     line = F.concat(character, F.lit(" "), hexed, F.lit(" S"), F.col("p_size").cast("string"), F.lit(" G1 Yya Wa カ"), F.when(F.col("p_size") % 2 == 0, " あ.う-").otherwise(""), F.lit(" {"), F.col("p_brand"), F.lit("}"))
     folder = shared_folder(spark)
     table(spark, sf_dir, "part").select(line.alias("value")).write.text(folder)
