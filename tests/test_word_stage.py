@@ -219,6 +219,34 @@ def test_a_prediction_of_another_length_is_an_error(spark):
         predicting.in_document(windows, short).collect()
 
 
+def test_predictions_keep_their_place_without_a_shuffle_of_windows(spark):
+    """Windows are made where a document's words are, predicted in frames of bounded size and put in place without a join."""
+    import pandas as pd
+
+    from tsumugi.operators import predicting
+
+    rows = [(str(d), s, k, "w" * 20) for d in range(300) for s in range(10) for k in range(20)]
+    words = spark.createDataFrame(rows, "doc_id string, sent_idx int, morph_idx int, surf string").repartition(1, "doc_id")
+    windows, rejected = predicting.word_windows(word_stage.with_places(words), 1200, 1)
+
+    def predictor(frames):
+        held = []
+        for f in frames:
+            assert len(f) < 1000 and list(f.columns) == ["doc_id", "win_idx", "window_id", "words"]
+            held.append(pd.DataFrame({"doc_id": f["doc_id"], "win_idx": f["win_idx"], "words": [[{"seen": f"{k}/{len(w)}"} for k in range(len(w))] for w in f["words"]]}))
+        yield from reversed(held)  # answers may come in another order than examples
+
+    own = pipeline.Registry()
+    own.register("word", predictor, "doc_id string, win_idx int, words array<struct<seen:string>>")
+    found = predicting.in_place(own.predict("word", predicting.with_targets(windows), predicting.PLACES))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("MapInArrow")[0].count("Exchange") == 0
+    got = {(r["doc_id"], r["word_idx"]): r["seen"] for r in found.collect()}
+    # windows of three sentences whose ends are a sentence apart: a word of a later sentence is seen in the window that ends with it
+    assert got == {(str(d), s * 20 + k): f"{min(s, 2) * 20 + k if s > 2 else s * 20 + k}/60" for d in range(300) for s in range(10) for k in range(20)}
+    assert rejected.count() == 0
+
+
 def test_long_texts_in_windows_with_running_ids(spark, tmp_path, capsys):
     """char over windows of whole sentences: ids from 1 on through a document, output in the order of the input."""
 

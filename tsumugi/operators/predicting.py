@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.operators.segment import length_guard, sentences_by_tags, split_sentences, words_by_tags
-from tsumugi.operators.windows import split_documents, window_spans
+from tsumugi.operators.windows import document_spans, window_spans
 
 #: What a predictor gets of each word of a window.
 WINDOW_WORD = ("sent_idx", "morph_idx", "target", "surf", "reading", "lemma", "canon")
+#: So many windows of a document are made of one copy of its words.
+AT_ONCE = 16
 
 
 def text_windows(docs: DataFrame, max_length: int, sentences: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -58,33 +60,56 @@ def word_windows(words: DataFrame, max_length: int, stride: int, length: Column
     words) and words, an array of WINDOW_WORD in order. length: tokens of a word, by default its code points. Sentences of more
     than max_length tokens make windows that no predictor can take. A window, not a document, is what a row holds.
     """
-    tokens = words.withColumn("_n", F.length("surf") if length is None else length)
-    sizes = tokens.groupBy("doc_id", "sent_idx").agg(F.sum("_n").cast("int").alias("n_tokens"), F.count("*").cast("int").alias("_words"))
-    totals = sizes.groupBy("doc_id").agg(F.sum("_words").cast("int").alias("doc_words"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_idx")) - 1  # a file's numbers may run through several documents
-    spans = split_documents(sizes.withColumns({"_sent": F.col("sent_idx"), "sent_idx": place}), max_length, stride)
-    spans = spans.drop("_words", "sent_idx").withColumnRenamed("_sent", "sent_idx").join(totals, "doc_id")
+    tokens = words.where("doc_id is not null").withColumn("_n", F.length("surf") if length is None else length)
     named = [F.col(c) if c in words.columns else F.lit(None).cast("string").alias(c) for c in WINDOW_WORD if c != "target"]
-    own = words.select("doc_id", "word_idx", *named).join(spans, ["doc_id", "sent_idx"])
-    word = F.struct("word_idx", F.struct(*WINDOW_WORD).alias("w"))
-    per_sentence = F.when(F.col("morph_idx") == 0, F.col("n_tokens")).otherwise(0)
-    grouped = own.groupBy("doc_id", "win_idx", "window_id").agg(F.sum(per_sentence).alias("_size"), F.min("word_idx").alias("first_word"), F.first("doc_words").alias("doc_words"), F.array_sort(F.collect_list(word), lambda a, b: a["word_idx"] - b["word_idx"]).alias("_w"))
-    windows = grouped.withColumn("words", F.transform("_w", lambda x: x["w"])).drop("_w")
+    n_tokens = F.sum("_n").cast("int").alias("n_tokens")
+    spans = document_spans(tokens.groupBy("doc_id", "sent_idx").agg(n_tokens), max_length, stride)
+    own = tokens.groupBy("doc_id", "sent_idx").agg(n_tokens, F.array_sort(F.collect_list(F.struct("word_idx", *named))).alias("words"))
+    docs = own.groupBy("doc_id").agg(F.sum(F.size("words")).cast("int").alias("doc_words"), F.array_sort(F.collect_list(F.struct("sent_idx", "n_tokens", "words"))).alias("_sentences"))
+
+    def window(span: Column, k: Column) -> Column:
+        place, n = F.col("_from") + k, span["end"] - span["start"]
+        before = F.coalesce(F.get("spans", place - 1)["end"], F.lit(0))
+        sentences = F.slice("_sentences", span["start"] + 1, n)
+        word = lambda w, target: F.struct(*[target.alias(c) if c == "target" else w[c].alias(c) for c in WINDOW_WORD])
+        window_id = F.when(F.col("fits"), F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("-s"), (span["end"] - before).cast("string"), F.lit("i"), place.cast("string")))
+        return F.struct(
+            place.alias("win_idx"), window_id.alias("window_id"), F.get(F.get("_sentences", span["start"])["words"], F.lit(0))["word_idx"].alias("first_word"),
+            F.aggregate(sentences, F.lit(0), lambda a, x: a + x["n_tokens"]).alias("_size"),
+            F.flatten(F.transform(sentences, lambda x, j: F.transform(x["words"], lambda w: word(w, span["start"] + j >= before)))).alias("words"),
+        )
+
+    # windows are made where a document's words are, some at a time: neither they nor their words are shuffled
+    dealt = docs.join(spans.hint("shuffle_hash"), "doc_id").select("*", F.explode_outer(F.sequence(F.lit(0), F.size("spans") - 1, F.lit(AT_ONCE))).alias("_from"))
+    windows = dealt.select("doc_id", "doc_words", F.inline_outer(F.transform(F.slice("spans", F.col("_from") + 1, AT_ONCE), window)))
     fitting, others = length_guard(windows, "_size", max_length)
     return fitting.drop("_size"), others.drop("_size")
 
 
+#: What in_place() needs of a window, beside what was predicted for it.
+PLACES = ("first_word", "doc_words", "n_words", "n_targets")
+
+
+def with_targets(windows: DataFrame) -> DataFrame:
+    """windows with n_words and n_targets: their words, and how many of them, at the end, are targets."""
+    return windows.withColumns({"n_words": F.size("words"), "n_targets": F.size(F.filter("words", lambda w: w["target"]))})
+
+
 def in_document(windows: DataFrame, found: DataFrame) -> DataFrame:
     """Predictions (doc_id, win_idx, words: one for each word of the window) as rows of target words: doc_id, word_idx and the fields.
 
     heads and discourse count words from the window's first, cohesion too and then special tokens: these become places in the
     document. A prediction that hasn't as many words as its window is an error.
     """
-    fields = found.schema["words"].dataType.elementType.names
-    joined = windows.select("doc_id", "win_idx", "first_word", "doc_words", F.transform("words", lambda w: w["target"]).alias("_targets")).join(found.withColumnRenamed("words", "_found"), ["doc_id", "win_idx"])
-    wrong = F.raise_error(F.concat(F.lit("a prediction for a window of "), F.size("_targets").cast("string"), F.lit(" words has "), F.coalesce(F.size("_found"), F.lit(0)).cast("string")))
-    whole = F.when(F.size("_found") == F.size("_targets"), F.col("_found")).otherwise(wrong.cast(found.schema["words"].dataType))
-    each = joined.select("doc_id", "first_word", "doc_words", F.size("_targets").alias("_n"), "_targets", F.posexplode(whole).alias("_k", "_p")).where(F.element_at("_targets", F.col("_k") + 1))
+    return in_place(with_targets(windows).select("doc_id", "win_idx", *PLACES).join(found, ["doc_id", "win_idx"]))
+
+
+def in_place(found: DataFrame) -> DataFrame:
+    """As in_document(), for predictions that have their window's PLACES beside them."""
+    fields, n = found.schema["words"].dataType.elementType.names, F.col("n_words")
+    wrong = F.raise_error(F.concat(F.lit("a prediction for a window of "), n.cast("string"), F.lit(" words has "), F.coalesce(F.size("words"), F.lit(0)).cast("string")))
+    whole = F.when(F.coalesce(F.size("words"), F.lit(0)) == n, F.col("words")).otherwise(wrong.cast(found.schema["words"].dataType))
+    each = found.select("doc_id", "first_word", "doc_words", n.alias("_n"), (n - F.col("n_targets")).alias("_context"), F.posexplode(whole).alias("_k", "_p")).where("_k >= _context")
     base = F.col("first_word")
     moved = {
         "heads": lambda c: F.transform(c, lambda h: h.withField("head", F.when(h["head"] < 0, h["head"]).otherwise(h["head"] + base))),

@@ -21,6 +21,14 @@ def window_spans(max_length: int, stride: int):
     return spans
 
 
+def document_spans(sentences: DataFrame, max_length: int, stride: int = -1, size: str = "n_tokens") -> DataFrame:
+    """Each document's windows: doc_id, fits (it is one window), spans of places among its sentences (doc_id, sent_idx, size)."""
+    lengths = sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", size))), lambda x: x[size].cast("int")).alias("lengths"))
+    fits = F.aggregate("lengths", F.lit(0), lambda a, x: a + x) <= max_length
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.size("lengths").alias("end")))
+    return lengths.select("doc_id", fits.alias("fits"), F.when(fits, whole).otherwise(window_spans(max_length, stride)("lengths")).alias("spans"))
+
+
 def split_documents(sentences: DataFrame, max_length: int, stride: int = -1, size: str = "n_tokens") -> DataFrame:
     """Sentences (doc_id, sent_idx, size and others) of each window: window_id, win_idx, sent_idx, target.
 
@@ -28,11 +36,7 @@ def split_documents(sentences: DataFrame, max_length: int, stride: int = -1, siz
     its targets: each sentence is a target once. stride is how many that should be (-1: windows don't overlap). A sentence is repeated in each window that holds it. The lengths of a document's
     sentences are brought together, their texts aren't.
     """
-    lengths = sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", size))), lambda x: x[size].cast("int")).alias("lengths"))
-    fits = F.aggregate("lengths", F.lit(0), lambda a, x: a + x) <= max_length
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.size("lengths").alias("end")))
-    spans = F.when(fits, whole).otherwise(window_spans(max_length, stride)("lengths"))
-    each = lengths.select("doc_id", fits.alias("fits"), spans.alias("spans")).select("doc_id", "fits", "spans", F.posexplode("spans").alias("win_idx", "span"))
+    each = document_spans(sentences, max_length, stride, size).select("doc_id", "fits", "spans", F.posexplode("spans").alias("win_idx", "span"))
     own_stride = F.col("span.end") - F.coalesce(F.get("spans", F.col("win_idx") - 1)["end"], F.lit(0))
     windows = each.select(
         "doc_id", "win_idx", F.when(F.col("fits"), F.col("doc_id")).otherwise(F.concat(F.col("doc_id"), F.lit("-s"), own_stride.cast("string"), F.lit("i"), F.col("win_idx").cast("string"))).alias("window_id"),
@@ -88,4 +92,4 @@ def clause_heads(units: DataFrame, keys: list[str], order: str, score: str) -> D
     return units.groupBy(*keys, "clause").agg(F.max_by(order, F.struct(F.col(score), -F.col(order))).alias("head"))
 
 
-__all__ = ["bio_spans", "clause_heads", "clause_islands", "first_of_each", "head_runs", "make_window_id", "split_documents", "target_sentences", "window_spans"]
+__all__ = ["bio_spans", "clause_heads", "clause_islands", "document_spans", "first_of_each", "head_runs", "make_window_id", "split_documents", "target_sentences", "window_spans"]

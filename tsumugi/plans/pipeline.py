@@ -11,8 +11,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tsumugi import vocab
 from tsumugi.functions.edits import apply_edits, tag_window, typo_tags
@@ -31,6 +34,9 @@ TASKS = ("typo", "char", "seq2seq", "word")
 #: Names of input formats: plain text, morpheme lines, and those with phrases (fixed values).
 FORMATS = ("raw", "jumanpp", "knp")
 Predictor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+#: Bytes of examples, as Arrow has them, that become Python objects at a time.
+FRAME_BYTES = 1 << 19
+WINDOW = ["doc_id", "win_idx"]
 
 
 def parse_tasks(text: str) -> list[str]:
@@ -66,7 +72,7 @@ def check_tasks(tasks: list[str], kind: str) -> list[str]:
 
 @dataclass
 class Registry:
-    """Predictors by stage: what they need, run on each Arrow batch, and the columns that they add."""
+    """Predictors by stage: what they need, run on frames of about FRAME_BYTES, and the columns that they add."""
 
     own: dict[str, tuple[Predictor, str]] = field(default_factory=dict)
 
@@ -75,11 +81,35 @@ class Registry:
             raise ValueError(f"unknown stage {stage!r}")
         self.own[stage] = (predictor, schema)
 
-    def predict(self, stage: str, examples: DataFrame) -> DataFrame:
+    def predict(self, stage: str, examples: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+        """What the stage's predictor gives for the examples. carried: columns of theirs that it doesn't see and that go beside its rows, by WINDOW."""
         if stage not in self.own:
             raise LookupError(f"no predictor is registered for the stage {stage!r}")
         predictor, schema = self.own[stage]
-        return examples.mapInPandas(predictor, schema)
+        kind = StructType(StructType.fromDDL(schema).fields + [examples.schema[c] for c in carried])
+        return examples.mapInArrow(_by_frames(predictor, to_arrow_schema(kind), list(carried)), kind)
+
+
+def _by_frames(predictor: Predictor, schema: pa.Schema, carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple, tuple] = {}  # what is carried for examples that have no prediction yet
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                n = max(1, b.num_rows * FRAME_BYTES // max(1, b.nbytes))
+                for k in range(0, b.num_rows, n):
+                    f = b.slice(k, n).to_pandas()
+                    if carried:
+                        waiting.update(zip(f[WINDOW].itertuples(index=False, name=None), f[carried].itertuples(index=False, name=None), strict=True))
+                    yield f.drop(columns=carried)
+
+        for out in predictor(frames()):
+            if carried:
+                own = [waiting.pop(w) for w in out[WINDOW].itertuples(index=False, name=None)]
+                out = out.assign(**{c: [x[i] for x in own] for i, c in enumerate(carried)})
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    return run
 
 
 @dataclass
@@ -153,8 +183,8 @@ class Pipeline:
         own = word_stage.with_places(named.select("doc_id", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon"))
         fitting, self.rejected["word"] = predicting.word_windows(own, self.max_length - len(vocab.SPECIAL_TOKENS) - 2, self.stride, self.word_length)
         windows = kept(fitting)
-        found = self.registry.predict("word", windows.select("doc_id", "win_idx", "window_id", "words"))
-        sentences = word_stage.assemble(own.drop("word_idx"), predicting.in_document(windows, found), self.dictionary, keep)
+        found = self.registry.predict("word", predicting.with_targets(windows), predicting.PLACES)
+        sentences = word_stage.assemble(own.drop("word_idx"), predicting.in_place(found), self.dictionary, keep)
         return sentences.join(words.groupBy("doc_id").agg(F.min("doc_ord").alias("doc_ord")), "doc_id") if "doc_ord" in words.columns else sentences
 
     def run(self, docs: DataFrame, tasks: str, kind: str = "raw", prefix: str = "doc") -> DataFrame:

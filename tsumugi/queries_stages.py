@@ -16,7 +16,7 @@ from tsumugi.functions import edits, text
 from tsumugi.kernels import conll
 from tsumugi.operators import dependency, encoding, forced, lexicon, loading, predicting, segment
 from tsumugi.plans import pipeline, word_stage
-from tsumugi.queries import SENTENCES, UNITS, query, sentences, table, units
+from tsumugi.queries import SENTENCES, UNITS, normalized_documents, query, table, units
 from tsumugi.sources import annotated, sinks
 from tsumugi.sources import text as sources
 from tsumugi.sources.dictionary import read_dictionary
@@ -72,11 +72,14 @@ SELECT doc_id, CAST(word_idx AS INT) AS word_idx, (word_idx - first_word) || '/'
 @query(_windowed_sql())
 def windowed_predictions(spark, sf_dir):
     """Long documents through a predictor that gets whole windows, and its predictions back in the documents' places."""
-    own = sentences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "sent_idx", F.posexplode(segment.split_words("sentence")).alias("morph_idx", "surf"))
+    docs = normalized_documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # texts are dealt out, so that words and windows needn't be
+    cut = docs.select("doc_id", F.posexplode(segment.split_sentences("text")).alias("sent_idx", "sentence"))
+    own = cut.select("doc_id", "sent_idx", F.posexplode(segment.split_words("sentence")).alias("morph_idx", "surf"))
     windows, _ = predicting.word_windows(word_stage.with_places(own), MOST, STRIDE)
     registry = pipeline.Registry()
     registry.register("word", counting_predictor, COUNTED)
-    found = predicting.in_document(windows, registry.predict("word", windows.select("doc_id", "win_idx", "window_id", "words")))
+    found = predicting.in_place(registry.predict("word", predicting.with_targets(windows), predicting.PLACES))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "word_idx", F.col("reading").alias("seen"), F.col("heads")[0]["head"].alias("head"), F.col("cohesion")[0]["tgt"].alias("target"), F.col("cohesion")[1]["tgt"].alias("token"))
 
 
