@@ -164,3 +164,26 @@ def test_sentences_by_codes(spark):
     df = spark.createDataFrame([(0, "犬。猫。", "BIBI"), (1, "abc", "IBI"), (2, "", ""), (3, None, "B"), (4, "abcd", "BI"), (5, "ab", "BIBB"), (6, "x", None)], "k int, text string, codes string")
     found = df.select("k", segment.sentences_by_tags("text", "codes").alias("a"), segment.sentences_by_tags("text", F.when(F.col("codes") == "", F.array().cast("array<string>")).otherwise(F.split("codes", ""))).alias("b")).orderBy("k").collect()
     assert [r["a"] for r in found] == [r["b"] for r in found] and found[0]["a"] == ["犬。", "猫。"]
+
+
+def test_functions_see_bounded_pieces_of_a_batch(spark):
+    """What a function holds at a time doesn't grow with the rows of a batch: texts, lists and structs, with nulls."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from tsumugi.functions.arrow import PIECE_BYTES, arrow, batch
+
+    @batch("long")
+    def sizes(text):
+        assert text.nbytes <= 2 * PIECE_BYTES
+        return pa.array([None if t is None else len(text) for t in text.to_pylist()], pa.int64())
+
+    @arrow("struct<n:long,own:array<string>>")
+    def halves(text):
+        assert text.map(len, na_action="ignore").sum() <= 2 * PIECE_BYTES
+        return pd.DataFrame({"n": text.map(len, na_action="ignore"), "own": [None if t is None else [t[:2], t[-1]] for t in text]})
+
+    rows = spark.range(3000, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.concat("id", F.repeat(F.lit("x"), 3000))).alias("t"))
+    found = rows.select("id", sizes("t").alias("s"), halves("t").alias("h")).collect()
+    assert len(found) == 3000 and all(r["h"]["n"] == 3000 + len(str(r["id"])) and r["h"]["own"] == [(str(r["id"]) + "x")[:2], "x"] and r["s"] < 3000 for r in found if r["id"] % 7)
+    assert all(r["s"] is None and r["h"]["n"] is None and r["h"]["own"] is None for r in found if r["id"] % 7 == 0)
