@@ -71,3 +71,16 @@ def test_a_stream_of_files(spark, folder, tmp_path):
     found = spark.read.parquet(out)
     assert rows(found.select("sid", "doc_id", "sent_idx")) == rows(read_annotated(spark, str(folder)).select("sid", "doc_id", "sent_idx"))
     assert found.where(F.col("path").like("%20.knp")).count() == 20 % 3 + 1 if 20 % 4 else 2
+
+
+def test_a_file_is_read_in_bounded_batches(tmp_path):
+    """A file is never held whole: batches come while it is read, with the rows of the whole text."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    text = "".join(f"# S-ID:d-{k} n\r\n" + WORD.format(f"w{k}") + ("EOS\r\n" if k % 2 else "EOS\n\n") for k in range(2000)) + WORD.format("last")
+    (tmp_path / "a.knp").write_bytes(text.encode())
+    schema = StructType([StructField("sid", StringType()), StructField("sent_idx", IntegerType())])
+    reader = annotated.AnnotatedReader(schema, {"path": str(tmp_path)})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert max(b.num_rows for b in batches) <= 256
+    assert [r for b in batches for r in b.to_pylist()] == annotated.rows_of("a.knp", text, ["sid", "sent_idx"]) and sum(b.num_rows for b in batches) == 2001

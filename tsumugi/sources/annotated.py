@@ -8,7 +8,9 @@ reach it as well. On stores that only Spark's own readers open, sources.text.rea
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
+import io
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql.types import StructType
 from tsumugi.kernels import formats
 from tsumugi.schema import SENTENCE
 
+#: Sentences of a batch: a file is read line by line, so this is what a task holds.
+AT_ONCE = 256
 #: Columns that are read off a sentence's comment line.
 LIGHT = frozenset({"path", "doc_id", "sent_idx", "sid", "comment"})
 
@@ -84,9 +88,13 @@ def grouped(files: list[File], group_bytes: int) -> list[list[str]]:
 
 def rows_of(path: str, text: str, columns: list[str]) -> list[dict]:
     """A file's sentences, with the columns that are asked for."""
+    return list(sentence_rows(path, text, columns))
+
+
+def sentence_rows(path: str, text: str | Iterable[str], columns: list[str]) -> Iterator[dict]:
+    """As rows_of(), one at a time, of a text or its lines."""
     name = path.rsplit("/", 1)[-1]
     name = name.rsplit(".", 1)[0] if "." in name[1:] else name
-    out = []
     for k, lines in enumerate(formats.sentences_of(text)):
         if LIGHT.issuperset(columns):
             ids = [m for m in map(formats.SID.match, lines) if m]
@@ -95,8 +103,7 @@ def rows_of(path: str, text: str, columns: list[str]) -> list[dict]:
             own = formats.parse_sentence(lines)
         doc, dash, _ = (own["sid"] or "").rpartition("-")
         own |= {"path": path, "sent_idx": k, "doc_id": doc if dash and doc else name}
-        out.append({c: own[c] for c in columns})
-    return out
+        yield {c: own[c] for c in columns}
 
 
 class AnnotatedReader(DataSourceReader):
@@ -116,8 +123,9 @@ class AnnotatedReader(DataSourceReader):
         kind = to_arrow_schema(self.schema)
         for path in partition.paths:
             with store.open_input_stream(path) as f:
-                text = f.read().decode("utf-8")
-            yield pa.RecordBatch.from_pylist(rows_of(path, text, self.schema.names), schema=kind)
+                rows = sentence_rows(path, io.TextIOWrapper(f, encoding="utf-8", newline="\n"), self.schema.names)
+                while own := list(islice(rows, AT_ONCE)):
+                    yield pa.RecordBatch.from_pylist(own, schema=kind)
 
 
 class AnnotatedStreamReader(DataSourceStreamReader):
