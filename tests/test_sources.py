@@ -172,3 +172,14 @@ def test_kanji_lines_beyond_the_first_plane(spark, tmp_path):
     found = sorted((r["character"], r["strokes"], r["readings"]) for r in queries_more.kanji_lines(spark, str(tmp_path)).collect())
     known = lambda c: chr(0xFFFD) if 0xD800 <= c < 0xE000 or c > 0x10FFFF else chr(c)
     assert found == sorted((known(c), c % 2, "か" if c % 2 else "か;あ.う") for c in codes)
+
+
+def test_sentences_of_a_text_are_cut_before_they_are_parsed(spark):
+    """The same sentences as those of the whole text, one row each, so that no row holds a file's parsed sentences."""
+    word = "{0} {0} {0} 名詞 6 普通名詞 1 * 0 * 0 NIL"
+    line = lambda w: word.format(w)
+    own = ["", "\n\n", "EOS", "EOS\n", "EOS\nEOS\n\n", "\n" + line("犬") + "\nEOS\r\n\n" + line("猫") + "\n", line("EOSx") + "\n\rEOS\r\nEOS x\u2028".replace("EOS x", line("a")) + "\n", "# S-ID:d-1 c\n" + line("b\u0085EOS") + "\nEOS\n# x\n" + line("c"), None]
+    rows = spark.createDataFrame(list(enumerate(own)), "k int, text string")
+    whole = rows.select("k", F.posexplode(text.parse_annotated("text")).alias("i", "s"))
+    cut = rows.select("k", F.posexplode(text.sentence_texts("text")).alias("i", "t")).select("k", "i", text.parse_sentences("t").alias("s"))
+    assert rows_of(cut, "k", "i") == rows_of(whole, "k", "i") and cut.count() == 10

@@ -516,7 +516,8 @@ def read_morpheme_lines(spark, sf_dir):
     """Fifty files of morpheme lines, one word a sentence, parsed back."""
     line = F.concat(F.lit("# S-ID:s"), F.col("p_partkey").cast("string"), F.lit("\n"), F.concat_ws(" ", bare("p_name"), bare("p_brand"), bare("p_type"), F.lit("名詞 6 普通名詞 1 * 0 * 0 NIL")), F.lit("\nEOS\n"))
     files = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 50).alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("t")))), lambda x: x["t"]), "").alias("text"))
-    each = files.select("doc", F.posexplode(sources.parse_annotated("text")).alias("sent_idx", "s")).select("doc", "sent_idx", "s.*")
+    cut = files.select("doc", F.posexplode(sources.sentence_texts("text")).alias("sent_idx", "t"))
+    each = cut.select("doc", "sent_idx", sources.parse_sentences("t").alias("s")).select("doc", "sent_idx", "s.*")
     words = structure.word_table(each.withColumnRenamed("doc", "doc_id"))
     return words.select(F.col("doc_id").alias("doc"), "sent_idx", "surf", "reading", "lemma", "subpos", "sid")
 

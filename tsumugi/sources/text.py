@@ -99,6 +99,19 @@ def parse_annotated(text: pd.Series) -> pd.Series:
     return text.map(formats.parse_document, na_action="ignore")
 
 
+def sentence_texts(text: Column | str) -> Column:
+    """The lines of each sentence of a text of morpheme lines: up to each EOS, and what follows the last one, if anything."""
+    cut = F.split(text, r"(?md)^\r*EOS\r*$\n?", -1)
+    last = F.element_at(cut, -1)
+    return F.when(F.replace(last, F.lit("\n"), F.lit("")) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+
+
+@arrow(SENTENCE)
+def parse_sentences(text: pd.Series) -> pd.Series:
+    """A sentence of its lines, without EOS. With sentence_texts() what parse_annotated() gives, without a text's sentences in one row."""
+    return text.map(lambda t: formats.parse_sentence([x for x in t.split("\n") if x]), na_action="ignore")
+
+
 @batch("string")
 def emit_annotated(sid: pa.Array, comment: pa.Array, morphemes: pa.Array, base_phrases: pa.Array, phrases: pa.Array) -> pa.Array:
     """The lines of a sentence."""
@@ -114,7 +127,7 @@ def read_annotated(spark: SparkSession, paths: str | list[str], glob: str | None
 def annotated(files: DataFrame, with_path: bool = False) -> DataFrame:
     """doc_id, sent_idx and the sentence columns (and path, if asked for) of annotated texts (path, text)."""
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    each = files.select("path", name.alias("file"), F.posexplode(parse_annotated("text")).alias("sent_idx", "s"))
+    each = files.select("path", name.alias("file"), F.posexplode(sentence_texts("text")).alias("sent_idx", "t")).withColumn("s", parse_sentences("t"))
     doc_id = F.coalesce(F.nullif(F.regexp_extract(F.col("s.sid"), r"^(.*)-[^-]+$", 1), F.lit("")), F.col("file"))
     return each.select(doc_id.alias("doc_id"), "sent_idx", "s.*", *["path"] * with_path)
 
