@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tsumugi.kernels.forced import Forced, by_first_character
 from tsumugi.operators import forced
@@ -78,6 +79,15 @@ def test_permitted_tokens_and_indexes(spark):
     assert sorted(r["id"] for r in forced.reading_tokens(vocab).collect()) == sorted(own.readings)
 
 
+def test_rests_are_not_brought_together_by_their_prefixes(spark):
+    """Frequent prefixes would make a task with most of the rests: the vocabulary goes to the rests, and nothing is shuffled but it."""
+    vocab = spark.createDataFrame([("a", 1), ("ab", 2), ("▁a", 3), ("▁▁", 4), ("▁▁", 4)], "token string, id int")
+    rests = spark.range(2000, numPartitions=3).select("id", F.concat(F.lit("ab"), F.col("id").cast("string")).alias("rest")).unionByName(spark.createDataFrame([(-1, "▁▁▁")], "id long, rest string"))
+    found = forced.permitted_tokens(rests.withColumnRenamed("id", "n"), vocab)
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BuildLeft" not in plan
+    assert sorted(found.groupBy("token").count().collect()) == [("a", 2000), ("ab", 2000), ("▁a", 2000), ("▁▁", 1)]
+
+
 def test_sections_and_rests_as_columns(spark):
     own = [(k, surfs, [TOKENS[i] for i in ids]) for k, (surfs, ids) in enumerate(sequences(2, 200)) if len(ids) > 1]
     df = spark.createDataFrame(own, "k int, surfs array<string>, tokens array<string>")

@@ -42,27 +42,29 @@ def first_characters(vocab: DataFrame) -> DataFrame:
 
 
 def prefix_index(vocab: DataFrame) -> DataFrame:
-    """match, token and id: a token begins a rest that begins with match, which is the token itself or what follows its piece mark."""
+    """match, bare, token and id: a token begins a rest that begins with match, which is the token itself or what follows its piece mark (bare)."""
     bare = F.regexp_replace("token", f"^{PIECE}", "")
     own = vocab.withColumn("bare", bare).where("bare != ''")
     # a token that is found by its own piece mark must have that mark for its first character too
     twice = F.when(F.startswith("token", F.lit(PIECE)) & F.startswith("bare", F.lit(PIECE)), F.array("bare", "token")).otherwise(F.array("bare"))
-    return own.select(F.explode(F.array_distinct(twice)).alias("match"), "token", "id")
+    return own.select(F.explode(F.array_distinct(twice)).alias("match"), "bare", "token", "id")
 
 
 def permitted_tokens(rests: DataFrame, vocab: DataFrame, rest: str = "rest") -> DataFrame:
     """rests' rows with token and id, for each token with which the rest of a written form may begin; a special token stands alone.
 
-    A rest has one row for each of its prefixes up to the longest token's length, which meets the vocabulary by an equal join.
+    A rest has one row for each of its prefixes up to the longest token's length, which meets the vocabulary by an equal join. The
+    vocabulary is a parameter and goes to the rests: short prefixes are so frequent that they must not be brought together.
     """
-    index = prefix_index(vocab)
+    index = prefix_index(vocab.select("token", "id").distinct())
     longest = index.agg(F.max(F.length("match"))).first()[0] or 1
     special = F.coalesce(*[F.when(F.startswith(rest, F.lit(t)), F.lit(t)) for t in ALONE])
     own = rests.withColumn("_special", special)
-    alone = own.where("_special is not null").join(vocab.select(F.col("token").alias("_special"), F.col("token"), "id"), "_special")
+    alone = own.where("_special is not null").join(F.broadcast(vocab.where(F.col("token").isin(*ALONE)).select(F.col("token").alias("_special"), F.col("token"), "id")), "_special")
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length(rest), F.lit(longest))), lambda n: F.substring(F.col(rest), F.lit(1), n))
-    others = own.where(f"_special is null and {rest} != ''").withColumn("match", F.explode(prefixes)).join(index, "match")
-    return alone.select(*rests.columns, "token", "id").unionByName(others.select(*rests.columns, "token", "id").distinct())
+    others = own.where(f"_special is null and {rest} != ''").withColumn("match", F.explode(prefixes)).join(F.broadcast(index), "match")
+    once = others.where((F.col("match") == F.col("bare")) | ~F.startswith(rest, F.col("bare")))  # a token that has two matches
+    return alone.select(*rests.columns, "token", "id").unionByName(once.select(*rests.columns, "token", "id"))
 
 
 def section(tokens: Column | str) -> Column:
