@@ -319,3 +319,21 @@ def test_look_ups_store_no_pairs(spark):
     assert {(r["key"], tuple(r["meanings"])) for r in found.collect()} == {(k, tuple(str(x) for x in range(n - 1, -1, -1)) if k else ()) for k in range(n)}
     lemmas = lexicon.recover_lemmas(words, entries, spark.createDataFrame([], "conjtype string, conjform string, ending string, base_ending string"), [("t", "f")])
     assert {(r["key"], tuple(r["lemmas"])) for r in lemmas.where("key > 0").collect()} == {(k, ("l0", "l2", "l1")) for k in range(1, n)} and joins(lemmas) <= 3
+
+
+def test_windows_of_base_phrases_carry_neither_scores_nor_labels(spark):
+    """What is shuffled of a base phrase are the places of its features: its scores would be ten times that."""
+    n = len(vocab.BASE_PHRASE_FEATURES)
+    rows = spark.range(40, numPartitions=2).select(F.expr("id div 8").cast("string").alias("doc_id"), F.lit(0).alias("sent_idx"), (F.col("id") % 8).cast("int").alias("bp_idx"), F.expr("id % 8 div 2").cast("int").alias("phrase_idx"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * (F.col("id") + 3) % 11) / 10.0).alias("bp_features"))
+    found = structure.base_phrase_features(rows).drop("bp_features")
+    for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        assert "Window" not in line or "bp_features" not in line
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
+    assert "_counted" in below.splitlines()[1]
+    for r in found.collect():
+        own = {}
+        for k, label in enumerate(vocab.BASE_PHRASE_FEATURES):
+            if ((k + 1) * (int(r["doc_id"]) * 8 + r["bp_idx"] + 3) % 11) / 10.0 >= 0.5 and label != "節-主辞" and not label.startswith("節-区切"):
+                name, _, value = label.partition(":")
+                own[name] = value or None
+        assert {k: v for k, v in r["features"].items() if k not in ("節-主辞", "節-区切")} == own

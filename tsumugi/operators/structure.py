@@ -89,33 +89,26 @@ def base_phrase_features(phrases: DataFrame, scores: str = "bp_features") -> Dat
     the best. Gives features (map) and clause.
     """
     labels = F.lit(list(vocab.BASE_PHRASE_FEATURES))
-    rows = F.filter(F.transform(scores, lambda p, i: F.struct(i.alias("i"), F.element_at(labels, i + 1).alias("label"), p.alias("p"))), lambda r: (r["p"] >= 0.5) & (r["label"] != "節-主辞"))
-    boundaries = F.filter(rows, lambda r: F.startswith(r["label"], F.lit("節-区切")))
-    plain = F.filter(rows, lambda r: ~F.startswith(r["label"], F.lit("節-区切")))
+    is_boundary = lambda i: F.startswith(F.element_at(labels, i + 1), F.lit("節-区切"))
     entry = lambda label: F.struct(F.substring_index(label, ":", 1).alias("key"), F.when(F.contains(label, F.lit(":")), F.substring(label, F.locate(":", label) + 1, F.length(label))).alias("value"))
-    # later labels overwrite earlier ones of their key
-    key = lambda r: F.substring_index(r["label"], ":", 1)
-    kept = let(lambda own: F.filter(own, lambda r: ~F.exists(own, lambda o: (o["i"] > r["i"]) & (key(o) == key(r)))), plain)
-    by_phrase = Window.partitionBy(*WORD, "phrase_idx")
-    sentence = Window.partitionBy(*WORD)
-    own = phrases.withColumns(
-        {
-            "_plain": F.transform(kept, lambda r: entry(r["label"])),
-            "_boundary": F.max(F.when(F.size(boundaries) > 0, F.struct(F.col("bp_idx").alias("b"), F.element_at(boundaries, -1)["label"].alias("label")))).over(by_phrase)["label"],
-            "_last_bp": F.col("bp_idx") == F.max("bp_idx").over(by_phrase),
-            "_last_phrase": F.col("phrase_idx") == F.max("phrase_idx").over(sentence),
-            "_head": F.element_at(scores, vocab.BASE_PHRASE_FEATURES.index("節-主辞") + 1),
-        }
-    )
-    own = own.withColumn("_boundary", F.when(F.col("_last_phrase"), F.coalesce("_boundary", F.lit("節-区切"))).otherwise(F.col("_boundary")))
-    ends = (F.col("_last_bp") & F.col("_boundary").isNotNull()).cast("int")
+    head_at = vocab.BASE_PHRASE_FEATURES.index("節-主辞")
+    # places of the features that count: what windows carry is these, not scores or labels
+    counted = F.filter(F.transform(scores, lambda p, i: F.when((p >= 0.5) & (i != head_at), i)), lambda i: i.isNotNull())
+    own = phrases.withColumns({"_counted": counted, "_head": F.element_at(scores, head_at + 1)}).withColumn("_ended", F.element_at(F.concat(F.array(F.lit(None).cast("int")), F.filter("_counted", is_boundary)), -1))
+    by_phrase, sentence = Window.partitionBy(*WORD, "phrase_idx"), Window.partitionBy(*WORD)
+    own = own.withColumn("_last_phrase", F.col("phrase_idx") == F.max("phrase_idx").over(sentence))
+    own = own.withColumns({"_ended": F.max(F.when(F.col("_ended").isNotNull(), F.struct(F.col("bp_idx").alias("b"), F.col("_ended").alias("i")))).over(by_phrase)["i"], "_last_bp": F.col("bp_idx") == F.max("bp_idx").over(by_phrase)})
+    ends = (F.col("_last_bp") & (F.col("_ended").isNotNull() | F.col("_last_phrase"))).cast("int")
     before = Window.partitionBy(*WORD).orderBy("bp_idx").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("clause", F.coalesce(F.sum(ends).over(before), F.lit(0)).cast("int"))
-    best = F.max(F.struct(F.col("_head"), -F.col("bp_idx"))).over(Window.partitionBy(*WORD, "clause"))
-    is_head = best == F.struct(F.col("_head"), -F.col("bp_idx"))
-    entries = F.concat(F.col("_plain"), F.when(ends == 1, F.array(entry(F.col("_boundary")))).otherwise(F.slice("_plain", 1, 0)), F.when(is_head, F.array(entry(F.lit("節-主辞")))).otherwise(F.slice("_plain", 1, 0)))
-    out = own.withColumn("features", F.map_from_entries(entries))
-    return out.drop("_plain", "_boundary", "_last_bp", "_last_phrase", "_head")
+    own = own.withColumn("_is_head", F.max(F.struct(F.col("_head"), -F.col("bp_idx"))).over(Window.partitionBy(*WORD, "clause")) == F.struct(F.col("_head"), -F.col("bp_idx")))
+    # later labels overwrite earlier ones of their key
+    key = lambda label: F.substring_index(label, ":", 1)
+    plain = F.transform(F.filter("_counted", lambda i: ~is_boundary(i)), lambda i: F.element_at(labels, i + 1))
+    kept = let(lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: key(o) == key(x))), plain)
+    boundary = F.when(F.col("_ended").isNull(), "節-区切").otherwise(F.element_at(labels, F.coalesce(F.col("_ended"), F.lit(0)) + 1))
+    entries = F.concat(F.transform(kept, entry), F.when(ends == 1, F.array(entry(boundary))).otherwise(F.slice(F.array(entry(boundary)), 1, 0)), F.when(F.col("_is_head"), F.array(entry(F.lit("節-主辞")))).otherwise(F.slice(F.array(entry(F.lit("節-主辞"))), 1, 0)))
+    return own.withColumn("features", F.map_from_entries(entries)).drop("_counted", "_head", "_ended", "_last_bp", "_last_phrase", "_is_head")
 
 
 TREE = "array<struct<bp_idx:int,parent_idx:int,dep_type:string,phrase_idx:int,phrase_parent_idx:int,phrase_dep_type:string>>"
