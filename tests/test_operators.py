@@ -337,3 +337,16 @@ def test_windows_of_base_phrases_carry_neither_scores_nor_labels(spark):
                 name, _, value = label.partition(":")
                 own[name] = value or None
         assert {k: v for k, v in r["features"].items() if k not in ("節-主辞", "節-区切")} == own
+
+
+def test_readings_of_equal_words_are_worked_out_once(spark):
+    """Equal words are one entry of a batch's dictionary; a null anywhere gives null."""
+    from tsumugi.kernels.align import align_reading
+
+    schema = "k int, p array<string>, r string, c array<struct<character:string,readings:array<string>>>"
+    kanji = [("日", ["に", "ひ"]), ("本", ["ほん"])]
+    rows = [(0, ["日", "本"], "にほん", kanji), (1, ["日", "本"], "にほん", kanji), (2, ["日", "本"], "x", kanji), (3, None, "にほん", kanji), (4, ["日"], None, kanji), (5, ["日"], "ひ", None), (6, ['"\\日'], '"\\ひ', kanji)]
+    found = dict(rows_of(spark.createDataFrame(rows, schema).select("k", lexicon.piece_readings("p", "r", "c")), "k"))
+    known = {c: r for c, r in kanji}
+    assert all(found[k] == align_reading(p, r, known) for k, p, r, _ in rows if k in (0, 1, 2)) and [found[k] for k in (3, 4, 5)] == [None] * 3
+    assert "".join(found[6]) == '"\\ひ'

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsumugi.functions.arrow import arrow
+from tsumugi.functions.arrow import arrow, batch
 from tsumugi.kernels.align import align_reading, align_segmentations
 
 
@@ -85,20 +87,27 @@ def keep_or_predict(keep: bool, given: Column | str, predicted: Column | str) ->
     return F.col(given) if keep else F.col(predicted)
 
 
-@arrow("array<string>")
-def piece_readings(pieces: pd.Series, reading: pd.Series, kanji: pd.Series) -> pd.Series:
-    """The reading of each piece of a word; kanji is an array of structs (character, readings) of the word's characters.
-
-    Null where the reading can't be aligned.
-    """
-
-    def one(p, r, k) -> list[str] | None:
+@batch("array<string>")
+def _piece_readings(words: pa.Array) -> pa.Array:
+    def one(pieces: list[str], reading: str, kanji: list[dict]) -> list[str] | None:
         try:
-            return align_reading(list(p), r, {x["character"]: list(x["readings"]) for x in k})
+            return align_reading(pieces, reading, {x["character"]: x["readings"] for x in kanji})
         except ValueError:
             return None
 
-    return pd.Series([one(*x) for x in zip(pieces, reading, kanji, strict=True)])
+    coded = words.dictionary_encode()
+    found = [one(**json.loads(w)) for w in coded.dictionary.to_pylist()]
+    return pa.array(found, pa.list_(pa.string())).take(coded.indices)
+
+
+def piece_readings(pieces: Column | str, reading: Column | str, kanji: Column | str) -> Column:
+    """The reading of each piece of a word; kanji is an array of structs (character, readings) of the word's characters.
+
+    Null where the reading can't be aligned, and where one of the three is null. Equal words of a batch are worked out once.
+    """
+    p, r, k = (F.col(c) if isinstance(c, str) else c for c in (pieces, reading, kanji))
+    word = F.to_json(F.struct(p.alias("pieces"), r.alias("reading"), k.alias("kanji")))
+    return _piece_readings(F.when(p.isNotNull() & r.isNotNull() & k.isNotNull(), word))
 
 
 def word_readings(pieces: DataFrame) -> DataFrame:
