@@ -49,3 +49,42 @@ def test_segmentations_of_dealt_sides_are_not_shuffled(spark):
     frames = [dealt(spark.createDataFrame([(1, 0, 2), (1, 2, 3)], "k int, start long, end long"), "k") for _ in range(2)]
     plan = plan_of(metrics.segmentation_scores(*frames, ["k"]))
     assert all("REPARTITION_BY_NUM" in line or "SinglePartition" in line for line in plan.split("\n") if "Exchange" in line), plan
+
+
+@pytest.fixture
+def words(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.sample(["A", "B", "x", "y"], rng.randrange(3))) for k in range(60) for i in range(rng.randrange(1, 9)) if rng.random() < 0.9]
+    other = [(k, i, [f for f in fs if rng.random() < 0.8]) for k, i, fs in rows if rng.random() < 0.9] + [(99, 0, ["A"]), (None, 0, ["x"])]
+    return [spark.createDataFrame(r, "k int, i int, features array<string>") for r in (rows + [(None, 0, ["x"])], other)]
+
+
+def spans_of(rows, names):
+    """Spans of word features as plain Python finds them."""
+    out, sequences = set(), {}
+    for k, i, fs in rows:
+        sequences.setdefault(k, []).append((i, fs))
+    for k, own in sequences.items():
+        own.sort()
+        out |= {(k, f, i, i) for i, fs in own for f in fs if f not in names}
+        for name in names:
+            start = None
+            for at, (i, fs) in enumerate(own):
+                start = i if start is None else start
+                if name in fs or at == len(own) - 1:
+                    out.add((k, name, start, i))
+                    start = None
+    return out
+
+
+def test_word_features_against_plain_python(spark, words):
+    g, s = (spans_of([tuple(r) for r in w.collect()], ("A", "B")) for w in words)
+    right = {x for x in g & s if x[0] is not None}  # as in a join, null equals nothing
+    f1 = {x: 2 * sum(r[1] == x for r in right) / (sum(r[1] == x for r in g) + sum(r[1] == x for r in s)) for x in "ABxy"}
+    found = {r["label"]: r["f1"] for r in metrics.word_feature_scores(*words, ["k"], "i", ("A", "B")).collect()}
+    assert found == pytest.approx(f1 | {"macro": sum(f1.values()) / 4, "micro": 2 * len(right) / (len(g) + len(s))})
+
+
+def test_word_features_of_dealt_sides_are_not_shuffled(spark, words):
+    plan = plan_of(metrics.word_feature_scores(*[dealt(w, "k") for w in words], ["k"], "i", ("A", "B")))
+    assert all("REPARTITION_BY_NUM" in line or "hashpartitioning(label" in line or "SinglePartition" in line for line in plan.split("\n") if "Exchange" in line), plan

@@ -131,8 +131,12 @@ def label_scores(gold: DataFrame, system: DataFrame, keys: list[str], label: str
     With only_gold, labels that no gold unit has don't count for macro. One pass over the units: what follows is one row that
     holds the counts of all labels, which are a closed vocabulary.
     """
-    counts = with_scores(span_counts(gold, system, [*keys, label], [label]))
-    every = counts.agg(F.collect_list(F.struct(label, "f1", "tp", "fp", "fn")).alias("every"))
+    return counted_label_scores(span_counts(gold, system, [*keys, label], [label]), label, only_gold)
+
+
+def counted_label_scores(counts: DataFrame, label: str = "label", only_gold: bool = True) -> DataFrame:
+    """label_scores() of the counts of each label: label, tp, fp, fn."""
+    every = with_scores(counts).agg(F.collect_list(F.struct(label, "f1", "tp", "fp", "fn")).alias("every"))
     listed = F.filter("every", lambda x: x["tp"] + x["fn"] > 0) if only_gold else F.col("every")
     total = lambda name: F.aggregate("every", F.lit(0).cast("long"), lambda a, x: a + x[name])
     row = lambda name, f1: F.struct(F.lit(name).alias(label), f1.alias("f1"))
@@ -145,19 +149,35 @@ def word_feature_scores(gold: DataFrame, system: DataFrame, keys: list[str], ord
     """Scores of word features (keys, order, features: an array of names), by label, macro and micro.
 
     A boundary is a feature of the last word of a chunk, so it is scored by its chunks: runs of words up to one with the feature
-    and, at the end of a sequence, without. All others are scored word by word.
+    and, at the end of a sequence, without. All others are scored word by word. Both sides' words meet by groups and windows within keys: sides
+    that are dealt by them (operators.dealing) aren't shuffled. A chunk is counted at its last word, where both sides' chunks have to end and to have begun at the same.
     """
-
-    def spans(words: DataFrame) -> DataFrame:
-        plain = words.select(*keys, F.explode("features").alias("label"), F.col(order).alias("start"), F.col(order).alias("end")).where(~F.col("label").isin(*boundaries))
-        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        out = plain
-        for name in boundaries:
-            run = F.coalesce(F.sum(F.array_contains("features", name).cast("int")).over(before), F.lit(0))
-            out = out.unionByName(words.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(order).alias("start"), F.max(order).alias("end")).select(*keys, F.lit(name).alias("label"), "start", "end"))
-        return out
-
-    return label_scores(spans(gold), spans(system), [*keys, "start", "end"])
+    side = lambda df, g, s: df.select(*keys, order, "features", F.lit(g).alias("_g"), F.lit(s).alias("_s"))
+    both = side(gold, 1, 0).unionByName(side(system, 0, 1))
+    counts = lambda g, s, tp: (tp.cast("long").alias("tp"), (s & ~tp).cast("long").alias("fp"), (g & ~tp).cast("long").alias("fn"))
+    plain = both.select(*keys, order, F.explode("features").alias("label"), "_g", "_s").where(~F.col("label").isin(*boundaries))
+    g, s = F.col("_g") == 1, F.col("_s") == 1
+    plain = plain.groupBy(*keys, order, "label").agg(F.max("_g").alias("_g"), F.max("_s").alias("_s")).select("label", *counts(g, s, g & s & _known(*keys, order, "label")))
+    # null: no word of that side
+    has = lambda x, name: F.max(F.when(F.col(x) == 1, F.coalesce(F.array_contains("features", name), F.lit(False))))
+    flags = {(x, k): f"{x}{k}" for k in range(len(boundaries)) for x in ("_g", "_s")}
+    if not flags:
+        return counted_label_scores(plain.groupBy("label").agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")]))
+    words = both.groupBy(*keys, order).agg(*[has(x, boundaries[k]).alias(c) for (x, k), c in flags.items()])
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, whole = upto.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    begins = {f"{c}_b": F.col(c).isNotNull() & F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(True)) for c in flags.values()}
+    last = {f"{c}_last": F.max(F.when(F.col(c).isNotNull(), F.col(order))).over(whole) for c in flags.values()}
+    own = words.withColumns(begins | last).withColumns({f"{c}_at": F.last(F.when(F.col(f"{c}_b"), F.col(order)), ignorenulls=True).over(upto) for c in flags.values()})
+    ends = lambda c: F.coalesce(F.col(c) | (F.col(c).isNotNull() & (F.col(order) == F.col(f"{c}_last"))), F.lit(False))
+
+    def chunk(k: int) -> Column:
+        g, s = flags["_g", k], flags["_s", k]
+        right = ends(g) & ends(s) & F.coalesce(F.col(f"{g}_at") == F.col(f"{s}_at"), F.lit(False)) & _known(*keys, order)
+        return F.when(ends(g) | ends(s), F.struct(F.lit(boundaries[k]).alias("label"), *counts(ends(g), ends(s), right)))
+
+    chunks = own.select(F.explode(F.array(*[chunk(k) for k in range(len(boundaries))])).alias("c")).where("c is not null").select("c.*")
+    return counted_label_scores(plain.unionByName(chunks).groupBy("label").agg(*[F.sum(n).alias(n) for n in ("tp", "fp", "fn")]))
 
 
 def discourse_scores(rows: DataFrame, gold: str = "gold", system: str = "system") -> DataFrame:
