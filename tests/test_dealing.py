@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tsumugi.operators import metrics
+from tsumugi.operators import dependency, metrics
 from tsumugi.operators.dealing import MOST_ROWS, dealt, parts_for
 
 
@@ -88,3 +88,12 @@ def test_word_features_against_plain_python(spark, words):
 def test_word_features_of_dealt_sides_are_not_shuffled(spark, words):
     plan = plan_of(metrics.word_feature_scores(*[dealt(w, "k") for w in words], ["k"], "i", ("A", "B")))
     assert all("REPARTITION_BY_NUM" in line or "hashpartitioning(label" in line or "SinglePartition" in line for line in plan.split("\n") if "Exchange" in line), plan
+
+
+def test_dependency_counts_of_dealt_sides_shuffle_documents_only(spark):
+    row = ("d", 0, 0, "w", "l", "NOUN", "x", "", -1, "root")
+    kind = "doc_id string, sent_idx int, word_idx int, form string, lemma string, upos string, xpos string, feats string, head int, deprel string"
+    sides = [dealt(spark.createDataFrame([row], kind), "doc_id") for _ in range(2)]
+    counts = dependency.dependency_counts(*sides)
+    assert all("REPARTITION_BY" in line or "SinglePartition" in line for line in plan_of(counts).split("\n") if "Exchange" in line), plan_of(counts)
+    assert all((r["gold"], r["system"], r["right"], r["n_failed"]) == (1, 1, 1, 0) for r in counts.collect())

@@ -2,8 +2,11 @@
 
 Words are rows (doc_id, sent_idx, word_idx: their place in the document, form, lemma, upos, xpos, feats, head: a place in the
 document or -1 for the root, deprel). Words of a multi-word token have its written form as token_form and the place of its first word as token_idx;
-both are null for other words. Words are aligned by their character spans: by an equal join, and within stretches of
+both are null for other words. Words are aligned by their character spans: by windows over equal spans, and within stretches of
 multi-word tokens by a longest common subsequence of forms, for many stretches at a time.
+
+The words of both sides are one table whose groups, windows and joins all are within documents: they are shuffled once, by doc_id, or not at all if
+they come dealt by it (operators.dealing). Where a side has multi-word tokens, aligned words are shuffled again.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from pyspark.sql import functions as F
 from tsumugi.functions.arrow import batch
 from tsumugi.kernels.conll import CONTENT_DEPRELS, FUNCTIONAL_DEPRELS
 from tsumugi.operators.metrics import METRICS, ratio
-from tsumugi.sources.shared import kept
 
 DOC = "doc_id"
 
@@ -63,13 +65,14 @@ def spanned(words: DataFrame) -> DataFrame:
     return own.withColumns({"end": upto.cast("int"), "first": first, "multi": F.col("token_idx").isNotNull()}).withColumn("start", F.col("end") - length)
 
 
-def stretches(gold: DataFrame, system: DataFrame) -> DataFrame:
-    """doc_id, low and high of the stretches that multi-word tokens of either side cover together.
+def stretches(rows: DataFrame) -> DataFrame:
+    """doc_id, low and high of the stretches that multi-word tokens of either side cover together (rows: spanned words of both sides).
 
     Tokens that overlap are in one stretch. A stretch goes on to the end of the gold word that is the first from its start on, if that
     is part of a multi-word token. Those of a document are few; they are joined by a fold over their array.
     """
-    spans = gold.where("multi").select(DOC, "start", "end").unionByName(system.where("multi").select(DOC, "start", "end")).distinct()
+    gold = rows.where(~F.col("system"))
+    spans = rows.where("multi").select(DOC, "start", "end").distinct()
     order = Window.partitionBy(DOC).orderBy("start", "end")
     begins = F.col("start") >= F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = spans.withColumn("_b", begins.cast("int")).withColumn("_run", F.sum("_b").over(order))
@@ -94,12 +97,12 @@ def stretches(gold: DataFrame, system: DataFrame) -> DataFrame:
 
 def within_stretches(words: DataFrame, runs: DataFrame) -> DataFrame:
     """words with low, the start of the stretch that they begin in (null: none): found by one sort of words and stretches, no range join."""
-    names = words.columns
+    names = [n for n in words.columns if n != DOC]
     marks = runs.select(DOC, F.col("low").alias("_at"), F.lit(0).alias("_kind"), F.struct("low", "high").alias("_run"), F.lit(None).cast(words.select(F.struct(*names)).dtypes[0][1]).alias("_w"))
     rows = words.select(DOC, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("struct<low:int,high:int>").alias("_run"), F.struct(*names).alias("_w"))
     last = F.last("_run", ignorenulls=True).over(Window.partitionBy(DOC).orderBy("_at", "_kind"))
     both = marks.unionByName(rows).withColumn("_last", last).where("_kind = 1")
-    return both.select("_w.*", F.when(F.col("_at") < F.col("_last.high"), F.col("_last.low")).alias("low"))
+    return both.select(DOC, "_w.*", F.when(F.col("_at") < F.col("_last.high"), F.col("_last.low")).alias("low"))
 
 
 @batch("array<struct<g:int,s:int>>")
@@ -142,18 +145,25 @@ def common_subsequences(gold: pa.Array, system: pa.Array) -> pa.Array:
     return pa.array(out, kind)
 
 
-def align(gold: DataFrame, system: DataFrame) -> DataFrame:
-    """doc_id, g and s (places in the documents) of aligned words of two spanned sides."""
-    runs = stretches(gold, system)
-    sides = [within_stretches(w.select(DOC, "word_idx", "form", "start", "end"), runs) for w in (gold, system)]
+def align(rows: DataFrame) -> DataFrame:
+    """rows (spanned words of both sides) with of: the place of the word of the other side that they are aligned with, or null."""
     # an empty form has the span of its neighbour's end: its turn among equal spans tells it apart
-    turn = F.row_number().over(Window.partitionBy(DOC, "start", "end").orderBy("word_idx")).alias("turn")
-    g, s = (w.where("low is null").select(DOC, "start", "end", turn, F.col("word_idx").alias(name)) for w, name in zip(sides, "gs", strict=True))
-    plain = g.join(s, [DOC, "start", "end", "turn"]).select(DOC, "g", "s")
-    forms = [w.where("low is not null").groupBy(DOC, "low").agg(F.array_sort(F.collect_list(F.struct("word_idx", F.lower("form").alias("form")))).alias(name)) for w, name in zip(sides, "gs", strict=True)]
-    found = forms[0].join(forms[1], [DOC, "low"]).withColumn("c", common_subsequences("g.form", "s.form"))
-    within = found.select(DOC, "g", "s", F.explode("c").alias("p")).select(DOC, F.element_at("g.word_idx", F.col("p.g") + 1).alias("g"), F.element_at("s.word_idx", F.col("p.s") + 1).alias("s"))
-    return plain.unionByName(within)
+    turn = F.row_number().over(Window.partitionBy(DOC, "start", "end", "system").orderBy("word_idx"))
+    equal = Window.partitionBy(DOC, "start", "end", "_turn")
+    place = lambda system: F.max(F.when(F.col("system") == system, F.col("word_idx"))).over(equal)
+    other = F.when(F.col("start").isNotNull(), F.when(F.col("system"), place(False)).otherwise(place(True)))
+    by_spans = lambda some: some.withColumn("_turn", turn).withColumn("of", other).drop("_turn")
+    if "token_idx" not in rows.columns:
+        return by_spans(rows)
+    found = within_stretches(rows, stretches(rows))
+    inside = found.where("low is not null").drop("low")
+    forms = [F.array_sort(F.collect_list(F.when(F.col("system") == side, F.struct("word_idx", F.lower("form").alias("form"))))).alias(name) for side, name in ((False, "g"), (True, "s"))]
+    pairs = found.where("low is not null").groupBy(DOC, "low").agg(*forms).select(DOC, "g", "s", common_subsequences("g.form", "s.form").alias("c"))
+    end = lambda p, name: F.element_at(f"{name}.word_idx", p[name] + 1)
+    both = F.flatten(F.transform("c", lambda p: F.array(F.struct(F.lit(False).alias("system"), end(p, "g").alias("word_idx"), end(p, "s").alias("of")), F.struct(F.lit(True).alias("system"), end(p, "s").alias("word_idx"), end(p, "g").alias("of")))))
+    aligned = pairs.select(DOC, F.inline(both)).withColumn("_pair", F.lit(True))
+    marked = inside.unionByName(aligned, allowMissingColumns=True).withColumn("of", F.max("of").over(Window.partitionBy(DOC, "system", "word_idx"))).where("_pair is null").drop("_pair")
+    return by_spans(found.where("low is null").drop("low")).unionByName(marked)
 
 
 # --- metrics
@@ -165,31 +175,58 @@ def kept_features(feats: Column | str, names: frozenset[str]) -> Column:
     return F.array_join(F.array_sort(each), "|")
 
 
-def functional_children(words: DataFrame, key: str) -> DataFrame:
-    """doc_id, word_idx and children: key, deprel, upos and feats of each functional word that hangs from it, in order."""
-    own = words.where(F.col("deprel").isin(sorted(FUNCTIONAL_DEPRELS)) & (F.col("head") >= 0))
-    rows = F.array_sort(F.collect_list(F.struct("word_idx", F.struct(F.col(key).alias("key"), "deprel", "upos", "feats").alias("x"))))
-    return own.groupBy(DOC, F.col("head").alias("word_idx")).agg(F.transform(rows, lambda r: r["x"]).alias("children"))
+def aligned_pairs(rows: DataFrame) -> DataFrame:
+    """doc_id, g_w and s_w (the words of a pair), g_c and s_c (their functional children, in order: key, deprel, upos and feats) and head_g: the gold word that the system word's head is aligned with.
+
+    rows: words with of (see align()). Words and what hangs from them meet by a window over the head's place: so a system word finds what its head is
+    aligned with, and a functional word the pair that it is a child of. Each goes to the gold word's place of its pair then.
+    """
+    word = F.struct("upos", "xpos", "feats", "lemma", "deprel", "head")
+    key = F.when(F.col("system"), F.coalesce("of", F.lit(-2))).otherwise(F.col("word_idx")).alias("key")
+    child = F.struct("word_idx", F.struct(key, "deprel", "upos", "feats").alias("x"))
+    kinds = [rows.dtypes[rows.columns.index("word_idx")][1], *[rows.select(c.alias("c")).dtypes[0][1] for c in (word, child)]]
+    as_ = lambda kind, at, own, me, c: rows.select(DOC, "system", F.lit(kind).alias("_kind"), F.col(at).alias("_at"), own.cast(kinds[0]).alias("_of"), me.cast(kinds[1]).alias("_w"), c.cast(kinds[2]).alias("_c"))
+    null, hangs = F.lit(None), F.col("_at") >= 0
+    itself = as_(0, "word_idx", F.col("of"), word, null)
+    below = as_(1, "head", F.col("of"), null, null).where(hangs & F.col("system") & F.col("_of").isNotNull())
+    functional = as_(2, "head", null, null, F.when(F.col("deprel").isin(sorted(FUNCTIONAL_DEPRELS)), child)).where(hangs & F.col("_c").isNotNull())
+    to = F.max(F.when(F.col("_kind") == 0, F.col("_of"))).over(Window.partitionBy(DOC, "system", "_at"))  # what the word at that place is aligned with
+    met = itself.unionByName(below).unionByName(functional).withColumn("_to", to)
+    there = F.when(F.col("system"), F.col("_to")).when(F.col("_to").isNotNull(), F.col("_at"))
+    ends = met.withColumn("_pair", F.when(F.col("_kind") == 1, F.col("_of")).otherwise(there)).where("_pair is not null")
+    of = lambda system: F.first(F.when(F.col("system") == system, F.col("_w")), ignorenulls=True)
+    children = lambda system: F.array_sort(F.collect_list(F.when(F.col("system") == system, F.col("_c"))))["x"]
+    return ends.groupBy(DOC, "_pair").agg(of(False).alias("g_w"), of(True).alias("s_w"), children(False).alias("g_c"), children(True).alias("s_c"), F.max(F.when(F.col("_kind") == 1, F.col("_to"))).alias("head_g"))
 
 
 def dependency_counts(gold: DataFrame, system: DataFrame) -> DataFrame:
     """metric, gold, system and right of the 13 metrics over all documents whose texts are equal on both sides; n_failed: how many aren't.
 
-    deprels are compared without their subtypes (what follows a colon), feats as given (see kept_features()).
+    deprels are compared without their subtypes (what follows a colon), feats as given (see kept_features()). Each document is
+    counted on its own, whether its texts are equal or not, and left out then, so that no words are kept or shuffled for that.
     """
-    sides = [spanned(w).withColumn("deprel", F.substring_index("deprel", ":", 1)) for w in (gold, system)]
-    text = lambda w: w.where("first").groupBy(DOC).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", F.replace(F.coalesce("token_form", "form"), F.lit(" "), F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("text"))
-    texts = text(sides[0]).withColumnRenamed("text", "g").join(text(sides[1]).withColumnRenamed("text", "s"), DOC, "full").select(DOC, F.coalesce(F.col("g") == F.col("s"), F.lit(False)).alias("same"))
-    g, s = (kept(w.join(texts.where("same").select(DOC), DOC)) for w in sides)  # several parts need them
-    pairs = kept(align(g, s))
-    names = ("upos", "xpos", "feats", "lemma", "deprel", "head")
-    values = lambda w, side: w.select(DOC, F.col("word_idx").alias(side), F.struct(*names).alias(f"{side}_w"))
-    to_gold = pairs.select(DOC, F.col("s").alias("head"), F.col("g").alias("head_g"))
-    placed = s.join(pairs.select(DOC, F.col("s").alias("word_idx"), F.col("g").alias("of")), [DOC, "word_idx"], "left").withColumn("of", F.coalesce("of", F.lit(-2)))
-    own = functional_children(g, "word_idx").select(DOC, F.col("word_idx").alias("g"), F.col("children").alias("g_c"))
-    theirs = functional_children(placed, "of").select(DOC, F.col("word_idx").alias("s"), F.col("children").alias("s_c"))
-    each = pairs.join(values(g, "g"), [DOC, "g"]).join(values(s, "s"), [DOC, "s"]).join(own, [DOC, "g"], "left").join(theirs, [DOC, "s"], "left")
-    each = each.withColumn("head", F.col("s_w.head")).join(to_gold, [DOC, "head"], "left")
+    tokens = [n for n in ("token_idx", "token_form") if "token_idx" in gold.columns or "token_idx" in system.columns]
+    names = (DOC, "system", "sent_idx", "word_idx", "form", "lemma", "upos", "xpos", "feats", "head", *tokens, "start", "end", "first", "multi")
+    side = lambda w, system: spanned(w).withColumn("system", F.lit(system)).select(*names, F.coalesce("token_form", "form").alias("_t"), F.substring_index("deprel", ":", 1).alias("deprel"))
+    rows = side(gold, False).unionByName(side(system, True))
+    # a document's texts, sizes and spans, by its sentences; a span is one number
+    content = F.col("deprel").isin(sorted(CONTENT_DEPRELS))
+    span = F.col("start").cast("long") * F.lit(1 << 32) + F.col("end")
+    piece = F.when(F.col("first"), F.struct("word_idx", F.replace("_t", F.lit(" "), F.lit("")).alias("t"), span.alias("span")))
+    sizes = {"words": F.count("*"), "content": F.count_if(content), "tokens": F.count_if("first")}
+    by_sentence = rows.groupBy(DOC, "system", "sent_idx").agg(F.collect_list(piece).alias("pieces"), F.min("start").alias("start"), F.max("end").alias("end"), *[c.alias(n) for n, c in sizes.items()])
+    sides = {"g": ~F.col("system"), "s": F.col("system")}
+    text = lambda own: F.array_sort(F.flatten(F.collect_list(F.when(own, F.col("pieces")))))
+    size = lambda own: F.struct(*[F.coalesce(F.sum(F.when(own, F.col(n))), F.lit(0)).alias(n) for n in sizes], F.count_if(own & F.col("sent_idx").isNotNull()).alias("sentences"))
+    documents = by_sentence.groupBy(DOC).agg(*[text(c).alias(f"t_{x}") for x, c in sides.items()], *[F.collect_list(F.when(c, span)).alias(f"spans_{x}") for x, c in sides.items()], *[size(c).alias(f"n_{x}") for x, c in sides.items()])
+    joined = lambda x: F.array_join(F.transform(f"t_{x}", lambda p: p["t"]), "")
+    has = {x: F.size(f"t_{x}") > 0 for x in sides}
+    same = F.col(DOC).isNotNull() & has["g"] & has["s"] & (joined("g") == joined("s"))
+    failed = F.when(F.col(DOC).isNull(), has["g"].cast("long") + has["s"].cast("long")).otherwise((~same).cast("long"))
+    known = lambda c: F.filter(c, lambda x: x.isNotNull())
+    shared = lambda g, s: F.size(F.array_intersect(known(g), known(s))).cast("long")
+    documents = documents.select(DOC, same.alias("same"), failed.alias("failed"), "n_g", "n_s", shared(F.col("t_g.span"), F.col("t_s.span")).alias("Tokens"), shared("spans_g", "spans_s").alias("Sentences"))
+    # aligned words
     equal = lambda *of: F.forall(F.array(*[F.col(f"g_w.{n}").eqNullSafe(F.col(f"s_w.{n}")) for n in of]), lambda x: x)
     lemma = (F.col("g_w.lemma") == "_") | equal("lemma")
     attached = F.when(F.col("s_w.head") < 0, F.col("g_w.head") < 0).otherwise(F.coalesce(F.col("head_g") == F.col("g_w.head"), F.lit(False)))
@@ -200,15 +237,13 @@ def dependency_counts(gold: DataFrame, system: DataFrame) -> DataFrame:
         "Words": F.lit(True), "UPOS": equal("upos"), "XPOS": equal("xpos"), "UFeats": equal("feats"), "AllTags": equal("upos", "xpos", "feats"), "Lemmas": lemma, "UAS": attached, "LAS": labelled,
         "CLAS": content & labelled, "MLAS": content & labelled & equal("upos", "feats") & children, "BLEX": content & labelled & lemma,
     }
-    rights = each.agg(*[F.count_if(c).alias(m) for m, c in right.items()])
-    sizes = lambda w: w.agg(F.count("*").alias("words"), F.count_if(F.col("deprel").isin(sorted(CONTENT_DEPRELS))).alias("content"), F.count_if("first").alias("tokens"), F.countDistinct(DOC, "sent_idx").alias("sentences"))
-    tokens = lambda w: w.where("first").select(DOC, "start", "end").distinct()
-    sents = lambda w: w.groupBy(DOC, "sent_idx").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(DOC, "start", "end").distinct()
-    shared = [tokens(g).join(tokens(s), [DOC, "start", "end"]).agg(F.count("*").alias("Tokens")), sents(g).join(sents(s), [DOC, "start", "end"]).agg(F.count("*").alias("Sentences"))]
-    failed = texts.agg(F.count_if(~F.col("same")).alias("n_failed"))
-    one = rights.crossJoin(shared[0]).crossJoin(shared[1]).crossJoin(sizes(g).select(F.struct("*").alias("n_g"))).crossJoin(sizes(s).select(F.struct("*").alias("n_s"))).crossJoin(failed)  # a row each
-    unit = lambda m: {"Tokens": "tokens", "Sentences": "sentences"}.get(m, "content" if m in ("CLAS", "MLAS", "BLEX") else "words")
-    return one.select("n_failed", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"n_g.{unit(m)}").alias("gold"), F.col(f"n_s.{unit(m)}").alias("system"), F.col(m).alias("right")) for m in METRICS])))
+    words = aligned_pairs(align(rows)).groupBy(DOC).agg(*[F.count_if(c).alias(m) for m, c in right.items()])
+    # a row a document is shuffled, so that one task doesn't hold what either part needs
+    each = documents.repartition(DOC).join(words.repartition(DOC), DOC, "left")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("same"), F.col(c))), F.lit(0))
+    unit = lambda m, x: f"n_{x}." + ("sentences" if m == "Sentences" else "tokens" if m == "Tokens" else "content" if m in ("CLAS", "MLAS", "BLEX") else "words")
+    one = each.agg(F.coalesce(F.sum("failed"), F.lit(0)).alias("n_failed"), *[F.struct(F.lit(m).alias("metric"), total(unit(m, "g")).alias("gold"), total(unit(m, "s")).alias("system"), total(m).alias("right")).alias(m) for m in METRICS])
+    return one.select("n_failed", F.inline(F.array(*METRICS)))
 
 
 def dependency_scores(gold: DataFrame, system: DataFrame) -> DataFrame:
