@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tsumugi import queries
+from tsumugi.kernels import conll
 from tsumugi.operators import dependency, metrics
 from tsumugi.operators.dealing import MOST_ROWS, dealt, parts_for
 
@@ -109,3 +110,19 @@ def test_dependency_trees_make_no_pairs_of_units(spark, tmp_path):
     found = {(r["doc_id"], r["bp_idx"]): r["parent_idx"] for r in trees.collect()}
     # by hand: the best other unit that makes no cycle; the last unit is the root where none is left
     assert len(found) == 14 and found[0, 0] == -1 and [found[2, k] for k in range(3)] == [1, 3, 1] and found[1, 0] == 1
+
+
+def test_conll_counts_compare_a_pair_once():
+    asked = []
+
+    class Tag(str):
+        def __eq__(self, other):
+            asked.append(other)
+            return str(self) == str(other)
+
+        __hash__ = str.__hash__
+
+    lines = [f"{n}\tw{n}\tl\tNOUN\tX\t_\t{n - 1}\t{'obj' if n > 1 else 'root'}\t_\t_" for n in range(1, 6)] + [""]
+    sides = [conll.read(lines) for _ in range(2)]
+    sides[0].words[:] = [w._replace(upos=Tag(w.upos)) for w in sides[0].words]
+    assert conll.counts(*sides)["MLAS"] == conll.counts(*sides)["UPOS"] == (5, 5, 5) and len(asked) == 2 * 5
