@@ -1,8 +1,10 @@
 import os
+import random
 import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 
 from tsumugi.sources import sinks
 from tsumugi.sources.text import raw_documents
@@ -121,3 +123,62 @@ def test_a_stream_killed_between_batches_gives_each_document_once(spark, tmp_pat
     (tmp_path / "fresh").mkdir()
     sinks.begin(spark, out, str(tmp_path / "other state"))
     assert not (tmp_path / "out").exists()
+
+
+class MapState:
+    """A map state in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.own, self.asked = {}, 0
+
+    def __getattribute__(self, name):
+        if name not in ("own", "asked"):
+            self.asked += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.own)
+
+    def containsKey(self, key):
+        return key in self.own
+
+    def getValue(self, key):
+        return self.own[key]
+
+    def updateValue(self, key, value):
+        self.own[key] = value
+
+    def iterator(self):
+        return iter(list(self.own.items()))
+
+    def clear(self):
+        self.own.clear()
+
+
+def test_a_document_that_comes_whole_hardly_asks_the_state():
+    rng = random.Random(5)
+    rows = [Row(doc_id="x", win_idx=w, ord=k, sid=f"s{k}", analysis=f"{k} {w}", last=False) for k in range(40) for w in rng.sample(range(5), 3)]
+    rng.shuffle(rows)
+    rows.append(Row(doc_id="x", win_idx=9, ord=40, sid="s40", analysis="40 9", last=True))
+    least = {k: min(r.win_idx for r in rows if r.ord == k) for k in range(41)}
+    for cuts in ([], [1], [30, 80], list(range(1, len(rows)))):
+        merger = interactive.SentenceMerger()
+        merger.state = state = MapState()
+        calls = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        found = [[tuple(r) for r in merger.handleInputRows(("x",), iter(c), None)] for c in calls]
+        assert not any(found[:-1]) and found[-1] == [("x", k, f"s{k}", f"{k} {least[k]}") for k in range(41)] and not state.own
+        assert cuts or state.asked == 1
+
+
+def test_an_epoch_s_rows_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    batch = spark.range(100, numPartitions=3).mapInPandas(counted, "id long").selectExpr("100 - id AS ord", "cast(id AS string) AS text")
+    sinks.append_epoch(batch, 0, str(tmp_path / "out"), ["ord"])
+    assert [r["line"] for r in sinks.read_epochs(spark, str(tmp_path / "out")).orderBy("ord").collect()] == [str(k) for k in reversed(range(100))]
+    assert seen.value == 100

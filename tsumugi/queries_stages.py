@@ -15,6 +15,7 @@ from tsumugi import vocab
 from tsumugi.functions import edits, text
 from tsumugi.kernels import conll
 from tsumugi.operators import dependency, encoding, forced, lexicon, loading, predicting, segment
+from tsumugi.operators.dealing import parts_for
 from tsumugi.plans import pipeline, word_stage
 from tsumugi.queries import SENTENCES, UNITS, normalized_documents, query, table, units
 from tsumugi.sources import annotated, sinks
@@ -198,14 +199,17 @@ def tree_errors(spark, sf_dir):
 def appended_analyses(spark, sf_dir):
     """Conversations as analysed sentences of overlapping windows: merged by state, appended epoch by epoch, and read again."""
     out = shared_folder(spark)
-    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).cast("long").alias("ord"), (F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1).alias("last"), F.md5("text").alias("h"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
+    turns = turns.repartition(max(4, parts_for(turns.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))), "conv_id")  # a document's rows arrive together
+    rows = turns.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).cast("long").alias("ord"), F.lead(F.lit(False), 1, True).over(Window.partitionBy("conv_id").orderBy("turn")).alias("last"), "h")
     windows = rows.select("doc_id", "ord", F.concat_ws("-", "doc_id", "ord").alias("sid"), "last", "h", F.explode(F.when(F.col("ord") > 1, F.lit([2, 1, 0])).otherwise(F.lit([2, 1])).cast("array<bigint>")).alias("win_idx"))
     analysed = windows.select("doc_id", "win_idx", "ord", "sid", F.concat_ws(" ", "h", F.lit("window"), F.col("win_idx").cast("string")).alias("analysis"), "last")
-    analysed.repartition(4, "doc_id").write.parquet(f"{out}/in")  # a document's rows arrive together
+    analysed.write.parquet(f"{out}/in")
+    files = spark.read.schema(analysed.schema).parquet(f"{out}/in").inputFiles()
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     try:
         interactive.use_rocksdb(spark)
-        read = spark.readStream.schema(analysed.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/in")
+        read = spark.readStream.schema(analysed.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // 2))).parquet(f"{out}/in")  # two epochs
         lines = interactive.merged_sentences(read).withColumn("text", F.concat_ws(" ", "doc_id", "sid", "analysis"))
         append = lambda batch, epoch: sinks.append_epoch(batch, epoch, f"{out}/out", ["doc_id", "ord"])
         lines.writeStream.foreachBatch(append).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()

@@ -50,9 +50,14 @@ def write_text(df: DataFrame, path: str, order: list[str], text: str = "text") -
 def append_epoch(batch: DataFrame, epoch: int, path: str, order: list[str], text: str = "text") -> None:
     """A micro-batch's texts, in order, as the epoch's own folder: an epoch that is run again takes the place of what it wrote before.
 
-    So a stream that is killed between two batches, or within one, and restarted from its checkpoint gives each text once.
+    So a stream that is killed between two batches, or within one, and restarted from its checkpoint gives each text once. The
+    batch is persisted meanwhile: a sort looks at its rows twice, and a stateful operator would do all its work each time.
     """
-    batch.orderBy(*order).select(F.col(text).alias("value")).write.mode("overwrite").text(f"{path}/epoch={epoch:012d}")
+    own = batch.select(*order, F.col(text).alias("value")).persist()
+    try:
+        own.orderBy(*order).select("value").write.mode("overwrite").text(f"{path}/epoch={epoch:012d}")
+    finally:
+        own.unpersist()
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:

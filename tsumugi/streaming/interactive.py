@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -62,11 +62,15 @@ MERGED = StructType([StructField("doc_id", StringType()), StructField("ord", Lon
 KEPT = StructType([StructField("win_idx", LongType()), StructField("ord", LongType()), StructField("analysis", StringType())])
 
 
+Found = dict[str, tuple[int, int, str]]
+
+
 class SentenceMerger(StatefulProcessor):
     """Keeps one analysis of each of a document's sentences, that of the earliest window; gives them in order, and forgets them, at its end.
 
     The end is a row marked last. idle: after how many milliseconds without a row a document that has no end is given and
-    forgotten too (None: never); rows that come later are a document of their own.
+    forgotten too (None: never); rows that come later are a document of their own. What a call brings is merged in
+    Python first: the state, which costs a round trip each time, is read and written only for documents that span micro-batches.
     """
 
     def __init__(self, idle: int | None = None):
@@ -76,15 +80,26 @@ class SentenceMerger(StatefulProcessor):
         self.handle = handle
         self.state = handle.getMapState("sentences", StructType([StructField("sid", StringType())]), KEPT)
 
-    def take(self, row) -> None:
-        key = (row.sid,)
-        if not self.state.containsKey(key) or self.state.getValue(key)[0] > row.win_idx:
-            self.state.updateValue(key, (int(row.win_idx), int(row.ord), row.analysis))
-
-    def given(self, doc_id: str) -> pd.DataFrame:
-        out = sorted((v[1], k[0], v[2]) for k, v in self.state.iterator())
-        self.state.clear()
-        return pd.DataFrame([(doc_id, *x) for x in out], columns=MERGED.names)
+    def take(self, found: Found, row) -> None:
+        if row.sid not in found or found[row.sid][0] > row.win_idx:
+            found[row.sid] = (row.win_idx, row.ord, row.analysis)
+
+    def keep(self, found: Found) -> None:
+        """found into the state, for a later call."""
+        known = self.state.exists()
+        for sid, own in found.items():
+            if not known or not self.state.containsKey((sid,)) or self.state.getValue((sid,))[0] > own[0]:
+                self.state.updateValue((sid,), own)
+
+    def given(self, doc_id: str, found: Found) -> Iterator[Row]:
+        """The document's sentences, of earlier calls and found; the state is empty afterwards."""
+        if self.state.exists():
+            for (sid,), own in self.state.iterator():
+                if sid not in found or found[sid][0] >= own[0]:
+                    found[sid] = tuple(own)
+            self.state.clear()
+        for place, sid, analysis in sorted((own[1], sid, own[2]) for sid, own in found.items()):
+            yield Row(doc_id=doc_id, ord=place, sid=sid, analysis=analysis)
 
     def wait(self, timers) -> None:
         """A timer from now on, instead of those that are set."""
@@ -92,18 +107,21 @@ class SentenceMerger(StatefulProcessor):
             self.handle.deleteTimer(t[0] if isinstance(t, (list, tuple)) else t)
         self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found: Found = {}
         ended = False
-        for frame in rows:
-            for row in frame.itertuples():
-                self.take(row)
-                ended = ended or bool(row.last)
-        if self.idle is not None and not ended:
+        for row in rows:
+            self.take(found, row)
+            ended = ended or bool(row.last)
+        if ended:
+            yield from self.given(key[0], found)
+            return
+        self.keep(found)
+        if self.idle is not None:
             self.wait(timerValues)
-        yield self.given(key[0]) if ended else pd.DataFrame([], columns=MERGED.names)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.given(key[0])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.given(key[0], {})
 
     def close(self) -> None:
         pass
@@ -119,23 +137,25 @@ class DocumentChange(SentenceMerger):
         super().init(handle)
         self.now = handle.getValueState("doc_id", StructType([StructField("doc_id", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = self.now.get()[0] if self.now.exists() else None
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
+        found: Found = {}
+        for row in sorted(rows, key=lambda r: r.seq):
             if now is not None and row.doc_id != now:
-                yield self.given(now)
+                yield from self.given(now, found)
+                found = {}
             now = row.doc_id
-            self.take(row)
+            self.take(found, row)
+        self.keep(found)
         self.now.update((now,))
         if self.idle is not None:
             self.wait(timerValues)
-        yield pd.DataFrame([], columns=MERGED.names)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.now.exists():
             now = self.now.get()[0]
             self.now.clear()
-            yield self.given(now)
+            yield from self.given(now, {})
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -155,12 +175,12 @@ def numbered_sentences(sentences: DataFrame) -> DataFrame:
 
 def merged_sentences(analysed: DataFrame, idle: int | None = None) -> DataFrame:
     """A stream of analysed sentences of windows (doc_id, win_idx, ord, sid, analysis, last) as each document's sentences, once each."""
-    return analysed.groupBy("doc_id").transformWithStateInPandas(SentenceMerger(idle), MERGED, "Append", "None" if idle is None else "ProcessingTime")
+    return analysed.groupBy("doc_id").transformWithState(SentenceMerger(idle), MERGED, "Append", "None" if idle is None else "ProcessingTime")
 
 
 def changed_documents(analysed: DataFrame, idle: int | None = None) -> DataFrame:
     """A stream of analysed sentences of sources (source, seq, doc_id, win_idx, ord, sid, analysis) as documents, each when the next one begins."""
-    return analysed.groupBy("source").transformWithStateInPandas(DocumentChange(idle), MERGED, "Append", "None" if idle is None else "ProcessingTime")
+    return analysed.groupBy("source").transformWithState(DocumentChange(idle), MERGED, "Append", "None" if idle is None else "ProcessingTime")
 
 
 def file_lines(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
