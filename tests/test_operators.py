@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -31,6 +32,36 @@ def test_segmentation(spark):
     assert [r[0] for r in odd.select(segment.sentences_by_tags("t", "g")).collect()] == [["a"], None, []]
 
 
+SPLIT = r"[^.!?。！？]*[.!?。！？]+|[^.!?。！？]+$"
+
+
+def test_sentences_are_the_matches_of_their_rule(spark):
+    rng = random.Random(3)
+    texts = [None, "", ".", "\n", "。。a", "😀.😀", "a\n.\n", "a.\n", *("".join(rng.choice("ab.!。 \n😀") for _ in range(rng.randrange(12))) for _ in range(400))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for found, own in df.select(segment.split_sentences("t"), F.regexp_extract_all("t", F.lit(SPLIT), F.lit(0))).collect():
+        assert found == own
+    odd = spark.createDataFrame([("a]b^c-d\\e",)], "t string").select(segment.split_sentences("t", "]^-\\")).first()[0]
+    assert odd == ["a]", "b^", "c-", "d\\", "e"]
+
+
+def test_sentences_are_cut_faster_than_their_matches_are_extracted(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghé字") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    text = " ".join(rng.choice(words) + ("." if rng.random() < 0.1 else "") for _ in range(4_000))
+    df = spark.createDataFrame([(text + str(k),) for k in range(100)], "t string").repartition(4).cache()
+
+    def seconds(cut):
+        began = time.time()
+        df.select(F.sum(F.size(cut))).collect()
+        return time.time() - began
+
+    ways = [segment.split_sentences("t"), F.regexp_extract_all("t", F.lit(SPLIT), F.lit(0))]
+    own, extracted = (min(x) for x in zip(*[[seconds(w) for w in ways] for _ in range(3)], strict=True))
+    df.unpersist()
+    assert own < extracted / 1.5, (own, extracted)
+
+
 def test_ids(spark):
     docs = spark.createDataFrame([(k, "x" if k == 3 else None) for k in range(11)], "ord int, doc_id string")
     found = dict(rows_of(segment.assign_doc_ids(dealt(docs), "p").select("ord", "doc_id")))
