@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsumugi.operators.segment import length_guard, sentences_by_tags, split_sentences, words_by_tags
-from tsumugi.operators.windows import document_spans, window_spans
+from tsumugi.operators.segment import length_guard, sentences_by_tags, split_sentences, split_words, words_by_tags
+from tsumugi.operators.windows import document_spans, placed_spans, window_spans
 
 #: What a predictor gets of each word of a window.
 WINDOW_WORD = ("sent_idx", "morph_idx", "target", "surf", "reading", "lemma", "canon")
@@ -86,6 +86,27 @@ def word_windows(words: DataFrame, max_length: int, stride: int, length: Column
     return fitting.drop("_size"), others.drop("_size")
 
 
+def sentence_windows(docs: DataFrame, max_length: int, stride: int) -> tuple[DataFrame, DataFrame]:
+    """As with_targets(word_windows()), for documents that are one row each (doc_id, sentences: an array of texts): a token is a code point, words are split_words().
+
+    Only sentences are brought into windows, and cut into words where a window is a row: no row a word is made, sorted or grouped.
+    Documents without a sentence have no window.
+    """
+    spans = placed_spans(max_length, stride)(F.transform("sentences", F.length), F.transform("sentences", lambda s: F.size(split_words(s))))
+    held = lambda s, k: F.struct(s.alias("_span"), k.alias("win_idx"), F.slice("sentences", s["start"] + 1, s["end"] - s["start"]).alias("_own"))
+    each = docs.where("doc_id is not null").select("doc_id", "sentences", spans.alias("_spans")).select("doc_id", F.inline(F.transform("_spans", held)))
+    span = F.col("_span")
+
+    def word(w: Column, sent: Column, morph: Column) -> Column:
+        known = {"sent_idx": sent, "morph_idx": morph, "target": sent >= span["before"], "surf": w}
+        return F.struct(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in WINDOW_WORD])
+
+    words = F.flatten(F.transform("_own", lambda x, j: F.transform(split_words(x), lambda w, m: word(w, span["start"] + j, m))))
+    window_id = F.when(span["fits"], F.col("doc_id")).otherwise(F.concat("doc_id", F.lit("-s"), (span["end"] - span["before"]).cast("string"), F.lit("i"), F.col("win_idx").cast("string")))
+    fitting, others = length_guard(each, span["size"], max_length)
+    return tuple(w.select("doc_id", span["doc_words"].alias("doc_words"), "win_idx", window_id.alias("window_id"), span["first_word"].alias("first_word"), words.alias("words"), *[span[c].alias(c) for c in ("n_words", "n_targets")]) for w in (fitting, others))
+
+
 #: What in_place() needs of a window, beside what was predicted for it.
 PLACES = ("first_word", "doc_words", "n_words", "n_targets")
 

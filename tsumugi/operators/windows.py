@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,26 @@ def window_spans(max_length: int, stride: int):
     return spans
 
 
+def placed_spans(max_length: int, stride: int):
+    """A pandas function: lengths of a document's sentences and their numbers of words -> its windows, one if it fits, none without a sentence.
+
+    before is the end of the window before, size the window's length; first_word is a place in the document, doc_words the document's number of words.
+    """
+
+    @arrow("array<struct<start:int,end:int,before:int,size:int,fits:boolean,first_word:int,doc_words:int,n_words:int,n_targets:int>>")
+    def spans(lengths: pd.Series, n_words: pd.Series) -> pd.Series:
+        def one(lengths, n_words) -> list[dict]:
+            upto, words = [0, *accumulate(int(n) for n in lengths)], [0, *accumulate(int(n) for n in n_words)]
+            fits = upto[-1] <= max_length
+            found = [(0, len(lengths))][: len(lengths)] if fits else split_spans([int(n) for n in lengths], max_length, stride)
+            ends = [0, *[b for _, b in found]]
+            return [{"start": a, "end": b, "before": last, "size": upto[b] - upto[a], "fits": fits, "first_word": words[a], "doc_words": words[-1], "n_words": words[b] - words[a], "n_targets": words[b] - words[last]} for (a, b), last in zip(found, ends, strict=False)]
+
+        return pd.Series([None if x is None or n is None else one(x, n) for x, n in zip(lengths, n_words, strict=True)], dtype=object)
+
+    return spans
+
+
 def document_spans(sentences: DataFrame, max_length: int, stride: int = -1, size: str = "n_tokens") -> DataFrame:
     """Each document's windows: doc_id, fits (it is one window), spans of places among its sentences (doc_id, sent_idx, size)."""
     lengths = sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", size))), lambda x: x[size].cast("int")).alias("lengths"))
@@ -92,4 +114,4 @@ def clause_heads(units: DataFrame, keys: list[str], order: str, score: str) -> D
     return units.groupBy(*keys, "clause").agg(F.max_by(order, F.struct(F.col(score), -F.col(order))).alias("head"))
 
 
-__all__ = ["bio_spans", "clause_heads", "clause_islands", "document_spans", "first_of_each", "head_runs", "make_window_id", "split_documents", "target_sentences", "window_spans"]
+__all__ = ["bio_spans", "clause_heads", "clause_islands", "document_spans", "first_of_each", "head_runs", "make_window_id", "placed_spans", "split_documents", "target_sentences", "window_spans"]

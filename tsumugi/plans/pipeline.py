@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tsumugi import vocab
 from tsumugi.functions.edits import apply_edits, tag_window, typo_tags
 from tsumugi.functions.text import normalize_text
+from tsumugi.kernels.places import target_words
 from tsumugi.operators import predicting, structure
 from tsumugi.operators.corpus import all_corpora
 from tsumugi.operators.segment import assign_doc_ids, eligible, unknown_attributes, unknown_morphemes
@@ -34,6 +35,7 @@ TASKS = ("typo", "char", "seq2seq", "word")
 #: Names of input formats: plain text, morpheme lines, and those with phrases (fixed values).
 FORMATS = ("raw", "jumanpp", "knp")
 Predictor = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+BatchPredictor = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 #: Bytes of examples, as Arrow has them, that become Python objects at a time.
 FRAME_BYTES = 1 << 19
 WINDOW = ["doc_id", "win_idx"]
@@ -72,42 +74,84 @@ def check_tasks(tasks: list[str], kind: str) -> list[str]:
 
 @dataclass
 class Registry:
-    """Predictors by stage: what they need, run on frames of about FRAME_BYTES, and the columns that they add."""
+    """Predictors by stage: what they need, run on frames of about FRAME_BYTES, and the columns that they add.
 
-    own: dict[str, tuple[Predictor, str]] = field(default_factory=dict)
+    on_batches: stages whose predictor takes and gives Arrow record batches instead of pandas frames, so that no word becomes a Python object.
+    """
+
+    own: dict[str, tuple[Predictor | BatchPredictor, str]] = field(default_factory=dict)
+    on_batches: set[str] = field(default_factory=set)
 
-    def register(self, stage: str, predictor: Predictor, schema: str) -> None:
+    def register(self, stage: str, predictor: Predictor | BatchPredictor, schema: str, on_batches: bool = False) -> None:
         if stage not in TASKS:
             raise ValueError(f"unknown stage {stage!r}")
         self.own[stage] = (predictor, schema)
+        (self.on_batches.add if on_batches else self.on_batches.discard)(stage)
 
-    def predict(self, stage: str, examples: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-        """What the stage's predictor gives for the examples. carried: columns of theirs that it doesn't see and that go beside its rows, by WINDOW."""
+    def _of(self, stage: str) -> tuple[BatchPredictor, str]:
         if stage not in self.own:
             raise LookupError(f"no predictor is registered for the stage {stage!r}")
         predictor, schema = self.own[stage]
+        return (predictor if stage in self.on_batches else _on_batches(predictor, to_arrow_schema(StructType.fromDDL(schema)))), schema
+
+    def predict(self, stage: str, examples: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+        """What the stage's predictor gives for the examples. carried: columns of theirs that it doesn't see and that go beside its rows, by WINDOW."""
+        predictor, schema = self._of(stage)
         kind = StructType(StructType.fromDDL(schema).fields + [examples.schema[c] for c in carried])
-        return examples.mapInArrow(_by_frames(predictor, to_arrow_schema(kind), list(carried)), kind)
+        return examples.mapInArrow(_carrying(predictor, to_arrow_schema(kind), list(carried)), kind)
+
+    def predict_in_place(self, stage: str, windows: DataFrame) -> DataFrame:
+        """What the stage's predictor gives for windows (with PLACES), as predicting.in_place() has it: a row a target word.
+
+        What was predicted for words that are context only doesn't leave the worker.
+        """
+        predictor, schema = self._of(stage)
+        given = StructType.fromDDL(schema)
+        beside = to_arrow_schema(StructType(given.fields + [windows.schema[c] for c in predicting.PLACES]))
+        kind = StructType([given["doc_id"], StructField("word_idx", IntegerType()), *given["words"].dataType.elementType.fields])
+        own = to_arrow_schema(kind)
+        carrying = _carrying(predictor, beside, list(predicting.PLACES))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in carrying(batches):
+                doc, word_idx, fields = target_words(b.column("doc_id"), b.column("words"), {c: b.column(c) for c in predicting.PLACES})
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([doc, word_idx, *fields.values()], own, strict=True)], schema=own)
 
+        return windows.mapInArrow(run, kind)
+
+
+def _on_batches(predictor: Predictor, schema: pa.Schema) -> BatchPredictor:
+    """A predictor of pandas frames as one of Arrow record batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in predictor(b.to_pandas() for b in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    return run
+
+
+def _carrying(predictor: BatchPredictor, schema: pa.Schema, carried: list[str]) -> BatchPredictor:
+    """The predictor on pieces of about FRAME_BYTES, without the carried columns, which are put beside what it gives."""
+
+    def rows(b: pa.RecordBatch, columns: list[str]) -> Iterator[tuple]:
+        return zip(*[b.column(c).to_pylist() for c in columns], strict=True)
 
-def _by_frames(predictor: Predictor, schema: pa.Schema, carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[tuple, tuple] = {}  # what is carried for examples that have no prediction yet
 
-        def frames() -> Iterator[pd.DataFrame]:
+        def pieces() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n = max(1, b.num_rows * FRAME_BYTES // max(1, b.nbytes))
                 for k in range(0, b.num_rows, n):
-                    f = b.slice(k, n).to_pandas()
+                    piece = b.slice(k, n)
                     if carried:
-                        waiting.update(zip(f[WINDOW].itertuples(index=False, name=None), f[carried].itertuples(index=False, name=None), strict=True))
-                    yield f.drop(columns=carried)
+                        waiting.update(zip(rows(piece, WINDOW), rows(piece, carried), strict=True))
+                    yield piece.select([c for c in piece.schema.names if c not in carried])
 
-        for out in predictor(frames()):
-            if carried:
-                own = [waiting.pop(w) for w in out[WINDOW].itertuples(index=False, name=None)]
-                out = out.assign(**{c: [x[i] for x in own] for i, c in enumerate(carried)})
-            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+        for out in predictor(pieces()):
+            own = [waiting.pop(w) for w in rows(out, WINDOW)] if carried else []
+            beside = {c: pa.array([x[i] for x in own], schema.field(c).type) for i, c in enumerate(carried)}
+            yield pa.RecordBatch.from_arrays([beside[f.name] if f.name in beside else out.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return run
 
@@ -183,8 +227,8 @@ class Pipeline:
         own = word_stage.with_places(named.select("doc_id", "sent_idx", "morph_idx", "sid", "comment", "surf", "reading", "lemma", "canon"))
         fitting, self.rejected["word"] = predicting.word_windows(own, self.max_length - len(vocab.SPECIAL_TOKENS) - 2, self.stride, self.word_length)
         windows = kept(fitting)
-        found = self.registry.predict("word", predicting.with_targets(windows), predicting.PLACES)
-        sentences = word_stage.assemble(own.drop("word_idx"), predicting.in_place(found), self.dictionary, keep)
+        found = self.registry.predict_in_place("word", predicting.with_targets(windows))
+        sentences = word_stage.assemble(own.drop("word_idx"), found, self.dictionary, keep)
         return sentences.join(words.groupBy("doc_id").agg(F.min("doc_ord").alias("doc_ord")), "doc_id") if "doc_ord" in words.columns else sentences
 
     def run(self, docs: DataFrame, tasks: str, kind: str = "raw", prefix: str = "doc") -> DataFrame:

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from tsumugi.functions import edits, text
 from tsumugi.kernels import conll
 from tsumugi.operators import dependency, encoding, forced, lexicon, loading, predicting, segment
 from tsumugi.operators.dealing import parts_for
-from tsumugi.plans import pipeline, word_stage
-from tsumugi.queries import SENTENCES, UNITS, normalized_documents, query, table, units
+from tsumugi.plans import pipeline
+from tsumugi.queries import SENTENCES, UNITS, query, table, units
 from tsumugi.sources import annotated, sinks
 from tsumugi.sources import text as sources
 from tsumugi.sources.dictionary import read_dictionary
@@ -47,14 +49,22 @@ r(doc_id, k, total, i, a, b, last) AS (
 spans AS (SELECT doc_id, i, a, b, last, total[b + 1] - total[a + 1] AS size FROM r WHERE i >= 0 UNION ALL SELECT doc_id, 0, 0, k, 0, total[k + 1] FROM o WHERE total[k + 1] <= {most})"""
 
 
-def counting_predictor(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def counting_predictor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each word of a window: its place and the window's words; the word before as head, the window's first word and a special token as targets."""
-    for f in frames:
-        out = []
-        for words in f["words"]:
-            n = len(words)
-            out.append([{"reading": f"{k}/{n}", "heads": [{"head": k - 1, "dep_type": "D"}], "cohesion": [{"rel": "ガ", "tgt": 0, "logit": 1.0}, {"rel": "ガ", "tgt": n + 2, "logit": 0.5}]} for k in range(n)])
-        yield pd.DataFrame({"doc_id": f["doc_id"], "win_idx": f["win_idx"], "words": out})
+
+    def lists(ends: np.ndarray, **fields: pa.Array | np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.StructArray.from_arrays([pa.array(f) for f in fields.values()], list(fields)))
+
+    for b in batches:
+        sizes = np.asarray(pc.list_value_length(b.column("words")), np.int32)
+        ends = np.cumsum(sizes)
+        n, total = np.repeat(sizes, sizes), int(sizes.sum())
+        k = np.arange(total, dtype=np.int32) - np.repeat(ends - sizes, sizes).astype(np.int32)
+        reading = pc.binary_join_element_wise(pa.array(k).cast(pa.string()), pa.array(n).cast(pa.string()), "/")
+        each = np.arange(1, total + 1)
+        heads = lists(each, head=k - 1, dep_type=pa.repeat("D", total))
+        cohesion = lists(2 * each, rel=pa.repeat("ガ", 2 * total), tgt=np.column_stack([np.zeros_like(n), n + 2]).ravel(), logit=np.tile([1.0, 0.5], total))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("win_idx"), lists(ends, reading=reading, heads=heads, cohesion=cohesion)], names=["doc_id", "win_idx", "words"])
 
 
 COUNTED = "doc_id string, win_idx int, words array<struct<reading:string,heads:array<struct<head:int,dep_type:string>>,cohesion:array<struct<rel:string,tgt:int,logit:double>>>>"
@@ -73,14 +83,12 @@ SELECT doc_id, CAST(word_idx AS INT) AS word_idx, (word_idx - first_word) || '/'
 @query(_windowed_sql())
 def windowed_predictions(spark, sf_dir):
     """Long documents through a predictor that gets whole windows, and its predictions back in the documents' places."""
-    docs = normalized_documents(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # texts are dealt out, so that words and windows needn't be
-    cut = docs.select("doc_id", F.posexplode(segment.split_sentences("text")).alias("sent_idx", "sentence"))
-    own = cut.select("doc_id", "sent_idx", F.posexplode(segment.split_words("sentence")).alias("morph_idx", "surf"))
-    windows, _ = predicting.word_windows(word_stage.with_places(own), MOST, STRIDE)
+    windows, _ = predicting.sentence_windows(docs.select("doc_id", segment.split_sentences(text.normalize_text("text")).alias("sentences")), MOST, STRIDE)
     registry = pipeline.Registry()
-    registry.register("word", counting_predictor, COUNTED)
-    found = predicting.in_place(registry.predict("word", predicting.with_targets(windows), predicting.PLACES))
+    registry.register("word", counting_predictor, COUNTED, on_batches=True)
+    found = registry.predict_in_place("word", windows)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "word_idx", F.col("reading").alias("seen"), F.col("heads")[0]["head"].alias("head"), F.col("cohesion")[0]["tgt"].alias("target"), F.col("cohesion")[1]["tgt"].alias("token"))
 
 
