@@ -14,6 +14,10 @@ from tsumugi.functions.arrow import arrow, batch
 from tsumugi.kernels.align import align_reading, align_segmentations
 
 
+#: Bytes of results that a part of a form's words gets, about.
+PART_BYTES = 8 << 30
+
+
 def look_up(words: DataFrame, entries: DataFrame, by: str = "norm") -> DataFrame:
     """words (with norm or canon, reading, pos, subpos, conjtype) and the meanings of their entries, in entry order.
 
@@ -36,6 +40,25 @@ def by_form(words: DataFrame, looked_up: Callable[[DataFrame], DataFrame]) -> Da
     return words.join(found.withColumnsRenamed({c: f"_{c}" for c in form}), same).drop(*form, *[f"_{c}" for c in form])
 
 
+def by_long_form(words: DataFrame, looked_up: Callable[[DataFrame], DataFrame], n_bytes: Column) -> DataFrame:
+    """As by_form(), for results that are long (n_bytes each): the words of a form come one after the other, so that a columnar sink can store its result once.
+
+    Words and results are dealt by form, those of a form that makes more than PART_BYTES in several parts by their key. How many parts is
+    known from counts by form; neither words nor keys of a form are brought together in a row.
+    """
+    form, usual = [c for c in words.columns if c != "key"], int(words.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    own = words.select("key", F.struct(*form).alias("_form"))  # null equals null within a struct
+    counted = own.groupBy("_form").agg(F.count("*").alias("_n"))
+    forms = counted.select("_form", "_form.*", "_n")
+    found = looked_up(forms).withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("_n") * n_bytes / PART_BYTES)).cast("int"))
+    made = [c for c in found.columns if c not in (*forms.columns, "_parts")]
+    part = own.join(found.select("_form", "_parts"), "_form").select("key", "_form", F.pmod(F.xxhash64("key"), "_parts").cast("int").alias("_part"))
+    lists = found.select("_form", *made, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    on = ["_form", "_part"]
+    # merged, not broadcast: a merge leaves the words in the order of their forms
+    return part.repartition(usual, *on).join(lists.repartition(usual, *on).hint("merge"), on).select("key", *made)
+
+
 def recover_lemmas(words: DataFrame, entries: DataFrame, inflection: DataFrame, ambiguous: list[tuple[str, str]]) -> DataFrame:
     """lemmas of words (key, norm, pos, subpos, conjtype, conjform): the first is the lemma, others make homographs.
 
