@@ -79,3 +79,16 @@ def test_a_prediction_of_another_length_stops_where_it_is_made(docs):
     own.register("word", lambda frames: (f[["doc_id", "win_idx"]].assign(words=[answers(w)[1:] for w in f["words"]]) for f in frames), SCHEMA)
     with pytest.raises(Exception, match=r"a window of \d+ words has \d+"):
         own.predict_in_place("word", predicting.sentence_windows(docs, 20, 2)[0]).collect()
+
+
+def test_documents_of_one_id_are_predicted_each_on_its_own(spark):
+    docs = spark.createDataFrame([("a", ["ab cd.", " e."]), ("a", ["ab cd.", " e."]), ("a", ["f."]), ("b", ["g."])], "doc_id string, sentences array<string>").coalesce(1)
+    own = pipeline.Registry()
+    own.register("word", on_batches, SCHEMA, on_batches=True)
+    found = own.predict_in_place("word", predicting.sentence_windows(docs.where("size(sentences) = 2 or doc_id = 'b'"), 20, 2)[0]).collect()
+    assert sorted((r["doc_id"], r["word_idx"]) for r in found) == sorted([("a", k) for k in range(7)] * 2 + [("b", 0), ("b", 1)])
+    from tsumugi.queries_stages import COUNTED, counting_predictor
+
+    own.register("word", counting_predictor, COUNTED, on_batches=True)
+    found = own.predict_in_place("word", predicting.sentence_windows(docs, 20, 2)[0]).collect()
+    assert sorted((r["doc_id"], r["word_idx"], r["reading"]) for r in found) == sorted([("a", k, f"{k}/7") for k in range(7)] * 2 + [(d, k, f"{k}/2") for d in "ab" for k in range(2)])

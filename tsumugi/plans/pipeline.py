@@ -131,13 +131,16 @@ def _on_batches(predictor: Predictor, schema: pa.Schema) -> BatchPredictor:
 
 
 def _carrying(predictor: BatchPredictor, schema: pa.Schema, carried: list[str]) -> BatchPredictor:
-    """The predictor on pieces of about FRAME_BYTES, without the carried columns, which are put beside what it gives."""
+    """The predictor on pieces of about FRAME_BYTES, without the carried columns, which are put beside what it gives.
+
+    Examples of equal WINDOW (documents of one id) must be answered in their order.
+    """
 
     def rows(b: pa.RecordBatch, columns: list[str]) -> Iterator[tuple]:
         return zip(*[b.column(c).to_pylist() for c in columns], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple, tuple] = {}  # what is carried for examples that have no prediction yet
+        waiting: dict[tuple, list[tuple]] = {}  # what is carried for examples that have no prediction yet
 
         def pieces() -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -145,11 +148,16 @@ def _carrying(predictor: BatchPredictor, schema: pa.Schema, carried: list[str])
                 for k in range(0, b.num_rows, n):
                     piece = b.slice(k, n)
                     if carried:
-                        waiting.update(zip(rows(piece, WINDOW), rows(piece, carried), strict=True))
+                        for w, values in zip(rows(piece, WINDOW), rows(piece, carried), strict=True):
+                            waiting.setdefault(w, []).append(values)
                     yield piece.select([c for c in piece.schema.names if c not in carried])
 
         for out in predictor(pieces()):
-            own = [waiting.pop(w) for w in rows(out, WINDOW)] if carried else []
+            own = []
+            for w in rows(out, WINDOW) if carried else ():
+                own.append(waiting[w].pop(0))
+                if not waiting[w]:
+                    del waiting[w]
             beside = {c: pa.array([x[i] for x in own], schema.field(c).type) for i, c in enumerate(carried)}
             yield pa.RecordBatch.from_arrays([beside[f.name] if f.name in beside else out.column(f.name).cast(f.type) for f in schema], schema=schema)
 
